@@ -47,7 +47,7 @@ def minimum_slice(spark, sf_dir):
 
 def lepton_pairs(spark, sf_dir) -> DataFrame:
     """Events with two leptons; the columns most core queries need."""
-    return T.records(spark, sf_dir, leptons=2, jets=1).filter(F.size("lep") >= 2).select(
+    return T.records(spark, sf_dir, want={"lep": 2}, fields=["pt", "eta", "pdgId"]).filter(F.size("lep") >= 2).select(
         "event", "sample", "dataset", "weight", "total", "priority",
         *[F.get("lep", F.lit(i))[f].alias(f"{n}{i + 1}")
           for n, f in (("pt", "pt"), ("eta", "eta"), ("id", "pdgId")) for i in range(2)])
@@ -191,8 +191,8 @@ def yields(spark, sf_dir):
 
 
 @query("q_blinding", with_ctes(f"""
-SELECT * REPLACE (CASE WHEN hide THEN 0 ELSE sumw END AS sumw, CASE WHEN hide THEN 0 ELSE sumw2 END AS sumw2,
-                  CASE WHEN hide THEN 0 ELSE n END AS n) EXCLUDE (hide)
+SELECT * EXCLUDE (hide) REPLACE (CASE WHEN hide THEN 0 ELSE sumw END AS sumw,
+  CASE WHEN hide THEN 0 ELSE sumw2 END AS sumw2, CASE WHEN hide THEN 0 ELSE n END AS n)
 FROM (SELECT sample, cut, sample = 'DATA' AND cut = 'sr_os' AS hide, 'pt1' AS variable, 'nominal' AS variation,
         {bin_sql('pt1', 20, 20.0, 100.0)} AS bin, CAST(0 AS INT) AS biny, {SUMS}
       FROM (SELECT *, CASE WHEN id1*id2 < 0 THEN 'sr_os' ELSE 'sr_ss' END AS cut FROM pair WHERE abs(weight) > 0)

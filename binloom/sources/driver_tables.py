@@ -56,17 +56,26 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def collections(spark: SparkSession, sf_dir: str, leptons: int = 3, jets: int = 4) -> DataFrame:
-    """Per event: its leading leptons and leading jets (bounded arrays)."""
-    return leading_collections(items(spark, sf_dir), "event", "kind", ORDER, FIELDS,
-                               {"lepton": ("lep", leptons), "jet": ("jet", jets)})
+KIND_OF = {"lep": "lepton", "jet": "jet"}
 
 
-def records(spark: SparkSession, sf_dir: str, how: str = "inner", leptons: int = 3,
-            jets: int = 4) -> DataFrame:
+def collections(spark: SparkSession, sf_dir: str, want: dict[str, int] | None = None,
+                fields: list[str] | None = None) -> DataFrame:
+    """Per event: its leading leptons (``lep``) and jets (``jet``) as bounded arrays.
+
+    ``fields`` names the object attributes carried along; fewer means a narrower scan and shuffle.
+    """
+    want = want or {"lep": 3, "jet": 4}
+    return leading_collections(items(spark, sf_dir), "event", "kind", ORDER, fields or FIELDS,
+                               {KIND_OF[name]: (name, k) for name, k in want.items()})
+
+
+def records(spark: SparkSession, sf_dir: str, how: str = "inner", want: dict[str, int] | None = None,
+            fields: list[str] | None = None) -> DataFrame:
     """Events with their leading collections; ``left`` keeps events without any object."""
-    out = ev(spark, sf_dir).join(collections(spark, sf_dir, leptons, jets), "event", how)
+    want = want or {"lep": 3, "jet": 4}
+    out = ev(spark, sf_dir).join(collections(spark, sf_dir, want, fields), "event", how)
     if how == "left":
         out = out.withColumns({
-            c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("lep", "jet")})
+            c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in want})
     return out
