@@ -46,23 +46,23 @@ class BinnedMap:
     def bins(self, x: Column, y: Column) -> tuple[Column, Column]:
         return bin_index(x, Edges(self.x_edges)), bin_index(y, Edges(self.y_edges))
 
-    def _cell(self, grid, x: Column, y: Column) -> Column:
+    def at_bins(self, ix: Column, iy: Column, what: str = "value") -> Column:
+        """Content or error at given bin numbers; zero outside, as in an unfilled outer cell."""
+        grid = self.values if what == "value" else self.errors
+        if grid is None:
+            return F.lit(0.0)
         if self.cells > LITERAL_CELLS:
             raise ValueError("map too large for a literal; use attach()")
         nx, ny = len(self.x_edges) - 1, len(self.y_edges) - 1
-        ix, iy = self.bins(x, y)
         flat = _array([v for row in grid for v in row])
         inside = ix.between(1, nx) & iy.between(1, ny)
-        # outside the map the content is zero, as for an unfilled under/overflow cell
         return F.when(inside, F.get(flat, (iy - 1) * nx + ix - 1)).otherwise(F.lit(0.0))
 
     def value(self, x: Column, y: Column) -> Column:
-        return self._cell(self.values, x, y)
+        return self.at_bins(*self.bins(x, y))
 
     def error(self, x: Column, y: Column) -> Column:
-        if self.errors is None:
-            return F.lit(0.0)
-        return self._cell(self.errors, x, y)
+        return self.at_bins(*self.bins(x, y), "error")
 
     def rows(self) -> list[tuple]:
         out = []
