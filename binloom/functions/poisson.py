@@ -1,6 +1,6 @@
 """Central Poisson interval for a count, through the gamma quantile.
 
-Only distinct bin counts of a histogram reach this pandas function.
+Only the bins of a histogram reach this pandas function.
 """
 
 from __future__ import annotations
@@ -62,8 +62,7 @@ def interval(n: pd.Series) -> pd.DataFrame:
 
 
 def poisson_interval(counts: DataFrame, n: str) -> DataFrame:
-    """Adds the asymmetric errors of each count, computed once per distinct count."""
+    """Adds the asymmetric errors of each count; the rows are bins, so there are few of them."""
     bounds = F.pandas_udf(interval, "low double, high double")
-    each = counts.select(n).distinct().withColumn("__b", bounds(F.col(n)))
-    return counts.join(each, n).select(
+    return counts.withColumn("__b", bounds(F.col(n))).select(
         *counts.columns, (F.col(n) - F.col("__b.low")).alias("err_down"), (F.col("__b.high") - F.col(n)).alias("err_up"))

@@ -28,7 +28,9 @@ def leading_collections(objects: DataFrame, key: str, kind: str, order: list[str
     bounded by their limits, so no group grows with the data.
     """
     limit = max(k for _, k in want.values())
-    top = rank_objects(objects.filter(F.col(kind).isin(*want)), [key, kind], order, limit)
+    # with one kind the ranking's partitioning by key serves the grouping below as well
+    keys = [key] if len(want) == 1 else [key, kind]
+    top = rank_objects(objects.filter(F.col(kind).isin(*want)), keys, order, limit)
     obj = F.struct("idx", *fields)
     arrays = [
         F.sort_array(F.collect_list(

@@ -88,7 +88,7 @@ def process_cases(samples: list[Sample]) -> list[tuple[str, str, Sample]]:
 def assign_processes(df: DataFrame, samples: list[Sample], sample_col: str = "sample") -> DataFrame:
     """One row per event and process it belongs to; overlapping processes are allowed."""
     hits = F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond, _ in process_cases(samples)])
-    return df.withColumn(sample_col, F.explode(F.filter(hits, lambda n: n.isNotNull())))
+    return df.withColumn(sample_col, F.explode(hits)).filter(F.col(sample_col).isNotNull())
 
 
 def event_weight(df: DataFrame, samples: list[Sample], lumi: float, name: str = "weight",

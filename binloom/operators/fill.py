@@ -36,12 +36,26 @@ def entries_for(cuts: list[Cut], variables: list[Variable], weight: str = "weigh
             for name, expr in flat for v in variables if v.cuts is None or name in v.cuts]
 
 
-def _bins(e: Entry) -> tuple[Column, Column]:
-    v = e.variable
-    bx = folded(bin_index(F.expr(e.x), v.axis), v.axis.size, v.fold)
-    if e.y is None:
-        return bx, F.lit(0)
-    return bx, folded(bin_index(F.expr(e.y), v.axis_y), v.axis_y.size, v.fold)
+class _Columns:
+    """Each distinct expression becomes one column, computed once per event."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.seen = prefix, {}
+
+    def ref(self, key, make) -> Column:
+        if key not in self.seen:
+            self.seen[key] = (f"{self.prefix}{len(self.seen)}", make())
+        return F.col(self.seen[key][0])
+
+    def all(self) -> list[Column]:
+        return [c.alias(n) for n, c in self.seen.values()]
+
+
+def _bin_column(columns: _Columns, expression: str | None, axis, fold: int) -> Column:
+    if expression is None:
+        return F.lit(0)
+    return columns.ref((expression, axis, fold),
+                       lambda: folded(bin_index(F.expr(expression), axis), axis.size, fold))
 
 
 def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
@@ -53,20 +67,24 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
     if not entries:
         raise ValueError("nothing to fill")
     factors = factors or {}
+    names = list(factors)
+    values, tests, weights = _Columns("__b"), _Columns("__p"), _Columns("__w")
     structs = []
     for i, e in enumerate(entries):
-        bx, by_ = _bins(e)
-        passes = F.expr(e.passes)
-        if e.samples is not None:
-            passes = passes & F.col(sample_col).isin(*e.samples)
+        v = e.variable
+        bx = _bin_column(values, e.x, v.axis, v.fold)
+        by_ = _bin_column(values, e.y, v.axis_y, v.fold)
+        passes = tests.ref((e.passes, e.samples), lambda e=e: F.expr(e.passes) & (
+            F.col(sample_col).isin(*e.samples) if e.samples is not None else F.lit(True)))
+        w = weights.ref(e.weight, lambda e=e: F.expr(e.weight).cast("double"))
         structs.append(F.when(passes & bx.isNotNull() & by_.isNotNull(), F.struct(
-            F.lit(i).alias("entry"), bx.alias("bin"), by_.alias("biny"),
-            F.expr(e.weight).cast("double").alias("w"))))
+            F.lit(i).alias("entry"), bx.alias("bin"), by_.alias("biny"), w.alias("w"))))
     nominal = [i for i, e in enumerate(entries) if e.variation == NOMINAL]
-    names = list(factors)
-    hits = df.select(
-        *by, *[F.expr(factors[n]).cast("double").alias(f"__f{i}") for i, n in enumerate(names)],
-        F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("__h"))
+    extra = [F.expr(factors[n]).cast("double").alias(f"__f{i}") for i, n in enumerate(names)]
+    staged = df.select(*by, *extra, *values.all(), *tests.all(), *weights.all())
+    # entries an event fails are null and go right after the explode, inside the same generated code
+    hits = staged.select(*by, *[f"__f{i}" for i in range(len(names))],
+                         F.explode(F.array(*structs)).alias("__h")).filter(F.col("__h").isNotNull())
     w = F.col("__h.w")
     sums = [F.sum(w).alias("sumw"), F.sum(w * w).alias("sumw2"), F.count(F.lit(1)).alias("n")]
     for i in range(len(names)):
@@ -78,6 +96,7 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
     def names_of(pick):
         return F.get(F.array(*[F.lit(pick(e)) for e in entries]), F.col("__e"))
 
+    # from here on there is one row per bin
     rows = [F.struct(names_of(lambda e: e.variation).alias("variation"), "sumw", "sumw2")]
     is_nominal = F.lit(True) if len(nominal) == len(entries) else F.col("__e").isin(*nominal)
     for i, n in enumerate(names):

@@ -33,9 +33,12 @@ def fold(hist: DataFrame, size: dict[str, int], mode: int, fold_errors: bool = T
     keys = [c for c in hist.columns if c not in ADDITIVE + ["bin"]]
     if fold_errors:
         return hist.withColumn("bin", target.cast("int")).groupBy(*keys, "bin").agg(*_sums())
-    content = hist.select(*keys, target.cast("int").alias("bin"), "sumw", F.lit(0.0).alias("sumw2"), "n")
-    error = hist.select(*keys, "bin", F.lit(0.0).alias("sumw"), "sumw2", F.lit(0).cast("long").alias("n"))
-    return content.unionByName(error).groupBy(*keys, "bin").agg(*_sums())
+    zero = F.lit(0.0)
+    parts = F.array(
+        F.struct(target.cast("int").alias("b"), F.col("sumw").alias("w"), zero.alias("q"), F.col("n").alias("m")),
+        F.struct(F.col("bin").alias("b"), zero.alias("w"), F.col("sumw2").alias("q"), F.lit(0).cast("long").alias("m")))
+    return hist.select(*keys, F.inline(parts)).groupBy(*keys, F.col("b").alias("bin")).agg(
+        F.sum("w").alias("sumw"), F.sum("q").alias("sumw2"), F.sum("m").alias("n"))
 
 
 def _size_of(size: dict[str, int]) -> Column:

@@ -56,13 +56,16 @@ def friend_join(df: DataFrame, friend: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(friend, keys, "left")
 
 
-def clean_objects(objects: DataFrame, others: DataFrame, key: str, array: str, dr2_cut: float,
-                  dr2, keep: Column | None = None, heavy: list | None = None) -> DataFrame:
-    """Objects without any element of the event's (bounded) ``array`` closer than the cut.
+def any_near(array: str, k: int, test) -> Column:
+    """Whether any of the first ``k`` elements satisfies ``test``; written out, so it compiles."""
+    out = F.lit(False)
+    for i in range(k):
+        out = out | F.coalesce(test(F.get(F.col(array), F.lit(i))), F.lit(False))
+    return out
 
-    ``dr2(object_row, element)`` gives the squared distance; ``keep`` selects which elements count.
-    """
+
+def clean_objects(objects: DataFrame, others: DataFrame, key: str, array: str, k: int, near,
+                  heavy: list | None = None) -> DataFrame:
+    """Objects for which no element of the event's array (at most ``k`` long) is ``near``."""
     joined = skew_safe_join(objects, others.select(key, array), key, "left", heavy)
-    near = F.exists(F.col(array), lambda o: dr2(o) < dr2_cut) if keep is None else F.exists(
-        F.filter(F.col(array), keep), lambda o: dr2(o) < dr2_cut)
-    return joined.filter(~F.coalesce(near, F.lit(False))).drop(array)
+    return joined.filter(~any_near(array, k, near)).drop(array)

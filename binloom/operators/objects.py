@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from binloom.functions.events import at
 from binloom.functions.kinematics import MISSING, P4, delta_r2, transverse_mass
-from binloom.operators.joins import clean_objects, skew_safe_join
+from binloom.operators.joins import any_near, skew_safe_join
 
 
-def nearest(arr: Column, eta: Column, phi: Column) -> Column:
-    """Struct (dr2, i) of the element closest to a direction; the first one in a tie."""
-    dist = F.transform(arr, lambda o, i: F.struct(
-        delta_r2(o["eta"], o["phi"], eta, phi).alias("dr2"), i.alias("i")))
-    return F.array_min(dist)
+def nearest(array: str, k: int, eta: Column, phi: Column) -> Column:
+    """Struct (dr2, i) of the closest of at most ``k`` elements; the first one in a tie."""
+    objs = [F.get(F.col(array), F.lit(i)) for i in range(k)]
+    dist = [F.when(o.isNotNull(), F.struct(delta_r2(o["eta"], o["phi"], eta, phi).alias("dr2"), F.lit(i).alias("i")))
+            for i, o in enumerate(objs)]
+    return F.array_min(F.array(*dist))
 
 
-def dress(leptons: DataFrame, photons: DataFrame, key: str, array: str, dr2_cut: float) -> DataFrame:
-    """Leptons with the momenta of the photons nearest to them added.
+def dress(leptons: DataFrame, photons: DataFrame, key: str, array: str, k: int, dr2_cut: float) -> DataFrame:
+    """Leptons (at most ``k`` per event) with the momenta of the photons nearest to them added.
 
     Photons stay flat: each finds its lepton, and momenta are summed per (event, lepton) with
     map-side combining, so their number per event does not matter.
     """
-    near = nearest(F.col(array), F.col("eta"), F.col("phi"))
+    near = nearest(array, k, F.col("eta"), F.col("phi"))
     own = skew_safe_join(photons, leptons.select(key, array), key).withColumn("__n", near)
     own = own.filter(F.col("__n.dr2") < dr2_cut)
     v = P4.ptetaphim(F.col("pt"), F.col("eta"), F.col("phi"), F.col("mass"))
@@ -37,13 +38,13 @@ def dress(leptons: DataFrame, photons: DataFrame, key: str, array: str, dr2_cut:
     return shaped.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "pt", "eta", "phi"))).alias("dressed"))
 
 
-def count_clean(objects: DataFrame, others: DataFrame, key: str, array: str, dr2_cut: float,
+def count_clean(objects: DataFrame, others: DataFrame, key: str, array: str, k: int, dr2_cut: float,
                 min_pt: float, name: str) -> DataFrame:
     """Per event the number of objects away from every element above ``min_pt``."""
     joined = skew_safe_join(objects, others.select(key, array), key, "left")
-    near = F.exists(F.filter(F.col(array), lambda o: o["pt"] >= min_pt),
-                    lambda o: delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi")) < dr2_cut)
-    return joined.groupBy(key).agg(F.count_if(~F.coalesce(near, F.lit(False))).alias(name))
+    near = any_near(array, k, lambda o: (o["pt"] >= min_pt) & (
+        delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi")) < dr2_cut))
+    return joined.groupBy(key).agg(F.count_if(~near).alias(name))
 
 
 def fiducial_flag(lep: Column, jet: Column, met: Column, met_phi: Column) -> Column:
@@ -62,5 +63,3 @@ def fiducial_flag(lep: Column, jet: Column, met: Column, met_phi: Column) -> Col
               & (transverse_mass(ll.pt(), ll.phi(), met, met_phi) >= 60))
     return F.when(decided, F.when(inside, 1).otherwise(0)).otherwise(F.lit(int(MISSING)))
 
-
-__all__ = ["nearest", "dress", "count_clean", "fiducial_flag", "clean_objects"]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from binloom.config import Edges
+from binloom.functions.bins import bin_index
+
 BUCKETS = 256
 
 
@@ -12,26 +15,25 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending:
     """Running totals along ``order``, one row per distinct value of it.
 
     Equal values are added up first, so a value that a third of the rows share is one row.
-    Quantiles of the values (a fixed number of them) cut the range into buckets; each bucket is
-    summed on its own and starts from the total of the buckets before it.
+    Quantiles of the values (a fixed number of them) cut the range into buckets, a pure function
+    of the value; each bucket is summed on its own and starts from the total of those before it.
     Columns: order, each sum ``s`` and its running total ``s_run``.
     """
-    points = df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    cuts = points.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
+    bucket = F.lit(0)
     if cuts:
-        bucket = F.coalesce(F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    tagged = points.withColumn("__b", bucket)
-    totals = tagged.groupBy("__b").agg(*[F.sum(n).alias(n) for n in sums])
+        bucket = bin_index(F.col(order), Edges([cuts[0] - 1.0, *cuts, cuts[-1] + 1.0]))
+    tagged = df.withColumn("__b", bucket)
+    totals = tagged.groupBy("__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    points = tagged.groupBy(order, "__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # at most ``buckets`` rows: the running total over buckets is tiny
     before = Window.partitionBy(F.lit(0)).orderBy(F.desc("__b") if descending else F.asc("__b")).rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select("__b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
     inside = Window.partitionBy("__b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(offsets, "__b").withColumns(
+    out = points.join(offsets, "__b").withColumns(
         {f"{n}_run": F.sum(n).over(inside) + F.col(f"__o_{n}") for n in sums})
     return out.drop("__b", *[f"__o_{n}" for n in sums])
 

@@ -47,6 +47,14 @@ def fake_rate(hist: DataFrame, loose_cut: str, tight_cut: str, data: str,
     return out.drop("t_data", "t_sub", "l_data", "l_sub")
 
 
+def own_rate(hist: DataFrame, loose_cut: str, tight_cut: str, by: list[str]) -> DataFrame:
+    """tight / loose per cell for every process on its own, in one aggregation."""
+    cells = hist.groupBy(*by, *CELL).agg(_pick(F.col("cut") == tight_cut).alias("tight"),
+                                         _pick(F.col("cut") == loose_cut).alias("loose"))
+    rate, error = rate_and_error(F.col("tight"), F.col("loose"))
+    return cells.withColumns({"rate": rate, "error": error})
+
+
 def efficiency_map(objects: DataFrame, cell: dict[str, Column], passed: Column, weight: Column) -> DataFrame:
     """Weighted passed/all per cell of objects, e.g. flavour x pt x eta, in one aggregation."""
     w = objects.select(*[c.alias(n) for n, c in cell.items()], weight.alias("__w"), passed.alias("__p"))
@@ -106,11 +114,14 @@ def roc_points(hist: DataFrame, presel: str, cuts: list[str], signal: list[str],
 
 def norm_factors(yields: DataFrame) -> DataFrame:
     """nominal / up and nominal / down per (sample, nuisance) from a yields table."""
-    direction = F.when(F.col("variation").endswith("Up"), "up").when(F.col("variation").endswith("Down"), "down")
     nuis = F.regexp_replace("variation", "(Up|Down)$", "")
-    var = (yields.withColumn("side", direction).filter("side IS NOT NULL").withColumn("nuisance", nuis)
-           .groupBy("sample", "cut", "variable", "nuisance").pivot("side", ["up", "down"]).agg(F.sum("yield")))
-    nom = yields.filter("variation = 'nominal'").select("sample", "cut", "variable", F.col("yield").alias("nominal"))
-    return var.join(nom, ["sample", "cut", "variable"]).select(
-        "sample", "cut", "variable", "nuisance", F.try_divide("nominal", "up").alias("norm_up"),
-        F.try_divide("nominal", "down").alias("norm_down"))
+    nominal = F.max(F.when(F.col("variation") == "nominal", F.col("yield"))).over(
+        Window.partitionBy("sample", "cut", "variable"))
+
+    def side(name):
+        return F.sum(F.when(F.col("variation").endswith(name), F.col("yield")))
+
+    var = (yields.withColumns({"nominal": nominal, "nuisance": nuis}).filter("variation RLIKE '(Up|Down)$'")
+           .groupBy("sample", "cut", "variable", "nuisance", "nominal").agg(side("Up").alias("up"), side("Down").alias("down")))
+    return var.select("sample", "cut", "variable", "nuisance", F.try_divide("nominal", "up").alias("norm_up"),
+                      F.try_divide("nominal", "down").alias("norm_down"))

@@ -6,9 +6,7 @@ nuisance are ``<nuisance>_<i>``.  All tables here have as many rows as there are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from binloom.operators.histops import ADDITIVE
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BIN = ["sample", "cut", "variable", "bin", "biny"]
 
@@ -29,13 +27,15 @@ def _emit(wide: DataFrame, variants: dict[str, tuple[Column, Column]]) -> DataFr
 
 
 def fallback_to_nominal(hist: DataFrame, wanted: list[str]) -> DataFrame:
-    """Every wanted variation for every histogram; those not filled are the nominal copied."""
-    have = hist.select("sample", "cut", "variable", "variation").distinct()
-    nominal = hist.filter(_is("nominal")).drop("variation")
-    need = nominal.select("sample", "cut", "variable").distinct().withColumn(
-        "variation", F.explode(F.array(*[F.lit(v) for v in wanted])))
-    absent = need.join(have, ["sample", "cut", "variable", "variation"], "left_anti")
-    return hist.unionByName(nominal.join(absent, ["sample", "cut", "variable"]).select(*hist.columns))
+    """Every wanted variation for every histogram; those not filled are the nominal copied.
+
+    One pass: a window over the rows of one histogram tells which variations it has.
+    """
+    have = F.collect_set("variation").over(Window.partitionBy("sample", "cut", "variable"))
+    copies = [F.col("variation")] + [
+        F.when(_is("nominal") & ~F.array_contains("__have", v), F.lit(v)) for v in wanted]
+    return (hist.withColumn("__have", have).withColumn("__v", F.explode(F.array(*copies)))
+            .filter("__v IS NOT NULL").withColumn("variation", F.col("__v")).select(*hist.columns))
 
 
 def envelope(hist: DataFrame, nuisance: str) -> DataFrame:
@@ -136,9 +136,10 @@ def scope(hist: DataFrame, declared: DataFrame) -> DataFrame:
 
     ``declared`` is configuration: one row per declared combination.
     """
-    tagged = hist.withColumn("nuisance", F.regexp_replace("variation", "(Up|Down)$", ""))
-    kept = tagged.filter(~_is("nominal")).join(declared, ["nuisance", "sample", "cut"], "left_semi")
-    return hist.filter(_is("nominal")).unionByName(kept.select(*hist.columns))
+    nuisance = F.regexp_replace("variation", "(Up|Down)$", "")
+    known = declared.select("nuisance", "sample", "cut").distinct().withColumn("__ok", F.lit(True))
+    tagged = hist.withColumn("nuisance", nuisance).join(known, ["nuisance", "sample", "cut"], "left")
+    return tagged.filter(_is("nominal") | F.col("__ok")).select(*hist.columns)
 
 
 def rate_parameters(yields: DataFrame, params: dict[str, tuple[dict[str, float], tuple[str, ...] | None]]) -> DataFrame:
@@ -200,10 +201,11 @@ def rename(hist: DataFrame, names: dict[str, str], keep_old: bool = False) -> Da
     side = F.regexp_extract("variation", "(Up|Down)$", 1)
     old = F.regexp_replace("variation", "(Up|Down)$", "")
     new = F.when(_is("nominal"), F.col("variation")).otherwise(F.concat(F.coalesce(literal[old], old), side))
-    moved = hist.withColumn("variation", new)
     if not keep_old:
-        return moved
-    return hist.unionByName(moved.filter(~_is("nominal") & literal[F.regexp_replace(hist["variation"], "(Up|Down)$", "")].isNotNull()))
+        return hist.withColumn("variation", new)
+    both = F.array(F.col("variation"), F.when(~_is("nominal") & literal[old].isNotNull(), new))
+    return (hist.withColumn("__v", F.explode(both)).filter("__v IS NOT NULL")
+            .withColumn("variation", F.col("__v")).select(*hist.columns))
 
 
 def decorrelate_by_cut(hist: DataFrame, nuisances: list[str]) -> DataFrame:

@@ -140,10 +140,8 @@ SELECT '{s}' AS sample, bin, biny, {_rate_cols('t', 'l')} FROM (
     for s in ("DATA", "SIG")), "ev", "obj", lead=LEAD["lead"]))
 def prompt_rate(spark, sf_dir):
     """The same measurement in data and in simulation."""
-    h = rate_hists(spark, sf_dir)
-    each = [rates.fake_rate(h.filter(F.col("sample") == s), "loose", "tight", s).withColumn("sample", F.lit(s))
-            for s in ("DATA", "SIG")]
-    out = each[0].unionByName(each[1])
+    h = rate_hists(spark, sf_dir).filter(F.col("sample").isin("DATA", "SIG"))
+    out = rates.own_rate(h, "loose", "tight", ["sample"])
     return out.withColumns({c: r(c, 8) for c in ("rate", "error")})
 
 

@@ -203,7 +203,7 @@ def jets_flat(spark, sf_dir):
 def cleaned_jets(spark, sf_dir, cut):
     leps = T.collections(spark, sf_dir, {"lep": 3}, KIN)
     return clean_objects(jets_flat(spark, sf_dir).select("event", *KIN, "mass", "score", "line", "part", "supp", "ship"),
-                         leps, "event", "lep", cut, _dr2, lambda x: x["pt"] >= 10)
+                         leps, "event", "lep", 3, lambda o: (o["pt"] >= 10) & (_dr2(o) < cut))
 
 
 OVERLAP = """SELECT j.* FROM items j WHERE j.kind = 'jet' AND NOT EXISTS (SELECT 1 FROM lep WHERE lep.event = j.event
@@ -249,9 +249,9 @@ FROM items j WHERE j.kind = 'jet' AND j.flavour <> 0 AND j.pt >= 30 GROUP BY j.e
 def dressing(spark, sf_dir):
     leptons = T.collections(spark, sf_dir, {"lep": 3}, KIN + ["mass"])
     flat = jets_flat(spark, sf_dir).select("event", *KIN, "mass", "flavour")
-    dressed = O.dress(leptons, flat.filter("flavour = 0").drop("flavour"), "event", "lep", 0.09)
+    dressed = O.dress(leptons, flat.filter("flavour = 0").drop("flavour"), "event", "lep", 3, 0.09)
     jets = flat.filter("flavour <> 0 AND pt >= 30").select("event", "pt", "eta", "phi")
-    return O.count_clean(jets, dressed, "event", "dressed", 0.016, 10.0, "n_jets")
+    return O.count_clean(jets, dressed, "event", "dressed", 3, 0.016, 10.0, "n_jets")
 
 
 FID_V = {f"l{i}": p4_sql(f"l{i}") for i in (1, 2)}

@@ -78,8 +78,7 @@ SELECT event, pt1, pt2, total, sample, CAST(sample = 'SIG' AS INTEGER) AS label
 WHERE pt1 > 25 AND pt2 > 13 AND sample <> 'DATA'""", "ev", "obj", **PAIR_SQL))
 def training_table(spark, sf_dir):
     good = lepton_pairs(spark, sf_dir).filter("pt1 > 25 AND pt2 > 13")
-    skims = {s: good.filter(F.col("sample") == s) for s in ("SIG", "BKG")}
-    return tables.training_table(skims, ["event", "pt1", "pt2", "not_there", "total"], {"SIG"})
+    return tables.label_processes(good, ["event", "pt1", "pt2", "not_there", "total"], {"SIG": 1, "BKG": 0})
 
 
 @query("q_file_counts", " UNION ALL ".join(

@@ -14,7 +14,7 @@ def skim(df: DataFrame, cuts: list[Cut], branches: dict[str, str], weight: str =
     keep = {n: e for n, e in branches.items() if n not in ("weight", "sample", "cut")}
     return df.select("sample", F.expr(weight).alias("weight"),
                      *[F.expr(e).alias(n) for n, e in keep.items()],
-                     F.explode(F.filter(passed, lambda c: c.isNotNull())).alias("cut"))
+                     F.explode(passed).alias("cut")).filter("cut IS NOT NULL")
 
 
 def write_skim(df: DataFrame, path: str, cuts: list[Cut], branches: dict[str, str]) -> None:

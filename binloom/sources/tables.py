@@ -54,3 +54,11 @@ def training_table(skims: dict[str, DataFrame], columns: list[str], signal: set[
     tagged = [df.select(*available, F.lit(name).alias("sample"),
                         F.lit(1 if name in signal else 0).alias("label")) for name, df in skims.items()]
     return reduce(lambda a, b: a.unionByName(b), tagged)
+
+
+def label_processes(df: DataFrame, columns: list[str], labels: dict[str, int], sample_col: str = "sample") -> DataFrame:
+    """The same from one table that already holds all processes: one pass, other processes dropped."""
+    available = [c for c in columns if c in df.columns]
+    literal = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return df.filter(F.col(sample_col).isin(*labels)).select(
+        *available, F.col(sample_col).alias("sample"), literal[F.col(sample_col)].alias("label"))
