@@ -135,7 +135,7 @@ def mother_pt(gen: Column, fallback: Column) -> Column:
         return F.abs(g["pdgId"]).isin(11, 13, 15) & (g["flags"].bitwiseAND(F.lit(prompt_bits)) != 0)
 
     def mother_id(g):
-        return alt(F.transform(gen, lambda m: m["pdgId"]), g["mother"], 0)
+        return F.coalesce(F.when(g["mother"] >= 0, F.get(gen, g["mother"])["pdgId"]), F.lit(0))
 
     tagged = F.transform(gen, lambda g, i: F.struct(
         i.alias("i"), g["mother"].alias("m"), mother_id(g).alias("mid"), final_lepton(g).alias("ok")))
@@ -144,4 +144,4 @@ def mother_pt(gen: Column, fallback: Column) -> Column:
     shared = F.filter(cands, lambda c: F.exists(cands, lambda o: (o["i"] > c["i"]) & (o["m"] == c["m"]))
                       & F.when(any_z, c["mid"] == 23).otherwise(c["m"] == 0))
     first = F.get(F.transform(shared, lambda c: c["m"]), F.lit(0))
-    return F.coalesce(F.when(first >= 0, F.get(F.transform(gen, lambda g: g["pt"]), first)), fallback)
+    return F.coalesce(F.when(first >= 0, F.get(gen, first)["pt"]), fallback)

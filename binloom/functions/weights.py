@@ -167,8 +167,10 @@ GGF_NAMES = ["ggH_mu", "ggH_res", "ggH_mig01", "ggH_mig12", "ggH_pT60", "ggH_pT1
              "ggH_VBF2j", "ggH_VBF3j", "ggH_qmtop"]
 
 
-def ggf_weight(name: str, njets: Column, pt: Column, stxs: Column, n_sigma: float = 1.0) -> Column:
-    return 1.0 + n_sigma * ggf_uncertainties(njets, pt, stxs)[GGF_NAMES.index(name)]
+def ggf_weights(njets: Column, pt: Column, stxs: Column, n_sigma: float = 1.0) -> dict[str, Column]:
+    """Weight per named source, ``n_sigma`` standard deviations away."""
+    shifts = ggf_uncertainties(njets, pt, stxs)
+    return {name: 1.0 + n_sigma * shift for name, shift in zip(GGF_NAMES, shifts)}
 
 
 def interference_ratio(lo: Column, total: Column, hi: Column, guard: float = 0.0) -> tuple[Column, Column]:
@@ -185,13 +187,14 @@ def clipped(weight: Column, limit: float, norm: float) -> Column:
 def polarisation_fractions(c1: Column, c2: Column, cosphi: Column, k: Column) -> dict[str, Column]:
     """Shares of longitudinal, transverse and interference terms for left-handed couplings.
 
-    The common coupling factor drops out of every ratio.
+    The common coupling factor drops out of every ratio; NULL where the terms cancel.
     """
     s1, s2 = F.sqrt(1 - c1 * c1), F.sqrt(1 - c2 * c2)
     ll = 16 * k * k * s1 * s1 * s2 * s2
     minus, plus = (1 - c1) * (1 - c2), (1 + c1) * (1 + c2)
     tt = 4 * minus * minus + 4 * plus * plus + 8 * s1 * s1 * s2 * s2 * (2 * cosphi * cosphi - 1)
     mixed = -16 * k * (minus + plus) * s1 * s2 * cosphi
-    total = ll + tt + mixed
-    return {"LL": F.try_divide(ll, total), "TT": F.try_divide(tt, total),
-            "Int": F.try_divide(mixed, total), "TTInt": F.try_divide(tt + mixed, total)}
+    # where the interference cancels everything the shares are not defined
+    full = ll + tt + mixed
+    total = F.when(full > 1e-9 * (ll + tt), full)
+    return {"LL": ll / total, "TT": tt / total, "Int": mixed / total, "TTInt": (tt + mixed) / total}

@@ -20,11 +20,11 @@ def heavy_keys(df: DataFrame, key: str, share: float = SHARE, sample: float = SA
     if sample < 1.0:
         keys = keys.sample(fraction=sample, seed=7)
     counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(int(1 / share)).collect()
-    if not top:
+    big = counts.filter(F.col("n") >= sample * min_rows).orderBy(F.desc("n")).limit(int(1 / share)).collect()
+    if not big:
         return []
     total = keys.count()
-    return [row[key] for row in top if row["n"] >= share * total and row["n"] >= sample * min_rows]
+    return [row[key] for row in big if row["n"] >= share * total]
 
 
 def skew_safe_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from binloom.config import Edges
-from binloom.functions.bins import bin_index
-
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False,
@@ -19,11 +18,13 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending:
     of the value; each bucket is summed on its own and starts from the total of those before it.
     Columns: order, each sum ``s`` and its running total ``s_run``.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = bin_index(F.col(order), Edges([cuts[0] - 1.0, *cuts, cuts[-1] + 1.0]))
+    wanted = [i / buckets for i in range(1, buckets)]
+    cuts = np.unique(df.agg(F.percentile_approx(order, wanted, 10 * buckets)).first()[0] or [])
+
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, values.to_numpy(), side="right").astype("int32"))
+
+    bucket = F.pandas_udf(place, "int")(F.col(order).cast("double"))
     tagged = df.withColumn("__b", bucket)
     totals = tagged.groupBy("__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     points = tagged.groupBy(order, "__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])

@@ -8,13 +8,7 @@ from binloom.config import Edges
 from binloom.functions.bins import bin_index
 from binloom.functions.lookup import BinnedMap
 from binloom.functions.weights import tag_factor
-
-
-def _of_flavour(maps: dict[int, BinnedMap], flavours, what: str) -> Column:
-    out = F.lit(None).cast("double")
-    for f in flavours:
-        out = F.when(F.col("flavour") == f, getattr(maps[f], what)(F.col("pt"), F.abs("eta"))).otherwise(out)
-    return out
+from binloom.operators.scratch import Scratch
 
 
 def fixed_wp_weights(jets: DataFrame, key: str, tagged: Column, sf: dict[int, BinnedMap],
@@ -22,18 +16,29 @@ def fixed_wp_weights(jets: DataFrame, key: str, tagged: Column, sf: dict[int, Bi
                      min_pt: float = 30.0, max_eta: float = 2.5) -> DataFrame:
     """Event weights of a fixed working point, one column per (flavours, error shift) wanted.
 
-    The product is combined before the shuffle, so any number of jets per event is fine.
+    Bin numbers are found once per set of edges, then contents per flavour.  The product is
+    combined before the shuffle, so any number of jets per event is fine.
     """
-    used = jets.filter((F.col("pt") > min_pt) & (F.abs("eta") < max_eta))
-    products = []
+    s = Scratch(jets.filter((F.col("pt") > min_pt) & (F.abs("eta") < max_eta)).withColumn("__tag", tagged))
+    bins: dict[tuple, list[Column]] = {}
+    for m in [*sf.values(), *eff.values()]:
+        edges = (m.x_edges, m.y_edges)
+        if edges not in bins:
+            bins[edges] = s.put(list(m.bins(F.col("pt"), F.abs("eta"))))
+
+    def content(maps: dict[int, BinnedMap], what: str) -> Column:
+        out = F.lit(None).cast("double")
+        for f, m in maps.items():
+            out = F.when(F.col("flavour") == f, m.at_bins(*bins[m.x_edges, m.y_edges], what)).otherwise(out)
+        return out
+
+    value, error, e = s.put([content(sf, "value"), content(sf, "error"), content(eff, "value")])
+    products = {}
     for name, (flavours, shift) in want.items():
-        s = _of_flavour(sf, flavours, "value")
-        if shift:
-            s = s + shift * _of_flavour(sf, flavours, "error")
-        factor = tag_factor(tagged, s, _of_flavour(eff, flavours, "value"))
-        mine = F.col("flavour").isin(*flavours)
-        products.append(F.product(F.when(mine, factor).otherwise(F.lit(1.0))).alias(name))
-    return used.groupBy(key).agg(*products)
+        factor = tag_factor(F.col("__tag"), value + float(shift) * error if shift else value, e)
+        products[name] = F.when(F.col("flavour").isin(*flavours), factor).otherwise(F.lit(1.0))
+    made = s.put(list(products.values()))
+    return s.df.groupBy(key).agg(*[F.product(c).alias(n) for n, c in zip(products, made)])
 
 
 def dimension(spark: SparkSession, maps: dict[tuple[str, str, int], tuple[BinnedMap, int]]) -> DataFrame:

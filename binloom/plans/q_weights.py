@@ -8,10 +8,11 @@ from binloom.config import Edges
 from binloom.functions import events as E, kinematics as K, weights as W
 from binloom.functions.bins import bin_index
 from binloom.functions.lookup import BinnedMap, Curve, map_from_rows
-from binloom.operators import rates, reweight, tagging
+from binloom.operators import rates, reweight, tagging, veto
+from binloom.operators.joins import clean_objects
 from binloom.plans.q_hist import rate_hists, weighted_jets
-from binloom.plans.q_select import DILEP_SQL, JS, region_flags
-from binloom.plans.registry import edges_sql, map_sql, query, r, rs, with_ctes
+from binloom.plans.q_select import DILEP_SQL, JS, VETO, region_flags
+from binloom.plans.registry import dr2_sql, edges_sql, map_sql, query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
 
 PT = (10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0, 50.0)
@@ -326,8 +327,9 @@ FROM (SELECT *, CASE stxs WHEN 101 THEN -0.32e0 WHEN 102 THEN 0.235e0 ELSE 0e0 E
   SELECT event, total AS pt, njet AS nj, 100 + dataset AS stxs FROM rec))""", "rec"))
 def theory_unc(spark, sf_dir):
     rec = T.records(spark, sf_dir, fields=["pt"])
-    nj, pt, stxs = F.size("jet"), F.col("total"), 100 + F.col("dataset")
-    return rec.select("event", *[r(W.ggf_weight(n, nj, pt, stxs), 10).alias(n) for n in W.GGF_NAMES])
+    flat = rec.select("event", F.size("jet").alias("nj"), F.col("total").alias("pt"), (100 + F.col("dataset")).alias("stxs"))
+    weights = W.ggf_weights(F.col("nj"), F.col("pt"), F.col("stxs"))
+    return flat.select("event", *[r(c, 10).alias(n) for n, c in weights.items()])
 
 
 @query("q_interpol", with_ctes(f"SELECT event, {rs(_ip('total', 90, -0.016, 160, 0.14), 9)} AS y FROM ev", "ev"))
@@ -381,11 +383,68 @@ def sf_ratio_columns(spark, sf_dir):
     return p.select("event", r(F.try_divide("u", "n"), 8).alias("sf_up"), r(F.try_divide("d", "n"), 8).alias("sf_down"))
 
 
-@query("q_polarisation")
+def _boost(v, f):
+    """Components of v in the rest frame of f, by the textbook boost."""
+    bp = f"(({f}x*{v}x + {f}y*{v}y + {f}z*{v}z)/{f}e)"
+    m = f"sqrt({f}e*{f}e - {f}x*{f}x - {f}y*{f}y - {f}z*{f}z)"
+    g, b2 = f"({f}e/{m})", f"(({f}x*{f}x + {f}y*{f}y + {f}z*{f}z)/({f}e*{f}e))"
+    k = f"(({g} - 1)/{b2}*{bp} - {g}*{v}e)"
+    return {**{c: f"{v}{c} + {k}*{f}{c}/{f}e" for c in "xyz"}, "e": f"{g}*({v}e - {bp})"}
+
+
+def _cols(pairs, frame, suffix):
+    return ", ".join(f"{e} AS {v}{suffix}{c}" for v in pairs for c, e in _boost(v, frame).items())
+
+
+def _cos(a, b):
+    return (f"(({a}x*{b}x + {a}y*{b}y + {a}z*{b}z)/sqrt(({a}x*{a}x + {a}y*{a}y + {a}z*{a}z)*({b}x*{b}x + {b}y*{b}y + {b}z*{b}z)))")
+
+
+def _cross(a, b, n):
+    return ", ".join(f"{a}{i}*{b}{j} - {a}{j}*{b}{i} AS {n}{k}" for i, j, k in ("yzx", "zxy", "xyz"))
+
+
+POL = {
+    "v": "SELECT event, " + ", ".join(
+        f"{o}_pt*cos({o}_phi) AS {n}x, {o}_pt*sin({o}_phi) AS {n}y, {o}_pt*sinh({o}_eta) AS {n}z, {o}_pt*cosh({o}_eta) AS {n}e"
+        for o, n in (("l1", "a"), ("j1", "u"), ("l2", "c"), ("j2", "v"))) + " FROM rec WHERE nlep >= 2 AND njet >= 2",
+    "s": "SELECT *, " + ", ".join(f"a{c}+u{c} AS p{c}, c{c}+v{c} AS q{c}, a{c}+u{c}+c{c}+v{c} AS h{c}" for c in "xyze") + " FROM v",
+    "f": f"SELECT *, {_cols('acpq', 'h', '1')} FROM s",
+    "g": f"SELECT *, {_cols(['a1'], 'p1', 's')}, {_cols(['c1'], 'q1', 's')}, {_cross('a1', 'p1', 'n')}, {_cross('c1', 'p1', 'm')} FROM f",
+    "k": f"SELECT event, {_cos('p1', 'a1s')} AS c1, {_cos('q1', 'c1s')} AS c2, {_cos('n', 'm')} AS cp, (hm - pm - qm)/(2*sqrt(pm*qm)) AS k FROM ("
+         "SELECT *, " + ", ".join(f"{o}e*{o}e - {o}x*{o}x - {o}y*{o}y - {o}z*{o}z AS {o}m" for o in "hpq") + " FROM g)",
+    "w": "SELECT event, 16*k*k*(1-c1*c1)*(1-c2*c2) AS ll, 4*(1-c1)*(1-c1)*(1-c2)*(1-c2) + 4*(1+c1)*(1+c1)*(1+c2)*(1+c2) "
+         "+ 8*(1-c1*c1)*(1-c2*c2)*(2*cp*cp-1) AS tt, -16*k*((1-c1)*(1-c2) + (1+c1)*(1+c2))*sqrt(greatest((1-c1*c1)*(1-c2*c2),0))*cp AS i FROM k"}
+
+
+@query("q_polarisation", with_ctes(f"""
+SELECT event, {rs('ll/t', 4)} AS "LL", {rs('tt/t', 4)} AS "TT", {rs('i/t', 4)} AS "Int", {rs('(tt+i)/t', 4)} AS "TTInt"
+FROM (SELECT *, CASE WHEN ll+tt+i > 1e-9*(ll+tt) THEN ll+tt+i END AS t FROM w)""", "rec", **POL))
 def polarisation(spark, sf_dir):
     rec = T.records(spark, sf_dir, fields=["pt", "eta", "phi"], want={"lep": 2, "jet": 2}).filter(
         (F.size("lep") >= 2) & (F.size("jet") >= 2))
     v = {c: [E.massless(E.at(F.col(c), i)) for i in (0, 1)] for c in ("lep", "jet")}
     angles = reweight.decay_angles(rec, v["lep"][0], v["jet"][0], v["lep"][1], v["jet"][1])
     frac = W.polarisation_fractions(*[F.col(c) for c in ("cos1", "cos2", "cosphi", "kappa")])
-    return angles.select("event", *[r(c).alias(n) for n, c in frac.items()])
+    return angles.select("event", *[r(c, 4).alias(n) for n, c in frac.items()])
+
+
+_JD = (dr2_sql("L", "J").replace("L_eta", "lep.eta").replace("L_phi", "lep.phi")
+       .replace("J_eta", "j.eta").replace("J_phi", "j.phi"))
+
+
+@query("q_jet_stage", with_ctes(f"""
+SELECT event, count(*) AS njet, {rs('sum(pt)', 6)} AS ht FROM items j WHERE kind = 'jet' AND pt >= 15 AND score >= 0.25
+  AND NOT EXISTS (SELECT 1 FROM lep WHERE lep.event = j.event AND lep.pt >= 10 AND {_JD} < 0.09)
+  AND event NOT IN (SELECT event FROM items WHERE kind = 'jet' AND score < 0.9 AND pt > 15 AND
+    {map_sql(VETO, 'greatest(least(eta, 5.19), -5.19)', 'greatest(least(phi, CAST(3.1415 AS DOUBLE)), CAST(-3.1415 AS DOUBLE))')} <> 0)
+GROUP BY event""", "lep"))
+def jet_stage(spark, sf_dir):
+    """Identified jets above 15, clean of leptons, in events that no dirty detector region touches."""
+    jets = T.items(spark, sf_dir).filter("kind = 'jet'")
+    leps = T.collections(spark, sf_dir, {"lep": 3}, ["pt", "eta", "phi"])
+    good = jets.filter("pt >= 15 AND score >= 0.25").select("event", "pt", "eta", "phi")
+    clean = clean_objects(good, leps, "event", "lep", 3, lambda o: (o["pt"] >= 10) & (
+        K.delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi")) < 0.09))
+    kept = veto.veto_events(clean, jets, veto.map_hit(jets, VETO, F.col("score")), "event")
+    return kept.groupBy("event").agg(F.count(F.lit(1)).alias("njet"), r(F.sum("pt")).alias("ht"))
