@@ -29,8 +29,10 @@ def folded(bin_col: Column, size: int, mode: int) -> Column:
     """Move under (1), over (2) or both (3) into the outermost real bins."""
     if mode not in (0, 1, 2, 3):
         raise ValueError(f"fold must be 0..3, not {mode}")
+    out = bin_col
     if mode & 1:
-        bin_col = F.greatest(bin_col, F.lit(1))
+        out = F.greatest(out, F.lit(1))
     if mode & 2:
-        bin_col = F.least(bin_col, F.lit(size))
-    return bin_col
+        out = F.least(out, F.lit(size))
+    # greatest and least pass over NULL, but no bin must stay no bin
+    return F.when(bin_col.isNotNull(), out) if mode else out

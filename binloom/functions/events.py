@@ -119,29 +119,3 @@ def centrality(eta1: Column, eta2: Column, eta_j1: Column, eta_j2: Column) -> Co
 def pair_mass_massless(a: Column, b: Column) -> Column:
     """Mass of two massless objects from their transverse momenta and angles."""
     return F.sqrt(2.0 * a["pt"] * b["pt"] * (F.cosh(a["eta"] - b["eta"]) - F.cos(a["phi"] - b["phi"])))
-
-
-def mother_pt(gen: Column, fallback: Column) -> Column:
-    """pt of the mother shared by two final leptons.
-
-    With any Z among the leptons' mothers the shared mother must be a Z; without one it must be
-    the first particle.  The first lepton (in record order) with such a partner decides.
-    ``gen`` holds structs with pt, pdgId, mother (index or -1) and flags.
-    """
-    # Status bits 0, 2, 3 and 4 mark prompt leptons and tau decay products
-    prompt_bits = 1 << 0 | 1 << 2 | 1 << 3 | 1 << 4
-
-    def final_lepton(g):
-        return F.abs(g["pdgId"]).isin(11, 13, 15) & (g["flags"].bitwiseAND(F.lit(prompt_bits)) != 0)
-
-    def mother_id(g):
-        return F.coalesce(F.when(g["mother"] >= 0, F.get(gen, g["mother"])["pdgId"]), F.lit(0))
-
-    tagged = F.transform(gen, lambda g, i: F.struct(
-        i.alias("i"), g["mother"].alias("m"), mother_id(g).alias("mid"), final_lepton(g).alias("ok")))
-    cands = F.filter(tagged, lambda c: c["ok"])
-    any_z = F.exists(cands, lambda c: c["mid"] == 23)
-    shared = F.filter(cands, lambda c: F.exists(cands, lambda o: (o["i"] > c["i"]) & (o["m"] == c["m"]))
-                      & F.when(any_z, c["mid"] == 23).otherwise(c["m"] == 0))
-    first = F.get(F.transform(shared, lambda c: c["m"]), F.lit(0))
-    return F.coalesce(F.when(first >= 0, F.get(gen, first)["pt"]), fallback)

@@ -123,7 +123,8 @@ class Curve:
 
     def at(self, x: Column, clamp: bool = True, outside: float = 0.0) -> Column:
         if clamp:
-            x = F.least(F.greatest(x, F.lit(float(self.xs[0]))), F.lit(float(self.xs[-1])))
+            # greatest and least pass over NULL, which must stay NULL
+            x = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(self.xs[0]))), F.lit(float(self.xs[-1]))))
         out = F.when((x < self.xs[0]) | (x > self.xs[-1]) | x.isNull(), F.lit(float(outside)))
         for x0, x1, y0, y1 in zip(self.xs, self.xs[1:], self.ys, self.ys[1:]):
             slope = (y1 - y0) / (x1 - x0)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from binloom.functions.events import at
 from binloom.functions.kinematics import MISSING, P4, delta_r2, transverse_mass
 from binloom.operators.joins import any_near, skew_safe_join
+from binloom.operators.scratch import Scratch
 
 
 def nearest(array: str, k: int, eta: Column, phi: Column) -> Column:
@@ -63,3 +64,33 @@ def fiducial_flag(lep: Column, jet: Column, met: Column, met_phi: Column) -> Col
               & (transverse_mass(ll.pt(), ll.phi(), met, met_phi) >= 60))
     return F.when(decided, F.when(inside, 1).otherwise(0)).otherwise(F.lit(int(MISSING)))
 
+
+# Status bits 0, 2, 3 and 4 mark prompt leptons and tau decay products; codes of the
+# charged leptons and of the Z
+PROMPT_BITS = 1 << 0 | 1 << 2 | 1 << 3 | 1 << 4
+LEPTONS = (11, 13, 15)
+Z = 23
+
+
+def mother_pt(df: DataFrame, gen: str, fallback: Column, name: str) -> DataFrame:
+    """pt of the mother shared by two final leptons, else the fallback.
+
+    With any Z among the leptons' mothers the shared mother must be a Z; without one it must be
+    the first particle.  The first lepton (in record order) with such a partner decides.
+    ``gen`` holds structs with pt, pdgId, mother (index into the same record or -1) and flags.
+    """
+    s = Scratch(df)
+    g = F.col(gen)
+
+    def seen(x, i):
+        mother = F.when(x["mother"] >= 0, F.get(g, x["mother"])["pdgId"])
+        final = F.abs(x["pdgId"]).isin(*LEPTONS) & (x["flags"].bitwiseAND(F.lit(PROMPT_BITS)) != 0)
+        return F.struct(i.alias("i"), x["mother"].alias("m"), F.coalesce(mother, F.lit(0)).alias("id"), final.alias("ok"))
+
+    cands, = s.put([F.filter(F.transform(g, seen), lambda c: c["ok"])])
+    any_z, = s.put([F.exists(cands, lambda c: c["id"] == Z)])
+    wanted, = s.put([F.filter(cands, lambda c: F.when(any_z, c["id"] == Z).otherwise(c["m"] == 0))])
+    # partners are sought among all final leptons; a partner has the same mother, hence is wanted too
+    shared = F.filter(wanted, lambda c: F.exists(wanted, lambda o: (o["i"] > c["i"]) & (o["m"] == c["m"])))
+    first, = s.put([F.get(shared, F.lit(0))["m"]])
+    return s.done({name: F.coalesce(F.when(first >= 0, F.get(g, first)["pt"]), fallback)})

@@ -148,7 +148,7 @@ def decay_angles(df: DataFrame, a1: P4, b1: P4, a2: P4, b2: P4) -> DataFrame:
     cos_i is the angle of a_i in its boson's rest frame to the boson's flight direction in the
     frame where the pair is at rest; cosphi lies between the decay planes; kappa measures how far
     the pair is above threshold.  All follow from products of four-vectors, so no boosts or
-    rotations are carried out.
+    rotations are carried out.  NULL where a boson has no mass.
     """
     s = Scratch(df)
 
@@ -160,12 +160,13 @@ def decay_angles(df: DataFrame, a1: P4, b1: P4, a2: P4, b2: P4) -> DataFrame:
         return F.sqrt(F.greatest(c, F.lit(0.0)))
 
     def unit(c: Column) -> Column:
-        return F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))
+        return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
 
     a1, b1, a2, b2 = hold(a1, b1, a2, b2)
     w1, w2 = hold(a1 + b1, a2 + b2)
     h, = hold(w1 + w2)
-    mh, m1, m2 = s.put([root(_dot(v, v)) for v in (h, w1, w2)])
+    # collinear massless products leave no boson mass, hence no rest frame
+    mh, m1, m2 = s.put([F.when(_dot(v, v) > 1e-12 * v.e * v.e, F.sqrt(F.abs(_dot(v, v)))) for v in (h, w1, w2)])
     # energies in the pair's rest frame
     ea1, ea2, ew1, ew2 = s.put([F.try_divide(_dot(v, h), mh) for v in (a1, a2, w1, w2)])
 

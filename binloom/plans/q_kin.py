@@ -296,7 +296,7 @@ def mother_pt(spark, sf_dir):
     top = rank_objects(gen, ["event"], T.ORDER, 6)
     arr = top.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", "pt", "pdgId", "mother", "flags"))).alias("gen"))
     df = arr.join(T.ev(spark, sf_dir).select("event", "total"), "event")
-    return df.select("event", E.mother_pt(F.col("gen"), F.col("total")).alias("zpt"))
+    return O.mother_pt(df, "gen", F.col("total"), "zpt").select("event", "zpt")
 
 
 @query("q_leading_rank", with_ctes("SELECT event, pt, eta, CAST(idx AS INTEGER) AS idx FROM lep", "lep"))

@@ -411,7 +411,7 @@ POL = {
     "s": "SELECT *, " + ", ".join(f"a{c}+u{c} AS p{c}, c{c}+v{c} AS q{c}, a{c}+u{c}+c{c}+v{c} AS h{c}" for c in "xyze") + " FROM v",
     "f": f"SELECT *, {_cols('acpq', 'h', '1')} FROM s",
     "g": f"SELECT *, {_cols(['a1'], 'p1', 's')}, {_cols(['c1'], 'q1', 's')}, {_cross('a1', 'p1', 'n')}, {_cross('c1', 'p1', 'm')} FROM f",
-    "k": f"SELECT event, {_cos('p1', 'a1s')} AS c1, {_cos('q1', 'c1s')} AS c2, {_cos('n', 'm')} AS cp, (hm - pm - qm)/(2*sqrt(pm*qm)) AS k FROM ("
+    "k": f"SELECT event, {_cos('p1', 'a1s')} AS c1, {_cos('q1', 'c1s')} AS c2, {_cos('n', 'm')} AS cp, CASE WHEN hm > 1e-12*he*he AND pm > 1e-12*pe*pe AND qm > 1e-12*qe*qe THEN (hm - pm - qm)/(2*sqrt(pm*qm)) END AS k FROM ("
          "SELECT *, " + ", ".join(f"{o}e*{o}e - {o}x*{o}x - {o}y*{o}y - {o}z*{o}z AS {o}m" for o in "hpq") + " FROM g)",
     "w": "SELECT event, 16*k*k*(1-c1*c1)*(1-c2*c2) AS ll, 4*(1-c1)*(1-c1)*(1-c2)*(1-c2) + 4*(1+c1)*(1+c1)*(1+c2)*(1+c2) "
          "+ 8*(1-c1*c1)*(1-c2*c2)*(2*cp*cp-1) AS tt, -16*k*((1-c1)*(1-c2) + (1+c1)*(1+c2))*sqrt(greatest((1-c1*c1)*(1-c2*c2),0))*cp AS i FROM k"}
