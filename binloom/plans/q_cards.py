@@ -54,11 +54,12 @@ def nuisance_matrix(spark, sf_dir):
 
 
 @query("q_nuisance_groups", """
-SELECT r_name AS grp, list(DISTINCT n_name ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+SELECT r_name AS grp, string_agg(n_name, ' ' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def nuisance_groups(spark, sf_dir):
     n, g = T.table(spark, sf_dir, "nation"), T.table(spark, sf_dir, "region")
-    return cards.nuisance_groups(n.join(g, n.n_regionkey == g.r_regionkey).select(
+    groups = cards.nuisance_groups(n.join(g, n.n_regionkey == g.r_regionkey).select(
         F.col("r_name").alias("grp"), F.col("n_name").alias("nuisance")))
+    return groups.withColumn("members", F.array_join("members", " "))
 
 
 @query("q_gof_table", """
@@ -80,7 +81,8 @@ ALLBINS = {**LEAD, "bins": """SELECT k.cut, b.bin, coalesce(sum(sumw),0) AS w, c
 
 
 @query("q_flat_edges", recursive(with_ctes("""
-SELECT cut, list_concat(list_concat([CAST(-1 AS DOUBLE)], coalesce((SELECT list(c ORDER BY c) FROM walk w WHERE w.cut = t.cut AND hit), [])), [CAST(1 AS DOUBLE)]) AS edges FROM tgt t""",
+SELECT cut, CAST(row_number() OVER (PARTITION BY cut ORDER BY o, c) - 1 AS INTEGER) AS pos, c AS edge FROM (
+  SELECT cut, 1 AS o, c FROM walk WHERE hit UNION ALL SELECT cut, 0, CAST(-1 AS DOUBLE) FROM tgt UNION ALL SELECT cut, 2, CAST(1 AS DOUBLE) FROM tgt)""",
     "ev", "obj", **ALLBINS,
     tgt="""SELECT cut, total / coalesce((SELECT max(n) FROM range(1, 7) r(n) WHERE total / n >= 40), 1) AS target FROM (SELECT cut, sum(w) AS total FROM bins GROUP BY cut)""",
     walk="""SELECT cut, CAST(21 AS INTEGER) AS bin, CAST(0 AS DOUBLE) AS acc, false AS hit, CAST(0 AS DOUBLE) AS c FROM tgt
@@ -88,7 +90,8 @@ SELECT cut, list_concat(list_concat([CAST(-1 AS DOUBLE)], coalesce((SELECT list(
         CAST(20 + 4 * (w.bin - 1) - 2 AS DOUBLE) FROM walk w JOIN bins f ON f.cut = w.cut AND f.bin = w.bin - 1 JOIN tgt t ON t.cut = w.cut""")))
 def flat_edges(spark, sf_dir):
     sig = hists(spark, sf_dir).filter("sample = 'SIG'")
-    return rebinning.flat_edges(sig, ["cut"], PT20, 6, 40.0)
+    out = rebinning.flat_edges(sig, ["cut"], PT20, 6, 40.0)
+    return out.select("cut", F.posexplode("edges").alias("pos", "edge"))
 
 
 @query("q_auto_rebin", recursive(with_ctes("""

@@ -38,37 +38,38 @@ def vector_functions(spark, sf_dir):
 
 
 @query("q_argsort", f"""
-SELECT vec_id, list(CAST(i - 1 AS INTEGER) ORDER BY x DESC, i) AS idx FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {V}) GROUP BY vec_id""")
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) - 1 AS INTEGER) AS rank, CAST(i - 1 AS INTEGER) AS idx
+FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {V})""")
 def argsort(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", A.argsort_desc(F.col("v")).alias("idx"))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(A.argsort_desc(F.col("v"))).alias("rank", "idx"))
 
 
 @query("q_take", f"""
-SELECT vec_id, list({rs('coalesce(w[j + 1], -5)', 8)} ORDER BY k) AS got FROM (
-  SELECT vec_id, w, unnest([label, 63 - label, label - 3, 70]) AS j, unnest([0, 1, 2, 3]) AS k
-  FROM (SELECT vec_id, label, v AS w FROM {V})) WHERE j >= 0 GROUP BY vec_id HAVING count(*) = 4
-UNION ALL SELECT vec_id, [{rs('w[label + 1]', 8)}, {rs('w[64 - label]', 8)}, CAST(-5 AS DOUBLE), CAST(-5 AS DOUBLE)] FROM (SELECT vec_id, label, v AS w FROM {V}) WHERE label < 3""")
+SELECT vec_id, {rs('v[label + 1]', 8)} AS a, {rs('v[64 - label]', 8)} AS b, {rs('CASE WHEN label >= 3 THEN v[label - 2] ELSE -5 END', 8)} AS c,
+  CAST(-5 AS DOUBLE) AS d, CAST(CASE WHEN label >= 3 THEN 1 ELSE 2 END AS INTEGER) AS missing FROM {V}""")
 def take(spark, sf_dir):
     label = F.col("label")
     idx = F.array(label, 63 - label, label - 3, F.lit(70))
-    got = A.take_or(F.col("v"), idx, -5.0)
-    return vectors(spark, sf_dir).select("vec_id", F.transform(got, lambda x: r(x, 8)).alias("got"))
+    got, plain = A.take_or(F.col("v"), idx, -5.0), A.take(F.col("v"), idx)
+    return vectors(spark, sf_dir).select(
+        "vec_id", *[r(F.get(got, F.lit(i)), 8).alias(n) for i, n in enumerate("abcd")],
+        A.count_where(plain, lambda x: x.isNull()).alias("missing"))
 
 
 @query("q_sort_collection", with_ctes("""
-SELECT event, list(score ORDER BY score DESC, idx) AS scores, list(CAST(idx AS INTEGER) ORDER BY score DESC, idx) AS order_of,
-  list(eta ORDER BY score DESC, idx) AS etas FROM jet GROUP BY event""", "jet"))
+SELECT event, CAST(row_number() OVER (PARTITION BY event ORDER BY score DESC, idx) - 1 AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, score, eta FROM jet""", "jet"))
 def sort_collection(spark, sf_dir):
     jets = T.collections(spark, sf_dir, {"jet": 4}, ["pt", "eta", "score"]).filter(F.size("jet") > 0)
-    s = A.sort_structs_desc(F.col("jet"), "score")
-    return jets.select("event", s["score"].alias("scores"), s["idx"].alias("order_of"), s["eta"].alias("etas"))
+    out = jets.select("event", F.posexplode(A.sort_structs_desc(F.col("jet"), "score")).alias("pos", "o"))
+    return out.select("event", "pos", "o.idx", "o.score", "o.eta")
 
 
 @query("q_masked_sort", f"""
-SELECT vec_id, list(y ORDER BY y DESC) AS sorted FROM (SELECT vec_id, CASE WHEN x > 0.05 THEN x ELSE 0 END AS y FROM (
-  SELECT vec_id, unnest(v) AS x FROM {V})) GROUP BY vec_id""")
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY y DESC) - 1 AS INTEGER) AS pos, y FROM (
+  SELECT vec_id, CASE WHEN x > 0.05 THEN x ELSE 0 END AS y FROM (SELECT vec_id, unnest(v) AS x FROM {V}))""")
 def masked_sort(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", A.masked_sort_desc(F.col("v"), lambda x: x > 0.05).alias("sorted"))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(
+        A.masked_sort_desc(F.col("v"), lambda x: x > 0.05)).alias("pos", "y"))
 
 
 @query("q_pairs", with_ctes(f"""
