@@ -80,3 +80,13 @@ def goodness_table(results: DataFrame, variables: list[str], limit: float = 0.05
     out = results.withColumns({"__base": base, "variable": var}).filter("variable IS NOT NULL AND p IS NOT NULL")
     state = F.substr("__base", F.lit(1), F.length("__base") - F.length("variable") - 1)
     return out.select(state.alias("state"), "variable", "p", (F.col("p") < limit).alias("bad"))
+
+
+def toy_summary(toys: DataFrame, observed: DataFrame, value: str, by: str) -> DataFrame:
+    """Per group the mean observed statistic and the share of toys at or above it.
+
+    ``observed`` is reduced to one row per group before it meets the toys.
+    """
+    seen = observed.groupBy(by).agg(F.avg(value).alias("observed"))
+    return toys.join(seen, by).groupBy(by, "observed").agg(
+        F.count(F.lit(1)).alias("toys"), F.avg(F.when(F.col(value) >= F.col("observed"), 1.0).otherwise(0.0)).alias("p"))

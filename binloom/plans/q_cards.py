@@ -104,3 +104,14 @@ SELECT cut, bin, CAST(greatest(least(g0, last - 1), 1) AS INTEGER) AS grp FROM w
 def auto_rebin(spark, sf_dir):
     sig = hists(spark, sf_dir).filter("sample = 'SIG'")
     return rebinning.uncertainty_groups(sig, ["cut"], 20)
+
+
+@query("q_gof_toys", with_ctes(f"""
+SELECT priority AS state, {rs('m', 6)} AS observed, count(*) AS toys, {rs('avg(CASE WHEN total >= m THEN 1 ELSE 0 END)', 8)} AS p
+FROM ev JOIN (SELECT priority, avg(total) AS m FROM ev WHERE sample = 'DATA' GROUP BY priority) USING (priority)
+WHERE sample <> 'DATA' GROUP BY priority, m""", "ev"))
+def gof_toys(spark, sf_dir):
+    """Distribution of the statistic in simulation against its mean in data, per final state."""
+    e = T.ev(spark, sf_dir).select(F.col("priority").alias("state"), "sample", "total")
+    out = cards.toy_summary(e.filter("sample != 'DATA'").drop("sample"), e.filter("sample = 'DATA'"), "total", "state")
+    return out.select("state", r("observed").alias("observed"), "toys", r("p", 8).alias("p"))

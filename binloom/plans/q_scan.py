@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from binloom.config import Cut
-from binloom.operators import joins, quality
-from binloom.plans.q_core import PAIR_SQL, lepton_pairs
-from binloom.plans.registry import query, with_ctes
+from binloom.config import Cut, Uniform, Variable
+from binloom.functions.weights import efficiency_sf
+from binloom.operators import define, joins, quality
+from binloom.operators.fill import fill
+from binloom.plans.q_core import PAIR_SQL, SUMS, lepton_pairs
+from binloom.plans.registry import bin_sql, query, r, rs, with_ctes
 from binloom.session import fresh_path
 from binloom.sources import driver_tables as T, sinks, tables
 
@@ -134,3 +136,42 @@ def common_columns(spark, sf_dir):
         *[F.col(c).alias(c.split("_", 1)[1].replace(f"{t}key", "key")) for c in T.table(spark, sf_dir, t).columns])
         for t in ("nation", "region")}
     return tables.training_table(frames, ["key", "name", "regionkey"], set()).select("key", "name")
+
+
+@query("q_hist_store", with_ctes(f"""
+SELECT sample, 'all' AS cut, 'pt1' AS variable, 'nominal' AS variation, {bin_sql('pt1', 20, 20.0, 100.0)} AS bin,
+  CAST(0 AS INT) AS biny, {SUMS} FROM pair GROUP BY ALL""", "ev", "obj", **PAIR_SQL))
+def hist_store(spark, sf_dir):
+    """Histograms written to the partitioned store and read back."""
+    h = fill(lepton_pairs(spark, sf_dir), [Cut("all", "true")], [Variable("pt1", "pt1", Uniform(20, 20.0, 100.0))])
+    path = fresh_path(spark, "histograms")
+    sinks.write_histograms(h, path)
+    return spark.read.parquet(path).select(h.columns)
+
+
+@query("q_branches", with_ctes("""
+SELECT event, sample, round(pt1 + pt2, 6) AS ht, pt1 / 2 AS half, pt1 AS lead FROM pair""", "ev", "obj", **PAIR_SQL))
+def branches(spark, sf_dir):
+    """A tree of named branches with an overwritten column and a second name for another."""
+    df = lepton_pairs(spark, sf_dir)
+    df = define.second_name(df, "lead", "pt1")
+    df = define.redefine(df, "pt1", "pt1 / 2")
+    return define.branches(df, {"event": "event", "sample": "sample", "ht": "round(lead + pt2, 6)", "half": "pt1", "lead": "lead"})
+
+
+@query("q_sf_text", with_ctes(f"""
+SELECT ix, iy, {rs('data/mc', 8)} AS sf, {rs('sqrt((e/mc)*(e/mc) + (data*e/(mc*mc))*(data*e/(mc*mc)))', 8)} AS err FROM (
+  SELECT CAST(l_linenumber AS INTEGER) AS ix, CAST(l_discount * 100 AS INTEGER) AS iy, round(avg(l_tax) * 10, 6) AS data, round(avg(l_quantity) / 50, 6) AS mc,
+    CAST(0.01 AS DOUBLE) AS e FROM lineitem GROUP BY ALL)"""))
+def sf_text(spark, sf_dir):
+    """Efficiencies written as a whitespace table, read back and turned into scale factors."""
+    cells = T.table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_linenumber").alias("ix"), (F.col("l_discount") * 100).cast("int").alias("iy")).agg(
+        F.round(F.avg("l_tax") * 10, 6).alias("data"), F.round(F.avg("l_quantity") / 50, 6).alias("mc"))
+    row = ["iy", "iy", "ix", "ix", "data", "0.01", "0.01", "mc", "0.01", "0.01", "-1", "-1", "-1", "-1"]
+    line = F.concat_ws("  ", *[F.col(c).cast("string") if c in cells.columns else F.lit(c) for c in row])
+    path = fresh_path(spark, "sf-text")
+    cells.select(line.alias("value")).write.text(path)
+    t = tables.whitespace_table(spark, path, tables.SF_COLUMNS)
+    sf, err = efficiency_sf(F.col("eff_data"), F.col("eff_mc"), F.col("stat_data"), F.col("stat_mc"))
+    return t.select(F.col("pt_lo").cast("int").alias("ix"), F.col("eta_lo").cast("int").alias("iy"), r(sf, 8).alias("sf"), r(err, 8).alias("err"))

@@ -7,9 +7,7 @@ decide it.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from binloom.operators.collect import leading_collections
 
@@ -19,41 +17,39 @@ FIELDS = ["pt", "eta", "phi", "mass", "pdgId", "score", "flavour"]
 LUMI = 2.0
 
 
+# schemas already read, so that opening a table again costs no footer scan
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pt = F.col("l_extendedprice") / F.lit(1000.0)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("event"),
-        pt.alias("pt"),
-        ((F.col("l_discount") - F.lit(0.05)) * F.lit(50.0)).alias("eta"),
-        ((F.col("l_quantity") - F.lit(25.5)) / F.lit(25.5) * F.lit(math.pi)).alias("phi"),
-        (pt * F.lit(0.1)).alias("mass"),
-        (F.when(F.col("l_linestatus") == "F", 11).otherwise(13)
-         * F.when(F.col("l_returnflag") == "R", 1).otherwise(-1)).alias("pdgId"),
-        (F.col("l_tax") / F.lit(0.08)).alias("score"),
-        F.when(F.col("l_returnflag") == "A", 5).when(F.col("l_returnflag") == "N", 4)
-         .otherwise(0).alias("flavour"),
-        F.when(F.col("l_linenumber") <= 3, "lepton").otherwise("jet").alias("kind"),
-        F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supp"), F.col("l_shipdate").alias("ship"),
-    )
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS event",
+        "l_extendedprice / 1000D AS pt",
+        "(l_discount - 0.05D) * 50D AS eta",
+        "(l_quantity - 25.5D) / 25.5D * pi() AS phi",
+        "l_extendedprice / 1000D * 0.1D AS mass",
+        "IF(l_linestatus = 'F', 11, 13) * IF(l_returnflag = 'R', 1, -1) AS pdgId",
+        "l_tax / 0.08D AS score",
+        "CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 4 ELSE 0 END AS flavour",
+        "IF(l_linenumber <= 3, 'lepton', 'jet') AS kind",
+        "l_linenumber AS line", "l_partkey AS part", "l_suppkey AS supp", "l_shipdate AS ship")
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status, prio = F.col("o_orderstatus"), F.col("o_orderpriority")
-    sim = (F.when(prio == "1-URGENT", F.lit(1.5)).when(prio == "5-LOW", F.lit(-0.5))
-           .when(prio == "4-NOT SPECIFIED", F.lit(0.0)).otherwise(F.lit(1.0)))
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("event"),
-        F.when(status == "P", "DATA").when(status == "O", "SIG").otherwise("BKG").alias("sample"),
-        (F.col("o_custkey") % 3).alias("dataset"),
-        F.when(status == "P", F.lit(1.0)).otherwise(F.lit(LUMI) * sim).alias("weight"),
-        (F.col("o_totalprice") / F.lit(1000.0)).alias("total"),
-        prio.alias("priority"),
-    )
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS event",
+        "CASE o_orderstatus WHEN 'P' THEN 'DATA' WHEN 'O' THEN 'SIG' ELSE 'BKG' END AS sample",
+        "o_custkey % 3 AS dataset",
+        f"""IF(o_orderstatus = 'P', 1D, {LUMI}D * CASE o_orderpriority WHEN '1-URGENT' THEN 1.5D
+            WHEN '5-LOW' THEN -0.5D WHEN '4-NOT SPECIFIED' THEN 0D ELSE 1D END) AS weight""",
+        "o_totalprice / 1000D AS total", "o_orderpriority AS priority")
 
 
 KIND_OF = {"lep": "lepton", "jet": "jet"}
