@@ -13,14 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from binloom.config import Edges
 from binloom.functions.bins import bin_index
+from binloom.functions.literals import choose
 
 LITERAL_CELLS = 10_000
 
 
-def _array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 @dataclass(frozen=True)
 class BinnedMap:
     """2-D map ``values[iy][ix]`` with errors, on explicit edges."""
@@ -54,9 +51,9 @@ class BinnedMap:
         if self.cells > LITERAL_CELLS:
             raise ValueError("map too large for a literal; use attach()")
         nx, ny = len(self.x_edges) - 1, len(self.y_edges) - 1
-        flat = _array([v for row in grid for v in row])
         inside = ix.between(1, nx) & iy.between(1, ny)
-        return F.when(inside, F.get(flat, (iy - 1) * nx + ix - 1)).otherwise(F.lit(0.0))
+        cell = choose((iy - 1) * nx + ix - 1, [float(v) for row in grid for v in row])
+        return F.when(inside, cell).otherwise(F.lit(0.0))
 
     def value(self, x: Column, y: Column) -> Column:
         return self.at_bins(*self.bins(x, y))

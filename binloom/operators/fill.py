@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from binloom.config import Cut, Variable
 from binloom.functions.bins import bin_index, folded
+from binloom.functions.literals import choose
 
 NOMINAL = "nominal"
 
@@ -58,6 +59,63 @@ def _bin_column(columns: _Columns, expression: str | None, axis, fold: int) -> C
                        lambda: folded(bin_index(F.expr(expression), axis), axis.size, fold))
 
 
+class _Grid:
+    """Entries as selections x fills, so that an event is first exploded over the selections it
+    passes (plain numbers) and only then over what those selections fill.
+
+    Entries of one variation share their fills; other variations have their own.
+    """
+
+    def __init__(self):
+        self.blocks: dict[str, dict] = {}
+        self.tests: list[tuple[str, Column]] = []      # (block, passes) per selection
+        self.cells: list[dict[int, int]] = []          # per selection: fill number -> entry
+
+    def add(self, entry: int, block: str, test_key, test: Column, fill_key, fill_of) -> None:
+        b = self.blocks.setdefault(block, {"tests": {}, "fills": {}, "columns": []})
+        if test_key not in b["tests"]:
+            b["tests"][test_key] = len(self.tests)
+            self.tests.append((block, test))
+            self.cells.append({})
+        cells = self.cells[b["tests"][test_key]]
+        copy = 0
+        while True:                                    # the same fill under another name is a new one
+            j = b["fills"].setdefault((fill_key, copy), len(b["fills"]))
+            if j == len(b["columns"]):
+                b["columns"].append(fill_of)
+            if j not in cells:
+                break
+            copy += 1
+        cells[j] = entry
+
+    def explode(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Columns ``keep`` and ``__h`` with entry, bin, biny, w for every hit.
+
+        Selections failed and fills not wanted are dropped inside the same generated code.
+        """
+        passed = df.select("*", F.explode(F.array(*[
+            F.when(test, F.lit(g)) for g, (_, test) in enumerate(self.tests)])).alias("__g")).filter("__g IS NOT NULL")
+        numbers = list(self.blocks)
+        fills = None
+        for name in numbers:
+            made = F.array(*[F.struct(F.lit(j).alias("j"), bx.alias("bin"), by_.alias("biny"), w.alias("w"))
+                             for j, (bx, by_, w) in enumerate(self.blocks[name]["columns"])])
+            if len(numbers) == 1:
+                fills = made
+                break
+            mine = F.col("__g").isin(*[g for g, (b, _) in enumerate(self.tests) if b == name])
+            fills = F.when(mine, made) if fills is None else fills.when(mine, made)
+        # entry number of (selection, fill), -1 where the selection does not fill it
+        flat, start = [], []
+        for g, (block, _) in enumerate(self.tests):
+            start.append(len(flat))
+            flat += [self.cells[g].get(j, -1) for j in range(len(self.blocks[block]["columns"]))]
+        entry = choose(choose(F.col("__g"), start) + F.col("__x.j"), flat)
+        rows = passed.select(*keep, "__g", F.explode(fills).alias("__x"))
+        return rows.select(*keep, F.struct(entry.alias("entry"), "__x.bin", "__x.biny", "__x.w").alias("__h")).filter(
+            "__h.entry >= 0 AND __h.bin IS NOT NULL AND __h.biny IS NOT NULL")
+
+
 def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
                  factors: dict[str, str] | None = None, sample_col: str = "sample") -> DataFrame:
     """Histogram table ``(*by, cut, variable, variation, bin, biny, sumw, sumw2, n)``.
@@ -69,22 +127,19 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
     factors = factors or {}
     names = list(factors)
     values, tests, weights = _Columns("__b"), _Columns("__p"), _Columns("__w")
-    structs = []
+    grid = _Grid()
     for i, e in enumerate(entries):
         v = e.variable
-        bx = _bin_column(values, e.x, v.axis, v.fold)
-        by_ = _bin_column(values, e.y, v.axis_y, v.fold)
-        passes = tests.ref((e.passes, e.samples), lambda e=e: F.expr(e.passes) & (
+        fill_of = (_bin_column(values, e.x, v.axis, v.fold), _bin_column(values, e.y, v.axis_y, v.fold),
+                   weights.ref(e.weight, lambda e=e: F.expr(e.weight).cast("double")))
+        test = tests.ref((e.passes, e.samples), lambda e=e: F.expr(e.passes) & (
             F.col(sample_col).isin(*e.samples) if e.samples is not None else F.lit(True)))
-        w = weights.ref(e.weight, lambda e=e: F.expr(e.weight).cast("double"))
-        structs.append(F.when(passes & bx.isNotNull() & by_.isNotNull(), F.struct(
-            F.lit(i).alias("entry"), bx.alias("bin"), by_.alias("biny"), w.alias("w"))))
+        grid.add(i, e.variation, (e.passes, e.samples), test, (e.x, v.axis, e.y, v.axis_y, v.fold, e.weight), fill_of)
     nominal = [i for i, e in enumerate(entries) if e.variation == NOMINAL]
+    kept = [*by, *[f"__f{i}" for i in range(len(names))]]
     extra = [F.expr(factors[n]).cast("double").alias(f"__f{i}") for i, n in enumerate(names)]
     staged = df.select(*by, *extra, *values.all(), *tests.all(), *weights.all())
-    # entries an event fails are null and go right after the explode, inside the same generated code
-    hits = staged.select(*by, *[f"__f{i}" for i in range(len(names))],
-                         F.explode(F.array(*structs)).alias("__h")).filter(F.col("__h").isNotNull())
+    hits = grid.explode(staged, kept)
     w = F.col("__h.w")
     sums = [F.sum(w).alias("sumw"), F.sum(w * w).alias("sumw2"), F.count(F.lit(1)).alias("n")]
     for i in range(len(names)):
@@ -94,7 +149,7 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
                           F.col("__h.biny").alias("biny")).agg(*sums)
 
     def names_of(pick):
-        return F.get(F.array(*[F.lit(pick(e)) for e in entries]), F.col("__e"))
+        return choose(F.col("__e"), [pick(e) for e in entries])
 
     # from here on there is one row per bin
     rows = [F.struct(names_of(lambda e: e.variation).alias("variation"), "sumw", "sumw2")]

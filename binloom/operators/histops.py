@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from binloom.functions.literals import choose, constants
+
 KEYS = ["cut", "variable", "variation"]
 ADDITIVE = ["sumw", "sumw2", "n"]
 
@@ -148,7 +150,7 @@ def stack_totals(hist: DataFrame, kind: dict[str, str], size: dict[str, int]) ->
 
 def cumulative_stack(hist: DataFrame, order: list[str]) -> DataFrame:
     """Running sum over samples in stacking order, per bin (as many rows as samples)."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("sample"))
+    rank = F.array_position(constants(order), F.col("sample"))
     w = (Window.partitionBy(*KEYS, "bin", "biny").orderBy("rank")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (hist.withColumn("rank", rank.cast("int")).filter("rank > 0")
@@ -165,7 +167,7 @@ def rebin(hist: DataFrame, groups: list[int]) -> DataFrame:
     """Bins 1..n regrouped: ``groups[i]`` is the new bin of old bin i + 1; outer bins stay outer."""
     top = max(groups) + 1
     target = F.when(F.col("bin") <= 0, F.lit(0)).when(F.col("bin") > len(groups), F.lit(top)).otherwise(
-        F.get(F.array(*[F.lit(g) for g in groups]), F.col("bin") - 1))
+        choose(F.col("bin") - 1, groups))
     keys = [k for k in hist.columns if k not in ADDITIVE + ["bin"]]
     return hist.withColumn("bin", target.cast("int")).groupBy(*keys, "bin").agg(*_sums())
 
@@ -176,5 +178,5 @@ def rebin_to_edges(hist: DataFrame, old: list[float], new: list[float]) -> DataF
     groups = [sum(1 for e in new if e <= c) for c in centres]
     keys = [k for k in hist.columns if k not in ADDITIVE + ["bin"]]
     target = F.when(F.col("bin") <= 0, F.lit(0)).when(F.col("bin") > len(groups), F.lit(len(new))).otherwise(
-        F.get(F.array(*[F.lit(g) for g in groups]), F.col("bin") - 1))
+        choose(F.col("bin") - 1, groups))
     return hist.withColumn("bin", target.cast("int")).groupBy(*keys, "bin").agg(*_sums())
