@@ -43,18 +43,18 @@ class _Columns:
     def __init__(self, prefix: str):
         self.prefix, self.seen = prefix, {}
 
-    def ref(self, key, make) -> Column:
+    def ref(self, key, make) -> str:
         if key not in self.seen:
             self.seen[key] = (f"{self.prefix}{len(self.seen)}", make())
-        return F.col(self.seen[key][0])
+        return self.seen[key][0]
 
     def all(self) -> list[Column]:
         return [c.alias(n) for n, c in self.seen.values()]
 
 
-def _bin_column(columns: _Columns, expression: str | None, axis, fold: int) -> Column:
+def _bin_column(columns: _Columns, expression: str | None, axis, fold: int) -> str:
     if expression is None:
-        return F.lit(0)
+        return "0"
     return columns.ref((expression, axis, fold),
                        lambda: folded(bin_index(F.expr(expression), axis), axis.size, fold))
 
@@ -68,24 +68,19 @@ class _Grid:
 
     def __init__(self):
         self.blocks: dict[str, dict] = {}
-        self.tests: list[tuple[str, Column]] = []      # (block, passes) per selection
+        self.tests: list[tuple[str, str]] = []         # (block, column that tells) per selection
         self.cells: list[dict[int, int]] = []          # per selection: fill number -> entry
 
-    def add(self, entry: int, block: str, test_key, test: Column, fill_key, fill_of) -> None:
-        b = self.blocks.setdefault(block, {"tests": {}, "fills": {}, "columns": []})
-        if test_key not in b["tests"]:
-            b["tests"][test_key] = len(self.tests)
+    def add(self, entry: int, block: str, test: str, fill_of: tuple[str, str, str]) -> None:
+        b = self.blocks.setdefault(block, {"tests": {}, "fills": {}})
+        if test not in b["tests"]:
+            b["tests"][test] = len(self.tests)
             self.tests.append((block, test))
             self.cells.append({})
-        cells = self.cells[b["tests"][test_key]]
+        cells = self.cells[b["tests"][test]]
         copy = 0
-        while True:                                    # the same fill under another name is a new one
-            j = b["fills"].setdefault((fill_key, copy), len(b["fills"]))
-            if j == len(b["columns"]):
-                b["columns"].append(fill_of)
-            if j not in cells:
-                break
-            copy += 1
+        while (j := b["fills"].setdefault((fill_of, copy), len(b["fills"]))) in cells:
+            copy += 1                                  # the same fill under another name is a new one
         cells[j] = entry
 
     def explode(self, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -93,25 +88,23 @@ class _Grid:
 
         Selections failed and fills not wanted are dropped inside the same generated code.
         """
-        passed = df.select("*", F.explode(F.array(*[
-            F.when(test, F.lit(g)) for g, (_, test) in enumerate(self.tests)])).alias("__g")).filter("__g IS NOT NULL")
-        numbers = list(self.blocks)
-        fills = None
-        for name in numbers:
-            made = F.array(*[F.struct(F.lit(j).alias("j"), bx.alias("bin"), by_.alias("biny"), w.alias("w"))
-                             for j, (bx, by_, w) in enumerate(self.blocks[name]["columns"])])
-            if len(numbers) == 1:
-                fills = made
-                break
-            mine = F.col("__g").isin(*[g for g, (b, _) in enumerate(self.tests) if b == name])
-            fills = F.when(mine, made) if fills is None else fills.when(mine, made)
+        numbers = ", ".join(f"IF({test}, {g}, NULL)" for g, (_, test) in enumerate(self.tests))
+        passed = df.selectExpr("*", f"explode(array({numbers})) AS __g").filter("__g IS NOT NULL")
+        made = {}
+        for name, block in self.blocks.items():
+            structs = (f"named_struct('j', {j}, 'bin', {bx}, 'biny', {by}, 'w', {w})"
+                       for j, ((bx, by, w), _) in enumerate(block["fills"]))
+            made[name] = f"array({', '.join(structs)})"
+        *others, last = self.blocks
+        cases = " ".join(f"WHEN __g IN ({', '.join(map(str, self.blocks[n]['tests'].values()))}) THEN {made[n]}" for n in others)
+        fills = f"CASE {cases} ELSE {made[last]} END" if others else made[last]
         # entry number of (selection, fill), -1 where the selection does not fill it
         flat, start = [], []
         for g, (block, _) in enumerate(self.tests):
             start.append(len(flat))
-            flat += [self.cells[g].get(j, -1) for j in range(len(self.blocks[block]["columns"]))]
+            flat += [self.cells[g].get(j, -1) for j in range(len(self.blocks[block]["fills"]))]
         entry = choose(choose(F.col("__g"), start) + F.col("__x.j"), flat)
-        rows = passed.select(*keep, "__g", F.explode(fills).alias("__x"))
+        rows = passed.select(*keep, "__g", F.expr(f"explode({fills})").alias("__x"))
         return rows.select(*keep, F.struct(entry.alias("entry"), "__x.bin", "__x.biny", "__x.w").alias("__h")).filter(
             "__h.entry >= 0 AND __h.bin IS NOT NULL AND __h.biny IS NOT NULL")
 
@@ -134,7 +127,7 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
                    weights.ref(e.weight, lambda e=e: F.expr(e.weight).cast("double")))
         test = tests.ref((e.passes, e.samples), lambda e=e: F.expr(e.passes) & (
             F.col(sample_col).isin(*e.samples) if e.samples is not None else F.lit(True)))
-        grid.add(i, e.variation, (e.passes, e.samples), test, (e.x, v.axis, e.y, v.axis_y, v.fold, e.weight), fill_of)
+        grid.add(i, e.variation, test, fill_of)
     nominal = [i for i, e in enumerate(entries) if e.variation == NOMINAL]
     kept = [*by, *[f"__f{i}" for i in range(len(names))]]
     extra = [F.expr(factors[n]).cast("double").alias(f"__f{i}") for i, n in enumerate(names)]

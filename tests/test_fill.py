@@ -73,6 +73,23 @@ def test_partition_count_does_not_matter(events):
     assert rows(fill(events.repartition(1), ALL, v)) == rows(fill(events.repartition(13), ALL, v))
 
 
+def test_equal_selections_and_variables_under_two_names(events):
+    cuts = [Cut("a", "y > 0"), Cut("b", "y > 0"), Cut("c", "y <= 0")]
+    vs = [Variable("u", "x", AXIS), Variable("v", "x", AXIS), Variable("w", "y", Uniform(2, -1.0, 1.0), cuts=("c",))]
+    h = fill(events, cuts, vs).groupBy("cut", "variable").agg(F.sum("n").alias("n")).collect()
+    got = {(r["cut"], r["variable"]): r["n"] for r in h}
+    up = events.filter("y > 0").count()
+    assert got == {**{(c, v): up for c in "ab" for v in "uv"}, **{("c", v): 500 - up for v in "uvw"}}
+
+
+def test_many_selections_agree_with_one_by_one(events):
+    cuts = [Cut(f"c{i}", f"x > {i}", {"p": "y > 0", "m": "y < 0"}) for i in range(12)]
+    vs = [Variable(f"v{j}", f"x * {j + 1}", Uniform(4, 0.0, 10.0 * (j + 1))) for j in range(6)]
+    wide = fill(events, cuts, vs).filter("cut = 'c5_m' AND variable = 'v3'")
+    alone = fill(events.filter("x > 5 AND y < 0"), [Cut("c5_m", "true")], [vs[3]])
+    assert rows(wide) == rows(alone)
+
+
 def test_two_dimensional(events):
     h = fill(events, ALL, [Variable("xy", "x", AXIS, "y", Uniform(2, -1.0, 1.0))])
     assert h.agg(F.sum("sumw")).first()[0] == events.agg(F.sum("weight")).first()[0]
