@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from check import compare, duck
 from binloom.functions import arrays as A, kinematics as K, select as S, weights as W
 from binloom.functions.lookup import BinnedMap, Curve, map_from_rows
 from binloom.functions.poisson import interval
@@ -263,3 +264,27 @@ def test_products_per_event_ignore_order(spark):
     got = {r["event"]: (r["bc"], r["up"], r["light"]) for r in tagging.fixed_wp_weights(
         jets, "event", F.col("tag"), sf, eff, {"bc": ((5, 4), 0), "up": ((5, 4), 1), "light": ((0,), 0)}).collect()}
     assert got[1] == pytest.approx((0.9 * 1.1, 0.95 * 1.05, 1.0)) and got[2] == pytest.approx((1.0, 1.0, 1.1))
+
+
+@pytest.mark.parametrize("name", ["q_overlap_removal", "q_dressing", "q_fiducial", "q_jet_stage", "q_gen_dphi"])
+def test_queries_with_salted_keys(spark, sf, monkeypatch, name):
+    """The salted plan gives the same rows as the SQL, whichever keys count as heavy."""
+    monkeypatch.setattr(joins, "heavy_keys", lambda *a, **k: list(range(0, 1500, 3)))
+    result, _ = compare(spark, duck(sf), name, sf)
+    assert result.startswith("ok"), result
+
+
+def test_one_event_with_a_third_of_all_objects(spark):
+    """Ranking, counting and products on a hot event against pandas."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"event": np.where(rng.random(n) < 1 / 3, 1, rng.integers(2, 600, n)), "id": np.arange(n),
+                        "pt": rng.uniform(0, 100, n), "f": rng.uniform(0.99, 1.01, n)})
+    df = spark.createDataFrame(pdf).repartition(16)
+    top = rank_objects(df, ["event"], ["-pt", "id"], 2)
+    want = pdf.sort_values(["pt", "id"], ascending=[False, True]).groupby("event").head(2)
+    assert sorted(r["id"] for r in top.collect()) == sorted(want.id)
+    got = {r["event"]: (r["n"], r["p"]) for r in df.groupBy("event").agg(
+        F.count_if(F.col("pt") > 30).alias("n"), F.product("f").alias("p")).collect()}
+    for event, rows in pdf.groupby("event"):
+        assert got[event][0] == (rows.pt > 30).sum() and got[event][1] == pytest.approx(rows.f.prod())
