@@ -86,17 +86,24 @@ def top_pt_weight(top: Column, antitop: Column) -> Column:
     return F.when(top * antitop > 0, F.sqrt(F.abs(f(top) * f(antitop)))).otherwise(F.lit(1.0))
 
 
-def dy_ptll_weight(gen_pt: Column, n_gen_jets: Column) -> Column:
+# Fixed values per generator order: norm, erf amplitude, erf centre, erf width, slope, plateau; and
+# the momentum where the turn-on ends
+DY_PTLL = {
+    "NLO": (1.062955818914, -0.0775395733886, 14.4141170861, 7.10247643949, -0.00091236718546, 0.853848155607),
+    "LO": (1.063362210877, -0.0553940992672, 11.2183081709, 3.87755429192, 0.000493004133573, 0.908504652392),
+}
+DY_PTLL_END = 40.0
+
+
+def dy_ptll_weight(gen_pt: Column, n_gen_jets: Column, order: str = "NLO") -> Column:
     """Dilepton-momentum correction for events without generator jets."""
-    # Norm, erf amplitude, erf centre, erf width, slope, plateau, end of the turn-on
-    norm, amp, mid, width, slope, flat, end = (
-        1.062955818914, -0.0775395733886, 14.4141170861, 7.10247643949, -0.00091236718546, 0.853848155607, 40.0)
+    norm, amp, mid, width, slope, flat = DY_PTLL[order]
 
     def curve(x):
         return amp * erf((x - mid) / width) + slope * x
 
-    rising = curve(gen_pt) - curve(F.lit(end)) + flat
-    value = norm * F.when(gen_pt < end, rising).otherwise(F.lit(flat))
+    rising = curve(gen_pt) - curve(F.lit(DY_PTLL_END)) + flat
+    value = norm * F.when(gen_pt < DY_PTLL_END, rising).otherwise(F.lit(flat))
     return F.when(n_gen_jets == 0, value).otherwise(F.lit(1.0))
 
 

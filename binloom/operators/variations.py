@@ -159,12 +159,19 @@ def rate_parameters(yields: DataFrame, params: dict[str, tuple[dict[str, float],
                       (F.col("yield") * F.col("r.initial")).alias("scaled"))
 
 
-def stat_bin_by_bin(hist: DataFrame, samples: list[str], size: int) -> DataFrame:
-    """Per real bin one nuisance moving that bin by its statistical error."""
-    name = F.concat_ws("_", F.col("sample"), F.lit("ibin"), F.col("bin").cast("string"), F.lit("stat"))
+def stat_bin_by_bin(hist: DataFrame, samples: list[str], size: int,
+                    correlate: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per real bin one nuisance moving that bin by its statistical error.
+
+    ``correlate`` names, per source sample, others whose same bin moves with the source's nuisance.
+    """
+    owners = F.array(*[
+        F.when((F.col("sample") == s) | F.col("sample").isin(*(correlate or {}).get(s, [])), F.lit(s)) for s in samples])
+    rows = hist.filter(_is("nominal") & F.col("bin").between(1, size)).withColumn(
+        "owner", F.explode(owners)).filter("owner IS NOT NULL")
+    name = F.concat_ws("_", F.col("owner"), F.lit("ibin"), F.col("bin").cast("string"), F.lit("stat"))
     err = F.sqrt("sumw2")
-    return hist.filter(_is("nominal") & F.col("sample").isin(*samples) & F.col("bin").between(1, size)).select(
-        *BIN, name.alias("nuisance"), (F.col("sumw") + err).alias("up"), (F.col("sumw") - err).alias("down"))
+    return rows.select(*BIN, name.alias("nuisance"), (F.col("sumw") + err).alias("up"), (F.col("sumw") - err).alias("down"))
 
 
 def stat_unified(hist: DataFrame, samples: list[str]) -> DataFrame:

@@ -194,6 +194,15 @@ def stat_bbb(spark, sf_dir):
     return out.withColumns({c: r(c, 8) for c in ("up", "down")})
 
 
+@query("q_stat_bbb_correlated", with_ctes(f"""
+SELECT {B}, o || '_ibin_' || bin || '_stat' AS nuisance, {rs('sumw + sqrt(sumw2)', 8)} AS up, {rs('sumw - sqrt(sumw2)', 8)} AS down
+FROM h JOIN (VALUES ('SIG','SIG'), ('BKG','BKG'), ('BKG','SIG')) c(s, o) ON h.sample = c.s WHERE bin BETWEEN 1 AND 20""", "ev", "obj", **LEAD))
+def stat_bbb_correlated(spark, sf_dir):
+    """The background's bins also move with the signal's nuisances."""
+    out = V.stat_bin_by_bin(hists(spark, sf_dir), ["SIG", "BKG"], 20, {"SIG": ["BKG"]})
+    return out.withColumns({c: r(c, 8) for c in ("up", "down")})
+
+
 @query("q_stat_uni", with_ctes(f"""
 SELECT {B}, sample || '_statUp' AS variation, {rs('sumw + sqrt(sumw2)', 8)} AS sumw, sumw2 FROM h WHERE sample = 'SIG'
 UNION ALL SELECT {B}, sample || '_statDown', {rs('sumw - sqrt(sumw2)', 8)}, sumw2 FROM h WHERE sample = 'SIG'""", "ev", "obj", **LEAD))

@@ -259,14 +259,28 @@ def top_pt(spark, sf_dir):
     return rec.select("event", r(W.top_pt_weight(a, b), 8).alias("w"))
 
 
+def _erf_sql(x):
+    """The same rational approximation, as one nested expression."""
+    t = f"(1/(1+0.3275911e0*abs({x})))"
+    return (f"(sign({x})*(1 - ((((1.061405429e0*{t} - 1.453152027e0)*{t} + 1.421413741e0)*{t} - 0.284496736e0)*{t} "
+            f"+ 0.254829592e0)*{t}*exp(-({x})*({x}))))")
+
+
+def _dy_sql(order):
+    norm, amp, mid, width, slope, flat = (f"({v}e0)" for v in W.DY_PTLL[order])
+
+    def curve(x):
+        return f"({amp}*{_erf_sql(f'(({x} - {mid})/{width})')} + {slope}*{x})"
+    return (f"CASE WHEN nj = 0 THEN {norm} * (CASE WHEN pt < 40 THEN {curve('pt')} - {curve('40e0')} + {flat} ELSE {flat} END) ELSE 1 END")
+
+
 @query("q_dy_ptll", with_ctes(f"""
-SELECT event, {rs("CASE WHEN nj = 0 THEN 1.062955818914e0 * (CASE WHEN pt < 40 THEN -0.0775395733886e0*e1 - 0.00091236718546e0*pt - (-0.0775395733886e0*e2 - 0.00091236718546e0*40) + 0.853848155607e0 ELSE 0.853848155607e0 END) ELSE 1 END", 8)} AS w
-FROM (SELECT *, """ + " , ".join(f"sign({x})*(1 - ((((1.061405429e0*t{i} - 1.453152027e0)*t{i} + 1.421413741e0)*t{i} - 0.284496736e0)*t{i} + 0.254829592e0)*t{i}*exp(-({x})*({x}))) AS e{i}"
-    for i, x in ((1, "z1"), (2, "z2"))) + """ FROM (SELECT *, 1/(1+0.3275911e0*abs(z1)) AS t1, 1/(1+0.3275911e0*abs(z2)) AS t2 FROM (
-  SELECT event, l1_pt AS pt, njet AS nj, (l1_pt - 14.4141170861e0)/7.10247643949e0 AS z1, (40 - 14.4141170861e0)/7.10247643949e0 AS z2 FROM rec WHERE nlep >= 1)))""", "rec"))
+SELECT event, {rs(_dy_sql('NLO'), 8)} AS nlo, {rs(_dy_sql('LO'), 8)} AS lo
+FROM (SELECT event, l1_pt AS pt, njet AS nj FROM rec WHERE nlep >= 1)""", "rec"))
 def dy_ptll(spark, sf_dir):
     rec = T.records(spark, sf_dir, fields=["pt"], want={"lep": 1, "jet": 1}).filter(F.size("lep") >= 1)
-    return rec.select("event", r(W.dy_ptll_weight(E.at(F.col("lep"), 0)["pt"], F.size("jet")), 8).alias("w"))
+    flat = rec.select("event", E.at(F.col("lep"), 0)["pt"].alias("pt"), F.size("jet").alias("nj"))
+    return flat.select("event", *[r(W.dy_ptll_weight(F.col("pt"), F.col("nj"), o), 8).alias(o.lower()) for o in ("NLO", "LO")])
 
 
 CURVES = {0: Curve((0.0, 20.0, 60.0, 125.0), (1.1, 1.0, 0.9, 0.75)), 1: Curve((0.0, 50.0, 625.0), (1.2, 1.0, 0.6)),

@@ -11,9 +11,15 @@ SF_COLUMNS = ["eta_lo", "eta_hi", "pt_lo", "pt_hi", "eff_data", "stat_data", "sy
               "eff_mc", "stat_mc", "syst_mc", "alt1", "alt2", "alt3", "alt4"]
 
 
-def dataset(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """All Parquet files of one dataset below a directory."""
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}*.parquet")
+def dataset(spark: SparkSession, directory: str, name: str, max_files: int | None = None) -> DataFrame:
+    """All Parquet files of one dataset below a directory, or its first ``max_files`` by path."""
+    pattern = f"{directory.rstrip('/')}/{name}*.parquet"
+    if max_files is None:
+        return spark.read.parquet(pattern)
+    listed = spark.read.format("binaryFile").load(pattern).select("path").orderBy("path").limit(max_files).collect()
+    if not listed:
+        raise ValueError(f"no files match {pattern}")
+    return spark.read.parquet(*[r["path"] for r in listed])
 
 
 def process_union(parts: dict[tuple[str, str], DataFrame]) -> DataFrame:

@@ -82,3 +82,15 @@ def test_union_fills_missing_columns(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_dataset_with_a_file_cap(spark, events, tmp_path):
+    for i in range(3):
+        events.filter(F.col("id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / f"dy_{i}.parquet"))
+    files = [f for i in range(3) for f in (tmp_path / f"dy_{i}.parquet").glob("part-*.parquet")]
+    for i, f in enumerate(files):
+        f.rename(tmp_path / f"top_{i}.parquet")
+    assert tables.dataset(spark, str(tmp_path), "top").count() == 40
+    assert tables.dataset(spark, str(tmp_path), "top", max_files=2).count() == 27
+    with pytest.raises(Exception):
+        tables.dataset(spark, str(tmp_path), "none", max_files=2)
