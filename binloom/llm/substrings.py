@@ -6,8 +6,9 @@ fingerprint of what it stands for and of the round, so all executors give the sa
 asking each other, and equal substrings have the same symbols inside, away from their borders.  For each symbol the
 words that decide about it are tracked; if they all lie in a window, every copy of the window has that symbol.
 
-A window of words is filed under its *anchor*: the highest symbol decided inside it, the leftmost of equals.  Copies of a
-window share the anchor, so one exchange on anchor names brings them together.  There, names seen once end the search for
+A window of words is filed under its *anchor*: of the highest round that has symbols decided inside it, the symbol whose
+name hashes lowest, the leftmost of equals.  Copies of a window share the anchor, and so do neighbouring windows, mostly; one
+exchange on anchor names brings them together.  There, names seen once end the search for
 their windows, and shared ones are verified by the windows' word fingerprints.  A task tells each window it has seen once
 or more times as one entry, so a passage in a third of all rows costs each task one entry, not each row.
 """
@@ -22,7 +23,7 @@ from binloom.llm import tables
 from binloom.llm.words import SPACE, column, mix, numbers, pair, slices, windows, words
 
 WINDOW = 35
-ROUNDS = 4
+ROUNDS = 3
 _RUN = np.dtype([("name", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<u4"), ("size", "<u4")])
 _SEEN = np.dtype([("name", "<u8"), ("mark", "<u8")])
 _MESSAGE = "bucket int, runs binary, marks binary, seen binary, k1 long, k2 long, at int, size int"
@@ -82,16 +83,31 @@ def parse(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[L
     return levels
 
 
+def _least(value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each range a .. b of values, the place of the smallest, the leftmost of equals; ranges must not be empty."""
+    steps, places = np.floor(np.log2(b - a)).astype(np.int64), [np.arange(len(value))]
+    for k in range(int(steps.max(initial=0))):
+        left, right = places[-1][:-(1 << k)], places[-1][1 << k:]
+        places.append(np.where(value[left] <= value[right], left, right))
+    out = np.empty(len(a), np.int64)
+    for k, row in enumerate(places):
+        at = np.flatnonzero(steps == k)
+        left, right = row[a[at]], row[b[at] - (1 << k)]
+        out[at] = np.where(value[left] <= value[right], left, right)
+    return out
+
+
 def anchors(levels: list[Level], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For windows beginning at ``starts``: the anchor's name and its first word."""
     name, place = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int64)
     todo = np.arange(len(starts))
     for level in reversed(levels):
-        at = np.searchsorted(level.lo, starts[todo], "left")
-        at[at == len(level.lo)] = len(level.lo) - 1
-        ok = (level.lo[at] >= starts[todo]) & (level.hi[at] <= starts[todo] + window)
-        name[todo[ok]], place[todo[ok]] = level.name[at[ok]], level.start[at[ok]]
-        todo = todo[~ok]
+        a = np.searchsorted(level.lo, starts[todo], "left")
+        b = np.searchsorted(level.hi, starts[todo] + window, "right")
+        some = a < b
+        at = _least(mix(level.name + np.uint64(9)), a[some], b[some])
+        name[todo[some]], place[todo[some]] = level.name[at], level.start[at]
+        todo = todo[~some]
     return name, place
 
 
