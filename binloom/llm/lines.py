@@ -207,13 +207,17 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return hit.select("id", "k1", "number").distinct().groupBy("id", "k1").agg(F.array_sort(F.collect_list("number")).alias("removed"))
 
 
-def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with ``__removed``, the numbers of the lines that go (see :func:`removed_lines`)."""
+def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+               keep: list[Column] | None = None) -> DataFrame:
+    """The documents, or the columns ``keep`` of them, with ``__removed``, the numbers of the lines that go (see
+    :func:`removed_lines`)."""
+    keep = [F.col(f"`{c}`") for c in docs.columns] if keep is None else keep
     gone = removed_lines(docs, doc_id=doc_id, text=text, min_words=min_words)
     gone = gone.select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("removed").alias("__gone"))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (tables.text_key(f"`{text}`")[0] == F.col("__k1"))
-    return docs.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns],
-                                                F.coalesce("__gone", F.array().cast("array<int>")).alias("__removed"))
+    own = docs.select(*keep, F.col(f"`{doc_id}`").cast("long").alias("__doc"), tables.text_key(f"`{text}`")[0].alias("__key"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k1"))
+    removed = F.coalesce("__gone", F.array().cast("array<int>")).alias("__removed")
+    return own.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in own.columns[:-2]], removed)
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -230,7 +234,6 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    out = mark_lines(docs).select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
-                                  F.size("__removed").cast("long").alias("n_removed"), F.array_join("__removed", ",").alias("removed"))
-    return out
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    out = mark_lines(docs, keep=[F.col("doc_id"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines")])
+    return out.select("doc_id", "n_lines", F.size("__removed").cast("long").alias("n_removed"), F.array_join("__removed", ",").alias("removed"))

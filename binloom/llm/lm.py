@@ -67,7 +67,7 @@ def _histories(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
     """``token, n``: exact counts of all tokens; the end is the empty string."""
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             w = words(column(batch, "text"), lower=True, chars=SPACE)
             _, index, count = np.unique(w.hash, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([*w.strings(index), b""], pa.binary()).cast(pa.string()),

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20     # texts worked on at a time
+SLICE_BYTES = 2 << 20     # texts worked on at a time
 PIECE_BYTES = 1 << 18     # bytes hashed at a time
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
