@@ -6,10 +6,11 @@ Banding wants many tables, each keyed by several minhashes.  Here two small coll
 a document can meet another in table (i, j) only if its i-th first and j-th second key are each shared, so only shared keys
 are paired.
 
-Candidates come from the tables in sorted order, each entry with the one before it and with the first of its key in the
-partition, so a table with very many entries is cut anywhere and gives a linear number of pairs.  Candidates are verified
-on full shingle sets; rounds verify each document's most promising open candidate, join what is linked, and drop pairs
-whose ends are already joined, until no candidate is open.
+Candidates come from the tables in sorted order, each entry with the one before it, so a key with very many entries is cut
+anywhere and gives a linear number of pairs.  They are verified on full shingle sets, each document's most promising ones
+first; pairs whose ends are joined by then need no look.  A second pass sorts each table in its own order and pairs
+neighbours from different components only: what is in a large group already gives no more pairs, and a document that has
+not found its group meets other members in each of the dozens of tables that it shares with a linked one.
 """
 
 from __future__ import annotations
@@ -94,51 +95,52 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long, slot int")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """``a, b``: pairs that stand together in a table."""
+def _shared_keys(reps: DataFrame) -> DataFrame:
+    """``id, own``: the keys (``slot, key``) of each document that others have, too, if it has some of both collections."""
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mine = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("slot", "key")).alias("own"))
+    return mine.where(F.exists("own", lambda k: k["slot"] < SIDE) & F.exists("own", lambda k: k["slot"] >= SIDE))
 
+
+def _candidates(mine: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: pairs of neighbours in a table that are not joined yet."""
     def pairs(batches):
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             own = column(batch, "own")
-            many = np.diff(own.offsets.to_numpy())
+            cuts = own.offsets.to_numpy() - own.offsets[0].as_py()
             flat = own.flatten()
             slot, key = numbers(flat.field(0)), numbers(flat.field(1)).view(np.uint64)
-            ids, at = numbers(column(batch, "id")), np.concatenate([[0], np.cumsum(many)])
-            out = []
-            for d in range(batch.num_rows):
-                s, k = slot[at[d]:at[d + 1]], key[at[d]:at[d + 1]]
+            tables_, near = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                s, k = slot[a:b], key[a:b]
                 table = mix(k[s < SIDE][:, None] * np.uint64(3) + k[s >= SIDE][None, :]).reshape(-1)
-                # entries of a table are ordered by the document's other keys, so that alike ones stand side by side
-                out.append((table, np.full(len(table), ids[d]), np.full(len(table), k.min() if len(k) else 0)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                     pa.array(np.concatenate([o[2] for o in out]).astype(np.uint64).view(np.int64)),
-                     pa.array(np.concatenate([o[1] for o in out]))], names=["key", "near", "id"])
-
-    entries = mine.mapInArrow(pairs, "key long, near long, id long")
-    ordered = entries.repartitionByRange(tables.parts(reps.sparkSession), "key", "near", "id").sortWithinPartitions("key", "near", "id")
+                tables_.append(table)
+                # first one order for all tables, by which alike documents stand together, then one for each
+                near.append(np.full(len(table), k.min()) if turn == 0 else mix(table * np.uint64(turn) + k.sum()))
+            many = np.array([len(t) for t in tables_])
+            ids, comps = (np.repeat(numbers(column(batch, c)), many) for c in ("id", "component"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tables_).view(np.int64)), pa.array(np.concatenate(near).view(np.int64)),
+                                              pa.array(ids), pa.array(comps)], names=["key", "near", "id", "component"])
+
+    held = mine.join(joined, "id", "left").select("id", "own", F.coalesce("component", "id").alias("component"))
+    entries = held.mapInArrow(pairs, "key long, near long, id long, component long")
+    order = ["key", "near", "id"]
+    ordered = entries.repartitionByRange(tables.parts(mine.sparkSession), *order).sortWithinPartitions(*order)
 
     def beside(batches):
-        last = head = (None, None)
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids = numbers(column(batch, "key")), numbers(column(batch, "id"))
-            before_k = np.concatenate([[last[0] if last[0] is not None else key[0]], key[:-1]])
-            before = np.concatenate([[last[1] if last[1] is not None else ids[0]], ids[:-1]])
-            new = key != before_k
-            new[0] |= last[0] is None
-            first_at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            heads = np.where(first_at >= 0, ids[first_at], head[1] if head[1] is not None else ids[0])
-            ok = ~new
-            a, b = np.concatenate([before[ok], heads[ok]]), np.concatenate([ids[ok], ids[ok]])
+            got = [numbers(column(batch, c)) for c in ("key", "id", "component")]
+            if last is not None:
+                got = [np.append(x, y) for x, y in zip(last, got)]
+            key, ids, comp = got
+            ok = (key[1:] == key[:-1]) & (comp[1:] != comp[:-1])
+            a, b = ids[:-1][ok], ids[1:][ok]
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            pair = pair[:, pair[0] < pair[1]]
-            last, head = (key[-1], ids[-1]), (key[-1], heads[-1])
+            last = [x[-1] for x in got]
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     return ordered.mapInArrow(beside, "a long, b long").distinct()
@@ -213,36 +215,35 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = signed.groupBy("id").agg(F.min_by(F.struct("f1", "f2", "n", "sig"), F.struct("f1", "f2")).alias("s")).select("id", "s.*")
     same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = stage(same, "sets")
-    open_ = stage(_likely(_candidates(reps), reps, threshold), "candidates")
-    links = _rounds(own, open_, shingle, threshold)
-    found = components(links)
+    found = _joined(own, reps, shingle, threshold)
     named = reps.select("f1", "f2", F.col("id").alias("rep")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     full = signed.where("n > 0").join(named, ["f1", "f2"]).select("id", F.col("n").alias("n_shingles"), "component")
     return full.union(signed.where("n = 0").select("id", "n", "id"))
 
 
-def _rounds(own: DataFrame, open_: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Verified links that join all that the candidates can join."""
+def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """``id, component`` of the sets that are linked with others."""
     spark = own.sparkSession
-    ends = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(_sets(own, ends, shingle), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    take = 1
-    while True:
-        best = Window.partitionBy("id").orderBy(F.desc("same"), "a", "b")
-        turn = open_.select("*", F.explode(F.array("a", "b")).alias("id")).withColumn("r", F.row_number().over(best))
-        turn = turn.where(F.col("r") <= take).select("a", "b").distinct()
-        turn = stage(turn, "turn")
-        if turn.isEmpty():
-            return links
-        links = stage(links.union(_verified(turn, sets, threshold)), "links")
-        joined = components(links)
-        a = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        left = open_.join(turn, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        open_ = stage(left.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b", "same"), "candidates")
-        take *= 4
+    mine = stage(_shared_keys(reps), "keys")
+    sets = stage(_sets(own, mine.select("id"), shingle), "sets")
+    links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+    for turn, takes in enumerate(((1, None), (2, None))):
+        open_ = stage(_likely(_candidates(mine, joined, turn), reps, threshold), "candidates")
+        for take in takes:
+            some = open_
+            if take:
+                best = Window.partitionBy("id").orderBy(F.desc("same"), "a", "b")
+                some = open_.select("*", F.explode(F.array("a", "b")).alias("id")).withColumn("r", F.row_number().over(best))
+                some = stage(some.where(F.col("r") <= take).select("a", "b").distinct(), "some")
+            links = stage(links.union(_verified(some, sets, threshold)), "links")
+            joined = stage(components(links), "components")
+            if take:
+                a = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+                b = joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+                left = open_.join(some, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+                open_ = stage(left.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b", "same"), "candidates")
+    return joined
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
