@@ -11,7 +11,7 @@ from binloom.session import fresh_path
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once to the folder all executors share and read it back: lineage ends here."""
     path = fresh_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
