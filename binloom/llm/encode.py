@@ -6,18 +6,22 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from binloom.llm.words import Words, words
+from binloom.llm.words import _LOWER, SPACE, Words, _buffer, hash_spans
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
+# kinds of bytes: white space 0, letters and digits of ASCII 2, marks that no special token holds 3, all others 1
+_KIND = np.where(SPACE, 1, 0).astype(np.uint8)
+_KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 2
+_KIND[[*b'.,;:!?&%$*#"']] = 3
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
     """Encodes batches of texts.
 
-    ``by_word`` says that the tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words, one after the other; then each distinct word is encoded once and kept, up to ``CACHED_WORDS``.  Otherwise
-    whole texts are encoded.
+    ``by_word`` says that the tokenizer lower-cases, drops white space, and never joins across it or across a change between
+    ASCII letters or digits and marks.  A text's ids are then those of such parts, one after the other; each distinct part is
+    encoded once and kept, up to ``CACHED_WORDS``.  Otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -50,7 +54,7 @@ class Encoder:
         if not self.by_word:
             flat, size = self._encode([t or "" for t in texts.to_pylist()])
             return flat, np.concatenate([[0], np.cumsum(size)])
-        w = words(texts)
+        w = _parts(texts)
         where = self._places(w)
         size = self.size[where]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -77,5 +81,20 @@ class Encoder:
         return at[inverse.reshape(-1)]
 
 
+def _parts(texts) -> Words:
+    data, bounds = _buffer(texts)
+    if b"<|" not in data.tobytes():      # else capitals could make a special token
+        data = _LOWER[data]
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    change = (kind[1:] * kind[:-1] == 6) | (kind[1:] == 0) | (kind[:-1] == 0) | edge[1:-1]
+    opens, closes = kind > 0, kind > 0
+    opens[1:] &= change
+    closes[:-1] &= change
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return Words(data, bounds, start, end, hash_spans(data, start, end), np.searchsorted(start, bounds).astype(np.int64))
+
+
 def lengths(texts: pa.Array, path: str, by_word: bool = True) -> np.ndarray:
     return np.diff(Encoder.get(path, by_word).encode(texts)[1])
