@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from binloom.llm import tables
 from binloom.llm.components import components
@@ -228,14 +228,12 @@ def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> Da
     mine = stage(_shared_keys(reps), "keys")
     sets = stage(_sets(own, mine.select("id"), shingle), "sets")
     links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    for turn, takes in enumerate(((1, None), (2, None))):
+    for turn, takes in enumerate(((True, False), (True, False))):
         open_ = stage(_likely(_candidates(mine, joined, turn), reps, threshold), "candidates")
         for take in takes:
             some = open_
             if take:
-                best = Window.partitionBy("id").orderBy(F.desc("same"), "a", "b")
-                some = open_.select("*", F.explode(F.array("a", "b")).alias("id")).withColumn("r", F.row_number().over(best))
-                some = stage(some.where(F.col("r") <= take).select("a", "b").distinct(), "some")
+                some = stage(_best(open_, "a", "b").union(_best(open_, "b", "a")).distinct(), "some")
             links = stage(links.union(_verified(some, sets, threshold)), "links")
             joined = stage(components(links), "components")
             if take:
@@ -246,6 +244,11 @@ def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> Da
     return joined
 
 
+def _best(pairs: DataFrame, end: str, other: str) -> DataFrame:
+    """Each document's most promising pair that has it at this end."""
+    return pairs.groupBy(end).agg(F.max_by(other, F.struct("same", F.negative(other))).alias(other)).select("a", "b")
+
+
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                threshold: int = THRESHOLD) -> DataFrame:
     """The documents whose id names their component, with their columns unchanged; rows with a null id stay.
