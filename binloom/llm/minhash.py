@@ -8,9 +8,10 @@ are paired.
 
 Candidates come from the tables in sorted order, each entry with the one before it, so a key with very many entries is cut
 anywhere and gives a linear number of pairs.  They are verified on full shingle sets, each document's most promising ones
-first; pairs whose ends are joined by then need no look.  A second pass sorts each table in its own order and pairs
-neighbours from different components only: what is in a large group already gives no more pairs, and a document that has
-not found its group meets other members in each of the dozens of tables that it shares with a linked one.
+first; pairs whose ends are joined by then need no look.  A first pass uses one table of each document, a second all of them
+in one order, a third all of them, each in its own order; neighbours are paired only if they are not in one component yet.
+So what is in a large group gives few pairs, and a document that has not found its group meets other members in each of the
+dozens of tables that it shares with a linked one.
 """
 
 from __future__ import annotations
@@ -114,10 +115,13 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
             tables_, near = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 s, k = slot[a:b], key[a:b]
-                table = mix(k[s < SIDE][:, None] * np.uint64(3) + k[s >= SIDE][None, :]).reshape(-1)
+                left, right = k[s < SIDE], k[s >= SIDE]
+                if turn == 0:       # the table of the two lowest keys joins most of a large group
+                    left, right = left.min(keepdims=True), right.min(keepdims=True)
+                table = mix(left[:, None] * np.uint64(3) + right[None, :]).reshape(-1)
                 tables_.append(table)
-                # first one order for all tables, by which alike documents stand together, then one for each
-                near.append(np.full(len(table), k.min()) if turn == 0 else mix(table * np.uint64(turn) + k.sum()))
+                # one order for all tables, by which alike documents stand together, and at last one for each
+                near.append(np.full(len(table), k.min()) if turn < 2 else mix(table * np.uint64(turn) + k.sum()))
             many = np.array([len(t) for t in tables_])
             ids, comps = (np.repeat(numbers(column(batch, c)), many) for c in ("id", "component"))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tables_).view(np.int64)), pa.array(np.concatenate(near).view(np.int64)),
@@ -228,7 +232,7 @@ def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> Da
     mine = stage(_shared_keys(reps), "keys")
     sets = stage(_sets(own, mine.select("id"), shingle), "sets")
     links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    for turn, takes in enumerate(((True, False), (True, False))):
+    for turn, takes in enumerate(((False,), (True, False), (False,))):
         open_ = stage(_likely(_candidates(mine, joined, turn), reps, threshold), "candidates")
         for take in takes:
             some = open_
