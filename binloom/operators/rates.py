@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELL = ["bin", "biny"]
+TABLE = ["variable", "variation"]     # rows that differ in these are never added up
 
 
 def _pick(test: Column, value: str = "sumw") -> Column:
@@ -20,7 +21,7 @@ def rate_and_error(tight: Column, loose: Column) -> tuple[Column, Column]:
 
 def fake_rate(hist: DataFrame, loose_cut: str, tight_cut: str, data: str,
               subtract: list[str] | None = None, scales: dict[str, float] | None = None) -> DataFrame:
-    """Rate per map cell, with prompt processes subtracted, and subtraction templates.
+    """Rate per map cell of each variable and variation, with prompt processes subtracted, and subtraction templates.
 
     One conditional aggregation over the histogram table gives all scales.  ``scales`` maps a
     template name to the factor on the subtracted processes; a template whose denominator is not
@@ -32,7 +33,7 @@ def fake_rate(hist: DataFrame, loose_cut: str, tight_cut: str, data: str,
     for side, cut in (("t", tight_cut), ("l", loose_cut)):
         here = F.col("cut") == cut
         sums += [_pick(here & is_data).alias(f"{side}_data"), _pick(here & is_sub).alias(f"{side}_sub")]
-    cells = hist.filter(F.col("cut").isin(loose_cut, tight_cut)).groupBy(*CELL).agg(*sums)
+    cells = hist.filter(F.col("cut").isin(loose_cut, tight_cut)).groupBy(*TABLE, *CELL).agg(*sums)
 
     def sides(scale):
         return (F.col("t_data") - scale * F.col("t_sub"), F.col("l_data") - scale * F.col("l_sub"))
@@ -48,8 +49,8 @@ def fake_rate(hist: DataFrame, loose_cut: str, tight_cut: str, data: str,
 
 
 def own_rate(hist: DataFrame, loose_cut: str, tight_cut: str, by: list[str]) -> DataFrame:
-    """tight / loose per cell for every process on its own, in one aggregation."""
-    cells = hist.groupBy(*by, *CELL).agg(_pick(F.col("cut") == tight_cut).alias("tight"),
+    """tight / loose per variable, variation and cell for every process on its own, in one aggregation."""
+    cells = hist.groupBy(*by, *TABLE, *CELL).agg(_pick(F.col("cut") == tight_cut).alias("tight"),
                                          _pick(F.col("cut") == loose_cut).alias("loose"))
     rate, error = rate_and_error(F.col("tight"), F.col("loose"))
     return cells.withColumns({"rate": rate, "error": error})
@@ -63,22 +64,24 @@ def efficiency_map(objects: DataFrame, cell: dict[str, Column], passed: Column,
     ).withColumn("eff", F.coalesce(F.try_divide("num", "den"), F.lit(0.0)))
 
 
-def sf_norm_ratio(objects: DataFrame, event_cols: list[str], weight: str, sf: Column, flavour: str,
+def sf_norm_ratio(events: DataFrame, objects: DataFrame, key: str, weight: str, sf: Column, flavour: str,
                   flavours: dict[str, int]) -> DataFrame:
-    """sum(w) / sum(w * product of scale factors), overall and per flavour present in the event.
+    """sum(w) / sum(w * product of scale factors), overall for all events and per flavour for those that have it.
 
-    Objects are reduced to one row per event with combinable products before the final sums.
+    Objects are reduced to one row per event with combinable products before the join, so a hot event is one row by then;
+    objects with factor 0 are left out, and an event without objects has the factor 1.
     """
     f = objects.withColumn("__sf", sf).filter("__sf != 0")
     prods = [F.product(F.when(F.col(flavour) == code, F.col("__sf")).otherwise(F.lit(1.0))).alias(f"__p_{n}")
              for n, code in flavours.items()]
     seen = [F.max(F.col(flavour) == code).alias(f"__has_{n}") for n, code in flavours.items()]
-    per_event = f.groupBy(*event_cols).agg(F.product("__sf").alias("__p_all"), *prods, *seen)
+    per_event = f.groupBy(key).agg(F.product("__sf").alias("__p_all"), *prods, *seen)
     w = F.col(weight)
-    rows = [F.struct(F.lit("all").alias("flavour"), w.alias("before"), (w * F.col("__p_all")).alias("after"))]
+    rows = [F.struct(F.lit("all").alias("flavour"), w.alias("before"), (w * F.coalesce("__p_all", F.lit(1.0))).alias("after"))]
     rows += [F.when(F.col(f"__has_{n}"), F.struct(F.lit(n).alias("flavour"), w.alias("before"),
                                                    (w * F.col(f"__p_{n}")).alias("after"))) for n in flavours]
-    long = per_event.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
+    long = events.select(key, weight).join(per_event, key, "left").select(
+        F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
     return long.groupBy(F.col("r.flavour").alias("flavour")).agg(
         F.sum("r.before").alias("before"), F.sum("r.after").alias("after")
     ).withColumn("ratio", F.try_divide("before", "after"))
@@ -101,7 +104,7 @@ def combine_norm(runs: DataFrame, process: str, dataset: str, weight: str, base:
 
 
 def roc_points(hist: DataFrame, presel: str, cuts: list[str], signal: list[str], background: list[str]) -> DataFrame:
-    """Per selection the efficiencies relative to the preselection, from one global aggregate."""
+    """Per selection the efficiencies relative to the preselection, for each variable and variation."""
     sums = []
     for i, cut in enumerate([presel, *cuts]):
         for kind, names in (("s", signal), ("b", background)):
@@ -109,7 +112,7 @@ def roc_points(hist: DataFrame, presel: str, cuts: list[str], signal: list[str],
     points = [F.struct(F.lit(cut).alias("cut"), F.try_divide(f"s{i}", "s0").alias("sig_eff"),
                        (1.0 - F.try_divide(f"b{i}", "b0")).alias("bkg_rejection"))
               for i, cut in enumerate(cuts, start=1)]
-    return hist.agg(*sums).select(F.inline(F.array(*points)))
+    return hist.groupBy(*TABLE).agg(*sums).select(*TABLE, F.inline(F.array(*points)))
 
 
 def norm_factors(yields: DataFrame) -> DataFrame:

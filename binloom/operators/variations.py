@@ -259,6 +259,17 @@ def compare(hist: DataFrame, nuisance: str, impossible: Column | None = None) ->
     return wide.withColumns({"ratio_up": F.try_divide("up", "nominal"), "ratio_down": F.try_divide("down", "nominal")})
 
 
+def norm_preserving_yields(df: DataFrame, value: str, weight: str, norms: DataFrame, keys: list[str]) -> DataFrame:
+    """Yields ``nominal``, ``up`` and ``down`` per key of the factors in ``norm_preserving``.
+
+    The factors are linear in ``value``, so the events are summed first and only the sums meet the few rows of ``norms``.
+    """
+    w, v = F.col(weight), F.col(value)
+    sums = df.groupBy(*keys).agg(F.sum(w).alias("nominal"), F.sum(w * v).alias("__up"), F.sum(w * (2.0 - v)).alias("__down"))
+    out = sums.join(norms, keys, "left")
+    return out.select(*keys, "nominal", (F.col("__up") * F.col("norm_up")).alias("up"), (F.col("__down") * F.col("norm_down")).alias("down"))
+
+
 def norm_preserving(df: DataFrame, value: str, norms: DataFrame, keys: list[str]) -> DataFrame:
     """Weight factors up = v * norm_up and down = (2 - v) * norm_down.
 

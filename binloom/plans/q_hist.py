@@ -113,7 +113,7 @@ def _rate_cols(t, low):
             f"{rs(f'CASE WHEN {low} > 0 AND {t} > 0 THEN {t}/{low}*sqrt(1/{t}+1/{low}) ELSE 0 END', 8)} AS error")
 
 
-@query("q_fake_rate", with_ctes(f"SELECT bin, biny, {_rate_cols('td', 'ld')} FROM d", "ev", "obj", **RATE_SQL))
+@query("q_fake_rate", with_ctes(f"SELECT 'pt_eta' AS variable, 'nominal' AS variation, bin, biny, {_rate_cols('td', 'ld')} FROM d", "ev", "obj", **RATE_SQL))
 def fake_rate(spark, sf_dir):
     out = rates.fake_rate(rate_hists(spark, sf_dir), "loose", "tight", "DATA")
     return out.withColumns({c: r(c, 8) for c in ("rate", "error")})
@@ -125,7 +125,7 @@ def _tmpl(scale):
 
 
 @query("q_fake_rate_ewk", with_ctes(f"""
-SELECT bin, biny, {_rate_cols('(td-tb)', '(ld-lb)')}, {_tmpl(1.1)} AS ewk_up, {_tmpl(0.9)} AS ewk_down FROM d""",
+SELECT 'pt_eta' AS variable, 'nominal' AS variation, bin, biny, {_rate_cols('(td-tb)', '(ld-lb)')}, {_tmpl(1.1)} AS ewk_up, {_tmpl(0.9)} AS ewk_down FROM d""",
     "ev", "obj", **RATE_SQL))
 def fake_rate_ewk(spark, sf_dir):
     out = rates.fake_rate(rate_hists(spark, sf_dir), "loose", "tight", "DATA", ["BKG"],
@@ -133,8 +133,21 @@ def fake_rate_ewk(spark, sf_dir):
     return out.withColumns({c: r(c, 8) for c in ("rate", "error", "ewk_up", "ewk_down")})
 
 
+@query("q_fake_rate_variables", with_ctes(f"""
+SELECT variable, 'nominal' AS variation, bin, CAST(0 AS INTEGER) AS biny, {_rate_cols('coalesce(t, 0)', 'coalesce(l, 0)')} FROM (
+  SELECT * FROM (SELECT variable, bin, sum(weight) FILTER (score > 0.5) AS t, sum(weight) AS l FROM (
+    SELECT 'pt' AS variable, {bin_sql('pt', 20, 20.0, 100.0)} AS bin, weight, score FROM lead WHERE sample = 'DATA' UNION ALL
+    SELECT 'total', {bin_sql('total', 8, 10.0, 50.0)}, weight, score FROM lead WHERE sample = 'DATA') GROUP BY ALL) WHERE coalesce(t, 0) <> 0 OR l <> 0)""",
+    "ev", "obj", lead=LEAD["lead"]))
+def fake_rate_variables(spark, sf_dir):
+    """Rates against two variables from one histogram table; their bins stay apart."""
+    h = fill(leading(spark, sf_dir), CUTS[:2], [Variable("pt", "pt", PT20), Variable("total", "total", AXIS)])
+    out = rates.fake_rate(h, "loose", "tight", "DATA").filter("tight <> 0 OR loose <> 0 OR rate <> 0")
+    return out.withColumns({c: r(c, 8) for c in ("rate", "error")})
+
+
 @query("q_prompt_rate", with_ctes(" UNION ALL ".join(f"""
-SELECT '{s}' AS sample, bin, biny, {_rate_cols('t', 'l')} FROM (
+SELECT '{s}' AS sample, 'pt_eta' AS variable, 'nominal' AS variation, bin, biny, {_rate_cols('t', 'l')} FROM (
   SELECT {edges_sql('pt', RATE_X)} AS bin, {edges_sql('abs(eta)', RATE_Y)} AS biny,
     coalesce(sum(weight) FILTER (score > 0.5), 0) AS t, sum(weight) AS l FROM lead WHERE sample = '{s}' GROUP BY ALL)"""
     for s in ("DATA", "SIG")), "ev", "obj", lead=LEAD["lead"]))
@@ -171,15 +184,16 @@ SELECT flavour, {rs('sum(b)', 4)} AS before, {rs('sum(a)', 4)} AS after, {rs('su
   SELECT 'all' AS flavour, weight AS b, weight*p AS a FROM e UNION ALL SELECT 'b', weight, weight*pb FROM e WHERE hb
   UNION ALL SELECT 'c', weight, weight*pc FROM e WHERE hc UNION ALL SELECT 'light', weight, weight*pl FROM e WHERE hl) GROUP BY ALL""",
     "items", "ev", e="""
-SELECT event, weight, product(sf) AS p, product(CASE flavour WHEN 5 THEN sf ELSE 1 END) AS pb,
+SELECT event, weight, coalesce(p, 1) AS p, pb, pc, pl, coalesce(hb, false) AS hb, coalesce(hc, false) AS hc, coalesce(hl, false) AS hl
+FROM ev LEFT JOIN (SELECT event, product(sf) AS p, product(CASE flavour WHEN 5 THEN sf ELSE 1 END) AS pb,
   product(CASE flavour WHEN 4 THEN sf ELSE 1 END) AS pc, product(CASE flavour WHEN 0 THEN sf ELSE 1 END) AS pl,
   bool_or(flavour=5) AS hb, bool_or(flavour=4) AS hc, bool_or(flavour=0) AS hl
-FROM (SELECT event, weight, flavour, CAST(0.8 AS DOUBLE) + CAST(0.4 AS DOUBLE)*score AS sf FROM items JOIN ev USING (event)
-      WHERE kind='jet' AND score > 0) GROUP BY ALL"""))
+  FROM (SELECT event, flavour, CAST(0.8 AS DOUBLE) + CAST(0.4 AS DOUBLE)*score AS sf FROM items WHERE kind='jet' AND score > 0)
+  GROUP BY event) USING (event)"""))
 def sf_ratio(spark, sf_dir):
     sf = F.when(F.col("score") > 0, 0.8 + 0.4 * F.col("score")).otherwise(F.lit(0.0))
-    out = rates.sf_norm_ratio(weighted_jets(spark, sf_dir), ["event", "weight"], "weight", sf, "flavour",
-                              {"b": 5, "c": 4, "light": 0})
+    jets = T.items(spark, sf_dir).filter("kind = 'jet'")
+    out = rates.sf_norm_ratio(T.ev(spark, sf_dir), jets, "event", "weight", sf, "flavour", {"b": 5, "c": 4, "light": 0})
     return out.select("flavour", r("before", 4).alias("before"), r("after", 4).alias("after"), r("ratio").alias("ratio"))
 
 
@@ -194,7 +208,7 @@ def combine_norm(spark, sf_dir):
 
 
 @query("q_roc_points", with_ctes(f"""
-SELECT a.cut, {rs('a.s/b.s', 8)} AS sig_eff, {rs('1 - a.b/b.b', 8)} AS bkg_rejection FROM t a, t b
+SELECT a.cut, 'pt' AS variable, 'nominal' AS variation, {rs('a.s/b.s', 8)} AS sig_eff, {rs('1 - a.b/b.b', 8)} AS bkg_rejection FROM t a, t b
 WHERE b.cut = 'loose' AND a.cut IN ('tight','os')""", "ev", "obj", **LEAD, t="""
 SELECT cut, sum(sumw) FILTER (sample='SIG') AS s, sum(sumw) FILTER (sample='BKG') AS b FROM h GROUP BY cut"""))
 def roc_points(spark, sf_dir):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binloom.config import Alias, Cut, Nuisance, Uniform, Variable
-from binloom.functions import arrays as A
+
 from binloom.functions.poisson import poisson_interval
 from binloom.operators import histops, rates, variations as V
 from binloom.operators.analysis import Analysis
+from binloom.operators.collect import rank_objects
 from binloom.plans.q_hist import LEAD, hists, leading
 from binloom.plans.registry import bin_sql, query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
@@ -338,21 +339,20 @@ def norm_preserving_syst(spark, sf_dir):
     norms = rates.norm_factors(varied_yields(spark, sf_dir, 1)).select("sample", "cut", "norm_up", "norm_down")
     rows = varied_events(spark, sf_dir).filter("pt > 15 AND abs(weight) > 0 AND pt * 2 > 60").select(
         "sample", "weight", F.expr("CASE WHEN pdgId < 0 THEN 'sr_plus' ELSE 'sr_minus' END").alias("cut"), F.expr(WT[0]).alias("v"))
-    out = V.norm_preserving(rows, "v", norms, ["sample", "cut"])
-    return out.groupBy("sample", "cut").agg(
-        r(F.sum(F.col("weight") * F.col("v_up"))).alias("up"), r(F.sum(F.col("weight") * F.col("v_down"))).alias("down"),
-        F.sum("weight").alias("nominal"))
+    out = V.norm_preserving_yields(rows, "v", "weight", norms, ["sample", "cut"])
+    return out.select("sample", "cut", r("up").alias("up"), r("down").alias("down"), "nominal")
 
 
 @query("q_resort_variation", with_ctes(f"""
 SELECT event, max(CASE WHEN k=1 THEN {rs('v', 8)} END) AS pt1, max(CASE WHEN k=1 THEN eta END) AS eta1, CAST(coalesce(max(CASE WHEN k=1 THEN idx END), -1) AS INTEGER) AS idx1,
   max(CASE WHEN k=2 THEN {rs('v', 8)} END) AS pt2, max(CASE WHEN k=2 THEN eta END) AS eta2, CAST(coalesce(max(CASE WHEN k=2 THEN idx END), -1) AS INTEGER) AS idx2
 FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY v DESC, idx) AS k FROM (
-  SELECT event, eta, idx, pt * (CASE WHEN flavour = 5 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END) AS v FROM jet)) GROUP BY event""", "jet"))
+  SELECT event, eta, idx, pt * (CASE WHEN flavour = 5 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END) AS v FROM obj WHERE kind = 'jet')) GROUP BY event""", "obj"))
 def resort_variation(spark, sf_dir):
-    """Jets re-ordered by their varied pt, with every attribute moving along."""
-    jets = T.collections(spark, sf_dir, {"jet": 4}, ["pt", "eta", "flavour"]).filter(F.size("jet") > 0)
-    varied = F.transform("jet", lambda j: j.withField("pt", j["pt"] * F.when(j["flavour"] == 5, 1.5).otherwise(0.75)))
-    out = jets.select("event", A.sort_structs_desc(varied, "pt").alias("jet"))
+    """The two leading of all an event's jets by varied pt, with every attribute, and the nominal rank, moving along."""
+    jets = T.ranked(spark, sf_dir, "jet").withColumn("pt", F.col("pt") * F.when(F.col("flavour") == 5, 1.5).otherwise(0.75))
+    jet = F.struct("pt", "eta", "idx")
+    out = rank_objects(jets, ["event"], ["-pt", "idx"], 2, "place").groupBy("event").agg(
+        F.array(*[F.max(F.when(F.col("place") == i, jet)) for i in (0, 1)]).alias("jet"))
     return out.select("event", *[c for i in (0, 1) for j in (F.get("jet", F.lit(i)),) for c in (
         r(j["pt"], 8).alias(f"pt{i + 1}"), j["eta"].alias(f"eta{i + 1}"), F.coalesce(j["idx"], F.lit(-1)).alias(f"idx{i + 1}"))])

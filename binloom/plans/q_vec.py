@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from binloom.functions import arrays as A, names as N
 from binloom.operators import xsec
@@ -57,11 +57,11 @@ def take(spark, sf_dir):
 
 
 @query("q_sort_collection", with_ctes("""
-SELECT event, CAST(row_number() OVER (PARTITION BY event ORDER BY score DESC, idx) - 1 AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, score, eta FROM jet""", "jet"))
+SELECT event, CAST(row_number() OVER (PARTITION BY event ORDER BY score DESC, idx) - 1 AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx, score, eta FROM obj WHERE kind = 'jet'""", "obj"))
 def sort_collection(spark, sf_dir):
-    jets = T.collections(spark, sf_dir, {"jet": 4}, ["pt", "eta", "score"]).filter(F.size("jet") > 0)
-    out = jets.select("event", F.posexplode(A.sort_structs_desc(F.col("jet"), "score")).alias("pos", "o"))
-    return out.select("event", "pos", "o.idx", "o.score", "o.eta")
+    """All jets of an event by score; both orders share the exchange on the event."""
+    place = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("score"), "idx")) - 1
+    return T.ranked(spark, sf_dir, "jet").select("event", place.alias("pos"), "idx", "score", "eta")
 
 
 @query("q_masked_sort", f"""

@@ -7,7 +7,7 @@ decide it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from binloom.operators.collect import leading_collections
 
@@ -17,15 +17,8 @@ FIELDS = ["pt", "eta", "phi", "mass", "pdgId", "score", "flavour"]
 LUMI = 2.0
 
 
-# schemas already read, so that opening a table again costs no footer scan
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,3 +68,10 @@ def records(spark: SparkSession, sf_dir: str, how: str = "inner", want: dict[str
         out = out.withColumns({
             c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in want})
     return out
+
+
+def ranked(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """All objects of a kind with ``idx``, their 0-based rank in the event."""
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDER]
+    rank = F.row_number().over(Window.partitionBy("event").orderBy(*order)) - 1
+    return items(spark, sf_dir).filter(F.col("kind") == kind).withColumn("idx", rank)
