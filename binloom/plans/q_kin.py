@@ -14,8 +14,8 @@ from binloom.sources import driver_tables as T
 KIN = ["pt", "eta", "phi"]
 
 
-def rec(spark, sf_dir, nlep=0, njet=0, fields=None, **want):
-    df = T.records(spark, sf_dir, want=want or {"lep": 3, "jet": 4}, fields=fields or KIN)
+def rec(spark, sf_dir, nlep=0, njet=0, fields=None, how="inner", **want):
+    df = T.records(spark, sf_dir, how, want=want or {"lep": 3, "jet": 4}, fields=fields or KIN)
     if nlep:
         df = df.filter(F.size("lep") >= nlep)
     if njet:
@@ -56,9 +56,9 @@ def dr_grid(spark, sf_dir):
 
 @query("q_away_jet", with_ctes("SELECT event, " + ", ".join(
     f"{rs(f'CASE WHEN nlep >= 1 AND njet >= 1 AND j1_pt > {t} AND abs(j1_eta) < 2.5 THEN sqrt({dr2_sql(chr(106) + chr(49), chr(108) + chr(49))}) ELSE -999 END')} AS dr_{t}"
-    for t in (15, 25, 35, 45)) + " FROM rec", "rec"))
+    for t in (15, 25, 35, 45)) + " FROM every", "every"))
 def away_jet(spark, sf_dir):
-    df = rec(spark, sf_dir, lep=1, jet=1)
+    df = rec(spark, sf_dir, how="left", lep=1, jet=1)
     return df.select("event", *[r(E.away_jet_dr(F.col("lep"), F.col("jet"), t)).alias(f"dr_{t}") for t in (15, 25, 35, 45)])
 
 
@@ -82,9 +82,9 @@ OK3 = f"(nlep >= 3 AND abs({SGN}) <= 1)"
 
 @query("q_trilepton", with_ctes(f"""
 SELECT event, CAST(CASE WHEN {OK3} THEN {SGN} ELSE -9999 END AS DOUBLE) AS charge,
-  {rs(f"CASE WHEN {OK3} THEN {m0('l1', 'l2', 'l3')} ELSE -9999 END", 4)} AS mass FROM rec WHERE nlep >= 1""", "rec"))
+  {rs(f"CASE WHEN {OK3} THEN {m0('l1', 'l2', 'l3')} ELSE -9999 END", 4)} AS mass FROM every""", "every"))
 def trilepton(spark, sf_dir):
-    df = rec(spark, sf_dir, fields=KIN + ["pdgId"], lep=3)
+    df = rec(spark, sf_dir, how="left", fields=KIN + ["pdgId"], lep=3)
     return df.select("event", E.trilepton_charge(F.col("lep")).alias("charge"), r(E.trilepton_mass(F.col("lep")), 4).alias("mass"))
 
 
@@ -94,27 +94,27 @@ PAIRS = [("l1", "l2"), ("l1", "l3"), ("l2", "l3")]
 @query("q_best_pair", with_ctes(f"""
 SELECT event, {rs("CASE WHEN " + OK3 + " THEN least(9999, " + ", ".join(
         f"CASE WHEN {a}_pdgId + {b}_pdgId = 0 THEN abs({m0(a, b)} - 91.1876) ELSE 9999 END" for a, b in PAIRS) + ") ELSE 9999 END", 3)} AS zdist,
-  {OK3} AND ({" OR ".join(f"{a}_pdgId + {b}_pdgId = 0" for a, b in PAIRS)}) AS ossf FROM rec WHERE nlep >= 3
-UNION ALL SELECT event, CAST(9999 AS DOUBLE), false FROM rec WHERE nlep BETWEEN 1 AND 2""", "rec"))
+  {OK3} AND ({" OR ".join(f"{a}_pdgId + {b}_pdgId = 0" for a, b in PAIRS)}) AS ossf FROM every WHERE nlep >= 3
+UNION ALL SELECT event, CAST(9999 AS DOUBLE), false FROM every WHERE nlep < 3""", "every"))
 def best_pair(spark, sf_dir):
-    df = rec(spark, sf_dir, fields=KIN + ["pdgId"], lep=3)
+    df = rec(spark, sf_dir, how="left", fields=KIN + ["pdgId"], lep=3)
     return df.select("event", r(E.z_distance(F.col("lep")), 3).alias("zdist"), E.has_ossf(F.col("lep")).alias("ossf"))
 
 
 @query("q_os_masses", with_ctes("SELECT event, " + ", ".join(
     f"{rs(f'CASE WHEN {OK3} AND {a}_pdgId * {b}_pdgId < 0 THEN {m0(a, b)} ELSE -9999 END', 3)} AS m{i}"
-    for i, (a, b) in enumerate(PAIRS)) + " FROM rec WHERE nlep >= 1", "rec"))
+    for i, (a, b) in enumerate(PAIRS)) + " FROM every", "every"))
 def os_masses(spark, sf_dir):
-    df = rec(spark, sf_dir, fields=KIN + ["pdgId"], lep=3)
+    df = rec(spark, sf_dir, how="left", fields=KIN + ["pdgId"], lep=3)
     return columns(df, E.opposite_sign_masses(F.col("lep")), ["m0", "m1", "m2"], 3)
 
 
 DPHI = f"CASE WHEN njet > 1 THEN {wrap_sql('(CASE WHEN j1_eta > j2_eta THEN j1_phi - j2_phi ELSE j2_phi - j1_phi END)')} ELSE -9999 END"
 
 
-@query("q_signed_dphi", with_ctes(f"SELECT event, {rs(DPHI)} AS dphi FROM rec WHERE njet >= 1", "rec"))
+@query("q_signed_dphi", with_ctes(f"SELECT event, {rs(DPHI)} AS dphi FROM every", "every"))
 def signed_dphi(spark, sf_dir):
-    return rec(spark, sf_dir, jet=2).select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
+    return rec(spark, sf_dir, how="left", jet=2).select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
 
 
 @query("q_dphi_wrap", with_ctes(f"""

@@ -117,16 +117,17 @@ _FX, _FY = "least(abs(eta), CAST(2.49 AS DOUBLE))", "least(greatest(pt, 10), 199
 
 
 @query("q_charge_flip", with_ctes(f"""
-SELECT event, {rs('CASE n WHEN 1 THEN p1 WHEN 2 THEN p1*(1-p2)+(1-p1)*p2 ELSE 1 END', 9)} AS prob,
+SELECT ev.event, coalesce(prob, 1) AS prob, coalesce(err, 0) AS err FROM ev LEFT JOIN (SELECT event, {rs('CASE n WHEN 1 THEN p1 WHEN 2 THEN p1*(1-p2)+(1-p1)*p2 ELSE 1 END', 9)} AS prob,
   {rs('CASE n WHEN 1 THEN e1 WHEN 2 THEN sqrt((1-2*p2)*e1*(1-2*p2)*e1 + (1-2*p1)*e2*(1-2*p1)*e2) ELSE 0 END', 9)} AS err FROM (
   SELECT event, count(p) AS n, max(CASE WHEN k=1 THEN p END) AS p1, max(CASE WHEN k=1 THEN e END) AS e1,
     max(CASE WHEN k=2 THEN p END) AS p2, max(CASE WHEN k=2 THEN e END) AS e2 FROM (
     SELECT *, row_number() OVER (PARTITION BY event, p IS NULL ORDER BY idx) AS k FROM (
       SELECT event, idx, CASE WHEN abs(pdgId)=11 THEN {map_sql(FLIP, _FX, _FY)} END AS p, CASE WHEN abs(pdgId)=11 THEN {map_sql(FLIP_SYS, _FX, _FY)} END AS e
-      FROM lep WHERE idx < 2)) GROUP BY event)""", "lep"))
+      FROM lep WHERE idx < 2)) GROUP BY event)) USING (event)""", "ev", "lep"))
 def charge_flip(spark, sf_dir):
     out = reweight.charge_flip(T.collections(spark, sf_dir, {"lep": 2}, LEP[:3]).filter(F.size("lep") >= 1), "lep", FLIP, FLIP_SYS)
-    return out.select("event", r("flip", 9).alias("prob"), r("flip_err", 9).alias("err"))
+    out = T.ev(spark, sf_dir).select("event").join(out, "event", "left")
+    return out.select("event", r(F.coalesce("flip", F.lit(1.0)), 9).alias("prob"), r(F.coalesce("flip_err", F.lit(0.0)), 9).alias("err"))
 
 
 SX, SY = (-2.6, -1.479, 0.01, 1.479, 2.6), (10.0, 30.0, 60.0, 120.0, 500.0)
@@ -223,13 +224,18 @@ def _shape_sql(s):
     return f"product(CASE WHEN {skip} THEN 1 ELSE {sf} END)"
 
 
-@query("q_btag_shape", with_ctes("SELECT event, " + ", ".join(
-    f"{rs(_shape_sql(s), 7)} AS {s}" for s in ("central", "jes", "cferr", "hf")) + " FROM items WHERE kind='jet' GROUP BY event", "items"))
+SHAPES = ("central", "jes", "cferr", "hf")
+
+
+@query("q_btag_shape", with_ctes("SELECT ev.event, " + ", ".join(f"coalesce({s}, 1) AS {s}" for s in SHAPES) + " FROM ev LEFT JOIN (SELECT event, "
+    + ", ".join(f"{rs(_shape_sql(s), 7)} AS {s}" for s in SHAPES) + " FROM items WHERE kind='jet' GROUP BY event) USING (event)", "ev", "items"))
 def btag_shape(spark, sf_dir):
     sf = 0.8 + 0.4 * F.col("score")
-    return T.items(spark, sf_dir).filter("kind = 'jet'").groupBy("event").agg(*[
+    found = T.items(spark, sf_dir).filter("kind = 'jet'").groupBy("event").agg(*[
         r(F.product(W.shape_sf(s, sf, F.col("flavour"), F.col("eta"), F.col("pt"), F.col("score"), 20.0, 2.2)), 7).alias(s)
-        for s in ("central", "jes", "cferr", "hf")])
+        for s in SHAPES])
+    return T.ev(spark, sf_dir).select("event").join(found, "event", "left").select(
+        "event", *[F.coalesce(s, F.lit(1.0)).alias(s) for s in SHAPES])
 
 
 @query("q_region_sf", with_ctes(f"""

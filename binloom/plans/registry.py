@@ -46,9 +46,13 @@ SELECT event, """ + ", ".join(
         for f in ("pt", "eta", "phi", "mass", "pdgId", "score", "flavour")) + """,
        least(count(*) FILTER (kind='lepton'), 3) AS nlep, least(count(*) FILTER (kind='jet'), 4) AS njet
 FROM obj GROUP BY event""",
+    # the same for every event, with or without objects
+    "every": """
+SELECT ev.*, wide.* EXCLUDE (event, nlep, njet), coalesce(nlep, 0) AS nlep, coalesce(njet, 0) AS njet
+FROM ev LEFT JOIN wide USING (event)""",
     "rec": "SELECT ev.*, wide.* EXCLUDE (event) FROM ev JOIN wide USING (event)",
 }
-_NEEDS = {"obj": ["items"], "lep": ["obj"], "jet": ["obj"], "wide": ["obj"], "rec": ["ev", "wide"]}
+_NEEDS = {"obj": ["items"], "lep": ["obj"], "jet": ["obj"], "wide": ["obj"], "rec": ["ev", "wide"], "every": ["ev", "wide"]}
 
 
 def _closure(names) -> list[str]:
