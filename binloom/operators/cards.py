@@ -85,8 +85,12 @@ def goodness_table(results: DataFrame, variables: list[str], limit: float = 0.05
 def toy_summary(toys: DataFrame, observed: DataFrame, value: str, by: str) -> DataFrame:
     """Per group the mean observed statistic and the share of toys at or above it.
 
-    ``observed`` is reduced to one row per group before it meets the toys.
+    ``observed`` is reduced to one row per group, which is repeated once for each of the parts that the toys are dealt into;
+    so a few groups do not mean a few tasks.
     """
+    parts = int(toys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = observed.groupBy(by).agg(F.avg(value).alias("observed"))
-    return toys.join(seen, by).groupBy(by, "observed").agg(
+    seen = seen.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = toys.withColumn("__part", F.pmod(F.xxhash64(*toys.columns), F.lit(parts)).cast("int"))
+    return dealt.join(seen, [by, "__part"]).groupBy(by, "observed").agg(
         F.count(F.lit(1)).alias("toys"), F.avg(F.when(F.col(value) >= F.col("observed"), 1.0).otherwise(0.0)).alias("p"))
