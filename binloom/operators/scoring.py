@@ -33,26 +33,33 @@ def dense_scores(df: DataFrame, features: list[str], model: Dense, name: str) ->
 
     The weights travel once per executor as a broadcast variable.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    return _scored(df, features, [model], F.lit(0), name)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        net = shared.value
-        for batch in batches:
-            x = np.array(batch.tolist(), dtype=float).reshape(len(batch), len(features))
-            bad = np.isnan(x).any(axis=1)
-            out = net(np.nan_to_num(x))
-            yield pd.Series([None if b else row for b, row in zip(bad, out.tolist())])
+
+def _scored(df: DataFrame, features: list[str], models: list[Dense], which: Column, name: str) -> DataFrame:
+    """Outputs of the model that ``which`` numbers; each network sees its own rows only."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        nets = shared.value
+        for number, batch in batches:
+            x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(features)))
+            good, number = ~np.isnan(x).any(axis=1), number.to_numpy()
+            out = np.full(len(batch), None, dtype=object)
+            for i, net in enumerate(nets):
+                mine = np.flatnonzero(good & (number == i))
+                if len(mine):
+                    out[mine] = list(net(x[mine]))
+            yield pd.Series(out)
 
     udf = F.pandas_udf(score, "array<double>")
     inputs = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
-    return df.withColumn(name, udf(inputs))
+    return df.withColumn(name, udf(which.cast("int"), inputs))
 
 
 def parity_scores(df: DataFrame, key: str, features: list[str], even: Dense, odd: Dense, name: str) -> DataFrame:
     """Each event is scored by the model trained on the other half of the events."""
-    both = dense_scores(dense_scores(df, features, odd, "__odd"), features, even, "__even")
-    return both.withColumn(name, F.when(F.pmod(F.col(key), F.lit(2)) == 0, F.col("__odd")).otherwise(
-        F.col("__even"))).drop("__odd", "__even")
+    return _scored(df, features, [odd, even], F.pmod(F.col(key), F.lit(2)), name)
 
 
 def object_scores(df: DataFrame, key: str, array: str, features: list[str], model: Dense, output: int, name: str) -> DataFrame:

@@ -83,14 +83,15 @@ OBJ = (3, 4, 2)
 @query("q_object_scores", with_ctes(f"""
 SELECT event, CAST(idx AS INTEGER) AS idx, {rs('s', 8)} AS score FROM (
   SELECT event, idx, max(CASE WHEN u = 1 THEN x END) AS s FROM (SELECT event, idx, u, exp(x)/sum(exp(x)) OVER (PARTITION BY event, idx) AS x FROM n2) GROUP BY ALL)""",
-    "lep", n0="SELECT event, idx, 0 AS u, pt/100e0 AS x FROM lep UNION ALL SELECT event, idx, 1, eta FROM lep UNION ALL SELECT event, idx, 2, score FROM lep",
+    "obj", l="SELECT * FROM obj WHERE kind = 'lepton'",
+    n0="SELECT event, idx, 0 AS u, pt/100e0 AS x FROM l UNION ALL SELECT event, idx, 1, eta FROM l UNION ALL SELECT event, idx, 2, score FROM l",
     n1="SELECT event, idx, j AS u, greatest(sum(x*(((7*u+13*j+4) % 11 - 5)/10e0)) + ((3*j) % 5 - 2)/10e0, 0) AS x FROM n0, range(0,4) r(j) GROUP BY event, idx, j",
     n2="SELECT event, idx, j AS u, sum(x*(((7*u+13*j+9) % 11 - 5)/10e0)) + ((3*j+1) % 5 - 2)/10e0 AS x FROM n1, range(0,2) r(j) GROUP BY event, idx, j"))
 def object_scores(spark, sf_dir):
-    leps = T.collections(spark, sf_dir, {"lep": 3}, ["pt", "eta", "score"]).filter(F.size("lep") > 0)
-    scaled = leps.withColumn("lep", F.transform("lep", lambda o: o.withField("pt", o["pt"] / 100.0)))
-    out = scoring.object_scores(scaled, "event", "lep", ["pt", "eta", "score"], network(OBJ, 4), 1, "scores")
-    return out.select("event", F.posexplode("scores").alias("idx", "score")).withColumn("score", r("score", 8))
+    """All leptons of an event are scored as flat rows."""
+    flat = T.ranked(spark, sf_dir, "lepton").withColumn("pt", F.col("pt") / 100.0)
+    out = scoring.dense_scores(flat, ["pt", "eta", "score"], network(OBJ, 4), "scores")
+    return out.select("event", "idx", r(F.get("scores", F.lit(1)), 8).alias("score"))
 
 
 def labelled(spark, sf_dir, n=6):
