@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 from binloom.llm.words import _LOWER, SPACE, Words, _buffer, hash_spans
 
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 750_000
+ENCODED_AT_ONCE = 8192
 # kinds of bytes: white space 0, letters and digits of ASCII 2, marks that no special token holds 3, all others 1
 _KIND = np.where(SPACE, 1, 0).astype(np.uint8)
 _KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 2
@@ -45,9 +46,12 @@ class Encoder:
         self.flat = np.zeros(0, self.dtype)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum())), size
+        flat, size = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), ENCODED_AT_ONCE):      # encodings are large objects
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + ENCODED_AT_ONCE], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((j for x in ids for j in x), self.dtype, int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string array, and where each text's begin; a null text has none."""
