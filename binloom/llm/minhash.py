@@ -7,7 +7,8 @@ a document can meet another in table (i, j) only if its i-th first and j-th seco
 are paired.
 
 Candidates come from the tables in sorted order, each entry with the one before it, so a key with very many entries is cut
-anywhere and gives a linear number of pairs.  They are verified on full shingle sets, each document's most promising ones
+anywhere and gives a linear number of pairs.  Entries carry their set's size and a byte of each minhash, so that most pairs
+that are no links end there, without a join.  The others are verified on full shingle sets, each document's most promising ones
 first; pairs whose ends are joined by then need no look.  A second pass sorts each table in its own order and pairs
 neighbours from different components only: what is in a large group already gives no more pairs, and a document that has
 not found its group meets other members in each of the dozens of tables that it shares with a linked one.
@@ -28,6 +29,7 @@ SHINGLE = 5
 THRESHOLD = 80     # percent
 SIDE = 12          # keys of each collection
 WIDTH = 2          # minhashes of a key
+DOCS_AT_ONCE = 1000  # whose entries are made together, 144 at most for each
 _SEEDS = mix(np.arange(1, 1 + 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -96,17 +98,33 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def _shared_keys(reps: DataFrame) -> DataFrame:
-    """``id, own``: the keys (``slot, key``) of each document that others have, too, if it has some of both collections."""
+    """``id, own, n, sig``: the keys (``slot, key``) of each document that others have, too, if it has some of both
+    collections, with the size of its set and its minhashes."""
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mine = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("slot", "key")).alias("own"))
-    return mine.where(F.exists("own", lambda k: k["slot"] < SIDE) & F.exists("own", lambda k: k["slot"] >= SIDE))
+    mine = mine.where(F.exists("own", lambda k: k["slot"] < SIDE) & F.exists("own", lambda k: k["slot"] >= SIDE))
+    return mine.join(reps.select("id", "n", "sig"), "id")
 
 
-def _candidates(mine: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: pairs of neighbours in a table that are not joined yet."""
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of bytes."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """``a, b, same``: pairs of neighbours in a table that are not joined yet, with the number of minhashes that look equal.
+
+    Pairs whose set sizes rule a link out, or more than five standard deviations under the threshold, are no links; a byte
+    of each minhash tells, which can only count too many as equal.
+    """
+    count = 2 * SIDE * WIDTH
+    p = threshold / 100
+    least = int(count * p - 5.5 * (count * p * (1 - p)) ** 0.5)
+
     def pairs(batches):
-        for batch in (b for b in batches if b.num_rows):
+        for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             own = column(batch, "own")
             cuts = own.offsets.to_numpy() - own.offsets[0].as_py()
             flat = own.flatten()
@@ -119,12 +137,14 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
                 # first one order for all tables, by which alike documents stand together, then one for each
                 near.append(np.full(len(table), k.min()) if turn == 0 else mix(table * np.uint64(turn) + k.sum()))
             many = np.array([len(t) for t in tables_])
-            ids, comps = (np.repeat(numbers(column(batch, c)), many) for c in ("id", "component"))
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(-1, count)
+            ids, comps, n = (pa.array(np.repeat(numbers(column(batch, c)), many)) for c in ("id", "component", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tables_).view(np.int64)), pa.array(np.concatenate(near).view(np.int64)),
-                                              pa.array(ids), pa.array(comps)], names=["key", "near", "id", "component"])
+                                              ids, comps, n, _fixed(np.repeat(sig.astype(np.uint8), many, axis=0))],
+                                             names=["key", "near", "id", "component", "n", "bytes"])
 
-    held = mine.join(joined, "id", "left").select("id", "own", F.coalesce("component", "id").alias("component"))
-    entries = held.mapInArrow(pairs, "key long, near long, id long, component long")
+    held = mine.join(joined, "id", "left").select("id", "own", F.coalesce("component", "id").alias("component"), "n", "sig")
+    entries = held.mapInArrow(pairs, "key long, near long, id long, component long, n long, bytes binary")
     order = ["key", "near", "id"]
     ordered = entries.repartitionByRange(tables.parts(mine.sparkSession), *order).sortWithinPartitions(*order)
 
@@ -133,38 +153,21 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = [numbers(column(batch, c)) for c in ("key", "id", "component")]
+            got = [numbers(column(batch, c)) for c in ("key", "id", "component", "n")]
+            got.append(np.frombuffer(b"".join(column(batch, "bytes").to_pylist()), np.uint8).reshape(-1, count))
             if last is not None:
-                got = [np.append(x, y) for x, y in zip(last, got)]
-            key, ids, comp = got
-            ok = (key[1:] == key[:-1]) & (comp[1:] != comp[:-1])
-            a, b = ids[:-1][ok], ids[1:][ok]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            last = [x[-1] for x in got]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-    return ordered.mapInArrow(beside, "a long, b long").distinct()
-
-
-def _likely(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """Candidates with the share of equal minhashes; pairs more than five standard deviations under the threshold, or
-    whose set sizes alone rule a link out, are no links."""
-    a = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    b = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    count = 2 * SIDE * WIDTH
-    p = threshold / 100
-    least = int(count * p - 5.5 * (count * p * (1 - p)) ** 0.5)
-
-    def run(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            same = (sa == sb).sum(1)
-            ok = pa.array(same >= least)
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok),
-                                              pa.array(same[same >= least], pa.int32())], names=["a", "b", "same"])
+                got = [np.concatenate([x, y]) for x, y in zip(last, got)]
+            key, ids, comp, n, low = got
+            last = [x[-1:] for x in got]
+            small, large = np.minimum(n[:-1], n[1:]), np.maximum(n[:-1], n[1:])
+            ok = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]) & (100 * small >= threshold * large))
+            same = (low[ok] == low[ok + 1]).sum(1)
+            ok, same = ok[same >= least], same[same >= least]
+            a, b = ids[ok], ids[ok + 1]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), same]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(pair[2], pa.int32())], names=["a", "b", "same"])
 
-    sized = candidates.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same int")
+    return ordered.mapInArrow(beside, "a long, b long, same int").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -229,7 +232,7 @@ def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> Da
     sets = stage(_sets(own, mine.select("id"), shingle), "sets")
     links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
     for turn, takes in enumerate(((True, False), (True, False))):
-        open_ = stage(_likely(_candidates(mine, joined, turn), reps, threshold), "candidates")
+        open_ = stage(_candidates(mine, joined, turn, threshold), "candidates")
         for take in takes:
             some = open_
             if take:
