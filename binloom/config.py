@@ -110,9 +110,11 @@ class Nuisance:
     """A systematic variation.
 
     kind ``suffix``: columns ``X`` with companions ``X_<up>`` and ``X_<down>`` are swapped, through
-    every dependent column, selection, variable and weight.
+    every dependent column, selection, variable, weight and process condition.
     kind ``weight``: the event weight is multiplied by the ``up``/``down`` expression.
     kind ``envelope`` and ``rms``: ``weights`` lists alternative weight factors.
+    ``by_sample`` gives each process its own pair and limits the variation to the processes named: (up, down)
+    expressions for ``weight``, (scale up, scale down) numbers for ``suffix``.
     """
 
     name: str
@@ -124,3 +126,10 @@ class Nuisance:
     weights: tuple[str, ...] = ()
     samples: tuple[str, ...] | None = None
     cuts: tuple[str, ...] | None = None
+    by_sample: dict = field(default_factory=dict)
+
+    def processes(self) -> tuple[str, ...] | None:
+        """Processes that have the variation; None for all."""
+        if not self.by_sample:
+            return self.samples
+        return tuple(s for s in self.by_sample if self.samples is None or s in self.samples)

@@ -85,17 +85,29 @@ def process_cases(samples: list[Sample]) -> list[tuple[str, str, Sample]]:
     return out
 
 
-def assign_processes(df: DataFrame, samples: list[Sample], sample_col: str = "sample") -> DataFrame:
-    """One row per event and process it belongs to; overlapping processes are allowed."""
-    hits = F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond, _ in process_cases(samples)])
+def by_process(values: dict[str, str], default: str = "NULL", sample_col: str = "sample") -> str:
+    """SQL for the expression of a row's process."""
+    return f"CASE {sample_col} {' '.join(f'WHEN {_literal(s)} THEN ({e})' for s, e in values.items())} ELSE {default} END"
+
+
+def assign_processes(df: DataFrame, samples: list[Sample], sample_col: str = "sample",
+                     also: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per event and process it belongs to; overlapping processes are allowed.
+
+    ``also`` names further conditions of a process, any of which makes an event its member.
+    """
+    also = also or {}
+    hits = F.array(*[F.when(F.expr(" OR ".join(f"({c})" for c in [cond, *also.get(name, [])])), F.lit(name))
+                     for name, cond, _ in process_cases(samples)])
     return df.withColumn(sample_col, F.explode(hits)).filter(F.col(sample_col).isNotNull())
 
 
 def event_weight(df: DataFrame, samples: list[Sample], lumi: float, name: str = "weight",
                  sample_col: str = "sample", dataset_col: str = "dataset") -> DataFrame:
-    out = None
-    for final, _, s in process_cases(samples):
-        value = F.expr(weight_expr(s, lumi, dataset_col)).cast("double")
-        test = F.col(sample_col) == final
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return df.withColumn(name, out)
+    return df.withColumn(name, F.expr(process_weight(samples, lumi, sample_col, dataset_col)))
+
+
+def process_weight(samples: list[Sample], lumi: float, sample_col: str = "sample", dataset_col: str = "dataset") -> str:
+    """SQL of the event weight of a row's process."""
+    return by_process({final: f"CAST({weight_expr(s, lumi, dataset_col)} AS DOUBLE)" for final, _, s in process_cases(samples)},
+                      sample_col=sample_col)

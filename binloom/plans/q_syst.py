@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from binloom.config import Alias, Cut, Nuisance, Uniform, Variable
+from binloom.config import Alias, Cut, Nuisance, Sample, Uniform, Variable
 
 from binloom.functions.poisson import poisson_interval
 from binloom.operators import histops, rates, variations as V
@@ -83,6 +83,40 @@ def syst_all(spark, sf_dir):
     return syst_hists(spark, sf_dir)
 
 
+def _by_weight(variation, pt="pt"):
+    """One variation where the pt decides the signal's weight and the background's part."""
+    return (f"SELECT CASE WHEN sample = 'SIG' THEN 'SIG' WHEN p > 40 THEN 'BKG_hard' ELSE 'BKG_soft' END AS sample, 'all' AS cut, 'pt' AS variable, "
+            f"'{variation}' AS variation, least(greatest({bin_sql('p', NB, 20.0, 120.0)},1),{NB}) AS bin, CAST(0 AS INT) AS biny, "
+            f"sum(w) AS sumw, sum(w*w) AS sumw2, count(*) AS n FROM (SELECT *, CASE WHEN sample = 'SIG' THEN floor(p / 16) ELSE CAST(1 AS DOUBLE) END AS w "
+            f"FROM (SELECT *, {pt} AS p FROM lead WHERE sample IN ('SIG', 'BKG'))) WHERE p > 15 AND w <> 0 GROUP BY ALL")
+
+
+@query("q_syst_process", with_ctes(" UNION ALL ".join([_by_weight("nominal"), _by_weight("scaleUp", UP), _by_weight("scaleDown", DO)]),
+                                   "ev", "obj", lead=LEAD["lead"]))
+def syst_process(spark, sf_dir):
+    """A shape variation that changes the event weight of one process and the sub-sample of another."""
+    samples = [Sample("SIG", "kind = 'SIG'", weight="floor(pt / 16)"),
+               Sample("BKG", "kind = 'BKG'", subsamples={"hard": "pt > 40", "soft": "pt <= 40"})]
+    run = Analysis(samples=samples, cuts=[Cut("all", "true")], variables=[Variable("pt", "pt", AX, fold=3)],
+                   nuisances=NUIS[:1], preselection="pt > 15")
+    return run.histograms(varied_events(spark, sf_dir).withColumnRenamed("sample", "kind").drop("weight"))
+
+
+_SIG, _BKG = "sample = 'SIG'", "sample = 'BKG'"
+P_OWN = [_one("wtUp", factor=WT[0], where=_SIG), _one("wtDown", factor=WT[1], where=_SIG),
+         _one("wtUp", factor="CAST(1.5 AS DOUBLE)", where=_BKG), _one("wtDown", factor="CAST(0.5 AS DOUBLE)", where=_BKG),
+         _one("scaleUp", UP, where=_SIG), _one("scaleDown", DO, where=_SIG),
+         _one("scaleUp", f"({UP} * CAST(1.5 AS DOUBLE))", where=_BKG), _one("scaleDown", f"({DO} * CAST(0.5 AS DOUBLE))", where=_BKG)]
+
+
+@query("q_syst_by_sample", with_ctes("SELECT * FROM hv", "ev", "obj", **hv(P_NOM, P_OWN)))
+def syst_by_sample(spark, sf_dir):
+    """Each process with its own weight factors and its own scale of the varied columns."""
+    return syst_hists(spark, sf_dir, [
+        Nuisance("wt", "weight", by_sample={"SIG": WT, "BKG": ("1.5D", "0.5D")}),
+        Nuisance("scale", "suffix", "up", "do", by_sample={"SIG": (1.0, 1.0), "BKG": (1.5, 0.5)})])
+
+
 @query("q_syst_envelope", with_ctes(f"""
 SELECT {B}, 'qcdUp' AS variation, max(sumw) AS sumw, coalesce(sum(sumw2) FILTER (variation='nominal'), 0) AS sumw2 FROM hv GROUP BY ALL
 UNION ALL SELECT {B}, 'qcdDown', min(sumw), coalesce(sum(sumw2) FILTER (variation='nominal'), 0) FROM hv GROUP BY ALL""",

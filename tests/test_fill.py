@@ -122,6 +122,22 @@ def test_up_and_down_swap(events):
     assert rows(run("up", "do").filter("variation = 'sUp'"), *cols) == rows(run("do", "up").filter("variation = 'sDown'"), *cols)
 
 
+def test_shape_variation_reaches_weight_and_process(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 5.0)] * 2, "pt double, pt_up double, pt_do double")
+    run = Analysis(samples=[Sample("SIG", weight="pt / 10"), Sample("BKG", "pt > 8", weight="pt / 5")], cuts=ALL,
+                   variables=[Variable("one", "1D", AXIS)], nuisances=[Nuisance("s", "suffix", "up", "do")])
+    got = {(r["sample"], r["variation"]): r["sumw"] for r in run.histograms(df).collect()}
+    assert got == {("SIG", "nominal"): 2.0, ("SIG", "sUp"): 4.0, ("SIG", "sDown"): 1.0, ("BKG", "nominal"): 4.0, ("BKG", "sUp"): 8.0}
+
+
+def test_given_weight_and_process_columns_are_kept_for_variations(spark):
+    df = spark.createDataFrame([("a", 6.0, 10.0, 3.0), ("b", 9.0, 10.0, 3.0)],
+                               "sample string, pt double, pt_up double, weight double").withColumn("pt_do", F.col("pt"))
+    run = Analysis(samples=[Sample("A", "sample = 'a' AND pt > 8", weight="weight * pt")], cuts=ALL,
+                   variables=[Variable("one", "1D", AXIS)], nuisances=[Nuisance("s", "suffix", "up", "do")])
+    assert rows(run.histograms(df), "sample", "variation", "sumw") == [("A", "sUp", 30.0)]
+
+
 def test_untouched_histograms_get_no_variation(events):
     run = Analysis(cuts=ALL, variables=[Variable("y", "y", AXIS)], nuisances=[Nuisance("s", "suffix", "up", "do")])
     assert {r["variation"] for r in run.histograms(events).collect()} == {"nominal"}
