@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from binloom.functions.kinematics import delta_r2
+
 SHARE = 0.001            # a key is heavy from one thousandth of the rows
 SAMPLE = 0.01            # share of rows read to plan for heavy keys; results never depend on it
 MIN_ROWS = 1_000_000     # below this many rows one task copes with any key
@@ -64,8 +68,25 @@ def any_near(array: str, k: int, test) -> Column:
     return out
 
 
-def clean_objects(objects: DataFrame, others: DataFrame, key: str, array: str, k: int, near,
-                  heavy: list | None = None) -> DataFrame:
-    """Objects for which no element of the event's array (at most ``k`` long) is ``near``."""
-    joined = skew_safe_join(objects, others.select(key, array), key, "left", heavy)
-    return joined.filter(~any_near(array, k, near)).drop(array)
+def clean_objects(objects: DataFrame, others: DataFrame, key: str, cone: float) -> DataFrame:
+    """Objects with no other object of their event within ``cone`` in (eta, phi); both tables are flat.
+
+    Cells at least as wide as the cone are part of the join key, with each of ``others`` in its own and the cells
+    around it, so an event with very many objects is spread over its cells and only near pairs are compared.
+    """
+    around = int(2 * math.pi / cone)
+
+    def cells(eta: Column, phi: Column) -> tuple[Column, Column]:
+        return F.floor(eta / (cone * (1 + 1e-9))), F.pmod(F.floor((phi / (2 * math.pi) + 0.5) * around), F.lit(around))
+
+    eta, phi = cells(F.col("eta"), F.col("phi"))
+    mine = objects.withColumns({"__ce": eta, "__cp": phi})
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    theirs = others.select(F.col(key).alias("__key"), F.col("eta").alias("__eta"), F.col("phi").alias("__phi"),
+                           eta.alias("__e"), phi.alias("__p"))
+    theirs = theirs.withColumn("__de", F.explode(steps)).withColumn("__dp", F.explode(steps)).select(
+        "__key", "__eta", "__phi", (F.col("__e") + F.col("__de")).alias("__e"),
+        F.pmod(F.col("__p") + F.col("__dp"), F.lit(around)).alias("__p"))
+    near = ((F.col(key) == F.col("__key")) & (F.col("__ce") == F.col("__e")) & (F.col("__cp") == F.col("__p"))
+            & (delta_r2(F.col("__eta"), F.col("__phi"), F.col("eta"), F.col("phi")) < cone * cone))
+    return mine.join(theirs, near, "left_anti").drop("__ce", "__cp")

@@ -192,22 +192,18 @@ def lhe_mjj(spark, sf_dir):
     return rec(spark, sf_dir, 0, 2, jet=2).select("event", r(E.pair_mass_massless(a, b), 3).alias("mjj"))
 
 
-def _dr2(o):
-    return K.delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi"))
-
-
 def jets_flat(spark, sf_dir):
     return T.items(spark, sf_dir).filter("kind = 'jet'")
 
 
-def cleaned_jets(spark, sf_dir, cut):
-    leps = T.collections(spark, sf_dir, {"lep": 3}, KIN)
+def cleaned_jets(spark, sf_dir, cone):
+    leptons = T.items(spark, sf_dir).filter("kind = 'lepton' AND pt >= 10").select("event", "eta", "phi")
     return clean_objects(jets_flat(spark, sf_dir).select("event", *KIN, "mass", "score", "line", "part", "supp", "ship"),
-                         leps, "event", "lep", 3, lambda o: (o["pt"] >= 10) & (_dr2(o) < cut))
+                         leptons, "event", cone)
 
 
-OVERLAP = """SELECT j.* FROM items j WHERE j.kind = 'jet' AND NOT EXISTS (SELECT 1 FROM lep WHERE lep.event = j.event
-  AND lep.pt >= 10 AND {d} < {c})"""
+OVERLAP = """SELECT j.* FROM items j WHERE j.kind = 'jet' AND NOT EXISTS (SELECT 1 FROM items lep WHERE lep.event = j.event
+  AND lep.kind = 'lepton' AND lep.pt >= 10 AND {d} < {c})"""
 _D = dr2_sql("L", "J").replace("L_eta", "lep.eta").replace("L_phi", "lep.phi").replace("J_eta", "j.eta").replace("J_phi", "j.phi")
 
 
@@ -215,7 +211,7 @@ _D = dr2_sql("L", "J").replace("L_eta", "lep.eta").replace("L_phi", "lep.phi").r
 SELECT event, count(*) AS njet, max(pt) AS lead, round(sum(pt), 6) AS ht FROM clean GROUP BY event""",
     "lep", clean=OVERLAP.format(d=_D, c=0.09)))
 def overlap_removal(spark, sf_dir):
-    return cleaned_jets(spark, sf_dir, 0.3 ** 2).groupBy("event").agg(
+    return cleaned_jets(spark, sf_dir, 0.3).groupBy("event").agg(
         F.count(F.lit(1)).alias("njet"), F.max("pt").alias("lead"), F.round(F.sum("pt"), 6).alias("ht"))
 
 
@@ -227,7 +223,7 @@ SELECT event, {rs(f"CASE WHEN e2 IS NULL THEN -9999 ELSE {wrap_sql('(CASE WHEN e
     "lep", clean=OVERLAP.format(d=_D, c=0.16)))
 def gen_dphi(spark, sf_dir):
     """Leading pair of the jets left after cleaning; ranked after cleaning, so none is lost."""
-    two = rank_objects(cleaned_jets(spark, sf_dir, 0.16).filter("pt >= 30"), ["event"], T.ORDER, 2)
+    two = rank_objects(cleaned_jets(spark, sf_dir, 0.4).filter("pt >= 30"), ["event"], T.ORDER, 2)
     jets = two.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", *KIN))).alias("jet"))
     return jets.select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
 
@@ -270,7 +266,7 @@ FROM (SELECT w.*, c.* EXCLUDE (event), total/CAST(4 AS DOUBLE) AS met, {FID_V['l
       SELECT *, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) AS k FROM clean WHERE pt >= 30) GROUP BY event"""))
 def fiducial(spark, sf_dir):
     ev = T.records(spark, sf_dir, want={"lep": 3}, fields=KIN + ["mass", "pdgId"]).filter(F.size("lep") >= 1)
-    two = rank_objects(cleaned_jets(spark, sf_dir, 0.16).filter("pt >= 30"), ["event"], T.ORDER, 2)
+    two = rank_objects(cleaned_jets(spark, sf_dir, 0.4).filter("pt >= 30"), ["event"], T.ORDER, 2)
     jets = two.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", *KIN, "mass"))).alias("jet"))
     df = ev.join(jets, "event", "left")
     return df.select("event", O.fiducial_flag(F.col("lep"), F.col("jet"), F.col("total") / 4.0, F.lit(0.0)).alias("fid"))

@@ -69,12 +69,18 @@ def test_collections_are_bounded_and_ordered(skewed):
         assert [o["pt"] for o in r["ys"]] == sorted((o["pt"] for o in r["ys"]), reverse=True)
 
 
-def test_any_near_and_cleaning(spark):
-    jets = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 0.0), (2, 0.0, 0.0)], "event int, eta double, phi double")
-    leps = spark.createDataFrame([(1, [(20.0, 0.1, 0.1)]), (2, [(5.0, 0.0, 0.0)])], "event int, lep array<struct<pt:double,eta:double,phi:double>>")
-    clean = joins.clean_objects(jets, leps, "event", "lep", 3, lambda o: (o["pt"] >= 10) & (
-        K.delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi")) < 0.09), heavy=[1])
-    assert sorted((r["event"], r["eta"]) for r in clean.collect()) == [(1, 2.0), (2, 0.0)]
+@pytest.mark.parametrize("cone", [0.3, 0.4, 3.0])
+def test_cleaning_sees_every_object_of_an_event(spark, cone):
+    rng = np.random.default_rng(3)
+    eta, phi = rng.uniform(-400 * cone ** 2, 400 * cone ** 2, (2, 1000)), rng.uniform(-np.pi, np.pi, (2, 1000))
+    eta[:, :2], phi[:, :2] = 0.0, [[np.pi, 0.5], [-np.pi, 0.5]]
+    flat = [spark.createDataFrame([(1, i, float(e), float(p)) for i, (e, p) in enumerate(zip(eta[k], phi[k]))] + [(2 + k, -1, 0.0, 0.0)],
+                                  "event int, i int, eta double, phi double") for k in (0, 1)]
+    dp = np.abs(phi[0][:, None] - phi[1][None, :])
+    near = (eta[0][:, None] - eta[1][None, :]) ** 2 + np.minimum(dp, 2 * np.pi - dp) ** 2 < cone * cone
+    want = [-1, *np.flatnonzero(~near.any(1)).tolist()]
+    assert 2 < len(want) < 1000 and 0 not in want and 1 not in want
+    assert sorted(r["i"] for r in joins.clean_objects(*flat, "event", cone).collect()) == want
 
 
 @pytest.mark.parametrize("down", [False, True])
