@@ -12,6 +12,11 @@ that are no links end there, without a join.  The others are verified on full sh
 first; pairs whose ends are joined by then need no look.  A second pass sorts each table in its own order and pairs
 neighbours from different components only: what is in a large group already gives no more pairs, and a document that has
 not found its group meets other members in each of the dozens of tables that it shares with a linked one.
+
+Then nothing is left out: wherever documents of different components still share a key, all their pairs are compared on
+their minhashes.  Many documents with a common first key are told apart by their second keys, which is their tables, and
+still many are dealt into blocks, each block with each, so that no task grows.  A pair is compared only in the first table
+that it shares.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ THRESHOLD = 80     # percent
 SIDE = 12          # keys of each collection
 WIDTH = 2          # minhashes of a key
 DOCS_AT_ONCE = 1000  # whose entries are made together, 144 at most for each
+BLOCK = 1024       # documents with a common key that are compared with one another in one place
 _SEEDS = mix(np.arange(1, 1 + 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -113,15 +119,23 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _least(threshold: int) -> int:
+    """Equal minhashes that a pair at the threshold has, but for five and a half standard deviations."""
+    count, p = 2 * SIDE * WIDTH, threshold / 100
+    return int(count * p - 5.5 * (count * p * (1 - p)) ** 0.5)
+
+
+def _held(mine: DataFrame, joined: DataFrame) -> DataFrame:
+    return mine.join(joined, "id", "left").select("id", "own", F.coalesce("component", "id").alias("component"), "n", "sig")
+
+
 def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -> DataFrame:
     """``a, b, same``: pairs of neighbours in a table that are not joined yet, with the number of minhashes that look equal.
 
     Pairs whose set sizes rule a link out, or more than five standard deviations under the threshold, are no links; a byte
     of each minhash tells, which can only count too many as equal.
     """
-    count = 2 * SIDE * WIDTH
-    p = threshold / 100
-    least = int(count * p - 5.5 * (count * p * (1 - p)) ** 0.5)
+    count, least = 2 * SIDE * WIDTH, _least(threshold)
 
     def pairs(batches):
         for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
@@ -143,8 +157,7 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -
                                               ids, comps, n, _fixed(np.repeat(sig.astype(np.uint8), many, axis=0))],
                                              names=["key", "near", "id", "component", "n", "bytes"])
 
-    held = mine.join(joined, "id", "left").select("id", "own", F.coalesce("component", "id").alias("component"), "n", "sig")
-    entries = held.mapInArrow(pairs, "key long, near long, id long, component long, n long, bytes binary")
+    entries = _held(mine, joined).mapInArrow(pairs, "key long, near long, id long, component long, n long, bytes binary")
     order = ["key", "near", "id"]
     ordered = entries.repartitionByRange(tables.parts(mine.sparkSession), *order).sortWithinPartitions(*order)
 
@@ -170,6 +183,74 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -
     return ordered.mapInArrow(beside, "a long, b long, same int").distinct()
 
 
+def _crossing(mine: DataFrame, joined: DataFrame, threshold: int, block: int) -> DataFrame:
+    """``a, b, same``: all pairs with a table in common whose ends are not joined yet, with the number of equal minhashes,
+    but for those that set sizes or minhashes rule out as :func:`_candidates` does."""
+    least = _least(threshold)
+    held = _held(mine, joined)
+
+    def crossed(entries: DataFrame) -> DataFrame:
+        """Entries of the keys that documents of different components share, with the number of these."""
+        seen = entries.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return entries.join(seen.where("lo <> hi").select("key", "many"), "key")
+
+    light = held.select("id", "component", "own")
+    first = light.select("id", "component", F.explode(F.filter("own", lambda k: k["slot"] < SIDE)).alias("k"))
+    first = stage(crossed(first.select("id", "component", F.col("k.slot").alias("i"), F.lit(-1).alias("j"), F.col("k.key").alias("key"))), "crossed")
+    large = first.where(F.col("many") > block).drop("many", "j").join(light.select("id", "own"), "id")
+    large = large.select("id", "component", "i", "key", F.explode(F.filter("own", lambda k: k["slot"] >= SIDE)).alias("k"))
+    large = crossed(large.select("id", "component", "i", (F.col("k.slot") - SIDE).alias("j"), F.xxhash64("key", "k.key").alias("key")))
+    blocks = F.ceil(F.col("many") / block).cast("int")
+    dealt = first.where(F.col("many") <= block).unionByName(large).withColumn("blocks", blocks)
+    dealt = dealt.withColumn("own_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "component", "i", "j", "key", "own_block", F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"))
+    full = dealt.join(mine.select("id", "n", "sig"), "id")
+    order = ["key", "i", "j", "p", "q"]
+    ordered = full.select(*order, "id", "component", "own_block", "n", "sig").repartition(*order).sortWithinPartitions(*order, "id")
+
+    def compare(got: list[np.ndarray], cuts: np.ndarray):
+        """Pairs of the groups that end at ``cuts``: each row with the one d rows later, for all d."""
+        i, j, p, q, ids, comp, own, n, sig = got
+        end = cuts[np.searchsorted(cuts, np.arange(len(ids)), "right")]
+        at, d = np.arange(len(ids)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < end[at]]
+            a = at[(comp[at] != comp[at + d]) & ((p[at] == q[at]) | (own[at] != own[at + d]))]
+            b = a + d
+            ok = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            if not len(a):
+                continue
+            alike = sig[a] == sig[b]
+            same = alike.sum(1)
+            keys = alike.reshape(len(a), 2 * SIDE, WIDTH).all(2)
+            ok = (same >= least) & (keys[:, :SIDE].argmax(1) == i[a]) & ((j[a] < 0) | (keys[:, SIDE:].argmax(1) == j[a]))
+            a, b, same = ids[a[ok]], ids[b[ok]], same[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same, pa.int32())], names=["a", "b", "same"])
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [numbers(column(batch, c)) for c in ("key", "i", "j", "p", "q", "id", "component", "own_block", "n")]
+            got.append(np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+            if last is not None:
+                got = [np.concatenate([x, y]) for x, y in zip(last, got)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in got[:5]], axis=0)) + 1
+            done = int(new[-1]) if len(new) else 0
+            if done:
+                yield from compare([x[:done] for x in got[1:]], new)
+            last = [x[done:] for x in got]
+        if last is not None:
+            yield from compare(last[1:], np.array([len(last[0])]))
+
+    return ordered.mapInArrow(run, "a long, b long, same int").distinct()
+
+
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """``id, set`` of the documents named; a filter of fixed size spares most others before the join."""
     filled = docs.sparkSession.sparkContext.broadcast(tables.bloom(ids.select(F.xxhash64("id").alias("h")), "h"))
@@ -204,7 +285,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    threshold: int = THRESHOLD) -> DataFrame:
+                    threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``id, n_shingles, component``: one row for each distinct id that is not null.
 
     A document's set holds its distinct shingles of ``shingle`` lower-cased words, or its whole sequence if it has fewer;
@@ -218,21 +299,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = signed.groupBy("id").agg(F.min_by(F.struct("f1", "f2", "n", "sig"), F.struct("f1", "f2")).alias("s")).select("id", "s.*")
     same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = stage(same, "sets")
-    found = _joined(own, reps, shingle, threshold)
+    found = _joined(own, reps, shingle, threshold, block)
     named = reps.select("f1", "f2", F.col("id").alias("rep")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     full = signed.where("n > 0").join(named, ["f1", "f2"]).select("id", F.col("n").alias("n_shingles"), "component")
     return full.union(signed.where("n = 0").select("id", "n", "id"))
 
 
-def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int) -> DataFrame:
+def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int, block: int) -> DataFrame:
     """``id, component`` of the sets that are linked with others."""
     spark = own.sparkSession
     mine = stage(_shared_keys(reps), "keys")
     sets = stage(_sets(own, mine.select("id"), shingle), "sets")
     links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    for turn, takes in enumerate(((True, False), (True, False))):
-        open_ = stage(_candidates(mine, joined, turn, threshold), "candidates")
+    for turn, takes in enumerate(((True, False), (True, False), (True, False))):
+        found = _candidates(mine, joined, turn, threshold) if turn < 2 else _crossing(mine, joined, threshold, block)
+        open_ = stage(found, "candidates")
         for take in takes:
             some = open_
             if take:

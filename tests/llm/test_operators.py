@@ -198,6 +198,25 @@ def test_near_duplicates(docs, none):
     assert kept.where("doc_id is null").count() == 1 and minhash.keep_first(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 90])
+def test_near_duplicates_of_a_family_under_the_threshold(spark, block):
+    rng = np.random.default_rng(3)
+    has = rng.random((700, 400)) < 0.85
+    both = has.astype(np.int64) @ has.T
+    n = has.sum(1)
+    links = np.argwhere(np.triu(100 * both >= 80 * (n[:, None] + n[None, :] - both), 1))
+    comp = np.arange(len(has))
+    for _ in range(len(has)):
+        before = comp.copy()
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if (comp == before).all():
+            break
+    rows = [(i, " ".join(f"w{k}" for k in np.flatnonzero(h))) for i, h in enumerate(has)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=1, block=block)
+    assert 100 < len(links) and {r.id: r.component for r in out.collect()} == dict(enumerate(comp.tolist()))
+
+
 def test_components_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr("binloom.llm.components.PART_LINKS", 10)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
