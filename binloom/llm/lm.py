@@ -5,10 +5,9 @@ from 1 to q; its count is read back by asking for level 1, 2, 3 ... until one is
 how often each word is a history, and how many different words follow it.  A word's probability is interpolated from them
 (Witten-Bell): what a history has not spent on its followers is given out by the words' own frequencies.
 
-The filter is made in parts, one for each group of histories, and broadcast.  Its size follows the input up to ``MAX_BITS``:
-bigrams seen ``cut`` times or less are left to the shorter history, where ``cut`` is the smallest number for which what
-remains must fit, since at most N / (cut + 1) bigrams are seen more often than that.  It is 0, so nothing is left out, up to
-``MAX_BITS / BITS`` tokens.
+The filter is made in parts, one for each group of histories, and grows with the input; nothing is left out of it.  Parts of
+``MAX_BITS`` together are broadcast as a block.  If there are more, each block has its own pass over the texts, which keeps the
+levels of the words and bigrams that are in it, a byte each, and a last pass scores with the levels of all blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from binloom.llm import tables
 from binloom.llm.tables import stage
-from binloom.llm.words import SPACE, column, mix, pair, slices, words
+from binloom.llm.words import SPACE, column, cut, mix, numbers, pair, slices, words
 
 BASE = 1.5                 # of the logarithm
 BITS = 8                   # bits of the filter for each entry
-MAX_BITS = 1 << 30
+MAX_BITS = 1 << 30         # of a block of the filter
 COMMON = 1 << 20           # tokens whose exact counts are broadcast, the most frequent ones
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
 _END = np.uint64(0x14057B7EF767814F)
@@ -146,8 +145,8 @@ def _gram(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (history & ~_LOW) | (token >> np.uint64(32))
 
 
-def build(docs: DataFrame, text: str, parts: int, cut: int = 0) -> LogFrequencyFilter:
-    """The filter over all documents.  A task tells each bigram of a piece of its texts once, with its count."""
+def build(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """``part, words``: the filter over all documents.  A task tells each bigram of a piece of its texts once, with its count."""
     def run(batches):
         for batch in slices(batches, "text"):
             _, h, first = _tokens(column(batch, "text"))
@@ -180,20 +179,41 @@ def build(docs: DataFrame, text: str, parts: int, cut: int = 0) -> LogFrequencyF
         first = np.flatnonzero(np.concatenate([[True], (gram[1:] >> np.uint64(32)) != (gram[:-1] >> np.uint64(32))]))
         times, after = np.add.reduceat(count, first), np.diff(np.append(first, len(gram)))
         history = gram[first] & ~_LOW
-        keep, often = count > cut, times > cut
-        items = np.concatenate([_item(gram[keep], _GRAM), _item(history[often], _TIMES), _item(history[often], _AFTER)])
-        levels = level(np.concatenate([count[keep], times[often], after[often]]))
+        items = np.concatenate([_item(gram, _GRAM), _item(history, _TIMES), _item(history, _AFTER)])
+        levels = level(np.concatenate([count, times, after]))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()),
                          "words": pa.array([LogFrequencyFilter.build(items, levels).tobytes()], pa.binary())})
 
     own = docs.select(F.col(f"`{text}`").alias("text"))
-    made = own.mapInArrow(run, "part int, once binary, more binary").groupBy("part").applyInArrow(make, "part int, words binary").toArrow()
-    size = np.zeros(parts, np.int64)
-    at = made["part"].to_numpy()
-    size[at] = np.array([len(x) // 8 for x in made["words"].to_pylist()], np.int64)
-    start = np.concatenate([[0], np.cumsum(size)])
+    return own.mapInArrow(run, "part int, once binary, more binary").groupBy("part").applyInArrow(make, "part int, words binary")
+
+
+def _sizes(made: DataFrame, parts: int) -> np.ndarray:
+    """Words of each part."""
+    out, got = np.zeros(parts, np.int64), made.select("part", (F.length("words") / 8).cast("long").alias("n")).toArrow()
+    out[numbers(got["part"])] = numbers(got["n"])
+    return out
+
+
+def _blocks(size: np.ndarray, most: int) -> list[int]:
+    """Where blocks of at most ``most`` words begin (one part at least), and the number of parts."""
+    out, total = [0], 0
+    for p, n in enumerate(size.tolist()):
+        if total and total + n > most:
+            out.append(p)
+            total = 0
+        total += n
+    return [*out, len(size)]
+
+
+def _loaded(made: DataFrame, size: np.ndarray, lo: int, hi: int) -> LogFrequencyFilter:
+    """The filter's parts ``lo .. hi``."""
+    own = np.zeros(len(size), np.int64)
+    own[lo:hi] = size[lo:hi]
+    start = np.concatenate([[0], np.cumsum(own)])
     out = np.empty(start[-1], np.uint64)
-    for p, raw in zip(at.tolist(), made["words"]):
+    got = made.where((F.col("part") >= lo) & (F.col("part") < hi)).toArrow()
+    for p, raw in zip(got["part"].to_pylist(), got["words"]):
         out[start[p]:start[p + 1]] = np.frombuffer(raw.as_buffer(), np.uint64)
     return LogFrequencyFilter(out, start)
 
@@ -208,9 +228,12 @@ class Model:
     def __init__(self, found: LogFrequencyFilter, parts: int, tokens: int, types: int, texts: int):
         self.filter, self.parts, self.tokens, self.types, self.texts = found, parts, tokens, types, texts
 
-    def _counts(self, history: np.ndarray, token: np.ndarray, kind: np.uint64) -> np.ndarray:
+    def levels(self, history: np.ndarray, token: np.ndarray, kind: np.uint64) -> np.ndarray:
         gram = _gram(history, token) if kind == _GRAM else history & ~_LOW
-        return TYPICAL[self.filter.levels(_filed(history, self.parts), _item(gram, kind))]
+        return self.filter.levels(_filed(history, self.parts), _item(gram, kind))
+
+    def _counts(self, history: np.ndarray, token: np.ndarray, kind: np.uint64) -> np.ndarray:
+        return TYPICAL[self.levels(history, token, kind)]
 
     def log10(self, history: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after its history; equal pairs are asked for once."""
@@ -221,12 +244,44 @@ class Model:
         times[alone == _END] = self.texts
         after = self._counts(alone, alone, _AFTER)
         h, t = where.reshape(2, -1)
-        single = (times[t] + self.types / (self.types + 1.0)) / (self.tokens + self.types)
-        both = np.minimum(self._counts(history, token, _GRAM), times[h])
-        spare = np.maximum(1.0, np.minimum(after[h], times[h]))      # a history that was seen has a follower
-        known = times[h] > 0
-        p = np.where(known, (both + spare * single) / np.where(known, times[h] + spare, 1.0), single)
-        return np.log10(np.minimum(p, 1.0))[inverse.reshape(-1)]
+        return self._log10(times[t], times[h], after[h], self._counts(history, token, _GRAM))[inverse.reshape(-1)]
+
+    def _log10(self, own: np.ndarray, times: np.ndarray, after: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """From counts of each token, its history, the history's followers, and the pair."""
+        single = (own + self.types / (self.types + 1.0)) / (self.tokens + self.types)
+        both = np.minimum(both, times)
+        spare = np.maximum(1.0, np.minimum(after, times))      # a history that was seen has a follower
+        known = times > 0
+        p = np.where(known, (both + spare * single) / np.where(known, times + spare, 1.0), single)
+        return np.log10(np.minimum(p, 1.0))
+
+    def block_levels(self, h: np.ndarray, first: np.ndarray, lo: int, hi: int) -> tuple[list[bytes], list[bytes]]:
+        """For each text, a byte for each token that the parts ``lo .. hi`` have, and three for each token whose history they
+        have: the levels of the history, its followers, and the pair."""
+        before = _histories(h, first)
+        mine, next_ = ((p >= lo) & (p < hi) for p in (_filed(h, self.parts), _filed(before, self.parts)))
+        words_, at = np.unique(h[mine], return_inverse=True)
+        own = self.levels(words_, words_, _TIMES).astype(np.uint8)[at]
+        _, index, at = np.unique(pair(before[next_], h[next_]), return_index=True, return_inverse=True)
+        history, token = before[next_][index], h[next_][index]
+        three = np.stack([self.levels(history, token, kind) for kind in (_TIMES, _AFTER, _GRAM)], axis=1).astype(np.uint8)[at]
+        ends = [np.concatenate([[0], np.cumsum(x)])[first] for x in (mine, next_)]
+        return cut(own, ends[0]), cut(three.reshape(-1), 3 * ends[1])
+
+    def log10_of_levels(self, h: np.ndarray, first: np.ndarray, found: pa.Array, blocks: list[int]) -> np.ndarray:
+        """As :meth:`log10`, from what :meth:`block_levels` gave for each block."""
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        flat = found.flatten()
+        got = []
+        for k, of, width in ((1, h, 1), (2, _histories(h, first), 3)):
+            block = np.searchsorted(blocks, _filed(of, self.parts), "right")
+            raw = np.frombuffer(b"".join(flat.field(k).to_pylist()), np.uint8).reshape(-1, width)
+            out = np.empty((len(h), width))
+            out[np.lexsort([block, doc])] = TYPICAL[raw]       # texts, then blocks, then places
+            got.append(out)
+        own = got[0][:, 0]
+        own[h == _END] = self.texts
+        return self._log10(own, *got[1].T)
 
 
 def score(docs: DataFrame, train: DataFrame, *, text: str = "text", common: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
@@ -243,9 +298,13 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", common: int
     tokens, types, texts = map(int, total)
     h, n, least = _common(vocab, common)
     parts = 8 * tables.parts(spark)
-    cut = max(0, -(-tokens * BITS // max_bits) - 1)
-    model = Model(build(train, text, parts, cut), parts, tokens, types, texts)
+    made = stage(build(train, text, parts), "filter")
+    size = _sizes(made, parts)
+    blocks = _blocks(size, max_bits // 64)
+    one = len(blocks) == 2
+    model = Model(_loaded(made, size, *blocks) if one else None, parts, tokens, types, texts)
     shared = spark.sparkContext.broadcast((h, n, model))
+    rows = docs if one else _with_levels(docs, text, made, size, blocks, model)
     own = docs.withColumns({"__n_tokens": F.lit(0).cast("long"), "__n_known": F.lit(0).cast("long"), "__base": F.lit(0.0),
                             "__score": F.lit(0.0), "__rare": F.array().cast("array<string>"), "__rare_n": F.array().cast("array<long>")})
     names = own.columns
@@ -253,9 +312,10 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", common: int
     def run(batches):
         known, count, judge = shared.value
         for batch in slices(batches, text):
-            yield _scored(batch, text, known, count, judge, names)
+            found = None if one else column(batch, "__levels")
+            yield _scored(batch.select(names[:-6]), text, known, count, judge, names, found, blocks)
 
-    first = stage(docs.mapInArrow(run, own.schema).withColumn("__row", F.monotonically_increasing_id()), "scores")
+    first = stage(rows.mapInArrow(run, own.schema).withColumn("__row", F.monotonically_increasing_id()), "scores")
     # tokens that are not among the common ones: their counts come by a join
     rare = first.select("__row", F.explode(F.arrays_zip(F.col("__rare").alias("t"), F.col("__rare_n").alias("k"))).alias("e"))
     rare = rare.select("__row", F.col("e.t").alias("token"), F.col("e.k").alias("k"))
@@ -270,11 +330,42 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", common: int
                        (F.col("__base") + F.coalesce("__up", F.lit(0.0)) - down).alias("__base"), "__score")
 
 
-def _scored(batch: pa.RecordBatch, text: str, known, count, judge: Model, names) -> pa.RecordBatch:
+def _with_levels(docs: DataFrame, text: str, made: DataFrame, size: np.ndarray, blocks: list[int], model: Model) -> DataFrame:
+    """The documents with ``__levels``, what each block of the filter has of them."""
+    spark = docs.sparkSession
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("__row", F.col(f"`{text}`").alias("text"))
+    passes = []
+    for b, (lo, hi) in enumerate(zip(blocks[:-1], blocks[1:])):
+        own = Model(_loaded(made, size, lo, hi), model.parts, model.tokens, model.types, model.texts)
+        filled = spark.sparkContext.broadcast(own)
+
+        def run(batches, b=b, lo=lo, hi=hi, filled=filled):
+            for batch in slices(batches, "text"):
+                _, h, first = _tokens(column(batch, "text"))
+                own, three = filled.value.block_levels(h, first, lo, hi)
+                yield pa.RecordBatch.from_arrays([column(batch, "__row"), pa.array(np.full(batch.num_rows, b), pa.int32()),
+                                                  pa.array(own, pa.binary()), pa.array(three, pa.binary())], names=["__row", "block", "own", "next"])
+
+        passes.append(stage(texts.mapInArrow(run, "__row long, block int, own binary, next binary"), "levels"))
+        filled.destroy()
+    found = passes[0]
+    for x in passes[1:]:
+        found = found.union(x)
+    found = found.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("block", "own", "next"))).alias("__levels"))
+    return rows.join(found, "__row").drop("__row")
+
+
+def _scored(batch: pa.RecordBatch, text: str, known, count, judge: Model, names, levels, blocks) -> pa.RecordBatch:
     w, h, first = _tokens(column(batch, text))
     at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
     found = known[at] == h if len(known) else np.zeros(len(h), bool)
-    logs = judge.log10(_histories(h, first), h) if judge.tokens else np.zeros(len(h))
+    if not judge.tokens:
+        logs = np.zeros(len(h))
+    elif levels is None:
+        logs = judge.log10(_histories(h, first), h)
+    else:
+        logs = judge.log10_of_levels(h, first, levels, blocks)
     size = np.diff(first)
     add = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else x  # noqa: E731  every text has a token
     # rare tokens of each text, with their number in it

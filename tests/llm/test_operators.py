@@ -73,6 +73,12 @@ def test_scores(spark, docs, none):
     assert lm.score(none, docs).count() == 0
 
 
+def test_scores_with_a_filter_in_blocks(spark, docs):
+    own = docs.select("doc_id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(lm.score(own, own, max_bits=1 << 14)) == rows(lm.score(own, own))
+
+
 def test_filter_keeps_levels():
     items = np.arange(1, 3000, dtype=np.uint64)
     levels = 1 + (np.arange(len(items)) % 6)
