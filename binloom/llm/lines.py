@@ -2,7 +2,8 @@
 
 Two lines are alike if one word inserted, deleted or replaced makes them equal.  A line's deletion neighbourhood is the
 line itself and the line without each of its words; alike lines share a member.  Members are joined as hashed keys,
-partners are verified by their words, and a line goes if an alike one stands earlier.
+partners are verified by their words, and a line goes if an alike one stands earlier.  Lines of few words have no edit to
+spare, they go as copies only.  In scripts without spaces each character is a word.
 
 One edit leaves a half of each line as it is, so only lines that share a half with a different line put their
 neighbourhood into the join: a filter of fixed size, made from the halves that are shared, tells them.  It may let others
@@ -17,19 +18,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from binloom.llm import tables
 from binloom.llm.tables import stage
-from binloom.llm.words import SPACE, _INV, _powers, column, mix, numbers, slices, words
+from binloom.llm.words import SPACE, Words, _INV, _buffer, _powers, column, hash_spans, mix, numbers, slices, spans
 
 MIN_WORDS = 5
 _WHOLE = 0xFFFFFFFF
 _ENTRY = np.dtype([("key", "<u8"), ("line", "<u8"), ("at", "<u4")])
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
+# fixed values: code points of scripts without spaces: Thai, Lao; Burmese; Khmer; kana; Chinese characters; narrow kana
+_SOLO = np.array([(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+                  (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+
+
+def _line_words(texts) -> Words:
+    """Words of texts; each character of a script without spaces is one."""
+    data, bounds = _buffer(texts)
+    start, end = spans(data, bounds, SPACE)
+    solo, after = [], []
+    for lead, mask, size in ((0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        at = np.flatnonzero((data & mask) == lead)
+        code = data[at].astype(np.int64) & (0xFF ^ mask)
+        for k in range(1, size):
+            code = code << 6 | data[at + k] & 0x3F
+        k = np.searchsorted(_SOLO[:, 0], code, "right") - 1
+        at = at[(k >= 0) & (code <= _SOLO[k, 1])]
+        solo.append(at)
+        after.append(at + size)
+    solo, after = np.concatenate(solo), np.concatenate(after)
+    if len(solo):
+        start, end = (np.union1d(start, np.concatenate([solo, np.setdiff1d(after, end)])),
+                      np.union1d(end, np.concatenate([after, np.setdiff1d(solo, start)])))
+    return Words(data, bounds, start, end, hash_spans(data, start, end), np.searchsorted(start, bounds).astype(np.int64))
 
 
 class Lines:
     """Lines of a batch that have enough words: text, line number, and word range of each."""
 
     def __init__(self, texts, min_words: int):
-        self.w = w = words(texts, chars=SPACE)
+        self.w = w = _line_words(texts)
         breaks = np.flatnonzero(w.data == 0x0A)
         before = np.searchsorted(breaks, w.start)                 # line breaks before each word, in the buffer
         doc = w.doc
@@ -77,13 +102,13 @@ class Lines:
 
 
 def _read_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id, k1, number, line, halves``: every line with enough words."""
+    """``id, k1, number, line, halves``: every line that has a word; those with few words have no halves."""
     def run(batches):
         for batch in slices(batches, "text"):
-            got = Lines(column(batch, "text"), min_words)
-            doc = pa.array(got.doc)
-            halves = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(got.first) + 1, 4), pa.int32()),
-                                              pa.array(got.halves().reshape(-1).view(np.int64)))
+            got = Lines(column(batch, "text"), 1)
+            doc, long = pa.array(got.doc), got.size >= min_words
+            halves = pa.ListArray.from_arrays(pa.array(np.append(0, 4 * np.cumsum(long)), pa.int32()),
+                                              pa.array(got.halves()[long].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([column(batch, "id").take(doc), column(batch, "k1").take(doc), pa.array(got.number, pa.int32()),
                                               pa.array(got.line.view(np.int64)), halves], names=["id", "k1", "number", "line", "halves"])
 
@@ -185,8 +210,9 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                   buckets: int | None = None) -> DataFrame:
     """``id, k1, removed``: for documents that lose lines, their numbers from 0, in order.
 
-    A line of at least ``min_words`` words goes if an earlier line is equal to it in words, or one word's insertion,
-    deletion or replacement away, whether that line itself stays or goes.  Earlier is by id (null last), then line number.
+    A line goes if an earlier line is equal to it in words or, where both have ``min_words`` words or more, one word's
+    insertion, deletion or replacement away, whether that line itself stays or goes.  A character of a script without spaces
+    is a word.  Earlier is by id (null last), then line number.
     Rows with equal id and equal text are one document, and each of them gets its result.
     """
     own = _numbered(docs, doc_id, text)
@@ -223,7 +249,7 @@ def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go; line breaks stay between kept lines.
 
-    Null and empty texts, short lines and blank ones are as before; a document whose lines all go has an empty text; an
+    Null and empty texts and blank lines are as before; a document whose lines all go has an empty text; an
     empty table gives an empty one; other columns pass through.
     """
     marked = mark_lines(docs, doc_id=doc_id, text=text, min_words=min_words)

@@ -284,6 +284,15 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    rows = [(1, "a b\nthe end\n\nx"), (2, "the  end\nthe ends\n\n"), (3, "你好世界今天天气很好\nthe end"),
+            (4, "你好世界今天天气很坏\n你好\nthe end now"), (5, "你好\nใครขายไก่ไข่\nThe end\nx"), (6, "ใครขายไก่ไข่\nx你\nx 你\n你"),
+            (7, "你坏\nab你好世界今天天气很坏"), (8, None)]
+    out = lines.mark_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {1: [], 2: [0], 3: [1], 4: [0], 5: [0, 3], 6: [0, 2], 7: [1], 8: []}
+    assert {r.doc_id: r["__removed"] for r in out} == want
+
+
 def test_packing(docs, none):
     import public_tokenizers
 
