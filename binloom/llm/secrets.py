@@ -2,7 +2,8 @@
 
 Candidates are long runs of key-like characters.  Features, all from SQL functions: length; how often the character class
 changes and how often it stays; shares of digits, capitals, vowels and hexadecimal digits; entropy; how much of the candidate
-is made of common letter groups (the dictionary's coverage); the document's path; and the words beside it.  Spark's
+is made of common letter groups (the dictionary's coverage); the document's path; the words beside it; and the name that
+stands before it in its own word, as in ``API_KEY="..."`` or minified JSON.  Spark's
 random forest learns from labelled findings.  Nothing here runs Python on the executors.
 """
 
@@ -33,22 +34,34 @@ FEATURES = ["length", "changes", "stays", "digits", "capitals", "lower", "vowels
 
 
 def findings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str = "source", least: int = LEAST) -> DataFrame:
-    """``doc_id, position, candidate, path, before, between, after``: each word of a text that holds ``least`` or more key
-    characters in a row, with the words beside it.
+    """``doc_id, position, run, candidate, path, before, between, after, word, own, signed, marked``: each run of ``least`` or
+    more key characters, with the words beside its word.
 
-    ``position`` counts words from 0.  Whole texts are searched; null and empty ones have none.
+    ``position`` counts words from 0, ``run`` the runs of a word.  ``own`` is the name that stands before the run in its word
+    or, with an equals sign, at the run's beginning; ``signed`` tells whether an equals sign or colon follows it and ``marked``
+    whether a quotation mark is before the run.  Whole texts are searched; null and empty ones have none.
     """
+    key = _KEY + "{%d,}" % least
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"),
                       F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_WORD), F.lit(0)).alias("w"))
-    long = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, _KEY + "{%d,}" % least, 0).alias("c"), x.alias("x"))),
-                    lambda s: s["c"] != "")
+    long = F.transform(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(key)),
+                       lambda s: F.struct(s["i"].alias("i"), F.regexp_extract_all(s["x"], F.lit(key), F.lit(0)).alias("c"),
+                                          F.split(s["x"], key, -1).alias("p"), s["x"].alias("x")))
     one = own.select("doc_id", "path", "w", F.explode(long).alias("s"))
     beside = lambda k: F.coalesce(F.try_element_at("w", F.col("s.i") + 1 + k), F.lit(""))
     before = F.when(F.col("s.i") >= 2, F.try_element_at("w", F.greatest(F.lit(1), F.col("s.i") - 1))).otherwise(F.lit(""))
     last = F.when(F.col("s.i") >= 1, F.try_element_at("w", F.greatest(F.lit(1), F.col("s.i")))).otherwise(F.lit(""))
-    return one.select("doc_id", F.col("s.i").cast("long").alias("position"), F.col("s.c").alias("candidate"), "path",
-                      F.lower(before).alias("before"), F.lower(last).alias("between"), F.lower(beside(1)).alias("after"),
-                      F.col("s.x").alias("word"))
+    word = one.select("doc_id", F.col("s.i").cast("long").alias("position"), "path", F.lower(before).alias("before"),
+                      F.lower(last).alias("between"), F.lower(beside(1)).alias("after"), F.col("s.x").alias("word"),
+                      F.col("s.c").alias("c"), F.col("s.p").alias("p"))
+    each = word.select("*", F.posexplode("c").alias("run", "candidate"))
+    part = F.get("p", F.col("run"))                      # between the run before and this one
+    lead = F.regexp_extract("candidate", r"^[A-Za-z][A-Za-z0-9_\-]*=(?=[^=])", 0)
+    tail = F.concat(F.coalesce(F.get("c", F.col("run") - 1), F.lit("")), part, lead)
+    each = each.withColumns({"signed": tail.rlike("[=:][\"'`]*$"), "marked": part.rlike("[\"'`]$")})
+    names = F.filter(F.split(F.when(F.col("signed"), tail).otherwise(part), r"[^A-Za-z0-9_.\-]+"), lambda x: x != "")
+    return each.select("doc_id", "position", "run", "candidate", "path", "before", "between", "after", "word",
+                       F.lower(F.coalesce(F.get(names, F.size(names) - 1), F.lit(""))).alias("own"), "signed", "marked")
 
 
 def _share(of: Column, chars: str) -> Column:
@@ -64,15 +77,17 @@ def features(found: DataFrame) -> DataFrame:
     counts = F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: x == y)) / F.length(c))
     entropy = F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
     groups = F.regexp_replace(F.lower(c), "|".join(sorted(GROUPS, key=lambda g: (-len(g), g))), "")
-    near = F.concat_ws(" ", "before", "between")
+    head = F.col("run") == 0                 # the words before tell of a word's first run; later ones have their own names
+    near = F.concat_ws(" ", F.when(head, F.col("before")), F.when(head, F.col("between")), "own")
     says = lambda words: near.rlike(r"(?:^|[^a-z])(?:" + "|".join(words) + r")(?:$|[^a-z0-9])").cast("double")
     return found.select("*", F.length(c).cast("double").alias("length"), (blocks - 1).cast("double").alias("changes"),
                         (F.length(c) - blocks).cast("double").alias("stays"), _share(c, "0-9").alias("digits"),
                         _share(c, "A-Z").alias("capitals"), _share(c, "a-z").alias("lower"), _share(c, "aeiouAEIOU").alias("vowels"),
                         _share(c, "0-9a-f").alias("hexes"), _share(c, r"+/_=\-").alias("signs"), entropy.alias("entropy"),
                         (1 - F.length(groups) / F.length(c)).alias("covered"), says(HINTS).alias("hinted"),
-                        says(HARMLESS).alias("harmless"), F.col("word").rlike("^[\"'`]").cast("double").alias("quoted"),
-                        F.col("between").rlike("[=:]$").cast("double").alias("assigned"),
+                        says(HARMLESS).alias("harmless"),
+                        ((head & F.col("word").rlike("^[\"'`]")) | F.col("marked")).cast("double").alias("quoted"),
+                        ((head & F.col("between").rlike("[=:]$")) | F.col("signed")).cast("double").alias("assigned"),
                         F.size(F.split("path", "/")).cast("double").alias("path_depth"),
                         F.lower("path").rlike("test|example|fixture|mock").cast("double").alias("path_test"))
 
@@ -121,5 +136,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     held = tables.fold("doc_id", 4) == 2
     model = train(found.where(~held))
     out = classify(found, model)
-    return out.select("doc_id", "position", held.alias("held_out"), F.sha2("candidate", 256).alias("candidate_sha256"),
+    return out.select("doc_id", "position", "run", held.alias("held_out"), F.sha2("candidate", 256).alias("candidate_sha256"),
                       F.col("length").cast("long").alias("n_chars"), F.round("probability", 6).alias("probability"), "secret")

@@ -162,6 +162,19 @@ def test_secrets(spark, docs, none):
     assert secrets.findings(none).count() == 0
 
 
+def test_secrets_in_one_word(spark):
+    a, b = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b"))
+    rows = [(1, f'{{"api_key":"{a}","commit":"{b}"}}'), (2, f'API_KEY="{a}"'), (3, f"see https://h.io/{a}?key={b}"), (4, f"x {a},{b}"),
+            (5, f'AWS_SECRET_ACCESS_KEY="{a}"'), (6, f'token = "{a}","{b}"')]
+    found = secrets.features(secrets.findings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("x"))))
+    out = found.withColumn("label", secrets.weak_label()).collect()
+    got = {(r.doc_id, r.run): (r.position, r.candidate[-40:], r.hinted, r.assigned, r.quoted, r.harmless, r.label) for r in out}
+    assert got == {(1, 0): (0, a, 1, 1, 1, 0, 1), (1, 1): (0, b, 0, 1, 1, 1, 0), (2, 0): (0, a, 1, 1, 1, 0, 1),
+                   (3, 0): (1, a, 0, 0, 0, 0, 0), (3, 1): (1, b, 1, 1, 0, 0, None), (4, 0): (1, a, 0, 0, 0, 0, 0), (4, 1): (1, b, 0, 0, 0, 0, 0),
+                   (5, 0): (0, "AWS_SECRET_ACCESS_KEY=", 0, 0, 0, 0, 0), (5, 1): (0, a, 1, 1, 1, 0, 1),
+                   (6, 0): (2, a, 1, 1, 1, 0, 1), (6, 1): (2, b, 0, 0, 1, 0, 0)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(150)]
