@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from binloom.session import fresh_path
 
@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_results(df: DataFrame, results: list[tuple[str, str]]) -> tuple[DataFrame, T.StructType]:
+    """The table without columns that bear a result's name, whatever their case, and its schema with the results at the end."""
+    taken = {name.lower() for name, _ in results}
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    fields = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in results]
+    return plain, T.StructType([*plain.schema.fields, *fields])
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """Remainder of the CRC of an id; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
