@@ -65,12 +65,3 @@ def masked_sort_desc(values: Column, keep) -> Column:
 
 def index_pairs(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i + 1, n)]
-
-
-def pairs_of(arr: Column, limit: int) -> Column:
-    """All unordered pairs of the first ``limit`` elements, as structs ``(a, b)``."""
-    made = [
-        F.when(F.size(arr) > j, F.struct(F.get(arr, F.lit(i)).alias("a"), F.get(arr, F.lit(j)).alias("b")))
-        for i, j in index_pairs(limit)
-    ]
-    return F.filter(F.array(*made), lambda p: p.isNotNull())

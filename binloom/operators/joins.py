@@ -60,33 +60,32 @@ def friend_join(df: DataFrame, friend: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(friend, keys, "left")
 
 
-def any_near(array: str, k: int, test) -> Column:
-    """Whether any of the first ``k`` elements satisfies ``test``; written out, so it compiles."""
-    out = F.lit(False)
-    for i in range(k):
-        out = out | F.coalesce(test(F.get(F.col(array), F.lit(i))), F.lit(False))
-    return out
+def cell_join(objects: DataFrame, others: DataFrame, key: str, cone: float, how: str = "inner", cut2: float | None = None) -> DataFrame:
+    """Objects with the others of their event that are nearer than ``cone`` in (eta, phi); both tables are flat.
 
-
-def clean_objects(objects: DataFrame, others: DataFrame, key: str, cone: float) -> DataFrame:
-    """Objects with no other object of their event within ``cone`` in (eta, phi); both tables are flat.
-
-    Cells at least as wide as the cone are part of the join key, with each of ``others`` in its own and the cells
-    around it, so an event with very many objects is spread over its cells and only near pairs are compared.
+    Cells are part of the join key, with each of ``others`` in those that its cone touches, so an event with very many
+    objects is spread over its cells and only near pairs are compared.  The
+    others' columns get the prefix ``o_``, with ``o_dr2`` for the squared distance.  ``cut2`` is the squared cone, if not its plain square.
+    ``how``: inner, left or left_anti.
     """
-    around = int(2 * math.pi / cone)
-
-    def cells(eta: Column, phi: Column) -> tuple[Column, Column]:
-        return F.floor(eta / (cone * (1 + 1e-9))), F.pmod(F.floor((phi / (2 * math.pi) + 0.5) * around), F.lit(around))
-
-    eta, phi = cells(F.col("eta"), F.col("phi"))
-    mine = objects.withColumns({"__ce": eta, "__cp": phi})
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    theirs = others.select(F.col(key).alias("__key"), F.col("eta").alias("__eta"), F.col("phi").alias("__phi"),
-                           eta.alias("__e"), phi.alias("__p"))
-    theirs = theirs.withColumn("__de", F.explode(steps)).withColumn("__dp", F.explode(steps)).select(
-        "__key", "__eta", "__phi", (F.col("__e") + F.col("__de")).alias("__e"),
-        F.pmod(F.col("__p") + F.col("__dp"), F.lit(around)).alias("__p"))
-    near = ((F.col(key) == F.col("__key")) & (F.col("__ce") == F.col("__e")) & (F.col("__cp") == F.col("__p"))
-            & (delta_r2(F.col("__eta"), F.col("__phi"), F.col("eta"), F.col("phi")) < cone * cone))
-    return mine.join(theirs, near, "left_anti").drop("__ce", "__cp")
+    cut2 = cone * cone if cut2 is None else cut2
+    # cells twice as wide as the cone: those that an object's cone touches are two on each axis at most
+    around, reach = max(1, int(math.pi / cone)), cone * (1 + 1e-9)
+    ring = lambda eta: F.floor(eta / (2 * cone))
+    turn = lambda phi: F.floor((phi / (2 * math.pi) + 0.5) * around)
+    mine = objects.withColumns({"__ce": ring(F.col("eta")), "__cp": F.pmod(turn(F.col("phi")), F.lit(around))})
+    rings = F.sequence(ring(F.col("eta") - reach), ring(F.col("eta") + reach))
+    turns = F.array_distinct(F.transform(F.sequence(turn(F.col("phi") - reach), turn(F.col("phi") + reach)), lambda p: F.pmod(p, F.lit(around))))
+    theirs = others.select(F.col(key).alias("__key"), *[F.col(c).alias(f"o_{c}") for c in others.columns if c != key],
+                           F.explode(rings).alias("__e"), turns.alias("__p")).withColumn("__p", F.explode("__p"))
+    dr2 = delta_r2(F.col("o_eta"), F.col("o_phi"), F.col("eta"), F.col("phi"))
+    near = ((F.col(key) == F.col("__key")) & (F.col("__ce") == F.col("__e")) & (F.col("__cp") == F.col("__p")) & (dr2 < cut2))
+    out = mine.join(theirs, near, how)
+    if how != "left_anti":
+        out = out.withColumn("o_dr2", dr2)
+    return out.drop("__ce", "__cp", "__key", "__e", "__p")
+
+
+def clean_objects(objects: DataFrame, others: DataFrame, key: str, cone: float, cut2: float | None = None) -> DataFrame:
+    """Objects with no other object of their event within ``cone`` in (eta, phi)."""
+    return cell_join(objects, others.select(key, "eta", "phi"), key, cone, "left_anti", cut2)

@@ -1,51 +1,83 @@
-"""Operators on flat objects that need their event's leading objects: dressing, cleaning, fiducial."""
+"""Operators on flat objects of an event: dressing, pairs, masks of combinations, fiducial."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from binloom.functions.events import at
-from binloom.functions.kinematics import MISSING, P4, delta_r2, transverse_mass
-from binloom.operators.joins import any_near, skew_safe_join
-from binloom.operators.scratch import Scratch
+from binloom.functions.kinematics import MISSING, P4, transverse_mass
+from binloom.operators.joins import cell_join
 
 
-def nearest(array: str, k: int, eta: Column, phi: Column) -> Column:
-    """Struct (dr2, i) of the closest of at most ``k`` elements; the first one in a tie."""
-    objs = [F.get(F.col(array), F.lit(i)) for i in range(k)]
-    dist = [F.when(o.isNotNull(), F.struct(delta_r2(o["eta"], o["phi"], eta, phi).alias("dr2"), F.lit(i).alias("i")))
-            for i, o in enumerate(objs)]
-    return F.array_min(F.array(*dist))
+def _with_copies(objects: DataFrame) -> DataFrame:
+    """Equal rows as one with their number, so that rows can be told apart without numbering them."""
+    return objects.groupBy(*objects.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def dress(leptons: DataFrame, photons: DataFrame, key: str, array: str, k: int, dr2_cut: float) -> DataFrame:
-    """Leptons (at most ``k`` per event) with the momenta of the photons nearest to them added.
+def dress(leptons: DataFrame, photons: DataFrame, key: str, order: list[str], dr2_cut: float) -> DataFrame:
+    """All leptons as (key, pt, eta, phi) with the momenta of the photons nearest to them added.
 
-    Photons stay flat: each finds its lepton, and momenta are summed per (event, lepton) with
-    map-side combining, so their number per event does not matter.
+    Both tables are flat with pt, eta, phi, mass; ``order`` names columns of the leptons (a leading ``-``: falling) and says which of
+    several at one distance is the first.  A photon goes to its nearest lepton if that is within the cut.  It meets
+    leptons of neighbouring cells only, so a hot event is spread.  Of equal leptons one is dressed, the others stay as they are.
     """
-    near = nearest(array, k, F.col("eta"), F.col("phi"))
-    own = skew_safe_join(photons, leptons.select(key, array), key).withColumn("__n", near)
-    own = own.filter(F.col("__n.dr2") < dr2_cut)
+    fields = [c for c in leptons.columns if c != key]
+    first = [(-F.col("o_" + c[1:]) if c.startswith("-") else F.col("o_" + c)).alias(f"k{i}") for i, c in enumerate(order)]
+    photons = _with_copies(photons.select(key, "pt", "eta", "phi", "mass"))
+    near = cell_join(photons, leptons, key, math.sqrt(dr2_cut), cut2=dr2_cut)
+    own = near.groupBy(*photons.columns).agg(F.min(F.struct("o_dr2", *first, *[f"o_{c}" for c in fields])).alias("n"))
     v = P4.ptetaphim(F.col("pt"), F.col("eta"), F.col("phi"), F.col("mass"))
-    extra = own.select(key, F.col("__n.i").alias("i"), v.px.alias("px"), v.py.alias("py"), v.pz.alias("pz"))
-    flat = leptons.select(key, F.posexplode(array).alias("i", "o"))
-    u = P4.of(F.col("o"))
-    base = flat.select(key, "i", u.px.alias("px"), u.py.alias("py"), u.pz.alias("pz"))
-    total = base.unionByName(extra).groupBy(key, "i").agg(*[F.sum(c).alias(c) for c in ("px", "py", "pz")])
+    p3 = ("px", "py", "pz")
+    extra = own.select(key, *[F.col("n")[f"o_{c}"].alias(c) for c in fields],
+                       *[(getattr(v, p) * F.col("copies")).alias(p) for p in p3], F.lit(0).alias("copies"))
+    base = leptons.select(key, *fields, *[F.lit(0.0).alias(p) for p in p3], F.lit(1).alias("copies"))
+    total = base.unionByName(extra).groupBy(key, *fields).agg(*[F.sum(p).alias(p) for p in p3], F.sum("copies").alias("copies"))
+    total = total.withColumns({p: F.col(p) + getattr(v, p) for p in p3})
     pt = F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py"))
-    shaped = total.select(key, "i", pt.alias("pt"), F.atan2("py", "px").alias("phi"),
-                          F.asinh(F.try_divide(F.col("pz"), pt)).alias("eta"))
-    return shaped.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "pt", "eta", "phi"))).alias("dressed"))
+    dressed = F.struct(pt.alias("pt"), F.asinh(F.try_divide(F.col("pz"), pt)).alias("eta"), F.atan2("py", "px").alias("phi"))
+    bare = F.transform(F.sequence(F.lit(2), F.greatest(F.col("copies"), F.lit(2))), lambda _: F.struct("pt", "eta", "phi"))
+    rows = F.when(F.col("copies") > 1, F.concat(F.array(dressed), bare)).otherwise(F.array(dressed))
+    return total.select(key, F.explode(rows).alias("d")).select(key, "d.*")
+
 
+def pair_sums(objects: DataFrame, key: str, value: str) -> DataFrame:
+    """Per event the number of unordered pairs (``n_pairs``) and the sum of the products of their values (``products``).
 
-def count_clean(objects: DataFrame, others: DataFrame, key: str, array: str, k: int, dr2_cut: float,
-                min_pt: float, name: str) -> DataFrame:
-    """Per event the number of objects away from every element above ``min_pt``."""
-    joined = skew_safe_join(objects, others.select(key, array), key, "left")
-    near = any_near(array, k, lambda o: (o["pt"] >= min_pt) & (
-        delta_r2(o["eta"], o["phi"], F.col("eta"), F.col("phi")) < dr2_cut))
-    return joined.groupBy(key).agg(F.count_if(~near).alias(name))
+    No pair is formed: products of pairs add up to half of (sum^2 - sum of squares).
+    """
+    x = F.col(value)
+    sums = objects.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    return sums.select(key, F.expr("n * (n - 1) div 2").alias("n_pairs"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("products"))
+
+
+def pairs_within(objects: DataFrame, key: str, axis: str, width: float) -> DataFrame:
+    """Per event the number of unordered pairs nearer than ``width`` on one axis (``n_near``); events without any are left out.
+
+    Equal values are counted together, and only values of one cell or of neighbouring cells are compared; cells are part of the
+    join key, so a hot event is spread.
+    """
+    one = objects.where(F.col(axis).isNotNull()).groupBy(key, F.col(axis).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    one = one.withColumn("cell", F.floor(F.col("x") / (width * (1 + 1e-9))))
+    two = one.select(F.col(key).alias("__key"), F.col("x").alias("y"), F.col("n").alias("m"),
+                     F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("__cell"))
+    apart = F.col("y") - F.col("x")
+    cross = one.join(two, (F.col(key) == F.col("__key")) & (F.col("cell") == F.col("__cell")) & (apart > 0) & (apart < width))
+    both = one.select(key, F.expr("n * (n - 1) div 2").alias("n_near")).unionByName(cross.select(key, (F.col("n") * F.col("m")).alias("n_near")))
+    return both.groupBy(key).agg(F.sum("n_near").alias("n_near"))
+
+
+def near_counts(objects: DataFrame, others: DataFrame, key: str, cone: float) -> DataFrame:
+    """Every object (equal rows once, with ``copies``) with ``n_near``, the others of its event within the cone, and ``n_others``, all of them.
+
+    The mask of a combination reduced over its second side is ``n_near > 0`` for any and ``n_near = n_others`` for all.
+    """
+    own = _with_copies(objects)
+    near = cell_join(own, others.select(key, "eta", "phi"), key, cone, "left")
+    near = near.groupBy(*own.columns).agg(F.count("o_dr2").alias("n_near"))
+    total = others.groupBy(key).agg(F.count(F.lit(1)).alias("n_others"))
+    return near.join(total, key, "left").withColumn("n_others", F.coalesce("n_others", F.lit(0)))
 
 
 def fiducial_flag(lep: Column, jet: Column, met: Column, met_phi: Column) -> Column:
@@ -63,34 +95,3 @@ def fiducial_flag(lep: Column, jet: Column, met: Column, met_phi: Column) -> Col
               & (F.abs(l1["eta"]) < 2.5) & (F.abs(l2["eta"]) < 2.5)
               & (transverse_mass(ll.pt(), ll.phi(), met, met_phi) >= 60))
     return F.when(decided, F.when(inside, 1).otherwise(0)).otherwise(F.lit(int(MISSING)))
-
-
-# Status bits 0, 2, 3 and 4 mark prompt leptons and tau decay products; codes of the
-# charged leptons and of the Z
-PROMPT_BITS = 1 << 0 | 1 << 2 | 1 << 3 | 1 << 4
-LEPTONS = (11, 13, 15)
-Z = 23
-
-
-def mother_pt(df: DataFrame, gen: str, fallback: Column, name: str) -> DataFrame:
-    """pt of the mother shared by two final leptons, else the fallback.
-
-    With any Z among the leptons' mothers the shared mother must be a Z; without one it must be
-    the first particle.  The first lepton (in record order) with such a partner decides.
-    ``gen`` holds structs with pt, pdgId, mother (index into the same record or -1) and flags.
-    """
-    s = Scratch(df)
-    g = F.col(gen)
-
-    def seen(x, i):
-        mother = F.when(x["mother"] >= 0, F.get(g, x["mother"])["pdgId"])
-        final = F.abs(x["pdgId"]).isin(*LEPTONS) & (x["flags"].bitwiseAND(F.lit(PROMPT_BITS)) != 0)
-        return F.struct(i.alias("i"), x["mother"].alias("m"), F.coalesce(mother, F.lit(0)).alias("id"), final.alias("ok"))
-
-    cands, = s.put([F.filter(F.transform(g, seen), lambda c: c["ok"])])
-    any_z, = s.put([F.exists(cands, lambda c: c["id"] == Z)])
-    wanted, = s.put([F.filter(cands, lambda c: F.when(any_z, c["id"] == Z).otherwise(c["m"] == 0))])
-    # partners are sought among all final leptons; a partner has the same mother, hence is wanted too
-    shared = F.filter(wanted, lambda c: F.exists(wanted, lambda o: (o["i"] > c["i"]) & (o["m"] == c["m"])))
-    first, = s.put([F.get(shared, F.lit(0))["m"]])
-    return s.done({name: F.coalesce(F.when(first >= 0, F.get(g, first)["pt"]), fallback)})

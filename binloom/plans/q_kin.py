@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import math
+
+from pyspark.sql import Window, functions as F
 
 from binloom.functions import arrays as A, events as E, kinematics as K
 from binloom.operators import objects as O
+from binloom.operators.ancestry import mother_pt as shared_mother, with_ancestor
 from binloom.operators.collect import rank_objects
 from binloom.operators.joins import clean_objects
 from binloom.plans.registry import dr2_sql, mass_sql, p4_sql, query, r, rs, with_ctes, wrap_sql
+from binloom.session import stage
 from binloom.sources import driver_tables as T
 
 KIN = ["pt", "eta", "phi"]
@@ -216,59 +220,114 @@ def overlap_removal(spark, sf_dir):
 
 
 @query("q_gen_dphi", with_ctes(f"""
-SELECT event, {rs(f"CASE WHEN e2 IS NULL THEN -9999 ELSE {wrap_sql('(CASE WHEN e1 > e2 THEN p1 - p2 ELSE p2 - p1 END)')} END")} AS dphi FROM (
+SELECT ev.event, {rs(f"CASE WHEN e2 IS NULL THEN -9999 ELSE {wrap_sql('(CASE WHEN e1 > e2 THEN p1 - p2 ELSE p2 - p1 END)')} END")} AS dphi FROM ev LEFT JOIN (
   SELECT event, max(CASE WHEN k=1 THEN eta END) AS e1, max(CASE WHEN k=2 THEN eta END) AS e2,
     max(CASE WHEN k=1 THEN phi END) AS p1, max(CASE WHEN k=2 THEN phi END) AS p2 FROM (
-    SELECT *, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) AS k FROM clean WHERE pt >= 30) GROUP BY event)""",
-    "lep", clean=OVERLAP.format(d=_D, c=0.16)))
+    SELECT *, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) AS k FROM clean WHERE pt >= 30) GROUP BY event) USING (event)""",
+    "ev", "items", clean=OVERLAP.format(d=_D, c=0.16)))
 def gen_dphi(spark, sf_dir):
-    """Leading pair of the jets left after cleaning; ranked after cleaning, so none is lost."""
+    """Leading pair of the jets left after cleaning; ranked after cleaning, so none is lost.  Every event has its row."""
     two = rank_objects(cleaned_jets(spark, sf_dir, 0.4).filter("pt >= 30"), ["event"], T.ORDER, 2)
     jets = two.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", *KIN))).alias("jet"))
-    return jets.select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
+    return T.ev(spark, sf_dir).select("event").join(jets, "event", "left").select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
 
 
 _DP = dr2_sql("L", "P").replace("L_eta", "l.eta").replace("L_phi", "l.phi").replace("P_eta", "p.eta").replace("P_phi", "p.phi")
 _V = {k: v.replace("o_", "") for k, v in p4_sql("o").items()}
+DRESSED = dict(
+    al="SELECT * FROM obj WHERE kind = 'lepton'",
+    near=f"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY event, line, part, supp, ship, pt, eta, phi, mass ORDER BY d2, l) AS k FROM (
+      SELECT p.*, l.idx AS l, {_DP} AS d2 FROM (SELECT * FROM items WHERE kind='jet' AND flavour=0) p JOIN al l ON l.event = p.event)) WHERE k = 1 AND d2 < 0.09""",
+    parts=f"""SELECT event, l AS idx, {_V['px']} AS px, {_V['py']} AS py, {_V['pz']} AS pz FROM near
+      UNION ALL SELECT event, idx, {_V['px']}, {_V['py']}, {_V['pz']} FROM al""",
+    drl="""SELECT event, idx, sqrt(px*px+py*py) AS pt, atan2(py,px) AS phi, asinh(pz/sqrt(px*px+py*py)) AS eta FROM (
+      SELECT event, idx, sum(px) AS px, sum(py) AS py, sum(pz) AS pz FROM parts GROUP BY ALL)""")
+
+
+def dressed_leptons(spark, sf_dir):
+    """All leptons of an event, with photons (jets without flavour) within 0.3 added to the nearest."""
+    objects = T.items(spark, sf_dir).select("event", *KIN, "mass", "kind", "flavour", *T.ORDER[1:])
+    leptons = objects.filter("kind = 'lepton'").drop("kind", "flavour")
+    return O.dress(leptons, objects.filter("kind = 'jet' AND flavour = 0"), "event", T.ORDER, 0.09)
+
+
+@query("q_dressed_leptons", with_ctes(f"""
+SELECT event, count(*) AS n, {rs('max(pt)')} AS lead, {rs('sum(pt)')} AS ht, {rs('sum(eta)')} AS eta, {rs('sum(pt * cos(phi))')} AS px FROM drl GROUP BY event""",
+    "obj", **DRESSED))
+def dressed(spark, sf_dir):
+    return dressed_leptons(spark, sf_dir).groupBy("event").agg(
+        F.count(F.lit(1)).alias("n"), r(F.max("pt")).alias("lead"), r(F.sum("pt")).alias("ht"), r(F.sum("eta")).alias("eta"),
+        r(F.sum(F.col("pt") * F.cos("phi"))).alias("px"))
 
 
 @query("q_dressing", with_ctes("""
-SELECT j.event, count(*) FILTER (NOT EXISTS (SELECT 1 FROM drl d WHERE d.event = j.event AND d.pt >= 10
+SELECT ev.event, coalesce(n_jets, 0) AS n_jets FROM ev LEFT JOIN (
+  SELECT j.event, count(*) FILTER (NOT EXISTS (SELECT 1 FROM drl d WHERE d.event = j.event AND d.pt >= 10
     AND ((d.eta-j.eta)*(d.eta-j.eta) + """ + wrap_sql("(d.phi-j.phi)") + "*" + wrap_sql("(d.phi-j.phi)") + """) < 0.016)) AS n_jets
-FROM items j WHERE j.kind = 'jet' AND j.flavour <> 0 AND j.pt >= 30 GROUP BY j.event""", "lep",
-    near=f"""SELECT event, line, part, supp, ship, pt, eta, phi, mass, arg_min(idx, d2*100 + idx*1e-12) AS l, min(d2) AS d2 FROM (
-      SELECT p.*, l.idx, {_DP} AS d2 FROM (SELECT * FROM items WHERE kind='jet' AND flavour=0) p JOIN lep l ON l.event = p.event) GROUP BY ALL""",
-    parts=f"""SELECT event, l AS idx, {_V['px']} AS px, {_V['py']} AS py, {_V['pz']} AS pz FROM near WHERE d2 < 0.09
-      UNION ALL SELECT event, idx, {_V['px']}, {_V['py']}, {_V['pz']} FROM lep""",
-    drl="""SELECT event, idx, sqrt(px*px+py*py) AS pt, atan2(py,px) AS phi, asinh(pz/sqrt(px*px+py*py)) AS eta FROM (
-      SELECT event, idx, sum(px) AS px, sum(py) AS py, sum(pz) AS pz FROM parts GROUP BY ALL)"""))
+  FROM items j WHERE j.kind = 'jet' AND j.flavour <> 0 AND j.pt >= 30 GROUP BY j.event) USING (event)""", "ev", "obj", **DRESSED))
 def dressing(spark, sf_dir):
-    leptons = T.collections(spark, sf_dir, {"lep": 3}, KIN + ["mass"])
-    flat = jets_flat(spark, sf_dir).select("event", *KIN, "mass", "flavour")
-    dressed = O.dress(leptons, flat.filter("flavour = 0").drop("flavour"), "event", "lep", 3, 0.09)
-    jets = flat.filter("flavour <> 0 AND pt >= 30").select("event", "pt", "eta", "phi")
-    return O.count_clean(jets, dressed, "event", "dressed", 3, 0.016, 10.0, "n_jets")
+    """Jets above 30 away from every dressed lepton; every event has its row."""
+    others = dressed_leptons(spark, sf_dir).filter("pt >= 10")
+    jets = jets_flat(spark, sf_dir).filter("flavour <> 0 AND pt >= 30").select("event", *KIN)
+    kept = clean_objects(jets, others, "event", math.sqrt(0.016), cut2=0.016).groupBy("event").agg(F.count(F.lit(1)).alias("n_jets"))
+    return T.ev(spark, sf_dir).select("event").join(kept, "event", "left").select("event", F.coalesce("n_jets", F.lit(0)).alias("n_jets"))
+
+
+# the whole event as a generator record, in falling pt; a mother stands before her daughters
+GEN = """SELECT *, CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN pdgId ELSE 15 END AS id,
+    CASE WHEN i = 0 THEN -1 ELSE supp % (i + 1) - 1 END AS mother, supp % 32 AS flags
+  FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) - 1 AS i FROM items)"""
+
+
+def gen_record(spark, sf_dir, *more):
+    """Flat records: event, idx, pt, pdgId, mother, flags."""
+    rank = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("pt"), *T.ORDER[1:])) - 1
+    gen = T.items(spark, sf_dir).withColumn("idx", rank)
+    return gen.select("event", "idx", "pt", *more, F.expr("CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN pdgId ELSE 15 END").alias("id"),
+                      F.expr("IF(idx = 0, -1, cast(supp % (idx + 1) - 1 as int))").alias("mother"), (F.col("supp") % 32).cast("int").alias("flags"))
 
 
 FID_V = {f"l{i}": p4_sql(f"l{i}") for i in (1, 2)}
+TAU = dict(g=GEN, anc="""SELECT event, i, mother AS a FROM g WHERE mother >= 0
+    UNION ALL SELECT anc.event, anc.i, g.mother FROM anc JOIN g ON g.event = anc.event AND g.i = anc.a WHERE g.mother >= 0""",
+    tau="SELECT DISTINCT anc.event, anc.i FROM anc JOIN g ON g.event = anc.event AND g.i = anc.a WHERE abs(g.id) = 15")
+
+
+@query("q_tau_ancestor", with_ctes("""
+SELECT g.event, count(*) AS n, count(tau.i) AS n_tau, CAST(coalesce(min(CASE WHEN tau.i IS NULL AND g.kind = 'lepton' THEN g.i END), -1) AS INTEGER) AS first_prompt
+FROM g LEFT JOIN tau ON tau.event = g.event AND tau.i = g.i GROUP BY g.event""", "items", **TAU).replace("WITH", "WITH RECURSIVE", 1))
+def tau_ancestor(spark, sf_dir):
+    """Particles that come from a tau, over any number of generations."""
+    rec = with_ancestor(gen_record(spark, sf_dir, "kind"), "event", F.abs("id") == 15, "tau")
+    return rec.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count_if("tau").alias("n_tau"),
+                                    F.coalesce(F.min(F.when(~F.col("tau") & (F.col("kind") == "lepton"), F.col("idx"))), F.lit(-1)).alias("first_prompt"))
 
 
 @query("q_fiducial", with_ctes(f"""
-SELECT event, CAST(CASE WHEN nlep < 2 OR j2_pt IS NULL OR l1_pdgId * l2_pdgId <> -143 THEN -9999
+SELECT event, CAST(CASE WHEN l2_pt IS NULL OR j2_pt IS NULL OR l1_pdgId * l2_pdgId <> -143 THEN -9999
   WHEN l1_pt > 25 AND l2_pt > 13 AND coalesce(l3_pt, -1) < 10 AND {mass_sql('l1', 'l2')} > 12 AND sqrt(px*px+py*py) > 30
    AND j1_pt > 30 AND j2_pt > 30 AND {mass_sql('j1', 'j2')} > 120 AND abs(j1_eta) < 4.7 AND abs(j2_eta) < 4.7
    AND abs(l1_eta) < 2.5 AND abs(l2_eta) < 2.5 AND sqrt(2*sqrt(px*px+py*py)*met*(1-cos(atan2(py,px)))) >= 60 THEN 1 ELSE 0 END AS INTEGER) AS fid
-FROM (SELECT w.*, c.* EXCLUDE (event), total/CAST(4 AS DOUBLE) AS met, {FID_V['l1']['px']} + {FID_V['l2']['px']} AS px, {FID_V['l1']['py']} + {FID_V['l2']['py']} AS py
-  FROM (SELECT event, total, l1_pt, l1_eta, l1_phi, l1_mass, l1_pdgId, l2_pt, l2_eta, l2_phi, l2_mass, l2_pdgId, l3_pt, nlep FROM rec WHERE nlep >= 1) w
-  LEFT JOIN cj c USING (event))""", "rec", "lep",
-    clean=OVERLAP.format(d=_D, c=0.16),
+FROM (SELECT ev.event, w.* EXCLUDE (event), c.* EXCLUDE (event), total/CAST(4 AS DOUBLE) AS met, {FID_V['l1']['px']} + {FID_V['l2']['px']} AS px, {FID_V['l1']['py']} + {FID_V['l2']['py']} AS py
+  FROM ev LEFT JOIN lw w USING (event) LEFT JOIN cj c USING (event))""", "ev", "items", **TAU,
+    pl="""SELECT *, row_number() OVER (PARTITION BY event ORDER BY i) AS k FROM g WHERE kind = 'lepton'
+      AND NOT EXISTS (SELECT 1 FROM tau WHERE tau.event = g.event AND tau.i = g.i)""",
+    lw="SELECT event, " + ", ".join(f"max(CASE WHEN k={i} THEN {f} END) AS l{i}_{f}" for i in (1, 2, 3) for f in KIN + ["mass", "pdgId"]) + " FROM pl GROUP BY event",
+    clean=OVERLAP.format(d=_D, c=0.16).replace("items lep", "pl lep").replace("items j", "g j"),
     cj="SELECT event, " + ", ".join(f"max(CASE WHEN k={i} THEN {f} END) AS j{i}_{f}" for i in (1, 2) for f in KIN + ["mass"]) + """ FROM (
-      SELECT *, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) AS k FROM clean WHERE pt >= 30) GROUP BY event"""))
+      SELECT *, row_number() OVER (PARTITION BY event ORDER BY i) AS k FROM clean WHERE pt >= 30) GROUP BY event""").replace("WITH", "WITH RECURSIVE", 1))
 def fiducial(spark, sf_dir):
-    ev = T.records(spark, sf_dir, want={"lep": 3}, fields=KIN + ["mass", "pdgId"]).filter(F.size("lep") >= 1)
-    two = rank_objects(cleaned_jets(spark, sf_dir, 0.4).filter("pt >= 30"), ["event"], T.ORDER, 2)
-    jets = two.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", *KIN, "mass"))).alias("jet"))
-    df = ev.join(jets, "event", "left")
+    """Leptons that come from a tau do not count; every event has its row.  The tables are scanned once."""
+    fields = [*KIN[1:], "mass", "pdgId", "kind"]
+    rec = stage(with_ancestor(gen_record(spark, sf_dir, *fields), "event", F.abs("id") == 15, "tau").drop("id", "mother", "flags"), "record")
+    leptons = rec.filter("kind = 'lepton' AND NOT tau")
+    jets = clean_objects(rec.filter("kind = 'jet' AND pt >= 30"), leptons.filter("pt >= 10"), "event", 0.4)
+
+    def leading(objects, k, name):
+        top = rank_objects(objects, ["event"], ["idx"], k, "place")
+        return top.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("place", *KIN, "mass", "pdgId"))).alias(name))
+
+    df = T.ev(spark, sf_dir).select("event", "total").join(leading(leptons, 3, "lep"), "event", "left").join(leading(jets, 2, "jet"), "event", "left")
     return df.select("event", O.fiducial_flag(F.col("lep"), F.col("jet"), F.col("total") / 4.0, F.lit(0.0)).alias("fid"))
 
 
@@ -277,22 +336,13 @@ SELECT ev.event, coalesce((SELECT m.pt FROM c a JOIN g m ON m.event = a.event AN
     WHERE a.event = ev.event AND (CASE WHEN z.has THEN a.mid = 23 ELSE a.mother = 0 END)
       AND EXISTS (SELECT 1 FROM c b WHERE b.event = a.event AND b.i > a.i AND b.mother = a.mother)
     ORDER BY a.i LIMIT 1), ev.total) AS zpt
-FROM (SELECT DISTINCT event FROM g) e JOIN ev USING (event)
-LEFT JOIN (SELECT event, bool_or(mid = 23) AS has FROM c GROUP BY event) z USING (event)""", "ev", "items",
-    g="""SELECT event, i, pt, id, mother, flags FROM (SELECT event, pt, row_number() OVER (PARTITION BY event ORDER BY pt DESC, line, part, supp, ship) - 1 AS i,
-        CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN pdgId ELSE 15 END AS id, supp % 4 - 1 AS mother, supp % 32 AS flags FROM items) WHERE i < 6""",
+FROM ev LEFT JOIN (SELECT event, bool_or(mid = 23) AS has FROM c GROUP BY event) z USING (event)""", "ev", "items", g=GEN,
     c="""SELECT a.*, coalesce(m.id, 0) AS mid FROM g a LEFT JOIN g m ON m.event = a.event AND m.i = a.mother
       WHERE abs(a.id) IN (11, 13, 15) AND a.flags & 29 <> 0"""))
 def mother_pt(spark, sf_dir):
-    """Generator records of six particles; the mother is an index into the same record."""
-    gen = T.items(spark, sf_dir).select(
-        "event", "pt", "line", "part", "supp", "ship",
-        F.expr("CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN pdgId ELSE 15 END").alias("pdgId"),
-        (F.col("supp") % 4 - 1).cast("int").alias("mother"), (F.col("supp") % 32).cast("int").alias("flags"))
-    top = rank_objects(gen, ["event"], T.ORDER, 6)
-    arr = top.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", "pt", "pdgId", "mother", "flags"))).alias("gen"))
-    df = arr.join(T.ev(spark, sf_dir).select("event", "total"), "event")
-    return O.mother_pt(df, "gen", F.col("total"), "zpt").select("event", "zpt")
+    """Records of any length; the mother is an index into the same record.  Every event has its row."""
+    found = shared_mother(gen_record(spark, sf_dir).withColumnRenamed("id", "pdgId"), "event")
+    return T.ev(spark, sf_dir).join(found, "event", "left").select("event", F.coalesce("mother_pt", "total").alias("zpt"))
 
 
 @query("q_leading_rank", with_ctes("SELECT event, pt, eta, CAST(idx AS INTEGER) AS idx FROM lep", "lep"))

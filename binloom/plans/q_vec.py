@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from binloom.functions import arrays as A, names as N
-from binloom.operators import xsec
-from binloom.plans.registry import query, r, rs, with_ctes
+from binloom.operators import objects as O, xsec
+from binloom.plans.registry import dr2_sql, query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
 
 
@@ -74,15 +74,32 @@ def masked_sort(spark, sf_dir):
 
 @query("q_pairs", with_ctes(f"""
 SELECT a.event, count(*) AS n_pairs, {rs('sum(a.pt * b.pt)', 5)} AS pp, CAST(count(*) FILTER ((a.eta-b.eta)*(a.eta-b.eta) < 1) AS BIGINT) AS n_near
-FROM jet a JOIN jet b ON a.event = b.event AND a.idx < b.idx GROUP BY a.event""", "jet"))
+FROM obj a JOIN obj b ON a.event = b.event AND a.idx < b.idx WHERE a.kind = 'jet' AND b.kind = 'jet' GROUP BY a.event""", "obj"))
 def pairs(spark, sf_dir):
-    """Pairs within the four leading jets of an event, a bounded number."""
-    jets = T.collections(spark, sf_dir, {"jet": 4}, ["pt", "eta"]).filter(F.size("jet") >= 2)
-    p = A.pairs_of(F.col("jet"), 4)
-    products = F.transform(p, lambda q: q["a"]["pt"] * q["b"]["pt"])
-    near = A.count_where(p, lambda q: F.pow(q["a"]["eta"] - q["b"]["eta"], 2) < 1)
-    return jets.select("event", F.size(p).cast("long").alias("n_pairs"), r(A.vec_sum(products), 5).alias("pp"),
-                       near.cast("long").alias("n_near"))
+    """All pairs of an event's jets, counted and summed without forming them."""
+    jets = T.items(spark, sf_dir).filter("kind = 'jet'").select("event", "pt", "eta")
+    sums = O.pair_sums(jets, "event", "pt").filter("n_pairs > 0")
+    return sums.join(O.pairs_within(jets, "event", "eta", 1.0), "event").select("event", "n_pairs", r("products", 5).alias("pp"), "n_near")
+
+
+@query("q_jet_lepton_pairs", with_ctes(f"""
+SELECT ev.event, coalesce(n_jets, 0) AS n_jets, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_near, 0) AS n_near, coalesce(n_any, 0) AS n_any,
+  coalesce(n_all, 0) AS n_all FROM ev LEFT JOIN (
+  SELECT event, count(*) AS n_jets, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(near) AS BIGINT) AS n_near, count(*) FILTER (near > 0) AS n_any,
+    count(*) FILTER (near = n) AS n_all FROM (
+    SELECT j.event, j.idx, count(l.idx) AS n, count(l.idx) FILTER ({dr2_sql('l', 'j').replace('l_', 'l.').replace('j_', 'j.')} < 0.64) AS near
+    FROM obj j LEFT JOIN (SELECT * FROM obj WHERE kind = 'lepton' AND pt >= 10) l ON l.event = j.event
+    WHERE j.kind = 'jet' AND j.eta <= 5 GROUP BY j.event, j.idx) GROUP BY event) USING (event)""", "ev", "obj"))
+def jet_lepton_pairs(spark, sf_dir):
+    """Combinations of all jets and leptons, reduced per jet: any lepton near, all leptons near.  Every event has its row."""
+    objects = T.items(spark, sf_dir).select("event", "kind", "pt", "eta", "phi")
+    jets = objects.filter("kind = 'jet' AND eta <= 5").select("event", "eta", "phi")
+    counted = O.near_counts(jets, objects.filter("kind = 'lepton' AND pt >= 10"), "event", 0.8)
+    copies = F.col("copies")
+    whole = {"n_jets": copies, "n_pairs": copies * F.col("n_others"), "n_near": copies * F.col("n_near"),
+             "n_any": F.when(F.col("n_near") > 0, copies), "n_all": F.when(F.col("n_near") == F.col("n_others"), copies)}
+    sums = counted.groupBy("event").agg(*[F.sum(c).alias(n) for n, c in whole.items()])
+    return T.ev(spark, sf_dir).select("event").join(sums, "event", "left").select("event", *[F.coalesce(n, F.lit(0)).alias(n) for n in whole])
 
 
 PARTS = ["GluGluH", "VBFH", "HZJ", "HWplusJ", "ttH"]

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "binloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write once under the shared folder and read back: the plan before it is neither kept nor run again."""
+    path = fresh_path(df.sparkSession, f"stage-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
