@@ -62,15 +62,6 @@ def parity_scores(df: DataFrame, key: str, features: list[str], even: Dense, odd
     return _scored(df, features, [odd, even], F.pmod(F.col(key), F.lit(2)), name)
 
 
-def object_scores(df: DataFrame, key: str, array: str, features: list[str], model: Dense, output: int, name: str) -> DataFrame:
-    """One score per element of a bounded collection, back as an array in the same order."""
-    flat = df.select(key, F.posexplode(array).alias("__pos", "__o")).select(key, "__pos", *[F.col("__o")[f].alias(f) for f in features])
-    scored = dense_scores(flat, features, model, "__s")
-    packed = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
-        "__pos", F.get("__s", F.lit(output)).alias("s")))).alias("__all"))
-    return df.join(packed.select(key, F.col("__all.s").alias(name)), key, "left")
-
-
 def bdt_train(df: DataFrame, features: list[str], label: str, trees: int = 800, depth: int = 5,
               step: float = 0.05, subsample: float = 0.5, bins: int = 500, seed: int = 10):
     """Gradient-boosted trees with Spark ML; defaults follow the usual analysis settings."""
@@ -130,52 +121,3 @@ def minmax(df: DataFrame, features: list[str]) -> DataFrame:
     stats = df.agg(*[f(c).alias(f"{c}_{n}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
     return df.withColumns({c: F.try_divide(F.col(c) - F.lit(stats[f"{c}_lo"]), F.lit(stats[f"{c}_hi"]) - F.lit(stats[f"{c}_lo"]))
                            for c in features})
-
-
-def bootstrap(df: DataFrame, key: str, weight: str, fraction: float = 0.7, seed: int = 6, parts: int | None = None) -> DataFrame:
-    """Weighted resampling with replacement: how often each row was drawn (column ``copies``).
-
-    The number of draws is ``fraction`` of the rows.  Draws are divided over hash partitions by
-    their weights (one number per partition), then inside a partition row by row with conditional
-    binomials, in one pass and constant memory; together this is exactly a multinomial draw.
-    Heavy rows get a large count instead of many copies.
-    """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    rows = df.filter(F.col(weight) > 0).withColumn("__part", part)
-    sizes = {r["__part"]: r["w"] for r in rows.groupBy("__part").agg(F.sum(weight).alias("w")).collect()}
-    if not sizes:
-        return df.limit(0).withColumn("copies", F.lit(0).cast("long"))
-    order = sorted(sizes)
-    total = np.array([sizes[p] for p in order])
-    draws = int(fraction * df.count())
-    counts = dict(zip(order, np.random.default_rng(seed).multinomial(draws, total / total.sum()).tolist()))
-    plan = {p: (counts[p], float(sizes[p])) for p in order}
-    names = df.columns
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, left, mass = {}, {}, {}
-        for pdf in batches:
-            copies = np.zeros(len(pdf), dtype=np.int64)
-            for p, at in pdf.groupby("__part").indices.items():
-                p = int(p)
-                if p not in rng:
-                    rng[p] = np.random.default_rng([seed, p])
-                    left[p], mass[p] = plan[p]
-                w = pdf[weight].to_numpy(dtype=float)[at]
-                closing = pdf["__last"].to_numpy()[at].any()
-                share = 1.0 if closing else min(1.0, w.sum() / mass[p])
-                here = rng[p].binomial(left[p], share)
-                copies[at] = rng[p].multinomial(here, w / w.sum())
-                left[p] -= here
-                mass[p] = max(mass[p] - w.sum(), 1e-300)
-            yield pdf[names].assign(copies=copies)
-
-    schema = df.withColumn("copies", F.lit(0).cast("long")).schema
-    # the last row of a partition is marked, so that no draw is lost to rounding
-    ends = rows.groupBy("__part").agg(F.max(key).alias("__end"))
-    placed = rows.join(ends, "__part").withColumn("__last", F.col(key) == F.col("__end")).repartition(parts, "__part") \
-        .sortWithinPartitions("__part", key)
-    drawn = placed.mapInPandas(draw, schema)
-    return drawn.filter("copies > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from binloom.operators import ordered, scoring
+from binloom.operators import ordered, resample, scoring
 from binloom.plans.q_core import PAIR_SQL, lepton_pairs
 from binloom.plans.registry import query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
@@ -187,4 +187,4 @@ def score_ratio(spark, sf_dir):
 @query("q_bootstrap")
 def bootstrap(spark, sf_dir):
     rows = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_totalprice").alias("w"))
-    return scoring.bootstrap(rows, "event", "w", 0.7, seed=6, parts=16)
+    return resample.bootstrap(rows, "event", "w", 0.7, seed=6)

@@ -12,7 +12,7 @@ from check import compare, duck
 from binloom.functions import arrays as A, kinematics as K, select as S, weights as W
 from binloom.functions.lookup import BinnedMap, Curve, map_from_rows
 from binloom.functions.poisson import interval
-from binloom.operators import joins, ordered, quality, reweight, scoring, tagging
+from binloom.operators import joins, ordered, quality, resample, reweight, scoring, tagging
 from binloom.operators.collect import leading_collections, rank_objects
 
 
@@ -244,14 +244,42 @@ def test_forest_sentinel(spark):
     assert got[3][1] > 0.5 and sum(got[3]) == pytest.approx(1.0)
 
 
+def drawn(df, **options):
+    return {r["id"]: r["copies"] for r in resample.bootstrap(df, "id", "w", 0.7, seed=1, **options).collect()}
+
+
 def test_bootstrap_draws_exactly_and_by_weight(spark):
     df = spark.createDataFrame([(i, 1000.0 if i == 5 else 1.0 + i % 3) for i in range(1, 1001)], "id long, w double")
-    got = scoring.bootstrap(df, "id", "w", 0.7, seed=1, parts=8)
-    copies = {r["id"]: r["copies"] for r in got.collect()}
+    copies = drawn(df)
     assert sum(copies.values()) == 700
     share = 1000 / (1000 + sum(1.0 + i % 3 for i in range(1, 1001) if i != 5))
     assert abs(copies[5] - 700 * share) < 5 * math.sqrt(700 * share)
-    assert {r["id"]: r["copies"] for r in scoring.bootstrap(df.repartition(5), "id", "w", 0.7, seed=1, parts=8).collect()} == copies
+
+
+def test_bootstrap_is_one_draw_however_rows_are_dealt(spark):
+    """Three levels of the tree; partitions and batches do not matter."""
+    df = spark.createDataFrame([(i, 0.1 * (1 + i % 7), "x" if i % 3 else None) for i in range(20_000)], "id long, w double, s string")
+    first = drawn(df.repartition(3), leaf_rows=2)
+    assert sum(first.values()) == 14_000
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        assert drawn(df.repartition(16, "w"), leaf_rows=2) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+    by = {k: sum(n for i, n in first.items() if i % 7 == k) for k in range(7)}
+    for k, n in by.items():
+        p = (1 + k) / 28
+        assert abs(n - 14_000 * p) < 5 * math.sqrt(14_000 * p)
+
+
+def test_bootstrap_of_equal_rows_and_of_none(spark):
+    df = spark.createDataFrame([(1, 2.0)] * 600 + [(i, 0.0) for i in range(2, 302)] + [(400, 1200.0)] * 1, "id long, w double")
+    copies = drawn(df)
+    assert set(copies) == {1, 400} and sum(copies.values()) == int(0.7 * 901)
+    assert drawn(df.limit(0)) == {} and drawn(df.where("w = 0")) == {}
 
 
 def test_duplicates_and_missing(spark):
