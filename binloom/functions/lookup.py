@@ -89,6 +89,31 @@ class BinnedMap:
         return joined.fillna(0.0, [value, error]).drop("__ix", "__iy")
 
 
+@dataclass(frozen=True)
+class MapSet:
+    """Several maps on the same edges read together: one bin search, one element of a literal array of structs."""
+
+    maps: dict[str, BinnedMap]
+
+    def __post_init__(self):
+        edges = {(m.x_edges, m.y_edges) for m in self.maps.values()}
+        if len(edges) != 1:
+            raise ValueError("maps of a set share their edges")
+        if sum(2 * m.cells for m in self.maps.values()) > LITERAL_CELLS:
+            raise ValueError("maps too large for a literal; attach them one by one")
+
+    def at_bins(self, ix: Column, iy: Column) -> Column:
+        """Struct with ``<name>`` and ``<name>_error`` of every map; NULL outside."""
+        some = next(iter(self.maps.values()))
+        nx, ny = len(some.x_edges) - 1, len(some.y_edges) - 1
+        cells = []
+        for y in range(ny):
+            for x in range(nx):
+                pairs = ((n, m.values[y][x], m.errors[y][x] if m.errors is not None else 0.0) for n, m in self.maps.items())
+                cells.append("named_struct(" + ", ".join(f"'{n}', {float(v)!r}D, '{n}_error', {float(e)!r}D" for n, v, e in pairs) + ")")
+        return F.when(ix.between(1, nx) & iy.between(1, ny), F.get(F.expr(f"array({', '.join(cells)})"), (iy - 1) * nx + ix - 1))
+
+
 def map_from_rows(rows, x_edges, y_edges, value="value", error="error") -> BinnedMap:
     """Build a map from a *measured* table: at most one row per cell of the given edges.
 

@@ -2,7 +2,7 @@
 
 Every (selection, variable, shape variation) an event passes becomes one small struct; the structs
 are exploded and aggregated once.  Weight variations are extra sums of the same aggregation, not
-extra rows.  The map-side aggregate holds one buffer per filled bin, so what is shuffled is the
+extra rows; a hundred of them are summed in blocks, so that the generated code stays small.  The map-side aggregate holds one buffer per filled bin, so what is shuffled is the
 number of bins, however many events there are and however they are spread over processes.
 """
 
@@ -17,6 +17,7 @@ from binloom.functions.bins import bin_index, folded
 from binloom.functions.literals import choose
 
 NOMINAL = "nominal"
+BLOCK = 16      # weight factors summed side by side; more of them take rows of so many each
 
 
 @dataclass(frozen=True)
@@ -129,27 +130,42 @@ def fill_entries(df: DataFrame, entries: list[Entry], by: list[str],
             F.col(sample_col).isin(*e.samples) if e.samples is not None else F.lit(True)))
         grid.add(i, e.variation, test, fill_of)
     nominal = [i for i, e in enumerate(entries) if e.variation == NOMINAL]
-    kept = [*by, *[f"__f{i}" for i in range(len(names))]]
-    extra = [F.expr(factors[n]).cast("double").alias(f"__f{i}") for i, n in enumerate(names)]
+    blocks = [names[i:i + BLOCK] for i in range(0, len(names), BLOCK)] if len(names) > BLOCK else [names]
+    width = len(blocks[0])
+    is_nominal = F.lit(True) if len(nominal) == len(entries) else F.col("__e").isin(*nominal)
+    if len(blocks) == 1:
+        kept = [f"__f{i}" for i in range(width)]
+        extra = [F.expr(factors[n]).cast("double").alias(c) for n, c in zip(names, kept)]
+    else:
+        # factors in blocks: an event carries them as one array, and each of its hits becomes a row for each block
+        kept = ["__blocks"]
+        extra = [F.array(*[F.struct(F.lit(b).alias("b"), *[
+            (F.expr(factors[block[i]]) if i < len(block) else F.lit(None)).cast("double").alias(f"__f{i}") for i in range(width)])
+            for b, block in enumerate(blocks)]).alias("__blocks")]
     staged = df.select(*by, *extra, *values.all(), *tests.all(), *weights.all())
-    hits = grid.explode(staged, kept)
+    hits = grid.explode(staged, [*by, *kept]).withColumn("__e", F.col("__h.entry"))
+    if len(blocks) > 1:
+        # other variations have no factors; their only row is that of the first block
+        own = F.when(is_nominal, F.col("__blocks")).otherwise(F.slice("__blocks", 1, 1))
+        hits = hits.select(*by, "__h", "__e", F.explode(own).alias("__f")).select(*by, "__h", "__e", "__f.*")
+    else:
+        hits = hits.withColumn("b", F.lit(0))
     w = F.col("__h.w")
     sums = [F.sum(w).alias("sumw"), F.sum(w * w).alias("sumw2"), F.count(F.lit(1)).alias("n")]
-    for i in range(len(names)):
+    for i in range(width):
         wf = w * F.col(f"__f{i}")
         sums += [F.sum(wf).alias(f"__s{i}"), F.sum(wf * wf).alias(f"__q{i}")]
-    filled = hits.groupBy(*by, F.col("__h.entry").alias("__e"), F.col("__h.bin").alias("bin"),
-                          F.col("__h.biny").alias("biny")).agg(*sums)
+    filled = hits.groupBy(*by, "__e", "b", F.col("__h.bin").alias("bin"), F.col("__h.biny").alias("biny")).agg(*sums)
 
     def names_of(pick):
         return choose(F.col("__e"), [pick(e) for e in entries])
 
-    # from here on there is one row per bin
-    rows = [F.struct(names_of(lambda e: e.variation).alias("variation"), "sumw", "sumw2")]
-    is_nominal = F.lit(True) if len(nominal) == len(entries) else F.col("__e").isin(*nominal)
-    for i, n in enumerate(names):
-        rows.append(F.when(is_nominal, F.struct(
-            F.lit(n).alias("variation"), F.col(f"__s{i}").alias("sumw"), F.col(f"__q{i}").alias("sumw2"))))
+    # from here on there is one row per bin and block
+    rows = [F.when(F.col("b") == 0, F.struct(names_of(lambda e: e.variation).alias("variation"), "sumw", "sumw2"))]
+    for i in range(width):
+        name = choose(F.col("b") * width + i, names)      # null beyond the last
+        rows.append(F.when(is_nominal & name.isNotNull(), F.struct(
+            name.alias("variation"), F.col(f"__s{i}").alias("sumw"), F.col(f"__q{i}").alias("sumw2"))))
     out = filled.select(
         *by, names_of(lambda e: e.cut).alias("cut"), names_of(lambda e: e.variable.name).alias("variable"),
         "bin", "biny", "n",

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from binloom.config import Edges
 from binloom.functions.bins import bin_index
 from binloom.functions.kinematics import P4
-from binloom.functions.lookup import BinnedMap
+from binloom.functions.lookup import BinnedMap, MapSet
 from binloom.functions.weights import (
-    ELECTRON, MUON, fake_combination, tight_loose_probability,
+    ELECTRON, MUON, fake_combination, ratio_to, tight_loose_probability,
 )
 from binloom.operators.scratch import Scratch
 
@@ -56,12 +56,41 @@ def with_rates(s: Scratch, leps, maps: dict[int, BinnedMap], pt_max: float | Non
     return [flat[len(what) * i:len(what) * (i + 1)] for i in range(len(leps))]
 
 
+# Jet-pt thresholds of the fake-rate maps per number of leptons: (electron, muon) of the nominal weight, and what
+# the up and down variations read instead
+FAKE_JETS = {2: ((35, 25), {"EleUp": (45, 25), "EleDown": (25, 25), "MuUp": (35, 35), "MuDown": (35, 15)}),
+             3: ((35, 35), {"EleUp": (45, 35), "EleDown": (25, 35), "MuUp": (35, 45), "MuDown": (35, 25)})}
+FAKE_STATS = {"StatEleUp": {ELECTRON: 1}, "StatEleDown": {ELECTRON: -1}, "StatMuUp": {MUON: 1}, "StatMuDown": {MUON: -1}}
+FAKE_EWK = ("EWK5Up", "EWK5Down")
+
+
+def fake_variants(electron: dict, muon: dict, leptons: int) -> dict[str, tuple[dict[int, BinnedMap], dict[int, int]]]:
+    """The nominal fake weight and its variations as variants of ``fake_weights``.
+
+    ``electron`` and ``muon`` hold a map per jet-pt threshold, and for the electroweak variations one per (threshold, name).
+    """
+    (e, m), jets = FAKE_JETS[leptons]
+    nominal = {ELECTRON: electron[e], MUON: muon[m]}
+    out = {"nominal": (nominal, {})}
+    out |= {name: ({ELECTRON: electron[x], MUON: muon[y]}, {}) for name, (x, y) in jets.items()}
+    out |= {name: (nominal, shift) for name, shift in FAKE_STATS.items()}
+    out |= {name: ({ELECTRON: electron[e, name], MUON: muon[m, name]}, {}) for name in FAKE_EWK if (e, name) in electron and (m, name) in muon}
+    return out
+
+
+def fake_ratios(df: DataFrame, lep: str, tight: list[Column], prompt: dict[int, BinnedMap], electron: dict, muon: dict) -> DataFrame:
+    """The nominal fake weight and each variation as its ratio to it, 0 where the nominal weight is 0."""
+    variants = fake_variants(electron, muon, len(tight))
+    out = fake_weights(df, lep, tight, prompt, variants)
+    return out.withColumns({n: ratio_to(F.col(n), F.col("nominal")) for n in variants if n != "nominal"})
+
+
 def fake_weights(df: DataFrame, lep: str, tight: list[Column], prompt: dict[int, BinnedMap],
                  variants: dict[str, tuple[dict[int, BinnedMap], dict[int, int]]]) -> DataFrame:
     """Fake-lepton weights of the leading leptons, one column per variant.
 
     A variant is (fake-rate maps, {flavour: errors to add}).  Electrons and muons have their own
-    maps; any other flavour counts as prompt for certain.
+    maps; any other flavour counts as prompt for certain.  Maps on the same edges are read together, with one bin search per lepton.
     """
     n = len(tight)
     s = Scratch(df)
@@ -70,12 +99,29 @@ def fake_weights(df: DataFrame, lep: str, tight: list[Column], prompt: dict[int,
     known = [flav.isin(ELECTRON, MUON) for _, _, flav in leps]
     p = with_rates(s, leps, prompt, None)
     p = s.put([F.when(k, row[0]).otherwise(F.lit(1.0)) for k, row in zip(known, p)])
+    # per flavour the distinct maps, by their edges
+    sets: dict[tuple, dict[str, BinnedMap]] = {}
+    for maps, _ in variants.values():
+        for flavour, m in maps.items():
+            own = sets.setdefault((flavour, m.x_edges, m.y_edges), {})
+            if m not in own.values():
+                own[f"m{len(own)}"] = m
+    read = {}
+    for key, own in sets.items():
+        bins = _bins(s, [(F.least(pt, F.lit(FAKE_PT_MAX)), F.abs(eta)) for pt, eta, _ in leps], next(iter(own.values())))
+        read[key] = s.put([MapSet(own).at_bins(ix, iy) for ix, iy in bins])
     result = {}
     for name, (maps, shift) in variants.items():
-        f = with_rates(s, leps, maps, FAKE_PT_MAX, ("value", "error"))
-        moved = [value + sum((F.when(leps[i][2] == fl, F.lit(float(k))).otherwise(F.lit(0.0)) * error
-                              for fl, k in shift.items()), F.lit(0.0)) for i, (value, error) in enumerate(f)]
-        f = s.put(moved)
+        f = []
+        for i in range(n):
+            rate = F.lit(0.0)
+            for flavour, m in maps.items():
+                key = (flavour, m.x_edges, m.y_edges)
+                field = next(k for k, v in sets[key].items() if v == m)
+                here = read[key][i][field] + F.lit(float(shift.get(flavour, 0))) * read[key][i][f"{field}_error"]
+                rate = F.when(leps[i][2] == flavour, F.coalesce(here, F.lit(0.0))).otherwise(rate)
+            f.append(rate)
+        f = s.put(f)
         probs = s.put([c for i in range(n) for c in tight_loose_probability(p[i], f[i], tights[i])])
         result[name], = s.put([fake_combination(probs[0::2], probs[1::2], tights)])
     return s.done(result)

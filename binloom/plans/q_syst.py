@@ -136,6 +136,38 @@ def syst_rms(spark, sf_dir):
     return V.rms(syst_hists(spark, sf_dir, [NUIS[3]]), "pdf").withColumn("sumw", r("sumw", 8))
 
 
+# a hundred replica weights per event as one array; factors exact in binary
+REPLICAS = 100
+PDF_ARRAY = "transform(sequence(0, 99), i -> 1D + ((i * 37) % 64 - 32) / 256D * IF(score > (i % 10) / 10D, 1, -1))"
+_PDF_I = ("(CAST(1 AS DOUBLE) + ((i * 37) % 64 - 32) / CAST(256 AS DOUBLE) * (CASE WHEN score > (i % 10) / CAST(10 AS DOUBLE) THEN 1 ELSE -1 END))")
+P_HUNDRED = [_one("nominal"), _one("", factor=_PDF_I, where="sample = 'SIG'").replace("'' AS variation", "'pdf_' || i AS variation")
+             .replace("FROM lead", "FROM lead, range(100) u(i)")]
+
+
+@query("q_replicas", with_ctes("SELECT * FROM hv", "ev", "obj", **hv(P_HUNDRED)))
+def replicas(spark, sf_dir):
+    """Histograms of a hundred replicas from an array column of the event, one pass."""
+    return replica_hists(spark, sf_dir)
+
+
+def replica_hists(spark, sf_dir):
+    events = varied_events(spark, sf_dir).withColumn("pdf", F.expr(PDF_ARRAY))
+    factors = tuple(f"coalesce(get(pdf, {i}), 1D)" for i in range(REPLICAS))
+    return analysis([Nuisance("pdf", "rms", weights=factors, samples=("SIG",))]).histograms(events)
+
+
+@query("q_syst_rms_100", with_ctes(f"""
+SELECT {B}, variation, {rs('sumw', 8)} AS sumw, sumw2 FROM (
+  SELECT {B}, 'pdfUp' AS variation, nom + d AS sumw, q AS sumw2 FROM t UNION ALL SELECT {B}, 'pdfDown', nom - d, q FROM t)""",
+    "ev", "obj", **hv(P_HUNDRED), t=f"""
+SELECT {B}, n.sumw AS nom, n.sumw2 AS q, coalesce(sqrt(avg((v.sumw - n.sumw)*(v.sumw - n.sumw))), 0) AS d
+FROM hv n LEFT JOIN hv v USING ({B}) WHERE n.variation = 'nominal' AND (v.variation LIKE 'pdf_%' OR (n.sample <> 'SIG' AND v.variation = 'nominal'))
+GROUP BY ALL"""))
+def syst_rms_100(spark, sf_dir):
+    """nominal -/+ root mean square about it over a hundred replicas."""
+    return V.rms(replica_hists(spark, sf_dir), "pdf").withColumn("sumw", r("sumw", 8))
+
+
 def nominal_yields(spark, sf_dir):
     return histops.yields(hists(spark, sf_dir), {"pt": 20})
 

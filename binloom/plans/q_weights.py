@@ -27,22 +27,26 @@ def _map(x, y, base, dx, dy, err=0.0):
 
 PROMPT = {11: _map(PT, ETA, 0.80, 0.015, -0.03), 13: _map(PT, ETA, 0.85, 0.012, -0.02)}
 FAKE = {11: _map(PT, ETA, 0.10, 0.02, 0.05, 0.004), 13: _map(PT, ETA, 0.15, 0.015, 0.03, 0.003)}
-FAKE_ALT = {11: _map(PT, ETA, 0.12, 0.02, 0.05, 0.004), 13: _map(PT, ETA, 0.17, 0.015, 0.03, 0.003)}
+# maps per jet-pt threshold, and the electroweak variations of those the nominal weights read
+JET_E = {j: _map(PT, ETA, 0.05 + j / 500, 0.02, 0.05, 0.004) for j in (25, 35, 45)} | {
+    (35, "EWK5Up"): _map(PT, ETA, 0.115, 0.021, 0.05), (35, "EWK5Down"): _map(PT, ETA, 0.125, 0.019, 0.05)}
+JET_M = {j: _map(PT, ETA, 0.1 + j / 400, 0.015, 0.03, 0.003) for j in (15, 25, 35, 45)} | {
+    (j, n): _map(PT, ETA, 0.1 + j / 400 + d, 0.015, 0.03) for j in (25, 35) for n, d in (("EWK5Up", -0.01), ("EWK5Down", 0.01))}
 LEP = ["pt", "eta", "pdgId", "score"]
 
 
-def _rates_sql(fake, shift=0):
+def _rates_sql(fake, shift=None):
     def by(maps, cap, what="values"):
         e, m = (map_sql(maps[f], f"least(pt, {cap})", "abs(eta)", what) for f in (11, 13))
         return f"CASE WHEN abs(pdgId) = 11 THEN {e} ELSE {m} END"
     f = by(fake, "CAST(35 AS DOUBLE)")
-    if shift:
-        e = map_sql(fake[11], "least(pt, CAST(35 AS DOUBLE))", "abs(eta)", "errors")
-        f = f"({f}) + CASE WHEN abs(pdgId) = 11 THEN {shift} * {e} ELSE 0 END"
+    for flavour, k in (shift or {}).items():
+        e = map_sql(fake[flavour], "least(pt, CAST(35 AS DOUBLE))", "abs(eta)", "errors")
+        f = f"({f}) + CASE WHEN abs(pdgId) = {flavour} THEN {k} * {e} ELSE 0 END"
     return (f"SELECT event, idx, score > 0.5 AS t, {by(PROMPT, 'CAST(47.5 AS DOUBLE)')} AS p, {f} AS f FROM lep")
 
 
-def prob_sql(name, fake=FAKE, shift=0):
+def prob_sql(name, fake=FAKE, shift=None):
     return {f"{name}r": _rates_sql(fake, shift),
             name: f"SELECT event, idx, t, CASE WHEN t THEN p*(1-f)/(p-f) ELSE p*f/(p-f) END AS pr, "
                   f"CASE WHEN t THEN f*(1-p)/(p-f) ELSE f*p/(p-f) END AS fk FROM {name}r"}
@@ -67,28 +71,47 @@ def fake_weight_2l(spark, sf_dir):
     return out.select("event", r("w", 7).alias("w"))
 
 
-@query("q_fake_weight_3l", with_ctes(f"""
-SELECT event, {rs('CASE WHEN nt IN (1,3) THEN -PPF-PFP-FPP+PFF+FPF+FFP-FFF ELSE PPF+PFP+FPP-PFF-FPF-FFP+FFF END', 7)} AS w FROM (
+W3 = """SELECT event, CASE WHEN nt IN (1,3) THEN -PPF-PFP-FPP+PFF+FPF+FFP-FFF ELSE PPF+PFP+FPP-PFF-FPF-FFP+FFF END AS w FROM (
   SELECT a.event, CASE WHEN a.t THEN 1 ELSE 0 END + CASE WHEN b.t THEN 1 ELSE 0 END + CASE WHEN c.t THEN 1 ELSE 0 END AS nt,
     a.pr*b.pr*c.fk AS PPF, a.pr*b.fk*c.pr AS PFP, a.fk*b.pr*c.pr AS FPP, a.pr*b.fk*c.fk AS PFF, a.fk*b.pr*c.fk AS FPF,
     a.fk*b.fk*c.pr AS FFP, a.fk*b.fk*c.fk AS FFF
-  FROM n a JOIN n b ON a.event=b.event AND a.idx=0 AND b.idx=1 JOIN n c ON c.event=a.event AND c.idx=2)""", "lep", **prob_sql("n")))
+  FROM {n} a JOIN {n} b ON a.event=b.event AND a.idx=0 AND b.idx=1 JOIN {n} c ON c.event=a.event AND c.idx=2)"""
+
+
+@query("q_fake_weight_3l", with_ctes(f"SELECT event, {rs('w', 7)} AS w FROM w3", "lep", **prob_sql("n"), w3=W3.format(n="n")))
 def fake_weight_3l(spark, sf_dir):
     out = reweight.fake_weights(leptons(spark, sf_dir, 3), "lep", _tight(3), PROMPT, {"w": (FAKE, {})})
     return out.select("event", r("w", 7).alias("w"))
 
 
-@query("q_fake_weight_var", with_ctes(f"""
-SELECT event, {rs('CASE WHEN x.w = 0 THEN 0 ELSE u.w/x.w END', 6)} AS jet_up, {rs('CASE WHEN x.w = 0 THEN 0 ELSE s.w/x.w END', 6)} AS stat_ele_up,
-  {rs('CASE WHEN x.w = 0 THEN 0 ELSE d.w/x.w END', 6)} AS stat_ele_down
-FROM x JOIN u USING (event) JOIN s USING (event) JOIN d USING (event)""", "lep",
-    **prob_sql("n"), **prob_sql("a", FAKE_ALT), **prob_sql("b", FAKE, 1), **prob_sql("c", FAKE, -1),
-    x=W2.format(n="n"), u=W2.format(n="a"), s=W2.format(n="b"), d=W2.format(n="c")))
+def ratios_sql(n):
+    """Every variation's weight over the nominal one, for n leptons."""
+    combine, parts = (W2, W3)[n - 2], {}
+    variants = reweight.fake_variants(JET_E, JET_M, n)
+    for i, (maps, shift) in enumerate(variants.values()):
+        parts |= prob_sql(f"v{i}", maps, shift)
+        parts[f"x{i}"] = combine.format(n=f"v{i}")
+    shown = ", ".join(f"{rs(f'CASE WHEN x0.w = 0 THEN 0 ELSE x{i}.w/x0.w END', 6)} AS \"{name}\"" for i, name in enumerate(variants) if i)
+    joins = " ".join(f"JOIN x{i} USING (event)" for i in range(1, len(variants)))
+    return with_ctes(f"SELECT event, {rs('x0.w', 7)} AS nominal, {shown} FROM x0 {joins}", "lep", **parts)
+
+
+def fake_ratios(spark, sf_dir, n):
+    out = reweight.fake_ratios(leptons(spark, sf_dir, n), "lep", _tight(n), PROMPT, JET_E, JET_M)
+    names = [c for c in reweight.fake_variants(JET_E, JET_M, n) if c != "nominal"]
+    return out.select("event", r("nominal", 7).alias("nominal"), *[r(c, 6).alias(c) for c in names])
+
+
+@query("q_fake_weight_var", ratios_sql(2))
 def fake_weight_var(spark, sf_dir):
-    df = reweight.fake_weights(leptons(spark, sf_dir, 2), "lep", _tight(2), PROMPT, {
-        "nom": (FAKE, {}), "up": (FAKE_ALT, {}), "su": (FAKE, {11: 1}), "sd": (FAKE, {11: -1})})
-    return df.select("event", *[r(W.ratio_to(F.col(c), F.col("nom")), 6).alias(n) for c, n in (
-        ("up", "jet_up"), ("su", "stat_ele_up"), ("sd", "stat_ele_down"))])
+    """Ten variations of the two-lepton weight: thresholds and statistics by flavour, electroweak subtraction."""
+    return fake_ratios(spark, sf_dir, 2)
+
+
+@query("q_fake_weight_var_3l", ratios_sql(3))
+def fake_weight_var_3l(spark, sf_dir):
+    """The same for three leptons, whose nominal muon map is another."""
+    return fake_ratios(spark, sf_dir, 3)
 
 
 MX = (10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0, 1000.0)
