@@ -1,12 +1,15 @@
 """Analysis configuration: plain declarations, compiled to DataFrame plans by ``operators``.
 
-Expressions are Spark SQL strings.  A two-dimensional variable gives two expressions.
+Expressions are Spark SQL strings; that of an alias may be a function.  A two-dimensional variable gives two expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 
 @dataclass(frozen=True)
 class Uniform:
@@ -65,10 +68,15 @@ class Sample:
 
 @dataclass(frozen=True)
 class Alias:
-    """A derived column, for all processes or only those in ``samples`` (NULL elsewhere)."""
+    """A derived column, for all processes or only those in ``samples`` (NULL elsewhere).
+
+    ``expr`` is SQL, or a function of a resolver that turns names into columns and gives a Column:
+    ``lambda c: transverse_mass(c("pt"), c("phi"), c("met"), c("met_phi"))``.  The names it asks for are its inputs, so
+    variations reach it as they reach SQL.  It must ask for the same names each time.
+    """
 
     name: str
-    expr: str
+    expr: str | Callable[[Callable[[str], Column]], Column]
     samples: tuple[str, ...] | None = None
     after_nuisances: bool = False
 

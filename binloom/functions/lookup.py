@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from binloom.config import Edges
 from binloom.functions.bins import bin_index
 from binloom.functions.literals import choose
+from binloom.operators.scratch import Scratch
 
 LITERAL_CELLS = 10_000
 
@@ -114,6 +115,79 @@ class MapSet:
         return F.when(ix.between(1, nx) & iy.between(1, ny), F.get(F.expr(f"array({', '.join(cells)})"), (iy - 1) * nx + ix - 1))
 
 
+@dataclass(frozen=True)
+class ShapeTable:
+    """Factors on the axes (|eta|, pt, score) for several sources and flavours.
+
+    ``cells[source, flavour]`` holds for every cell, with the score running fastest and |eta| slowest, the coefficients of a polynomial in
+    the score, the constant first.  Values beyond an axis take its outermost bin.
+    """
+
+    eta_edges: tuple[float, ...]
+    pt_edges: tuple[float, ...]
+    score_edges: tuple[float, ...]
+    cells: dict[tuple[str, int], tuple[tuple[float, ...], ...]]
+
+    def __post_init__(self):
+        n = (len(self.eta_edges) - 1) * (len(self.pt_edges) - 1) * (len(self.score_edges) - 1)
+        if any(len(c) != n for c in self.cells.values()):
+            raise ValueError("table content does not match its edges")
+
+    @property
+    def sources(self) -> list[str]:
+        return list(dict.fromkeys(s for s, _ in self.cells))
+
+    @property
+    def degree(self) -> int:
+        return max(len(c) for own in self.cells.values() for c in own) - 1
+
+    def cell(self, eta: Column, pt: Column, score: Column) -> Column:
+        """Number of the cell, from one bin search on each axis, whatever the number of sources."""
+        out = F.lit(0)
+        for x, edges in ((F.abs(eta), self.eta_edges), (pt, self.pt_edges), (score, self.score_edges)):
+            n = len(edges) - 1
+            out = out * n + F.least(F.greatest(bin_index(x, Edges(edges)), F.lit(1)), F.lit(n)) - 1
+        return F.when(eta.isNotNull() & pt.isNotNull() & score.isNotNull(), out)
+
+    def rows(self) -> list[tuple]:
+        """(flavour, cell, coefficients of every source); a source without the flavour has none."""
+        flavours = list(dict.fromkeys(f for _, f in self.cells))
+        n = len(next(iter(self.cells.values())))
+        pad = lambda c: [float(v) for v in c] + [0.0] * (self.degree + 1 - len(c))
+        return [(f, i, *[pad(self.cells[s, f][i]) if (s, f) in self.cells else None for s in self.sources])
+                for f in flavours for i in range(n)]
+
+    def attach(self, df: DataFrame, flavour: Column, eta: Column, pt: Column, score: Column) -> DataFrame:
+        """``df`` with a column per source: the factor, NULL where the table has no such flavour or the object no such value.
+
+        The table is a literal in the plan; above ``LITERAL_CELLS`` numbers it is joined on flavour and cell instead.
+        """
+        rows, where = self.rows(), self.cell(eta, pt, score)
+        if len(rows) * len(self.sources) * (self.degree + 1) <= LITERAL_CELLS:
+            s = Scratch(df)
+            at, = s.put([where])
+            by: dict[int, list[str]] = {}
+            for f, _, *own in rows:
+                by.setdefault(f, []).append("named_struct(" + ", ".join(
+                    f"'c{i}', " + ("array(" + ", ".join(f"{v!r}D" for v in c) + ")" if c is not None else "cast(NULL AS array<double>)")
+                    for i, c in enumerate(own)) + ")")
+            picked = F.lit(None)
+            for f, structs in by.items():
+                picked = F.when(F.abs(flavour) == f, F.get(F.expr(f"array({', '.join(structs)})"), at)).otherwise(picked)
+            found, = s.put([picked])
+            return s.done({n: self._polynomial(found[f"c{i}"], score) for i, n in enumerate(self.sources)})
+        kinds = ", ".join(f"c{i} array<double>" for i in range(len(self.sources)))
+        dim = df.sparkSession.createDataFrame(rows, f"__flavour int, __cell int, {kinds}")
+        joined = df.withColumns({"__flavour": F.abs(flavour).cast("int"), "__cell": where, "__score": score}).join(dim, ["__flavour", "__cell"], "left")
+        return joined.select(*df.columns, *[self._polynomial(F.col(f"c{i}"), F.col("__score")).alias(n) for i, n in enumerate(self.sources)])
+
+    def _polynomial(self, coefficients: Column, x: Column) -> Column:
+        out = F.get(coefficients, F.lit(self.degree))
+        for i in range(self.degree - 1, -1, -1):
+            out = out * x + F.get(coefficients, F.lit(i))
+        return out
+
+
 def map_from_rows(rows, x_edges, y_edges, value="value", error="error") -> BinnedMap:
     """Build a map from a *measured* table: at most one row per cell of the given edges.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from binloom.config import Alias, Cut, Nuisance, Sample, Variable
 from binloom.operators.define import (
-    assign_processes, by_process, define, event_weight, names_in, process_cases, process_weight, rename_in, scoped,
+    as_column, assign_processes, by_process, define, event_weight, names_in, process_cases, process_weight, rename_in, scoped,
 )
 from binloom.operators.fill import Entry, entries_for, fill_entries
 
@@ -103,7 +103,7 @@ class Analysis:
             raise ValueError(f"nuisance {nuis.name}: no column with suffix _{tag}")
         for a in definitions:
             if a.name not in swaps and names_in(a.expr) & swaps.keys():
-                df = df.withColumn(f"{a.name}__{label}", scoped(F.expr(rename_in(a.expr, swaps)), a.samples))
+                df = df.withColumn(f"{a.name}__{label}", scoped(as_column(rename_in(a.expr, swaps)), a.samples))
                 swaps[a.name] = f"{a.name}__{label}"
         entries = []
         touched_presel = names_in(passing) & swaps.keys()

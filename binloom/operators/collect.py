@@ -38,3 +38,20 @@ def leading_collections(objects: DataFrame, key: str, kind: str, order: list[str
         for value, (name, k) in want.items()
     ]
     return top.groupBy(key).agg(*arrays)
+
+
+def varied_collections(objects: DataFrame, key: str, value: str, factors: dict[str, tuple[Column, Column]], fields: list[str], order: list[str],
+                       k: int) -> DataFrame:
+    """The ``k`` leading objects of every event by each varied value, as (key, variation, array ``objects``).
+
+    ``factors`` maps a source to its up and down factors of ``value``; variations are ``nominal``, ``<source>up`` and ``<source>do``.  An
+    object moves as one, with its ``fields`` (its nominal index among them, if asked for).  Event and variation are the key of the ranking, whose limit
+    runs before the shuffle: a task sends at most ``k`` objects of an event and variation.  ``order`` breaks ties.
+    """
+    sides = [("nominal", F.lit(1.0))] + [(f"{s}{side}", c) for s, pair in factors.items() for side, c in zip(("up", "do"), pair)]
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("variation"), (F.col(value) * c).alias("v")) for n, c in sides]))
+    varied = objects.withColumn("__x", made).select(key, *[c for c in dict.fromkeys([*fields, *order]) if c != value], "__x.variation",
+                                                    F.col("__x.v").alias(value))
+    top = rank_objects(varied, [key, "variation"], [f"-{value}", *order], k, "place")
+    objects = F.sort_array(F.collect_list(F.struct("place", value, *[c for c in fields if c != value])))
+    return top.groupBy(key, "variation").agg(objects.alias("objects"))

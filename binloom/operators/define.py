@@ -11,12 +11,31 @@ from binloom.config import Alias, Sample
 _NAMES = re.compile(r"'(?:[^']|'')*'|`[^`]*`|(?<![\w.])[A-Za-z_]\w*")
 
 
-def names_in(expression: str) -> set[str]:
-    """Words of a SQL expression that may be column names (text in quotes is not)."""
+def as_column(expression) -> Column:
+    """A SQL text, or a function that is given a resolver of names, as a Column."""
+    if callable(expression):
+        return expression(lambda name: F.col(f"`{name}`"))
+    return F.expr(expression)
+
+
+def names_in(expression) -> set[str]:
+    """Words of a SQL expression that may be column names (text in quotes is not); of a function, the names it asks for."""
+    if callable(expression):
+        asked: set[str] = set()
+
+        def resolve(name: str) -> Column:
+            asked.add(name)
+            return F.col(f"`{name}`")
+
+        expression(resolve)
+        return asked
     return {m for m in _NAMES.findall(expression) if not m.startswith(("'", "`"))}
 
 
-def rename_in(expression: str, mapping: dict[str, str]) -> str:
+def rename_in(expression, mapping: dict[str, str]):
+    """The expression over other columns; a function is given a resolver that renames."""
+    if callable(expression):
+        return lambda resolve: expression(lambda name: resolve(mapping.get(name, name)))
     return _NAMES.sub(lambda m: mapping.get(m.group(), m.group()), expression)
 
 
@@ -30,10 +49,10 @@ def define(df: DataFrame, aliases: list[Alias], sample_col: str = "sample") -> D
     """Add aliases in declaration order.  Redefining a column is an error unless it is itself."""
     for a in aliases:
         if a.name in df.columns:
-            if a.expr.strip() == a.name:
+            if not callable(a.expr) and a.expr.strip() == a.name:
                 continue
             raise ValueError(f"column {a.name!r} is already defined")
-        df = df.withColumn(a.name, scoped(F.expr(a.expr), a.samples, sample_col))
+        df = df.withColumn(a.name, scoped(as_column(a.expr), a.samples, sample_col))
     return df
 
 

@@ -1,63 +1,63 @@
-"""Global order without a single task: running sums and exact top-n by bucketed position."""
+"""Global order without a single task: running sums and exact top-n by ranges that grow in number with the rows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1024
+from binloom.session import stage
+
+BUCKET_ROWS = 1 << 20      # distinct values, or rows, that one task orders
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False,
-                 buckets: int = BUCKETS) -> DataFrame:
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Running totals along ``order``, one row per distinct value of it.
 
-    Equal values are added up first, so a value that a third of the rows share is one row.
-    Quantiles of the values (a fixed number of them) cut the range into buckets, a pure function
-    of the value; each bucket is summed on its own and starts from the total of those before it.
-    Columns: order, each sum ``s`` and its running total ``s_run``.
+    Equal values are added up first, so a value that a third of the rows share is one row.  The values are then dealt in ranges
+    of about ``bucket_rows``, so their number grows with the values and the largest task does not; each range is summed on its
+    own and starts from the total of those before it.  Columns: order, each sum ``s`` and its running total ``s_run``.
     """
-    wanted = [i / buckets for i in range(1, buckets)]
-    cuts = np.unique(df.agg(F.percentile_approx(order, wanted, 10 * buckets)).first()[0] or [])
-
-    def place(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, values.to_numpy(), side="right").astype("int32"))
-
-    bucket = F.pandas_udf(place, "int")(F.col(order).cast("double"))
-    tagged = df.withColumn("__b", bucket)
-    totals = tagged.groupBy("__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    points = tagged.groupBy(order, "__b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    # at most ``buckets`` rows: the running total over buckets is tiny
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("__b") if descending else F.asc("__b")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    points = stage(df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "points")
+    parts = max(1, math.ceil(points.count() / bucket_rows))
+    direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
+    # which range a value came to is written down with it
+    dealt = stage(points.repartitionByRange(parts, direction).withColumn("__b", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__b").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    inside = Window.partitionBy("__b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = points.join(offsets, "__b").withColumns(
+    inside = Window.partitionBy("__b").orderBy(direction).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.join(offsets, "__b").withColumns(
         {f"{n}_run": F.sum(n).over(inside) + F.col(f"__o_{n}") for n in sums})
     return out.drop("__b", *[f"__o_{n}" for n in sums])
 
 
-def first_n_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+def first_n_by_hash(df: DataFrame, key: str, n: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exactly ``n`` rows, those with the smallest md5 of ``key`` (a fixed random order).
 
-    Counts per leading hash digits (4096 of them) tell which prefixes are kept whole; only the
-    rows of the one prefix at the limit are ranked.
+    Counts by the next three digits of the hash (4,096 numbers each time) tell which prefixes are kept whole; the one at the limit is looked
+    into again until it holds at most ``bucket_rows``, and only those are ranked.  Rows of one key longer than that are
+    told apart by all they hold.
     """
-    hashed = df.withColumn("__h", F.md5(F.col(key).cast("string")))
-    hashed = hashed.withColumn("__p", F.substring("__h", 1, 3))
-    counts = sorted((row["__p"], row["n"]) for row in hashed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
-    seen = 0
-    for prefix, size in counts:
-        if seen + size >= n:
+    hashed = df.withColumn("__h", F.concat(F.md5(F.col(key).cast("string")), F.md5(F.to_json(F.struct(*df.columns)))))
+    edge, seen, prefix = hashed, 0, ""
+    while True:
+        digits = len(prefix) + 3
+        counts = edge.groupBy(F.substring("__h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+        for row in counts:
+            if seen + row["n"] >= n:
+                break
+            seen += row["n"]
+        else:
+            return hashed.drop("__h")      # fewer rows than wanted
+        prefix = row["p"]
+        edge = hashed.filter(F.col("__h").startswith(prefix))
+        if row["n"] <= bucket_rows or digits >= 63:
             break
-        seen += size
-    else:
-        return hashed.drop("__h", "__p")
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
-    edge = hashed.filter(F.col("__p") == prefix).withColumn("__r", rank).filter(F.col("__r") <= n - seen).drop("__r")
-    return hashed.filter(F.col("__p") < prefix).unionByName(edge).drop("__h", "__p")
+    rank = F.row_number().over(Window.partitionBy(F.substring("__h", 1, len(prefix))).orderBy("__h"))
+    last = edge.withColumn("__r", rank).filter(F.col("__r") <= n - seen).drop("__r")
+    return hashed.filter(F.substring("__h", 1, len(prefix)) < prefix).unionByName(last).drop("__h")
 
 
 def hash_percent(key: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -11,15 +14,69 @@ def file_counts(df: DataFrame) -> DataFrame:
         .groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes"))
 
 
-def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` that yield no rows although they are listed.
+def file_health(spark: SparkSession, path: str, pattern: str = "*", tasks: int | None = None) -> DataFrame:
+    """Every file below ``path`` as (file, bytes, state, rows).
 
-    Corrupt files are skipped by the scan and show up in the difference.
+    ``good``: the footer can be read; a file without rows is good.  ``empty``: no bytes.  ``truncated``: too short or without the
+    closing mark.  ``corrupt``: marks are there, the footer cannot be read.  ``rows`` is the footer's count for good ones.
+    Listing gives lengths only; footers, at most ``FOOTER`` bytes of each file, are read inside tasks.  ``unknown``: a larger footer, or a file system
+    that cannot be opened there.
     """
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
-    good = spark.read.option("ignoreCorruptFiles", "true").parquet(path) \
-        .select(F.col("_metadata.file_path").alias("file")).distinct()
-    return listed.join(good, "file", "left_anti")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    local = lambda name: F.regexp_replace(name, "^file:/+", "file:///").alias("file")
+    listed = found.select(local("_metadata.file_path"), F.col("length").alias("bytes"))
+    # a scan passes over files without bytes; the listing it was made from, which the driver holds for every scan, has them
+    names = spark.createDataFrame([(n,) for n in found.inputFiles()], "file string").select(local("file"))
+    # names are all a task needs; each opens its files where they are
+    listed = names.join(listed, "file", "left").fillna(0, ["bytes"]).repartition(
+        tasks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+
+    def probe(batches):
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [_footer(n, k) for n, k in zip(names, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64()), pa.array([f[0] for f in found]),
+                                              pa.array([f[1] for f in found], pa.int64())], names=["file", "bytes", "state", "rows"])
+
+    return listed.mapInArrow(probe, "file string, bytes long, state string, rows long")
+
+
+# The mark that opens and closes a Parquet file; the length of the footer stands before the closing one
+MARK = b"PAR1"
+FOOTER = 64 << 20
+
+
+def _footer(name: str, size: int) -> tuple[str, int | None]:
+    """State of one file, and its rows, from its first and last bytes."""
+    if size == 0:
+        return "empty", None
+    if size < 12:
+        return "truncated", None
+    try:
+        fs, path = pafs.FileSystem.from_uri(name)
+    except (pa.ArrowException, OSError):
+        return "unknown", None      # a file system that cannot be opened here
+    try:
+        with fs.open_input_file(path) as file:
+            head = file.read_at(4, 0)
+            tail = file.read_at(8, size - 8)
+            if head != MARK or tail[4:] != MARK:
+                return "truncated", None
+            length = int.from_bytes(tail[:4], "little")
+            if length > size - 12:
+                return "corrupt", None
+            if length > FOOTER:
+                return "unknown", None
+            # the footer alone, as a file of its own
+            alone = MARK + file.read_at(length + 8, size - length - 8)
+            return "good", pq.read_metadata(pa.BufferReader(alone)).num_rows
+    except (pa.ArrowException, OSError):
+        return "corrupt", None
+
+
+def unreadable_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files below ``path`` that no scan can read, with their state; valid files without rows are not among them."""
+    return file_health(spark, path, pattern).where("state NOT IN ('good', 'unknown')").select("file", "bytes", "state")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

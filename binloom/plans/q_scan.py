@@ -91,6 +91,43 @@ def file_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
 
+@query("q_file_health", """
+SELECT 'segments' AS folder, 'good' AS state, count(DISTINCT c_mktsegment) AS files, count(*) AS rows FROM customer
+UNION ALL SELECT 'nobody', 'good', 1, 0
+UNION ALL SELECT 'damaged', 'corrupt', count(*), -1 FROM region
+UNION ALL SELECT 'halves', 'truncated', count(*), -1 FROM nation""")
+def file_health(spark, sf_dir):
+    """A folder with whole files, a whole one without rows, files with a broken footer and files that end too early."""
+    path = fresh_path(spark, "health")
+    customers, regions, nations = (T.table(spark, sf_dir, t) for t in ("customer", "region", "nation"))
+    customers.coalesce(1).write.partitionBy("c_mktsegment").parquet(f"{path}/segments")
+    customers.limit(0).coalesce(1).write.parquet(f"{path}/nobody")
+    # opening mark, text, a length of five bytes, and the closing mark in place of the end of the line
+    broken = F.concat(F.lit("PAR1"), "r_name", F.lit("\x05\x00\x00\x00"))
+    regions.select("r_regionkey", broken.alias("value")).coalesce(1).write.partitionBy("r_regionkey").option("lineSep", "PAR1").text(f"{path}/damaged")
+    nations.select("n_nationkey", F.concat(F.lit("PAR1"), "n_name").alias("value")).coalesce(1).write.partitionBy("n_nationkey").text(f"{path}/halves")
+    found = quality.file_health(spark, path, "part-*")
+    folder = F.regexp_extract("file", "(segments|nobody|damaged|halves)", 1)
+    return found.groupBy(folder.alias("folder"), "state").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows"), F.lit(-1)).alias("rows"))
+
+
+@query("q_text_results", with_ctes(f"""
+SELECT 'csv' AS form, cut, variation, bin, sumw, n FROM h UNION ALL SELECT 'csv', cut, variation, bin, sumw, n FROM h
+UNION ALL SELECT 'json', cut, variation, bin, sumw, n FROM h""", "ev", "obj", **PAIR_SQL,
+    h=f"SELECT 'all' AS cut, 'nominal' AS variation, {bin_sql('pt1', 20, 20.0, 100.0)} AS bin, sum(weight) AS sumw, count(*) AS n FROM pair GROUP BY ALL"))
+def text_results(spark, sf_dir):
+    """A result appended twice to a CSV folder and written as JSON, both read back."""
+    h = fill(lepton_pairs(spark, sf_dir), [Cut("all", "true")], [Variable("pt1", "pt1", Uniform(20, 20.0, 100.0))], by=())
+    h = h.select("cut", "variation", "bin", "sumw", "n")
+    path = fresh_path(spark, "results")
+    for _ in range(2):
+        sinks.append_csv(h, f"{path}/csv")
+    sinks.write_json(h, f"{path}/json")
+    csv = spark.read.schema(h.schema).option("sep", ";").csv(f"{path}/csv")
+    json = spark.read.schema(h.schema).json(f"{path}/json")
+    return csv.select(F.lit("csv").alias("form"), "*").unionByName(json.select(F.lit("json").alias("form"), "*"))
+
+
 @query("q_missing_partitions", """
 SELECT c_mktsegment AS category, count(*) AS expected, count(*) FILTER (o.k IS NULL) AS missing,
        round(avg(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END), 8) AS rate

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from binloom.config import Alias, Cut, Nuisance, Sample, Uniform, Variable
 
+from binloom.functions.kinematics import transverse_mass
+from binloom.functions.lookup import Curve
 from binloom.functions.poisson import poisson_interval
 from binloom.operators import histops, rates, variations as V
 from binloom.operators.analysis import Analysis
-from binloom.operators.collect import rank_objects
+from binloom.operators.collect import rank_objects, varied_collections
 from binloom.plans.q_hist import LEAD, hists, leading
 from binloom.plans.registry import bin_sql, query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
@@ -168,6 +172,31 @@ def syst_rms_100(spark, sf_dir):
     return V.rms(replica_hists(spark, sf_dir), "pdf").withColumn("sumw", r("sumw", 8))
 
 
+TURN_ON = Curve((20.0, 60.0, 100.0), (0.5, 1.0, 0.8))
+
+
+def _function_sql(variation, pt):
+    x = "least(greatest(p, CAST(20 AS DOUBLE)), CAST(100 AS DOUBLE))"
+    eff = " ".join(f"WHEN {x} <= {x1} THEN CAST({y0} AS DOUBLE) + ({x} - CAST({x0} AS DOUBLE)) * CAST({(y1 - y0) / (x1 - x0)!r} AS DOUBLE)"
+                   for x0, x1, y0, y1 in zip(TURN_ON.xs, TURN_ON.xs[1:], TURN_ON.ys, TURN_ON.ys[1:]))
+    values = {"mt": ("sqrt(2 * p * total * (1 - cos(eta)))", (12, 0.0, 240.0)), "eff": ("eff", (10, 0.5, 1.0))}
+    return " UNION ALL ".join(
+        f"SELECT sample, 'on' AS cut, '{v}' AS variable, '{variation}' AS variation, {bin_sql(f'({e})', *axis)} AS bin, CAST(0 AS INT) AS biny, "
+        f"sum(weight) AS sumw, sum(weight*weight) AS sumw2, count(*) AS n FROM (SELECT *, CASE {eff} END AS eff FROM (SELECT *, {pt} AS p FROM lead)) "
+        f"WHERE eff > 0.6 AND abs(weight) > 0 GROUP BY ALL" for v, (e, axis) in values.items())
+
+
+@query("q_function_alias", with_ctes(" UNION ALL ".join(_function_sql(*v) for v in (("nominal", "pt"), ("scaleUp", UP), ("scaleDown", DO))),
+                                     "ev", "obj", lead=LEAD["lead"]))
+def function_alias(spark, sf_dir):
+    """Aliases given as column functions, varied with the columns they ask for."""
+    run = Analysis(aliases=[Alias("eff", lambda c: TURN_ON.at(c("pt"))),
+                            Alias("mt", lambda c: transverse_mass(c("pt"), c("eta"), c("total"), F.lit(0.0)))],
+                   cuts=[Cut("on", "eff > 0.6")], nuisances=NUIS[:1],
+                   variables=[Variable("mt", "mt", Uniform(12, 0.0, 240.0)), Variable("eff", "eff", Uniform(10, 0.5, 1.0))])
+    return run.histograms(varied_events(spark, sf_dir))
+
+
 def nominal_yields(spark, sf_dir):
     return histops.yields(hists(spark, sf_dir), {"pt": 20})
 
@@ -409,6 +438,50 @@ def norm_preserving_syst(spark, sf_dir):
     return out.select("sample", "cut", r("up").alias("up"), r("down").alias("down"), "nominal")
 
 
+# jet-energy sources with factors exact in binary: all jets, b jets, forward jets
+SOURCES = {"Absolute": ("1.25D", "0.75D"), "FlavorQCD": ("IF(flavour = 5, 1.5D, 1D)", "IF(flavour = 5, 0.5D, 1D)"),
+           "BBEC1": ("IF(abs(eta) > 1.3, 1.125D, 1D)", "IF(abs(eta) > 1.3, 0.875D, 1D)")}
+SIDES = [("nominal", "1D")] + [(f"{n}{side}", f) for n, pair in SOURCES.items() for side, f in zip(("up", "do"), pair)]
+JES_SQL = {"jes": "SELECT *, row_number() OVER (PARTITION BY event, variation ORDER BY v DESC, idx) AS k FROM (" + " UNION ALL ".join(
+    f"SELECT event, eta, idx, '{n}' AS variation, pt * (" + re.sub(r"([\d.]+)D", r"CAST(\1 AS DOUBLE)", re.sub(r"IF\((.*?), (.*?), (.*?)\)$", r"CASE WHEN \1 THEN \2 ELSE \3 END", f))
+    + ") AS v FROM obj WHERE kind = 'jet'" for n, f in SIDES) + ")"}
+
+
+def jes(spark, sf_dir):
+    """The two leading jets by every source and side, with their nominal rank."""
+    jets = T.ranked(spark, sf_dir, "jet").select("event", "idx", "pt", "eta", "flavour")
+    factors = {n: (F.expr(up), F.expr(down)) for n, (up, down) in SOURCES.items()}
+    return varied_collections(jets, "event", "pt", factors, ["pt", "eta", "idx"], ["idx"], 2)
+
+
+@query("q_jes_sources", with_ctes(f"""
+SELECT event, variation, max(CASE WHEN k=1 THEN {rs('v', 8)} END) AS pt1, max(CASE WHEN k=1 THEN eta END) AS eta1, CAST(max(CASE WHEN k=1 THEN idx END) AS INTEGER) AS idx1,
+  coalesce(max(CASE WHEN k=2 THEN {rs('v', 8)} END), 0) AS pt2, CAST(coalesce(max(CASE WHEN k=2 THEN idx END), -1) AS INTEGER) AS idx2
+FROM jes GROUP BY ALL""", "obj", **JES_SQL))
+def jes_sources(spark, sf_dir):
+    a, b = (F.get("objects", F.lit(i)) for i in (0, 1))
+    return jes(spark, sf_dir).select("event", "variation", r(a["pt"], 8).alias("pt1"), a["eta"].alias("eta1"), a["idx"].alias("idx1"),
+                                     F.coalesce(r(b["pt"], 8), F.lit(0.0)).alias("pt2"), F.coalesce(b["idx"], F.lit(-1)).alias("idx2"))
+
+
+@query("q_jes_hist", with_ctes(" UNION ALL ".join(
+    f"SELECT sample, 'two' AS cut, 'lead' AS variable, '{label}' AS variation, {bin_sql('v1', 10, 20.0, 120.0)} AS bin, CAST(0 AS INT) AS biny, "
+    f"sum(weight) AS sumw, sum(weight*weight) AS sumw2, count(*) AS n FROM t WHERE variation = '{v}' AND v2 > 20 AND weight <> 0 GROUP BY ALL"
+    for v, label in [("nominal", "nominal")] + [(f"{n}{s}", f"JES_{n}{t}") for n in SOURCES for s, t in (("up", "Up"), ("do", "Down"))]), "ev", "obj", **JES_SQL,
+    t="SELECT event, variation, any_value(sample) AS sample, any_value(weight) AS weight, max(CASE WHEN k=1 THEN v END) AS v1, max(CASE WHEN k=2 THEN v END) AS v2 "
+      "FROM jes JOIN ev USING (event) GROUP BY event, variation"))
+def jes_hist(spark, sf_dir):
+    """Leading jets of three sources, each up and down, as companions of the nominal columns, filled in one pass."""
+    names = [n for n, _ in SIDES]
+    column = lambda c, n: c if n == "nominal" else f"{c}_{n}"
+    jets = jes(spark, sf_dir).groupBy("event").agg(*[
+        F.max(F.when(F.col("variation") == n, F.get("objects", F.lit(i))["pt"])).alias(column(f"pt{i + 1}", n)) for n in names for i in (0, 1)])
+    events = T.ev(spark, sf_dir).select("event", "sample", "weight").join(jets, "event")
+    run = Analysis(cuts=[Cut("two", "pt2 > 20")], variables=[Variable("lead", "pt1", Uniform(10, 20.0, 120.0))],
+                   nuisances=[Nuisance(f"JES_{n}", "suffix", f"{n}up", f"{n}do") for n in SOURCES])
+    return run.histograms(events)
+
+
 @query("q_resort_variation", with_ctes(f"""
 SELECT event, max(CASE WHEN k=1 THEN {rs('v', 8)} END) AS pt1, max(CASE WHEN k=1 THEN eta END) AS eta1, CAST(coalesce(max(CASE WHEN k=1 THEN idx END), -1) AS INTEGER) AS idx1,
   max(CASE WHEN k=2 THEN {rs('v', 8)} END) AS pt2, max(CASE WHEN k=2 THEN eta END) AS eta2, CAST(coalesce(max(CASE WHEN k=2 THEN idx END), -1) AS INTEGER) AS idx2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from binloom.config import Edges
 from binloom.functions import events as E, kinematics as K, weights as W
 from binloom.functions.bins import bin_index
-from binloom.functions.lookup import BinnedMap, Curve, map_from_rows
+from binloom.functions.lookup import BinnedMap, Curve, ShapeTable, map_from_rows
 from binloom.operators import rates, reweight, tagging, veto
 from binloom.operators.joins import clean_objects
 from binloom.plans.q_hist import rate_hists, weighted_jets
@@ -240,27 +240,67 @@ def binned_lookup(spark, sf_dir):
     return out.select("event", "line", "part", "supp", r("value", 8).alias("value"), r("error", 8).alias("error"))
 
 
+def _shape_cells(source, flavour):
+    """Coefficients from a rule: every axis, flavour and source shows."""
+    k, f = SHAPES.index(source), {0: 0, 4: 1, 5: 2}[flavour]
+    return tuple((6 / 7 + e / 51 + p / 103 + s / 211 + f / 31, 0.2 - s / 33 + k / 97, k / 53 - e / 101)
+                 for e in range(3) for p in range(4) for s in range(4))
+
+
+SHAPES = ("central", "up_jes", "down_jes", "up_lf", "up_hf", "down_hfstats1", "up_cferr1", "down_cferr1")
+SHAPE_TABLE = ShapeTable((0.0, 0.8, 1.6, 2.6), (20.0, 30.0, 50.0, 70.0, 1000.0), (0.0, 0.2, 0.5, 0.8, 1.01),
+                         {(s, f): _shape_cells(s, f) for s in SHAPES for f in (0, 4, 5) if "cferr" not in s or f == 4})
+
+
+def _shape_rows_sql():
+    """The table as rows with the limits of their cells."""
+    t, out = SHAPE_TABLE, []
+    places = [(e, p, s) for e in range(3) for p in range(4) for s in range(4)]
+    for f, i, *own in t.rows():
+        limits = [(edges[k], edges[k + 1]) for edges, k in zip((t.eta_edges, t.pt_edges, t.score_edges), places[i])]
+        numbers = [v for pair in limits for v in pair] + [v for c in own for v in (c or [None] * 3)]
+        out.append(f"({f}, " + ", ".join("NULL" if v is None else f"{v!r}::DOUBLE" for v in numbers) + ")")
+    names = ", ".join(f"{s}_{j}" for s in SHAPES for j in range(3))
+    return f"SELECT * FROM (VALUES {', '.join(out)}) t(f, e_lo, e_hi, p_lo, p_hi, s_lo, s_hi, {names})"
+
+
 def _shape_sql(s):
-    sf = "(CAST(0.8 AS DOUBLE) + CAST(0.4 AS DOUBLE)*score)"
-    skip = "pt < 20 OR abs(eta) > 2.2"
-    skip += {"jes": " OR flavour <> 0", "cferr": " OR flavour <> 4", "hf": " OR flavour = 4"}.get(s, "")
-    return f"product(CASE WHEN {skip} THEN 1 ELSE {sf} END)"
+    skip = "pt < 20 OR abs(eta) > 2.2" + (" OR flavour <> 0" if "jes" in s else "") + (
+        " OR flavour <> 4" if "cferr" in s else " OR flavour = 4" if "hf" in s or "lf" in s else "")
+    return f"CASE WHEN {skip} THEN 1 ELSE {s}_0 + score * ({s}_1 + score * {s}_2) END"
 
 
-SHAPES = ("central", "jes", "cferr", "hf")
+_SHAPED = """SELECT items.*, tab.* FROM items LEFT JOIN tab ON flavour = f AND abs(eta) >= e_lo AND abs(eta) < e_hi AND pt >= p_lo AND pt < p_hi
+  AND score >= s_lo AND score < s_hi WHERE kind = 'jet'"""
+
+
+def shape_factors(jets):
+    """The jets with their factor for each source; 1 where the source does not concern the jet."""
+    c = {n: F.col(n) for n in ("flavour", "eta", "pt", "score")}
+    found = SHAPE_TABLE.attach(jets, **c)
+    return found.withColumns({s: W.shape_sf(s, F.col(s), c["flavour"], c["eta"], c["pt"], c["score"], 20.0, 2.2) for s in SHAPES})
 
 
 @query("q_btag_shape", with_ctes("SELECT ev.event, " + ", ".join(f"coalesce({s}, 1) AS {s}" for s in SHAPES) + " FROM ev LEFT JOIN (SELECT event, "
-    + ", ".join(f"{rs(_shape_sql(s), 7)} AS {s}" for s in SHAPES) + " FROM items WHERE kind='jet' GROUP BY event) USING (event)", "ev", "items"))
+    + ", ".join(f"{rs(f'product({_shape_sql(s)})', 7)} AS {s}" for s in SHAPES) + " FROM shaped GROUP BY event) USING (event)", "ev", "items",
+    tab=_shape_rows_sql(), shaped=_SHAPED))
 def btag_shape(spark, sf_dir):
-    sf = 0.8 + 0.4 * F.col("score")
-    found = T.items(spark, sf_dir).filter("kind = 'jet'").groupBy("event").agg(*[
-        r(F.product(W.shape_sf(s, sf, F.col("flavour"), F.col("eta"), F.col("pt"), F.col("score"), 20.0, 2.2)), 7).alias(s)
-        for s in SHAPES])
+    """Event factors from a table on three axes, with a polynomial in each cell, for every source at once."""
+    jets = T.items(spark, sf_dir).filter("kind = 'jet'").select("event", "flavour", "eta", "pt", "score")
+    found = shape_factors(jets).groupBy("event").agg(*[r(F.product(F.col(s)), 7).alias(s) for s in SHAPES])
     return T.ev(spark, sf_dir).select("event").join(found, "event", "left").select(
         "event", *[F.coalesce(s, F.lit(1.0)).alias(s) for s in SHAPES])
 
 
+@query("q_shape_lookup", with_ctes(" UNION ALL ".join(
+    f"SELECT event, line, part, supp, '{s}' AS source, {rs(_shape_sql(s), 8)} AS sf FROM shaped" for s in SHAPES), "items", tab=_shape_rows_sql(), shaped=_SHAPED))
+def shape_lookup(spark, sf_dir):
+    """The look-up keyed by source and flavour, a row for each jet and source, without a join."""
+    jets = T.items(spark, sf_dir).filter("kind = 'jet'").select("event", "line", "part", "supp", "flavour", "eta", "pt", "score")
+    one = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), r(s, 8).alias("sf")) for s in SHAPES])).alias("o")
+    return shape_factors(jets).select("event", "line", "part", "supp", one).select("event", "line", "part", "supp", "o.*")
+
+
 @query("q_region_sf", with_ctes(f"""
 SELECT event, {rs('CASE WHEN bveto OR (topcr AND zerojet) THEN v ELSE 0 END + CASE WHEN topcr AND NOT zerojet THEN q ELSE 0 END', 7)} AS sf FROM (
   SELECT f.event, bveto, zerojet, mll > 50 AND ((zerojet AND NOT bveto) OR breq) AND mtw2 > 30 AS topcr, coalesce(v, 1) AS v, coalesce(q, 1) AS q

@@ -64,14 +64,22 @@ def test_csv_and_json_sinks(spark, events):
     assert json.loads(spark.read.text(path).first()[0])["sample"] == "A"
 
 
-def test_unreadable_files_are_listed_not_deleted(spark, events):
+def test_unreadable_files_are_told_apart_and_not_deleted(spark, events):
     path = fresh_path(spark, "mixed")
     events.coalesce(1).write.parquet(path)
-    bad = os.path.join(path, "part-bad.parquet")
-    with open(bad, "wb") as f:
-        f.write(b"not a table")
-    got = [r["file"] for r in quality.unreadable_files(spark, path).collect()]
-    assert [os.path.basename(f) for f in got] == ["part-bad.parquet"] and os.path.exists(bad)
+    events.limit(0).coalesce(1).write.mode("append").parquet(path)
+    whole = max((f for f in os.listdir(path) if f.endswith(".parquet")), key=lambda f: os.path.getsize(os.path.join(path, f)))
+    data = open(os.path.join(path, whole), "rb").read()
+    bad = {"part-text": (b"not a table at all", "truncated"), "part-none": (b"", "empty"), "part-short": (b"PAR1PAR1", "truncated"),
+           "part-half": (data[:len(data) // 2], "truncated"), "part-long": (data[:-8] + b"\xff\xff\xff\x7fPAR1", "corrupt"),
+           "part-junk": (b"PAR1" + b"x" * 40 + b"\x28\x00\x00\x00PAR1", "corrupt")}
+    for name, (content, _) in bad.items():
+        with open(os.path.join(path, name), "wb") as f:
+            f.write(content)
+    got = {os.path.basename(r["file"]): r["state"] for r in quality.unreadable_files(spark, path, "part-*").collect()}
+    assert got == {n: s for n, (_, s) in bad.items()} and all(os.path.exists(os.path.join(path, n)) for n in bad)
+    good = [(r["rows"], r["bytes"]) for r in quality.file_health(spark, path, "part-*").where("state = 'good'").collect()]
+    assert sorted(r for r, _ in good) == [0, 40] and (40, len(data)) in good
 
 
 def test_union_fills_missing_columns(spark):
