@@ -14,7 +14,8 @@ neighbours from different components only: what is in a large group already give
 not found its group meets other members in each of the dozens of tables that it shares with a linked one.
 
 Then nothing is left out: wherever documents of different components still share a key, all their pairs are compared on
-their minhashes.  Many documents with a common first key are told apart by their second keys, which is their tables, and
+their minhashes.  Where a key is crowded, shingles that no other document of the crowded keys has are counted first: two sets have no
+more in common than the smaller rest, which ends most pairs of much edited copies without a look, and exactly.  Many documents with a common first key are told apart by their second keys, which is their tables, and
 still many are dealt into blocks, each block with each, so that no task grows.  A pair is compared only in the first table
 that it shares.
 """
@@ -36,6 +37,7 @@ SIDE = 12          # keys of each collection
 WIDTH = 2          # minhashes of a key
 DOCS_AT_ONCE = 1000  # whose entries are made together, 144 at most for each
 BLOCK = 1024       # documents with a common key that are compared with one another in one place
+CROWD = 16         # documents with a common key from which on their own shingles are counted
 _SEEDS = mix(np.arange(1, 1 + 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -183,9 +185,29 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -
     return ordered.mapInArrow(beside, "a long, b long, same int").distinct()
 
 
-def _crossing(mine: DataFrame, joined: DataFrame, threshold: int, block: int) -> DataFrame:
+def _common(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, common``: of each of these documents' shingles the number that another of them has, too.
+
+    Shingles are told apart by 32 bits, which can only make too many look common.
+    """
+    def run(batches):
+        for batch in batches:
+            h = [np.unique(np.frombuffer(v.as_buffer(), np.uint64).astype(np.uint32)) for v in column(batch, "set")]
+            many = [len(x) for x in h]
+            for a in range(0, len(h), DOCS_AT_ONCE):
+                some = h[a:a + DOCS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int32)), pa.array(np.repeat(numbers(column(batch, "id"))[a:a + DOCS_AT_ONCE], many[a:a + DOCS_AT_ONCE]))],
+                                                 names=["h", "id"])
+
+    own = sets.join(ids, "id").mapInArrow(run, "h int, id long")
+    alone = own.groupBy("h").agg(F.count("*").alias("many"), F.min("id").alias("id")).where("many = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.join(ids, "id").select("id", (F.octet_length("set") / 8).cast("long").alias("n"))
+    return sizes.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
     """``a, b, same``: all pairs with a table in common whose ends are not joined yet, with the number of equal minhashes,
-    but for those that set sizes or minhashes rule out as :func:`_candidates` does."""
+    but for those that set sizes, shingles of their own or minhashes (as :func:`_candidates` does) rule out."""
     least = _least(threshold)
     held = _held(mine, joined)
 
@@ -197,21 +219,26 @@ def _crossing(mine: DataFrame, joined: DataFrame, threshold: int, block: int) ->
     light = held.select("id", "component", "own")
     first = light.select("id", "component", F.explode(F.filter("own", lambda k: k["slot"] < SIDE)).alias("k"))
     first = stage(crossed(first.select("id", "component", F.col("k.slot").alias("i"), F.lit(-1).alias("j"), F.col("k.key").alias("key"))), "crossed")
+    # all documents of a crowded key are among those counted, so what is their own there is no other's
+    crowd = stage(_common(sets, first.where(F.col("many") > CROWD).select("id").distinct()).join(mine.select("id", "n"), "id"), "common")
+    able = crowd.where(F.col("common") * 100 >= F.col("n") * threshold).select("id", "common")
+    packed = crossed(first.where(F.col("many") > CROWD).drop("many").join(able, "id"))
+    first = stage(first.where(F.col("many") <= CROWD).withColumn("common", F.lit(None).cast("long")).unionByName(packed), "crossed")
     large = first.where(F.col("many") > block).drop("many", "j").join(light.select("id", "own"), "id")
-    large = large.select("id", "component", "i", "key", F.explode(F.filter("own", lambda k: k["slot"] >= SIDE)).alias("k"))
-    large = crossed(large.select("id", "component", "i", (F.col("k.slot") - SIDE).alias("j"), F.xxhash64("key", "k.key").alias("key")))
+    large = large.select("id", "component", "common", "i", "key", F.explode(F.filter("own", lambda k: k["slot"] >= SIDE)).alias("k"))
+    large = crossed(large.select("id", "component", "common", "i", (F.col("k.slot") - SIDE).alias("j"), F.xxhash64("key", "k.key").alias("key")))
     blocks = F.ceil(F.col("many") / block).cast("int")
     dealt = first.where(F.col("many") <= block).unionByName(large).withColumn("blocks", blocks)
     dealt = dealt.withColumn("own_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "component", "i", "j", "key", "own_block", F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"))
+    dealt = dealt.select("id", "component", "common", "i", "j", "key", "own_block", F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"))
     full = dealt.join(mine.select("id", "n", "sig"), "id")
     order = ["key", "i", "j", "p", "q"]
-    ordered = full.select(*order, "id", "component", "own_block", "n", "sig").repartition(*order).sortWithinPartitions(*order, "id")
+    ordered = full.select(*order, "id", "component", "own_block", "n", F.coalesce("common", "n").alias("common"), "sig").repartition(*order).sortWithinPartitions(*order, "id")
 
     def compare(got: list[np.ndarray], cuts: np.ndarray):
         """Pairs of the groups that end at ``cuts``: each row with the one d rows later, for all d."""
-        i, j, p, q, ids, comp, own, n, sig = got
+        i, j, p, q, ids, comp, own, n, common, sig = got
         end = cuts[np.searchsorted(cuts, np.arange(len(ids)), "right")]
         at, d = np.arange(len(ids)), 0
         while len(at):
@@ -220,6 +247,7 @@ def _crossing(mine: DataFrame, joined: DataFrame, threshold: int, block: int) ->
             a = at[(comp[at] != comp[at + d]) & ((p[at] == q[at]) | (own[at] != own[at + d]))]
             b = a + d
             ok = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+            ok &= (100 + threshold) * np.minimum(common[a], common[b]) >= threshold * (n[a] + n[b])
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -236,7 +264,7 @@ def _crossing(mine: DataFrame, joined: DataFrame, threshold: int, block: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = [numbers(column(batch, c)) for c in ("key", "i", "j", "p", "q", "id", "component", "own_block", "n")]
+            got = [numbers(column(batch, c)) for c in ("key", "i", "j", "p", "q", "id", "component", "own_block", "n", "common")]
             got.append(np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
             if last is not None:
                 got = [np.concatenate([x, y]) for x, y in zip(last, got)]
@@ -313,7 +341,7 @@ def _joined(own: DataFrame, reps: DataFrame, shingle: int, threshold: int, block
     sets = stage(_sets(own, mine.select("id"), shingle), "sets")
     links, joined = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
     for turn, takes in enumerate(((True, False), (True, False), (True, False))):
-        found = _candidates(mine, joined, turn, threshold) if turn < 2 else _crossing(mine, joined, threshold, block)
+        found = _candidates(mine, joined, turn, threshold) if turn < 2 else _crossing(mine, joined, sets, threshold, block)
         open_ = stage(found, "candidates")
         for take in takes:
             some = open_

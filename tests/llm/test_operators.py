@@ -236,6 +236,29 @@ def test_near_duplicates_of_a_family_under_the_threshold(spark, block):
     assert 100 < len(links) and {r.id: r.component for r in out.collect()} == dict(enumerate(comp.tolist()))
 
 
+def test_near_duplicates_of_copies_edited_more_and_more(spark):
+    """Copies of one text with up to a third of their words replaced, some words by a few fixed ones: links, near misses and more."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for i in range(900):
+        w = np.arange(200)
+        at = rng.choice(200, rng.integers(0, 66), replace=False)
+        w[at] = np.where(rng.random(len(at)) < 0.3, 200 + rng.integers(0, 5, len(at)) * 200 + at, 10_000 + 200 * i + at)
+        sets.append(w)
+    both = np.array([[len(np.intersect1d(x, y, True)) for y in sets] for x in sets])
+    comp = np.arange(len(sets))
+    links = np.argwhere(np.triu(100 * both >= 80 * (400 - both), 1))
+    before = None
+    while before is None or (comp != before).any():
+        before = comp.copy()
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    rows = [(i, " ".join(f"w{k}" for k in w)) for i, w in enumerate(sets)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=1)
+    got = {r.id: r.component for r in out.collect()}
+    assert len(links) > 1000 and 50 < len(set(comp.tolist())) < 850 and got == dict(enumerate(comp.tolist()))
+
+
 def test_components_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr("binloom.llm.components.PART_LINKS", 10)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
