@@ -16,7 +16,8 @@ not found its group meets other members in each of the dozens of tables that it
 Then nothing is left out: wherever documents of different components still share a key, all their pairs are compared on
 their minhashes.  Where a key is crowded, shingles that no other document of the crowded keys has are counted first: two sets have no
 more in common than the smaller rest, which ends most pairs of much edited copies without a look, and exactly.  Many documents with a common first key are told apart by their second keys, which is their tables, and
-still many are dealt into blocks, each block with each, so that no task grows.  A pair is compared only in the first table
+still many are dealt into blocks, so that no task grows: those of the largest component, which need not meet, against the others, or each
+block with each.  A pair is compared only in the first table
 that it shares.
 """
 
@@ -224,14 +225,40 @@ def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: in
     able = crowd.where(F.col("common") * 100 >= F.col("n") * threshold).select("id", "common")
     packed = crossed(first.where(F.col("many") > CROWD).drop("many").join(able, "id"))
     first = stage(first.where(F.col("many") <= CROWD).withColumn("common", F.lit(None).cast("long")).unionByName(packed), "crossed")
-    large = first.where(F.col("many") > block).drop("many", "j").join(light.select("id", "own"), "id")
+    plain = ["id", "component", "common", "i", "j", "key"]
+
+    def lay(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries with the place (``p, q, own_block``) where they are compared, and those of keys that need another way.
+
+        In a key with at most ``block`` documents each meets each.  In a larger one the largest component's documents need not meet one
+        another: each stands in one of their blocks, and if the others are at most ``block``, these go to all blocks and to one place of
+        their own, which together is no more rows than twice the documents and a block.
+        """
+        parts = entries.groupBy("key", "component").agg(F.count("*").alias("c"))
+        lead = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("many"))
+        lead = lead.select("key", "many", F.col("top.c").alias("led"), F.col("top.component").alias("lead"))
+        known = entries.select(*plain).join(lead, "key")
+        blocks = F.ceil(F.col("led") / block).cast("int")
+        mine_, places = F.col("component") == F.col("lead"), ["p", "q", "own_block"]
+        put = lambda p, q, own: F.struct(p.cast("int").alias("p"), F.lit(q).alias("q"), F.lit(own).alias("own_block"))
+        star = F.when(mine_, F.array(put(F.pmod(F.xxhash64("id", F.lit(1)), blocks), -1, 0))).otherwise(
+            F.concat(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: put(k, -1, 1)), F.array(put(F.lit(-2), -2, 0))))
+        where = F.when(F.col("many") <= block, F.array(put(F.lit(0), 0, 0))).otherwise(star)
+        laid = known.where((F.col("many") <= block) | (F.col("many") - F.col("led") <= block))
+        laid = laid.select(*plain, F.explode(where).alias("at")).select(*plain, *[F.col("at")[c].alias(c) for c in places])
+        return laid, known.where((F.col("many") > block) & (F.col("many") - F.col("led") > block)).select(*plain, "many")
+
+    laid, large = lay(first)
+    large = large.drop("many", "j").join(light.select("id", "own"), "id")
     large = large.select("id", "component", "common", "i", "key", F.explode(F.filter("own", lambda k: k["slot"] >= SIDE)).alias("k"))
     large = crossed(large.select("id", "component", "common", "i", (F.col("k.slot") - SIDE).alias("j"), F.xxhash64("key", "k.key").alias("key")))
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    dealt = first.where(F.col("many") <= block).unionByName(large).withColumn("blocks", blocks)
-    dealt = dealt.withColumn("own_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "component", "common", "i", "j", "key", "own_block", F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"))
+    more, rest = lay(large)
+    # many documents of many components with one table in common: in blocks, each with each
+    rest = rest.withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
+    rest = rest.withColumn("own_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select(*plain, F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"), "own_block")
+    dealt = laid.unionByName(more).unionByName(rest)
     full = dealt.join(mine.select("id", "n", "sig"), "id")
     order = ["key", "i", "j", "p", "q"]
     ordered = full.select(*order, "id", "component", "own_block", "n", F.coalesce("common", "n").alias("common"), "sig").repartition(*order).sortWithinPartitions(*order, "id")
