@@ -15,7 +15,8 @@ not found its group meets other members in each of the dozens of tables that it
 
 Then nothing is left out: wherever documents of different components still share a key, all their pairs are compared on
 their minhashes.  Where a key is crowded, shingles that no other document of the crowded keys has are counted first: two sets have no
-more in common than the smaller rest, which ends most pairs of much edited copies without a look, and exactly.  Many documents with a common first key are told apart by their second keys, which is their tables, and
+more in common than the smaller rest.  Bitmaps of the sets then bound what a pair has in common.  Both bounds are exact and end most pairs
+of much edited copies without a look at their sets.  Many documents with a common first key are told apart by their second keys, which is their tables, and
 still many are dealt into blocks, so that no task grows: those of the largest component, which need not meet, against the others, or each
 block with each.  A pair is compared only in the first table
 that it shares.
@@ -186,11 +187,49 @@ def _candidates(mine: DataFrame, joined: DataFrame, turn: int, threshold: int) -
     return ordered.mapInArrow(beside, "a long, b long, same int").distinct()
 
 
+class Bits:
+    """Sets as bitmaps of eight bits or more for each member, folded to one size for a comparison."""
+
+    def __init__(self, raw: list[bytes | None], n: np.ndarray):
+        self.n, self.sizes = n.tolist(), [8 * len(r) if r else 0 for r in raw]
+        self.bits = [int.from_bytes(r, "little") if r else 0 for r in raw]
+
+    def at_most(self, a: int, b: int) -> int:
+        """A bound of what two sets have in common: a bit that only one has set stands for a member that the other has not."""
+        if not self.sizes[a] or not self.sizes[b]:
+            return min(self.n[a], self.n[b])
+        size = min(self.sizes[a], self.sizes[b])
+        x, y = self._folded(a, size), self._folded(b, size)
+        both = (x & y).bit_count()
+        return min(self.n[a] - x.bit_count() + both, self.n[b] - y.bit_count() + both)
+
+    def _folded(self, i: int, size: int) -> int:
+        v, k = self.bits[i], self.sizes[i]
+        while k > size:
+            k //= 2
+            v = (v >> k) | (v & ((1 << k) - 1))
+        return v
+
+
+def bitmap(members: np.ndarray) -> bytes:
+    """Bits at the low ends of 64-bit hashes; a power of two of them, at least 256."""
+    size = max(256, 8 << int(len(members) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(members & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def _common(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, common``: of each of these documents' shingles the number that another of them has, too.
+    """``id, common, bits``: of each of these documents' shingles the number that another of them has, too, and their bitmap.
 
     Shingles are told apart by 32 bits, which can only make too many look common.
     """
+    def maps(batches):
+        for batch in batches:
+            raw = [bitmap(mix(np.frombuffer(v.as_buffer(), np.uint64))) for v in column(batch, "set")]
+            n = [len(v.as_buffer()) // 8 for v in column(batch, "set")]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["id", "n", "bits"])
+
     def run(batches):
         for batch in batches:
             h = [np.unique(np.frombuffer(v.as_buffer(), np.uint64).astype(np.uint32)) for v in column(batch, "set")]
@@ -202,8 +241,8 @@ def _common(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
     own = sets.join(ids, "id").mapInArrow(run, "h int, id long")
     alone = own.groupBy("h").agg(F.count("*").alias("many"), F.min("id").alias("id")).where("many = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = sets.join(ids, "id").select("id", (F.octet_length("set") / 8).cast("long").alias("n"))
-    return sizes.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    sizes = sets.join(ids, "id").mapInArrow(maps, "id long, n long, bits binary")
+    return sizes.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), "bits")
 
 
 def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
@@ -259,13 +298,14 @@ def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: in
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(*plain, F.least("own_block", "other").alias("p"), F.greatest("own_block", "other").alias("q"), "own_block")
     dealt = laid.unionByName(more).unionByName(rest)
-    full = dealt.join(mine.select("id", "n", "sig"), "id")
+    full = dealt.join(mine.select("id", "n", "sig").join(crowd.select("id", "bits"), "id", "left"), "id")
     order = ["key", "i", "j", "p", "q"]
-    ordered = full.select(*order, "id", "component", "own_block", "n", F.coalesce("common", "n").alias("common"), "sig").repartition(*order).sortWithinPartitions(*order, "id")
+    ordered = full.select(*order, "id", "component", "own_block", "n", F.coalesce("common", "n").alias("common"), "sig", "bits").repartition(*order).sortWithinPartitions(*order, "id")
 
     def compare(got: list[np.ndarray], cuts: np.ndarray):
         """Pairs of the groups that end at ``cuts``: each row with the one d rows later, for all d."""
-        i, j, p, q, ids, comp, own, n, common, sig = got
+        i, j, p, q, ids, comp, own, n, common, sig, raw = got
+        sets_ = Bits(raw.tolist(), n)
         end = cuts[np.searchsorted(cuts, np.arange(len(ids)), "right")]
         at, d = np.arange(len(ids)), 0
         while len(at):
@@ -282,6 +322,9 @@ def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: in
             same = alike.sum(1)
             keys = alike.reshape(len(a), 2 * SIDE, WIDTH).all(2)
             ok = (same >= least) & (keys[:, :SIDE].argmax(1) == i[a]) & ((j[a] < 0) | (keys[:, SIDE:].argmax(1) == j[a]))
+            for k in np.flatnonzero(ok).tolist():
+                x, y = int(a[k]), int(b[k])
+                ok[k] = (100 + threshold) * sets_.at_most(x, y) >= threshold * (sets_.n[x] + sets_.n[y])
             a, b, same = ids[a[ok]], ids[b[ok]], same[ok]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same, pa.int32())], names=["a", "b", "same"])
@@ -293,6 +336,7 @@ def _crossing(mine: DataFrame, joined: DataFrame, sets: DataFrame, threshold: in
                 continue
             got = [numbers(column(batch, c)) for c in ("key", "i", "j", "p", "q", "id", "component", "own_block", "n", "common")]
             got.append(np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+            got.append(np.array([*column(batch, "bits").to_pylist(), None], object)[:-1])
             if last is not None:
                 got = [np.concatenate([x, y]) for x, y in zip(last, got)]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in got[:5]], axis=0)) + 1

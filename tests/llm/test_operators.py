@@ -259,6 +259,16 @@ def test_near_duplicates_of_copies_edited_more_and_more(spark):
     assert len(links) > 1000 and 50 < len(set(comp.tolist())) < 850 and got == dict(enumerate(comp.tolist()))
 
 
+def test_bitmaps_never_rule_out_a_common_member():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for _ in range(200):
+        x, y = (np.unique(rng.choice(pool[:rng.integers(2, 3000)], rng.integers(1, 900))) for _ in range(2))
+        bits = minhash.Bits([minhash.bitmap(x), minhash.bitmap(y), None], np.array([len(x), len(y), 5]))
+        common = len(np.intersect1d(x, y))
+        assert common <= bits.at_most(0, 1) <= min(len(x), len(y)) and bits.at_most(0, 2) == min(len(x), 5)
+
+
 def test_components_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr("binloom.llm.components.PART_LINKS", 10)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
