@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     A document's set holds its distinct shingles of ``shingle`` lower-cased words, or its whole sequence if it has fewer;
     a null or empty text has an empty set and is linked with nothing.  Documents whose sets overlap by ``threshold``
     percent or more of their union are linked, and the component is the smallest id that links lead to.  Equal sets are
-    one entry, named by their smallest id.  An id that repeats counts once, with its smallest text; a null id takes no part.
+    one entry, named by their smallest id.  An id that repeats counts once, with the text of the smallest fingerprint; a null id takes no part.
     """
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL")
     signed = stage(_signed(own, "text", shingle), "signatures")
@@ -437,14 +437,14 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
                threshold: int = THRESHOLD) -> DataFrame:
     """The documents whose id names their component, with their columns unchanged; rows with a null id stay.
 
-    Of rows that repeat an id, and so are the same document, one stays.
+    Of rows that repeat an id and its text one stays; different texts under one kept id all stay.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, threshold=threshold)
     gone = found.where("id <> component").select(F.col("id").alias("__gone"))
     key = F.col(f"`{doc_id}`").cast("long")
     kept = docs.join(gone, key == F.col("__gone"), "left_anti")
     none = kept.where(key.isNull())
-    return kept.where(key.isNotNull()).dropDuplicates([doc_id]).unionByName(none)
+    return kept.where(key.isNotNull()).dropDuplicates([doc_id, text]).unionByName(none)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -236,6 +236,13 @@ def test_near_duplicates_of_a_family_under_the_threshold(spark, block):
     assert 100 < len(links) and {r.id: r.component for r in out.collect()} == dict(enumerate(comp.tolist()))
 
 
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(1, "a b c d e f"), (1, "quite another text it is"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (None, "x")]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept if r.doc_id == 1) == sorted({r for r in rows if r[0] == 1})
+    assert sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1
+
+
 def test_near_duplicates_of_copies_edited_more_and_more(spark):
     """Copies of one text with up to a third of their words replaced, some words by a few fixed ones: links, near misses and more."""
     rng = np.random.default_rng(9)
