@@ -517,16 +517,18 @@ _JD = (dr2_sql("L", "J").replace("L_eta", "lep.eta").replace("L_phi", "lep.phi")
 
 
 @query("q_jet_stage", with_ctes(f"""
-SELECT event, count(*) AS njet, {rs('sum(pt)', 6)} AS ht FROM items j WHERE kind = 'jet' AND pt >= 15 AND score >= 0.25
-  AND NOT EXISTS (SELECT 1 FROM items lep WHERE lep.kind = 'lepton' AND lep.event = j.event AND lep.pt >= 10 AND {_JD} < 0.09)
-  AND event NOT IN (SELECT event FROM items WHERE kind = 'jet' AND score < 0.9 AND pt > 15 AND
-    {map_sql(VETO, 'greatest(least(eta, 5.19), -5.19)', 'greatest(least(phi, CAST(3.1415 AS DOUBLE)), CAST(-3.1415 AS DOUBLE))')} <> 0)
-GROUP BY event""", "items"))
+SELECT ev.event, coalesce(njet, 0) AS njet, coalesce(ht, 0) AS ht FROM ev LEFT JOIN (
+  SELECT event, count(*) AS njet, {rs('sum(pt)', 6)} AS ht FROM items j WHERE kind = 'jet' AND pt >= 15 AND score >= 0.25
+    AND NOT EXISTS (SELECT 1 FROM items lep WHERE lep.kind = 'lepton' AND lep.event = j.event AND lep.pt >= 10 AND {_JD} < 0.09)
+  GROUP BY event) USING (event)
+WHERE event NOT IN (SELECT event FROM items WHERE kind = 'jet' AND score < 0.9 AND pt > 15 AND
+    {map_sql(VETO, 'greatest(least(eta, 5.19), -5.19)', 'greatest(least(phi, CAST(3.1415 AS DOUBLE)), CAST(-3.1415 AS DOUBLE))')} <> 0)""", "ev", "items"))
 def jet_stage(spark, sf_dir):
-    """Identified jets above 15, clean of leptons, in events that no dirty detector region touches."""
+    """Identified jets above 15, clean of leptons, in events that no dirty detector region touches; those without such a jet, too."""
     jets = T.items(spark, sf_dir).filter("kind = 'jet'")
     leptons = T.items(spark, sf_dir).filter("kind = 'lepton' AND pt >= 10").select("event", "eta", "phi")
     good = jets.filter("pt >= 15 AND score >= 0.25").select("event", "pt", "eta", "phi")
     clean = clean_objects(good, leptons, "event", 0.3)
-    kept = veto.veto_events(clean, jets, veto.map_hit(jets, VETO, F.col("score")), "event")
-    return kept.groupBy("event").agg(F.count(F.lit(1)).alias("njet"), r(F.sum("pt")).alias("ht"))
+    sums = clean.groupBy("event").agg(F.count(F.lit(1)).alias("njet"), r(F.sum("pt")).alias("ht"))
+    kept = veto.veto_events(T.ev(spark, sf_dir).select("event"), jets, veto.map_hit(jets, VETO, F.col("score")), "event")
+    return kept.join(sums, "event", "left").select("event", F.coalesce("njet", F.lit(0)).alias("njet"), F.coalesce("ht", F.lit(0.0)).alias("ht"))
