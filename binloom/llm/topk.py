@@ -7,6 +7,9 @@ each query.  Lists of tasks are merged as a tree: groups of tasks first, then gr
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,27 +23,52 @@ TILE = 1024               # queries of a tile
 SHARD = 4096              # candidates of a tile
 FAN_IN = 16               # lists merged at a time
 SCALE = 1024
-_LARGEST = float(1 << 53)
+_EXACT = float(1 << 53)   # integers below are exact as doubles
+_LONG = (1 << 63) - 1
 
 
 def quantised(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """``id, v``: each component as floor(scale * component), an integer kept as a double.
 
-    Left out are null ids, and vectors that are null or empty, hold a null or a value that is not finite, or one so large
-    that its integer is not exact (2^53 and more).
+    Left out are null ids, and vectors that are null or hold a null or a value that is not finite.  A product of 2^53 and
+    more has no fraction and stays as it is; one beyond the doubles is held at the largest.
     """
-    x = F.transform(F.col(f"`{vector}`"), lambda c: F.floor(c.cast("double") * scale).cast("double"))
-    fine = F.forall(F.col(f"`{vector}`"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < _LARGEST))
-    own = rows.where(F.col(f"`{vec_id}`").isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size(f"`{vector}`") > 0))
+    most = F.lit(sys.float_info.max)
+
+    def whole(c):
+        wide = F.greatest(F.least(c.cast("double") * scale, most), -most)
+        return F.when(F.abs(wide) < _EXACT, F.floor(wide).cast("double")).otherwise(wide)
+
+    x = F.transform(F.col(f"`{vector}`"), whole)
+    fine = F.forall(F.col(f"`{vector}`"), lambda c: c.isNotNull() & (F.abs(c.cast("double")) <= most))
+    own = rows.where(F.col(f"`{vec_id}`").isNotNull() & F.coalesce(fine, F.lit(False)))
     return own.select(F.col(f"`{vec_id}`").cast("long").alias("id"), x.alias("v"))
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, as long as they fit a long."""
-    largest = (np.abs(q).max(initial=0) + 1) * (np.abs(c).max(initial=0) + 1) * q.shape[1]
-    if largest < _LARGEST:
+    """Integer inner products: exact, and held at the ends of the longs beyond them."""
+    size = q.shape[1]
+    large_q, large_c = np.abs(q).max(axis=1, initial=0), np.abs(c).max(axis=1, initial=0)
+    with np.errstate(over="ignore"):
+        largest = (large_q.max(initial=0) + 1) * (large_c.max(initial=0) + 1) * size
+    if largest < _EXACT:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if largest < 2.0 ** 62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    # vectors with large components meet the others in integers of any length; the rest fit
+    fits = math.sqrt(2.0 ** 62 / size) - 1
+    wide_q, wide_c = np.flatnonzero(large_q >= fits), np.flatnonzero(large_c >= fits)
+    out = np.where(large_q[:, None] >= fits, 0, q).astype(np.int64) @ np.where(large_c[:, None] >= fits, 0, c).astype(np.int64).T
+    out[wide_q] = _any_length(q[wide_q], c)
+    out[:, wide_c] = _any_length(q, c[wide_c])
+    return out
+
+
+def _any_length(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if not len(q) or not len(c):
+        return np.zeros((len(q), len(c)), np.int64)
+    integers = [np.array([[int(x) for x in v] for v in m.tolist()], object) for m in (q, c)]
+    return np.clip(integers[0] @ integers[1].T, -_LONG, _LONG).astype(np.int64)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
@@ -66,9 +94,9 @@ def _tile(q_ids, q, c_ids, c, k):
     return _best(row, c_ids[col], score[row, col], k)
 
 
-def _pass(candidates: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+def _pass(candidates: DataFrame, queries: pa.Table, size: int, k: int) -> DataFrame:
     q_ids = queries["id"].to_numpy()
-    q = np.array(queries["v"].combine_chunks().flatten()).reshape(len(q_ids), -1)
+    q = np.array(queries["v"].combine_chunks().flatten(), float).reshape(len(q_ids), size)
     order = np.argsort(q_ids, kind="stable")
     shared = candidates.sparkSession.sparkContext.broadcast((q_ids[order], q[order]))
 
@@ -77,9 +105,9 @@ def _pass(candidates: DataFrame, queries: pa.Table, k: int) -> DataFrame:
         best = [(np.zeros(0, np.int64),) * 3 for _ in range(0, len(ids), TILE)]
         for batch in batches:
             flat = column(batch, "v")
-            own = np.flatnonzero(np.diff(flat.offsets.to_numpy()) == vectors.shape[1])
+            own = np.flatnonzero(np.diff(flat.offsets.to_numpy()) == size)
             batch = batch.take(pa.array(own))
-            all_ids, all_v = numbers(column(batch, "id")), np.array(column(batch, "v").flatten()).reshape(len(own), -1)
+            all_ids, all_v = numbers(column(batch, "id")), np.array(column(batch, "v").flatten(), float).reshape(len(own), size)
             for a in range(0, len(own), SHARD):
                 c_ids, c = all_ids[a:a + SHARD], all_v[a:a + SHARD]
                 for t, lo in enumerate(range(0, len(ids), TILE)):
@@ -111,7 +139,7 @@ def top_k(rows: DataFrame, *, k: int = 10, every: int = 100, vec_id: str = "vec_
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows with another id.  Ties go to smaller ids;
     fewer candidates give fewer rows.  An id that repeats is one query (its smallest vector) and as many candidates.
-    Only vectors of equal length meet.  See :func:`quantised` for the vectors that take no part.
+    Only vectors of equal length meet, empty ones with a score of 0; scores beyond the longs are held at their ends.  See :func:`quantised` for the vectors that take no part.
     """
     ready = quantised(rows, vec_id=vec_id, vector=vector, scale=scale)
     asked = ready.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
@@ -119,11 +147,11 @@ def top_k(rows: DataFrame, *, k: int = 10, every: int = 100, vec_id: str = "vec_
     out = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, part int")
     parts = 1
     for n, count in sorted(map(tuple, sizes)):
-        passes = -(-count * n * 8 // pass_bytes)
+        passes = max(1, -(-count * n * 8 // pass_bytes))
         for i in range(passes):
             queries = asked.where((F.size("v") == n) & (F.pmod(F.xxhash64("id"), F.lit(passes)) == i)).toArrow()
             if len(queries):
-                found = _pass(ready, queries, k)
+                found = _pass(ready, queries, n, k)
                 parts = max(parts, found.rdd.getNumPartitions())
                 out = out.union(found)
     merged = _merge(out, k, max(2, parts))

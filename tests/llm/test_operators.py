@@ -178,12 +178,13 @@ def test_secrets_in_one_word(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(150)]
-    rows += [(i, rows[3][1]) for i in range(150, 170)] + [(200, None), (201, [1.0, None] * 4), (202, [float("nan")] * 8), (203, []), (None, rows[0][1]), (204, [1e30] * 8)]
-    own = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows[:170]]
-    want = []
+    rows += [(i, rows[3][1]) for i in range(150, 170)] + [(200, None), (201, [1.0, None] * 4), (202, [float("nan")] * 8), (None, rows[0][1]), (204, [1e30] * 8), (206, []),
+             (207, [2.0**45, -1.0] + [0.0] * 6), (208, [-(2.0**62), 2.0**62] + [0.25] * 6), (210, [2.0**44] * 8), (220, []), (209, [math.inf] * 8)]
+    own = [(i, [math.floor(1024 * np.float32(x).item()) for x in v]) for i, v in rows if i is not None and i not in (200, 201, 202, 209)]
+    want, top = [], 2**63 - 1
     for q, a in own:
         if q % 10 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in own if i != q)[:5]
+            s = sorted((-max(-top, min(top, sum(x * y for x, y in zip(a, b)))), i) for i, b in own if i != q and len(a) == len(b))[:5]
             want += [(q, r, i, -t) for r, (t, i) in enumerate(s, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     for size in (1 << 20, 300):
