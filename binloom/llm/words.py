@@ -43,6 +43,11 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def powers(n: int) -> np.ndarray:
+    """At least n powers of the multiplier modulo 2^64."""
+    return _powers(n)[0]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the multiplier and of its inverse modulo 2^64."""
     size = max(1 << 16, 1 << max(0, n - 1).bit_length())

@@ -133,6 +133,39 @@ def brute_marks(text, items, k):
     return len(w), len(hit), sorted(found)
 
 
+def longest(text, items, k):
+    """Length, place and smallest item of the longest match with an item that begins with a window of it."""
+    w, best = ALNUM.findall(low(text or "")), (0, None, None)
+    own = sorted((i, ALNUM.findall(low(t or ""))) for i, t in items if i is not None)
+    for p in range(len(w)):
+        for i, b in own:
+            least = min(k, len(b))
+            for s in range(len(b) - least + 1 if b else 0):
+                n = next((n for n, (x, y) in enumerate(zip(w[p:], b[s:])) if x != y), min(len(w) - p, len(b) - s))
+                best = max(best, (n, p, i), key=lambda x: x[0]) if n >= least else best
+    return best
+
+
+@pytest.mark.parametrize("block", [4_000_000, 8])
+def test_longest_match(spark, block):
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    stem, ends = "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9", ("x y z", "p q r s t")
+    items = [(1, f"{stem} {ends[0]}"), (2, f"{stem} {ends[1]}"), *[(i, said(rng.randint(1, 30))) for i in range(3, 30)]]
+    texts = [f"{stem} {ends[1]}", None, "", *[said(rng.randint(1, 60)) for _ in range(60)],
+             *[f"{said(5)} c {i[1]} c {said(7)} {i[1]} {i[1]}" for i in items]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for w in (4, 10):
+        out = decontaminate.mark(docs, spark.createDataFrame(items, "item_id long, text string"), window=w, block_words=block).collect()
+        for r in out:
+            n, at, item = longest(r.text, items, w)
+            assert (r["__longest"], r["__at"]) == (n, at), r
+            words = ALNUM.findall(low(r.text or ""))
+            has = [i for i, t in items if n and f" {' '.join(words[at:at + n])} " in f" {t} "]
+            assert r["__item"] in has if n else r["__item"] is None
+    assert max(r["__longest"] for r in out if r.doc_id == 0) == 15
+
+
 @pytest.mark.parametrize("block", [4_000_000, 10])
 def test_decontaminate(spark, docs, none, block):
     long = next(t for i, t, *_ in corpus() if i == 60)
@@ -143,6 +176,8 @@ def test_decontaminate(spark, docs, none, block):
     want = sorted(brute_marks(t, items, 10) for _, t, *_ in corpus())
     assert sorted((r["__n_words"], r["__n_hit"], r["__items"]) for r in out) == want
     assert max(r["__longest"] for r in out) == 17
+    got = sorted(((r.doc_id, r.text, r["__longest"], r["__at"], r["__item"]) for r in out), key=str)
+    assert got == sorted(((i, t, *longest(t, items, 10)) for i, t, *_ in corpus()), key=str)
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[2] for w in want)
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(corpus())
