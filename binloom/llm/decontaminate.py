@@ -231,6 +231,7 @@ class Longest:
         return best, at, items
 
 
+@tables.names_apart
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW,
          block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents with ``__n_words``, ``__hit`` (a bit for each word), ``__n_hit``, ``__items``, and the longest verbatim match with an
@@ -242,8 +243,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: i
     hits nothing; item ids that are null take no part; equal items and repeated rows are each reported; other columns,
     whatever their names, pass through.
     """
-    if [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError("columns beginning with two underscores are the operator's own")
     out = (docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__hit", F.lit(None).cast("binary"))
            .withColumn("__n_hit", F.lit(0).cast("long"))
            .withColumn("__items", F.array().cast("array<long>")).withColumn("__longest", F.lit(0).cast("long"))
@@ -302,6 +301,7 @@ def _merged(batch: pa.RecordBatch, w, hit: np.ndarray, found: np.ndarray, match)
     return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
 
+@tables.names_apart
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their columns unchanged."""
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,6 +86,7 @@ class Classifier:
         return self.languages[best], score, (rest - sizes[best]) / rest
 
 
+@tables.names_apart
 def identify(docs: DataFrame, languages: list[str], dictionaries: list[bytes], *, text: str = "text",
              margin: float = MARGIN) -> DataFrame:
     """The documents with ``__lang`` (``und`` if the text is null or has no letters), ``__score`` and ``__rejected``.

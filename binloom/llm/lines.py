@@ -233,6 +233,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return hit.select("id", "k1", "number").distinct().groupBy("id", "k1").agg(F.array_sort(F.collect_list("number")).alias("removed"))
 
 
+@tables.names_apart
 def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                keep: list[Column] | None = None) -> DataFrame:
     """The documents, or the columns ``keep`` of them, with ``__removed``, the numbers of the lines that go (see
@@ -246,6 +247,7 @@ def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
     return own.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in own.columns[:-2]], removed)
 
 
+@tables.names_apart
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go; line breaks stay between kept lines.
 

@@ -284,6 +284,7 @@ class Model:
         return self._log10(own, *got[1].T)
 
 
+@tables.names_apart
 def score(docs: DataFrame, train: DataFrame, *, text: str = "text", common: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents with ``__n_tokens``, ``__n_known``, ``__train_tokens``, ``__base`` and ``__score``.
 

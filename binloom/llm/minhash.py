@@ -433,6 +433,7 @@ def _best(pairs: DataFrame, end: str, other: str) -> DataFrame:
     return pairs.groupBy(end).agg(F.max_by(other, F.struct("same", F.negative(other))).alias(other)).select("a", "b")
 
 
+@tables.names_apart
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                threshold: int = THRESHOLD) -> DataFrame:
     """The documents whose id names their component, with their columns unchanged; rows with a null id stay.

@@ -234,6 +234,7 @@ def repeated_ranges(docs: DataFrame, *, text: str = "text", window: int = WINDOW
     return found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "size")).alias("ranges"))
 
 
+@tables.names_apart
 def dedup(docs: DataFrame, *, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS,
           buckets: int | None = None) -> DataFrame:
     """Documents with ``__n_words``, ``__n_removed`` and ``__kept`` (kept words joined by one space).
@@ -243,8 +244,6 @@ def dedup(docs: DataFrame, *, text: str = "text", window: int = WINDOW, rounds:
     words; texts shorter than a window lose none; repeated rows are copies of each other, so all of their windows go;
     an empty table gives an empty one; other columns pass through.
     """
-    if [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError("columns beginning with two underscores are the operator's own")
     ranges = repeated_ranges(docs, text=text, window=window, rounds=rounds, buckets=buckets)
     k1, k2 = tables.text_key(f"`{text}`")
     left = docs.withColumns({"__k1": k1, "__k2": k2})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -27,6 +30,27 @@ def with_results(df: DataFrame, results: list[tuple[str, str]]) -> tuple[DataFra
     return plain, T.StructType([*plain.schema.fields, *fields])
 
 
+def names_apart(operator):
+    """An operator on ``docs`` in which columns of the user's that begin with two underscores have other names meanwhile.
+
+    They pass through under their own names; one that bears a result's name gives way to the result.
+    """
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (name for name in map("user_{}".format, itertools.count()) if name not in taken)
+        other = {c: next(free) for c in docs.columns if c.startswith("__")}
+        if not other:
+            return operator(docs, *args, **options)
+        named = {k: other.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = operator(docs.toDF(*[other.get(c, c) for c in docs.columns]), *args, **named)
+        results = {c.lower() for c in out.columns}
+        back = {mine: c for c, mine in other.items()}
+        return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns if back.get(c, "").lower() not in results])
+
+    return run
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """Remainder of the CRC of an id; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus

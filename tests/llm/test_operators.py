@@ -184,6 +184,25 @@ def test_decontaminate(spark, docs, none, block):
     assert decontaminate.decontaminate(none, bench).count() == 0
 
 
+def test_names_apart(spark, docs):
+    """Columns named like those inside pass through with their values; one named like a result gives way."""
+    few = docs.where("doc_id % 3 = 0")
+    inside = ["__row", "__rare", "__levels", "__id", "__k1", "__key", "__gone", "__doc", "__ranges", "__hit2", "user_0"]
+    results = {"__score", "__lang", "__removed", "__N_words", "__longest", "__kept", "__base"}
+    extra = few.withColumns({c: F.lit(777) for c in [*inside, *results]})
+    bench = spark.createDataFrame([(1, few.where("text <> ''").first().text)], "item_id long, text string")
+    sample = language.learn(docs)
+    for run in (lambda d: lm.score(d, docs), lambda d: language.identify(d, *sample), lines.mark_lines, lines.dedup_lines, minhash.keep_first,
+                lambda d: decontaminate.mark(d, bench), lambda d: decontaminate.decontaminate(d, bench), substrings.dedup):
+        plain, out = run(few), run(extra)
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        assert set(inside) <= set(out.columns) and set(plain.columns) <= set(out.columns)
+        rows = out.collect()
+        assert all(r[c] == 777 for r in rows for c in out.columns if c in inside or c in results - set(plain.columns))
+        kept = [c for c in plain.columns if c not in ("__score", "__base")]      # sums in another order
+        assert sorted(map(repr, plain.select(kept).collect())) == sorted(map(repr, out.select(kept).collect()))
+
+
 def test_secrets(spark, docs, none):
     rows = [(i, f'word {w} "{hashlib.sha1(str(i).encode()).hexdigest()}" after', "en", "cfg/app", 1)
             for i in range(80) for w in (("api token =",) if i % 2 else ("commit sha1",))]
