@@ -18,6 +18,22 @@ def process_ids(structure: DataFrame, order: str) -> DataFrame:
             .withColumn("process_id", number).drop("rank"))
 
 
+def card_processes(structure: DataFrame, order: str, name: str = "sample") -> DataFrame:
+    """Processes and numbers of every card: one card per alternative signal, and one without any, named ''.
+
+    Each card has its alternative signal, the signals always present and all backgrounds, with the numbers of :func:`process_ids`.
+    ``position`` is the place in the card: its own signal first, then the others, then backgrounds, each in falling and rising number.
+    """
+    ids = process_ids(structure, order)
+    alternative = F.col("is_signal") == 2
+    ids = ids.withColumn("__all", F.collect_set(F.when(alternative, F.col(name))).over(Window.partitionBy()))
+    where = F.when(alternative, F.array(F.col(name))).otherwise(F.concat(F.array(F.lit("")), "__all"))
+    each = ids.withColumn("card", F.explode(where)).drop("__all")
+    place = Window.partitionBy("card").orderBy(F.when(F.col("is_signal") == 2, 0).when(F.col("kind") == "signal", 1).otherwise(2),
+                                               F.abs("process_id"))
+    return each.withColumn("position", F.row_number().over(place) - 1)
+
+
 def remove_from_cuts(yields: DataFrame, removed: dict[str, list[str]]) -> DataFrame:
     """Drop (sample, cut) combinations a process is excluded from."""
     bad = F.lit(False)

@@ -133,6 +133,24 @@ def region_transfer(hist: DataFrame, data: str, subtract: list[str], name: str,
     return combine(src, terms, name).withColumn("cut", literal[F.col("cut")])
 
 
+def varied_transfer(hist: DataFrame, data: str, subtract: list[str], name: str, cut_map: dict[str, str],
+                    variations: dict[str, str]) -> DataFrame:
+    """The template of :func:`region_transfer` for the nominal and for each varied histogram of the data.
+
+    ``variations`` maps the data's variation to the template's.  What is subtracted is always nominal, so its rows are repeated for
+    every variation of the data that the source cut and variable have.  Variations nobody asked for are dropped.
+    """
+    wanted = {"nominal": "nominal", **variations}
+    new = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    varied = (F.col("sample") == data) & F.col("variation").isin(*wanted)
+    fixed = F.col("sample").isin(*subtract) & (F.col("variation") == "nominal")
+    src = hist.filter(F.col("cut").isin(*cut_map) & (varied | fixed))
+    seen = F.collect_set(F.when(varied, F.col("variation"))).over(Window.partitionBy("cut", "variable"))
+    each = src.withColumn("__v", F.when(varied, F.array("variation")).otherwise(seen))
+    rows = each.select(*[c for c in hist.columns if c != "variation"], F.explode("__v").alias("variation"))
+    return region_transfer(rows.withColumn("variation", new[F.col("variation")]), data, subtract, name, cut_map)
+
+
 def group_map(hist: DataFrame, groups: dict[str, str], name: str = "grp") -> DataFrame:
     """Samples added up into plot groups; samples without a group are dropped."""
     literal = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])

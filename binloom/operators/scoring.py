@@ -96,21 +96,20 @@ def forest_train(df: DataFrame, features: list[str], label: str, trees: int = 10
 
 def forest_scores(df: DataFrame, category: Column, models: dict[int, tuple[object, list[str]]], classes: int,
                   name: str, missing: float = -99.9) -> DataFrame:
-    """Class probabilities from the category's own forest; the sentinel where it cannot be evaluated."""
-    tagged = df.withColumn("__c", category)
-    sentinel = F.array(*[F.lit(missing)] * classes)
-    parts = [tagged.filter(F.col("__c").isNull() | ~F.col("__c").isin(*models)).withColumn(name, sentinel)]
+    """Class probabilities from the category's own forest; the sentinel where it cannot be evaluated.
+
+    One pass: forests stand side by side in one projection, and a row picks its own.
+    """
+    out, found = df.withColumn("__c", category), []
+    result = F.when(F.lit(False), F.array(*[F.lit(missing)] * classes))
     for c, (model, features) in models.items():
-        ok = F.lit(True)
+        ok = F.col("__c") == c
         for f in features:
             ok = ok & F.col(f).isNotNull()
-        mine = tagged.filter(F.col("__c") == c).withColumn("__ok", ok)
-        scored = _vector_scores(mine, features, model, name, {})
-        parts.append(scored.withColumn(name, F.when(F.col("__ok"), F.col(name)).otherwise(sentinel)).drop("__ok"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__c")
+        found.append(f"__p_{len(found)}")
+        out = _vector_scores(out, features, model, found[-1], {})
+        result = result.when(ok, F.col(found[-1]))
+    return out.withColumn(name, result.otherwise(F.array(*[F.lit(missing)] * classes))).drop("__c", *found)
 
 
 def minmax(df: DataFrame, features: list[str]) -> DataFrame:

@@ -18,11 +18,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n_nationkey) AS rk
   SELECT *, CASE WHEN is_signal <> 0 THEN 'signal' WHEN n_regionkey <> 4 THEN 'background' END AS kind FROM (
     SELECT *, CASE n_regionkey WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS is_signal FROM nation)) WHERE kind IS NOT NULL)""")
 def process_ids(spark, sf_dir):
-    s = T.table(spark, sf_dir, "nation").select(
+    return cards.process_ids(structure(spark, sf_dir), "key").select("sample", "is_signal", "kind", "process_id")
+
+
+def structure(spark, sf_dir):
+    return T.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("key"), F.col("n_name").alias("sample"),
         F.when(F.col("n_regionkey") == 0, 1).when(F.col("n_regionkey") == 1, 2).otherwise(0).alias("is_signal"),
         (F.col("n_regionkey") == 4).cast("int").alias("is_data"))
-    return cards.process_ids(s, "key").select("sample", "is_signal", "kind", "process_id")
+
+
+@query("q_card_processes", """
+WITH s AS (SELECT *, CASE n_regionkey WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS is_signal FROM nation WHERE n_regionkey <> 4),
+p AS (SELECT n_name AS sample, is_signal, CASE WHEN is_signal <> 0 THEN 1 - row_number() OVER (PARTITION BY is_signal <> 0 ORDER BY n_nationkey)
+  ELSE row_number() OVER (PARTITION BY is_signal <> 0 ORDER BY n_nationkey) END AS process_id FROM s),
+c AS (SELECT '' AS card UNION ALL SELECT sample FROM p WHERE is_signal = 2)
+SELECT card, sample, CAST(process_id AS INTEGER) AS process_id,
+  CAST(row_number() OVER (PARTITION BY card ORDER BY CASE is_signal WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, abs(process_id)) - 1 AS INTEGER) AS position
+FROM c JOIN p ON is_signal <> 2 OR sample = card""")
+def card_processes(spark, sf_dir):
+    """One card per alternative signal: its processes in order, with their numbers."""
+    return cards.card_processes(structure(spark, sf_dir), "key").select("card", "sample", "process_id", "position")
 
 
 @query("q_remove_from_cuts", with_ctes(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from binloom.config import Cut, Edges, Uniform, Variable
+from binloom.config import Cut, Edges, Nuisance, Uniform, Variable
 from binloom.functions.bins import bin_index
 from binloom.operators import histops, rates
+from binloom.operators.analysis import Analysis
 from binloom.operators.fill import fill
 from binloom.plans.q_core import PT20, SUMS
 from binloom.plans.registry import bin_sql, edges_sql, query, r, rs, with_ctes
@@ -63,6 +64,27 @@ def region_transfer(spark, sf_dir):
                                    {"os": "flip_ss", "tight": "flip_tight"})
 
 
+# weights exact in binary, so that sums agree to the last bit
+FLIP = ("CASE WHEN pt > 40 THEN 1.25D ELSE 1.5D END", "CASE WHEN pt > 40 THEN 0.75D ELSE 0.5D END")
+FLIP_NAMES = {"effUp": "flip_effUp", "effDown": "flip_effDown"}
+
+
+@query("q_region_transfer_syst", with_ctes(f"""
+SELECT CASE cut WHEN 'os' THEN 'flip_ss' ELSE 'flip_tight' END AS cut, variable, variation, bin, biny, 'flip' AS sample,
+  sum(c*sumw) AS sumw, sum(c*c*sumw2) AS sumw2, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT *, CAST(1 AS DOUBLE) AS c FROM d UNION ALL
+  SELECT b.* REPLACE (v.variation AS variation), CAST(-1 AS DOUBLE) FROM hn b, (SELECT DISTINCT variation FROM d) v WHERE b.sample <> 'DATA') WHERE cut IN ('os','tight')
+GROUP BY ALL""", "ev", "obj", **LEAD, hn=LEAD["h"].replace("FROM cuts", "FROM cuts WHERE weight <> 0"), d=" UNION ALL ".join(
+    f"""SELECT sample, cut, 'pt' AS variable, '{v}' AS variation, {bin_sql('pt', 20, 20.0, 100.0)} AS bin, CAST(0 AS INT) AS biny,
+      sum(weight * ({w})) AS sumw, sum(weight * ({w}) * weight * ({w})) AS sumw2, count(*) AS n FROM cuts WHERE sample = 'DATA' AND weight <> 0 GROUP BY ALL"""
+    for v, w in (("nominal", "1"), *zip(FLIP_NAMES.values(), (w.replace("D ", " ") for w in FLIP))))))
+def region_transfer_syst(spark, sf_dir):
+    """Opposite-sign data with a varied flip weight, minus the nominal other processes."""
+    run = Analysis(cuts=CUTS, variables=[Variable("pt", "pt", PT20)], nuisances=[Nuisance("eff", "weight", *FLIP, samples=("DATA",))])
+    return histops.varied_transfer(run.histograms(leading(spark, sf_dir)), "DATA", ["BKG", "SIG"], "flip",
+                                   {"os": "flip_ss", "tight": "flip_tight"}, FLIP_NAMES)
+
+
 @query("q_plot_groups", with_ctes(f"""
 SELECT {K}, CASE sample WHEN 'DATA' THEN 'data' ELSE 'simulation' END AS grp, sum(sumw) AS sumw, sum(sumw2) AS sumw2,
   CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY ALL""", "ev", "obj", **LEAD))

@@ -121,6 +121,14 @@ def signed_dphi(spark, sf_dir):
     return rec(spark, sf_dir, how="left", jet=2).select("event", r(E.signed_dphi(F.col("jet"))).alias("dphi"))
 
 
+@query("q_gaussian", with_ctes(f"""
+SELECT event, line, part, supp, {rs('exp(-((pt - 45) / 15) * ((pt - 45) / 15) / 2)', 9)} AS near FROM items WHERE kind = 'lepton'""", "items"))
+def gaussian(spark, sf_dir):
+    """How near each lepton's momentum is to a peak: a Gaussian of height 1."""
+    leps = T.items(spark, sf_dir).filter("kind = 'lepton'")
+    return leps.select("event", "line", "part", "supp", r(K.gaussian(F.col("pt"), 45.0, 15.0), 9).alias("near"))
+
+
 @query("q_dphi_wrap", with_ctes(f"""
 SELECT event, {rs(wrap_sql('(l1_phi - l2_phi)'))} AS dphi_ll, {rs('sqrt(' + dr2_sql('l1', 'l2') + ')')} AS dr_ll FROM rec WHERE nlep >= 2""", "rec"))
 def dphi_wrap(spark, sf_dir):

@@ -24,6 +24,20 @@ def scan(spark, sf_dir):
     return T.items(spark, sf_dir).select("event", "pt", "eta", "phi", "pdgId", "score", "flavour", "kind")
 
 
+@query("q_dataset", """
+SELECT CAST(o_orderkey % 4 AS INTEGER) AS part, 'all' AS files, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders GROUP BY ALL
+UNION ALL SELECT CAST(o_orderkey % 4 AS INTEGER), 'first two', count(*), CAST(sum(o_custkey) AS BIGINT) FROM orders WHERE o_orderkey % 4 < 2 GROUP BY ALL""")
+def dataset(spark, sf_dir):
+    """A dataset of several files, all of them and its first two by name."""
+    orders, path = T.table(spark, sf_dir, "orders"), fresh_path(spark, "dataset")
+    for i in range(4):
+        orders.filter(F.col("o_orderkey") % 4 == i).coalesce(1).write.parquet(f"{path}/orders_{i}.parquet")
+    read = {"all": tables.dataset(spark, path, "orders"), "first two": tables.dataset(spark, path, "orders", max_files=2)}
+    each = [df.groupBy((F.col("o_orderkey") % 4).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_custkey").alias("keys"))
+            .select("part", F.lit(name).alias("files"), "rows", "keys") for name, df in read.items()]
+    return each[0].unionByName(each[1])
+
+
 @query("q_process_union", """
 SELECT sample, dataset, count(*) AS n, count(d) AS n_day, count(k) AS n_kind FROM (
   SELECT 'A' AS sample, 'orders' AS dataset, o_orderdate AS d, NULL AS k FROM orders
@@ -212,3 +226,14 @@ def sf_text(spark, sf_dir):
     t = tables.whitespace_table(spark, path, tables.SF_COLUMNS)
     sf, err = efficiency_sf(F.col("eff_data"), F.col("eff_mc"), F.col("stat_data"), F.col("stat_mc"))
     return t.select(F.col("pt_lo").cast("int").alias("ix"), F.col("eta_lo").cast("int").alias("iy"), r(sf, 8).alias("sf"), r(err, 8).alias("err"))
+
+
+@query("q_header_table", f"""
+SELECT CAST(p_size AS DOUBLE) AS "mH", {rs('avg(p_retailprice)', 6)} AS "XS", CAST(count(*) AS DOUBLE) AS "N" FROM part GROUP BY p_size""")
+def header_table(spark, sf_dir):
+    """A table with a header row, which names its columns, written as text and read back."""
+    rows = T.table(spark, sf_dir, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("xs"), F.count(F.lit(1)).alias("n"))
+    path = fresh_path(spark, "header")
+    rows.select(F.concat_ws("   ", F.col("p_size").cast("string"), r("xs", 6).cast("string"), F.col("n").cast("string")).alias("value")).write.text(path)
+    spark.range(1).select(F.lit("  mH   XS    N").alias("value")).write.mode("append").text(path)
+    return tables.whitespace_table(spark, path, header_word="mH")

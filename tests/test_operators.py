@@ -12,7 +12,7 @@ from check import compare, duck
 from binloom.functions import arrays as A, kinematics as K, select as S, weights as W
 from binloom.functions.lookup import BinnedMap, Curve, map_from_rows
 from binloom.functions.poisson import interval
-from binloom.operators import joins, ordered, quality, resample, reweight, scoring, tagging
+from binloom.operators import cards, histops, joins, ordered, quality, resample, reweight, scoring, tagging
 from binloom.operators.collect import leading_collections, rank_objects
 
 
@@ -244,6 +244,38 @@ def test_forest_sentinel(spark):
     assert got[3][1] > 0.5 and sum(got[3]) == pytest.approx(1.0)
 
 
+def test_forests_stand_side_by_side_in_one_scan(spark, tmp_path):
+    rows = [(i, i % 4, float(i % 2), float(i % 2), float(i // 2 % 2)) for i in range(80)] + [(80, None, 0.0, 0.0, 0.0)]
+    spark.createDataFrame(rows, "i int, c int, y double, a double, b double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    one, two = (scoring.forest_train(df, f, "y", trees=3, depth=2) for f in (["a"], ["b", "a"]))
+    out = scoring.forest_scores(df, F.col("c"), {0: (one, ["a"]), 3: (two, ["b", "a"])}, 2, "p")
+    assert out.columns == [*df.columns, "p"] and out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["i"]: r["p"] for r in out.collect()}
+    assert len(got) == 81 and got[80] == [-99.9, -99.9] and got[1] == [-99.9, -99.9]
+    assert got[0][0] > 0.5 and got[3][1] > 0.5
+
+
+def test_varied_transfer(spark):
+    rows = [("DATA", "nominal", 1, 10.0, 12.0, 5), ("DATA", "effUp", 1, 11.0, 13.0, 5), ("DATA", "effUp", 2, 2.0, 2.0, 1), ("DATA", "otherUp", 1, 99.0, 1.0, 1),
+            ("BKG", "nominal", 1, 4.0, 1.0, 3), ("BKG", "nominal", 3, 1.0, 0.5, 2), ("BKG", "effUp", 1, 77.0, 1.0, 1), ("SIG", "nominal", 1, 7.0, 1.0, 1)]
+    table = spark.createDataFrame([(s, "os", "m", v, b, 0, w, w2, n) for s, v, b, w, w2, n in rows],
+                                  "sample string, cut string, variable string, variation string, bin int, biny int, sumw double, sumw2 double, n long")
+    other = table.withColumn("cut", F.lit("elsewhere"))      # a cut that no target asks for
+    out = histops.varied_transfer(table.unionByName(other), "DATA", ["BKG"], "flip", {"os": "ss"}, {"effUp": "flipUp", "effDown": "flipDown"})
+    got = {(r["variation"], r["bin"]): (r["sumw"], r["sumw2"], r["n"]) for r in out.collect()}
+    assert got == {("nominal", 1): (6.0, 13.0, 8), ("nominal", 3): (-1.0, 0.5, 2), ("flipUp", 1): (7.0, 14.0, 8), ("flipUp", 2): (2.0, 2.0, 1),
+                   ("flipUp", 3): (-1.0, 0.5, 2)}
+    assert {(r["cut"], r["sample"]) for r in out.collect()} == {("ss", "flip")}
+
+
+def test_cards_without_alternative_signals(spark):
+    rows = [(0, "data", 0, 1), (1, "b1", 0, 0), (2, "s1", 1, 0), (3, "b2", 0, 0), (4, "s2", 1, 0)]
+    table = spark.createDataFrame(rows, "key int, sample string, is_signal int, is_data int")
+    got = [tuple(r) for r in cards.card_processes(table, "key").orderBy("position").select("card", "sample", "process_id", "position").collect()]
+    assert got == [("", "s1", 0, 0), ("", "s2", -1, 1), ("", "b1", 1, 2), ("", "b2", 2, 3)]
+
+
 def drawn(df, **options):
     return {r["id"]: r["copies"] for r in resample.bootstrap(df, "id", "w", 0.7, seed=1, **options).collect()}
 
