@@ -206,7 +206,8 @@ def test_names_apart(spark, docs):
 def test_secrets(spark, docs, none):
     rows = [(i, f'word {w} "{hashlib.sha1(str(i).encode()).hexdigest()}" after', "en", "cfg/app", 1)
             for i in range(80) for w in (("api token =",) if i % 2 else ("commit sha1",))]
-    found = secrets.features(secrets.findings(spark.createDataFrame(rows, SCHEMA).unionByName(docs)))
+    own = spark.createDataFrame(rows, SCHEMA).unionByName(docs)
+    found = secrets.features(secrets.findings(own), secrets.learn(own))
     found = found.withColumn("label", F.when(F.col("doc_id") % 4 < 2, (F.col("hinted") == 1).cast("int")))
     model = secrets.train(found)
     out = secrets.classify(found, model).where(F.length("candidate") == 40).collect()
@@ -214,13 +215,65 @@ def test_secrets(spark, docs, none):
     assert secrets.train(found.where("label = 1")) is None
     assert secrets.classify(found, None).where("secret").count() == found.count()
     assert secrets.findings(none).count() == 0
+    assert secrets.judged(none, lambda c: F.lit(False)).count() == 0
+
+
+def test_secrets_are_told_by_their_looks(spark):
+    """Labels come from how a run is announced; the forest, which does not see that, finds the held-out ones."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    plain = ["internationalization", "characteristically", "notwithstanding_the_words", "misunderstanding-between"]
+    rows = [(i, f'the word is here and there token = "{key(i)}" the word ' + f"see {plain[i % 4]} here", "cfg/app") for i in range(120)]
+    rows += [(200, None, "x"), (201, "", None), (202, "a " * 5000 + "Z" * 3000, "x"), (None, f"the {key(7)} word", "x"), (3, rows[3][1], "cfg/app")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"label": F.lit("mine"), "place": F.lit(1)})
+    out = secrets.judged(docs, lambda c: F.coalesce(F.col(c), F.lit(0)) % 4 == 2).collect()
+    assert len(out) == 2 * 121 + 2
+    held = [r for r in out if r.held_out and r.label is not None]
+    assert len(held) == 61 and all(r.secret == (r.label == 1) for r in held if r.doc_id != 202)
+    assert {r.label for r in held} == {0, 1}
+
+
+def test_language_of_ordinary_words(spark, none):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Alpha9", "beta-gam", "x", "the,", "ümlaut", "a1b2c3", "Q" * 16, "k" * 15, "/usr/lib", "a=b", "ab" * 40]) for _ in range(30))
+             for _ in range(20)] + ["", None]
+    learned = secrets.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), words=6, groups=9)
+    words, groups, pairs = (collections.Counter() for _ in range(3))
+    for t in texts:
+        for run in re.findall(r"[A-Za-z0-9+/_=\-]+", t or ""):
+            if not 2 <= len(run) < 16:
+                continue
+            plain = re.sub("[0-9]", "0", run.lower())
+            words.update(re.findall("[a-z]{3,}", plain))
+            n = [26 if x == "0" else ord(x) - 97 if x.isalpha() else None for x in plain]
+            pairs.update((a, b) for a, b in zip(n, n[1:]) if a is not None and b is not None)
+            groups.update((a * 27 + b) * 27 + c for a, b, c in zip(n, n[1:], n[2:]) if None not in (a, b, c))
+    assert learned.words == tuple(w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:6])
+    assert learned.groups == tuple(g for g, _ in sorted(groups.items(), key=lambda x: (-x[1], str(x[0])))[:9])
+    assert learned.transitions == pytest.approx([math.log2((pairs[a, b] + 1) / (sum(pairs[a, c] for c in range(27)) + 27)) for a in range(27) for b in range(27)])
+    nothing = secrets.learn(none)
+    assert nothing.words == nothing.groups == () and set(nothing.transitions) == {math.log2(1 / 27)}
+
+
+def test_features_of_a_candidate(spark):
+    language = secrets.Language(("the", "name", "of"), ((19 * 27 + 7) * 27 + 4, (13 * 27 + 0) * 27 + 12), tuple(-float(i % 27) for i in range(27 * 27)))
+    rows = [(1, "of, getTheNAMEtheName9x the."), (2, "x " + "=" * 20 + " y")]
+    got = {r.doc_id: r for r in secrets.features(secrets.findings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a/b"))),
+                                                 language).collect()}
+    plain = "getthenamethename0x"
+    n = [26 if x == "0" else ord(x) - 97 for x in plain]
+    assert got[1].transition == pytest.approx(-sum(n[1:]) / (len(n) - 1))
+    assert got[1].groups == pytest.approx(4 / 17)                     # the, nam, the, nam
+    assert got[1].covered == pytest.approx(7 / 19)                    # The, Name; NAMEthe is cut before its small letters
+    assert (got[1].prose_before, got[1].prose_after) == (1.0, 1.0)
+    assert (got[2].transition, got[2].groups, got[2].covered, got[2].prose_before) == (pytest.approx(-math.log2(27)), 0.0, 0.0, 0.0)
 
 
 def test_secrets_in_one_word(spark):
     a, b = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b"))
     rows = [(1, f'{{"api_key":"{a}","commit":"{b}"}}'), (2, f'API_KEY="{a}"'), (3, f"see https://h.io/{a}?key={b}"), (4, f"x {a},{b}"),
             (5, f'AWS_SECRET_ACCESS_KEY="{a}"'), (6, f'token = "{a}","{b}"')]
-    found = secrets.features(secrets.findings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("x"))))
+    found = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("x"))
+    found = secrets.features(secrets.findings(found), secrets.learn(found))
     out = found.withColumn("label", secrets.weak_label()).collect()
     got = {(r.doc_id, r.run): (r.position, r.candidate[-40:], r.hinted, r.assigned, r.quoted, r.harmless, r.label) for r in out}
     assert got == {(1, 0): (0, a, 1, 1, 1, 0, 1), (1, 1): (0, b, 0, 1, 1, 1, 0), (2, 0): (0, a, 1, 1, 1, 0, 1),
