@@ -64,6 +64,17 @@ def friend_join(spark, sf_dir):
     return joins.friend_join(orders.select("event", F.col("o_totalprice").alias("total")), friend, ["event"])
 
 
+@query("q_friend_missing", """
+SELECT o_orderkey AS event, o_totalprice AS total, n AS n_returned FROM orders LEFT JOIN (
+  SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) ON o_orderkey = k""")
+def friend_missing(spark, sf_dir):
+    """A friend from another table, which has no row for some events."""
+    main = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_totalprice").alias("total"))
+    friend = T.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("event")).agg(
+        F.count(F.lit(1)).alias("n_returned"))
+    return joins.friend_join(main, friend, ["event"])
+
+
 @query("q_limit", with_ctes("SELECT event, sample, weight FROM ev ORDER BY event LIMIT 1000", "ev"))
 def limit(spark, sf_dir):
     return tables.first_rows(T.ev(spark, sf_dir).select("event", "sample", "weight"), 1000, ["event"])
