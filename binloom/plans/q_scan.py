@@ -111,9 +111,8 @@ def training_table(spark, sf_dir):
 @query("q_file_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS dataset, CAST(1 AS BIGINT) AS files, count(*) AS rows FROM {t}" for t in TABLES))
 def file_counts(spark, sf_dir):
-    each = [quality.file_counts(T.table(spark, sf_dir, t)).withColumn("dataset", F.lit(t)) for t in TABLES]
-    return reduce(lambda a, b: a.unionByName(b), each).groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    """One file per table, whether it was written whole or in parts."""
+    return quality.dataset_counts({t: T.table(spark, sf_dir, t) for t in TABLES}).select("dataset", "files", "rows")
 
 
 @query("q_file_health", """
