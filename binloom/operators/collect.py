@@ -40,18 +40,50 @@ def leading_collections(objects: DataFrame, key: str, kind: str, order: list[str
     return top.groupBy(key).agg(*arrays)
 
 
-def varied_collections(objects: DataFrame, key: str, value: str, factors: dict[str, tuple[Column, Column]], fields: list[str], order: list[str],
-                       k: int) -> DataFrame:
-    """The ``k`` leading objects of every event by each varied value, as (key, variation, array ``objects``).
+def varied_leaders(objects: DataFrame, key: str, value: str, factors: dict[str, tuple[Column, Column]], fields: list[str], order: list[str],
+                   k: int) -> DataFrame:
+    """The ``k`` leading objects of every event by each varied value: one row per event with a struct ``varied`` of one array per variation.
 
     ``factors`` maps a source to its up and down factors of ``value``; variations are ``nominal``, ``<source>up`` and ``<source>do``.  An
-    object moves as one, with its ``fields`` (its nominal index among them, if asked for).  Event and variation are the key of the ranking, whose limit
-    runs before the shuffle: a task sends at most ``k`` objects of an event and variation.  ``order`` breaks ties.
+    object moves as one, with its ``fields`` (its nominal index among them, if asked for).  ``order`` breaks ties.
+
+    Objects are not repeated for their variations: an event's objects stay together, and each of ``k`` rounds finds the next leader of
+    every variation.  One exchange and one sort by ``key`` serve all rounds, and none is needed where the objects are dealt and sorted by
+    it already; what an event holds beside its objects is ``k`` of them a variation.
     """
-    sides = [("nominal", F.lit(1.0))] + [(f"{s}{side}", c) for s, pair in factors.items() for side, c in zip(("up", "do"), pair)]
-    made = F.explode(F.array(*[F.struct(F.lit(n).alias("variation"), (F.col(value) * c).alias("v")) for n, c in sides]))
-    varied = objects.withColumn("__x", made).select(key, *[c for c in dict.fromkeys([*fields, *order]) if c != value], "__x.variation",
-                                                    F.col("__x.v").alias(value))
-    top = rank_objects(varied, [key, "variation"], [f"-{value}", *order], k, "place")
-    objects = F.sort_array(F.collect_list(F.struct("place", value, *[c for c in fields if c != value])))
-    return top.groupBy(key, "variation").agg(objects.alias("objects"))
+    sides = {"nominal": F.lit(1.0)} | {f"{s}{side}": c for s, pair in factors.items() for side, c in zip(("up", "do"), pair)}
+    payload = [c for c in dict.fromkeys(fields) if c != value]
+    columns = {f"__c{i}": c for i, c in enumerate(dict.fromkeys([*order, *payload]))}
+    own = objects.select(key, (F.col(value) + F.lit(0)).alias("__v"), *[F.col(c).alias(n) for n, c in columns.items()],
+                         *[c.alias(f"__f{i}") for i, c in enumerate(sides.values())], F.monotonically_increasing_id().alias("__id"))
+    named = {c: n for n, c in columns.items()}
+    # the least of these leads: falling value, not-a-number before all and null behind, then the order; the number tells equal objects apart
+    made = {}
+    for i in range(len(sides)):
+        v = F.col("__v") * F.col(f"__f{i}")
+        made[i] = F.struct(v.isNull().alias("none"), (~F.isnan(v)).alias("number"), (-v).alias("v"), *[named[c] for c in order], "__id",
+                           *[named[c] for c in payload if c not in order])
+    event, leaders = Window.partitionBy(key), {i: [] for i in made}
+    for place in range(k):
+        left = {i: F.when(c > F.col(leaders[i][-1]), c) if place else c for i, c in made.items()}
+        for i in made:
+            leaders[i].append(f"__l{i}_{place}")
+        if place < k - 1:
+            own = own.select("*", *[F.min(c).over(event).alias(leaders[i][-1]) for i, c in left.items()])
+        else:
+            own = own.groupBy(key).agg(*[F.first(n).alias(n) for i in made for n in leaders[i][:-1]], *[F.min(c).alias(leaders[i][-1]) for i, c in left.items()])
+
+    def array(i):
+        each = [F.when(F.col(n).isNotNull(), F.struct(F.lit(place).alias("place"), (-F.col(n)["v"]).alias(value), *[F.col(n)[named[c]].alias(c) for c in payload]))
+                for place, n in enumerate(leaders[i])]
+        return F.array_compact(F.array(*each))
+
+    return own.select(key, F.struct(*[array(i).alias(n) for i, n in enumerate(sides)]).alias("varied"))
+
+
+def varied_collections(objects: DataFrame, key: str, value: str, factors: dict[str, tuple[Column, Column]], fields: list[str], order: list[str],
+                       k: int) -> DataFrame:
+    """``varied_leaders`` with a row for every variation: (key, variation, array ``objects``)."""
+    wide = varied_leaders(objects, key, value, factors, fields, order, k)
+    names = wide.schema["varied"].dataType.names
+    return wide.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("variation"), F.col("varied")[n].alias("objects")) for n in names])))

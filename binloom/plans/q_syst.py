@@ -13,7 +13,7 @@ from binloom.functions.lookup import Curve
 from binloom.functions.poisson import poisson_interval
 from binloom.operators import histops, rates, variations as V
 from binloom.operators.analysis import Analysis
-from binloom.operators.collect import rank_objects, varied_collections
+from binloom.operators.collect import rank_objects, varied_collections, varied_leaders
 from binloom.plans.q_hist import LEAD, hists, leading
 from binloom.plans.registry import bin_sql, query, r, rs, with_ctes
 from binloom.sources import driver_tables as T
@@ -447,11 +447,11 @@ JES_SQL = {"jes": "SELECT *, row_number() OVER (PARTITION BY event, variation OR
     + ") AS v FROM obj WHERE kind = 'jet'" for n, f in SIDES) + ")"}
 
 
-def jes(spark, sf_dir):
+def jes(spark, sf_dir, collect=varied_collections):
     """The two leading jets by every source and side, with their nominal rank."""
     jets = T.ranked(spark, sf_dir, "jet").select("event", "idx", "pt", "eta", "flavour")
     factors = {n: (F.expr(up), F.expr(down)) for n, (up, down) in SOURCES.items()}
-    return varied_collections(jets, "event", "pt", factors, ["pt", "eta", "idx"], ["idx"], 2)
+    return collect(jets, "event", "pt", factors, ["pt", "eta", "idx"], ["idx"], 2)
 
 
 @query("q_jes_sources", with_ctes(f"""
@@ -474,8 +474,8 @@ def jes_hist(spark, sf_dir):
     """Leading jets of three sources, each up and down, as companions of the nominal columns, filled in one pass."""
     names = [n for n, _ in SIDES]
     column = lambda c, n: c if n == "nominal" else f"{c}_{n}"
-    jets = jes(spark, sf_dir).groupBy("event").agg(*[
-        F.max(F.when(F.col("variation") == n, F.get("objects", F.lit(i))["pt"])).alias(column(f"pt{i + 1}", n)) for n in names for i in (0, 1)])
+    jets = jes(spark, sf_dir, varied_leaders).select("event", *[
+        F.get(F.col("varied")[n], F.lit(i))["pt"].alias(column(f"pt{i + 1}", n)) for n in names for i in (0, 1)])
     events = T.ev(spark, sf_dir).select("event", "sample", "weight").join(jets, "event")
     run = Analysis(cuts=[Cut("two", "pt2 > 20")], variables=[Variable("lead", "pt1", Uniform(10, 20.0, 120.0))],
                    nuisances=[Nuisance(f"JES_{n}", "suffix", f"{n}up", f"{n}do") for n in SOURCES])
