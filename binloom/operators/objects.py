@@ -52,20 +52,45 @@ def pair_sums(objects: DataFrame, key: str, value: str) -> DataFrame:
     return sums.select(key, F.expr("n * (n - 1) div 2").alias("n_pairs"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("products"))
 
 
+# a block is so many widths long; values are told apart exactly where they are this near, relatively, to one width
+BLOCK, EDGE = 4, 1e-6
+
+
+def _near_pairs(objects: DataFrame, key: str, axis: str, width: float) -> DataFrame:
+    """Rows (key, ``n_near``) that add up to the pairs nearer than ``width`` on one axis: one for each distinct finite value of an event."""
+    one = objects.where(F.abs(axis) < F.lit(math.inf)).groupBy(key, F.col(axis).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    block = lambda x: F.floor(x / (BLOCK * width))
+    own = block(F.col("x"))
+    # a value near the end of its block has a guest's place in the next
+    blocks = F.array_distinct(F.array(own, block(F.col("x") + width * (1 + EDGE))))
+    placed = one.select(key, "x", "n", own.alias("home"), F.explode(blocks).alias("block")).select(key, "block", "x", "n", (F.col("home") < F.col("block")).alias("guest"))
+    over = f"OVER (PARTITION BY `{key}`, block ORDER BY x"
+    inner, outer = f"{width * (1 - EDGE)!r}D PRECEDING", f"{width * (1 + EDGE)!r}D PRECEDING"
+    seen = placed.select(
+        key, "x", "n", "guest", F.expr(f"sum(n) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("before"),
+        F.expr(f"sum(n) {over} RANGE BETWEEN UNBOUNDED PRECEDING AND {inner})").alias("far"),
+        F.expr(f"collect_list(struct(x, n)) {over} RANGE BETWEEN {outer} AND {inner})").alias("edge"))
+    back = F.aggregate(F.filter("edge", lambda e: F.col("x") - e["x"] < width), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    partners = F.coalesce("before", F.lit(0)) - F.coalesce("far", F.lit(0)) + back
+    return seen.where(~F.col("guest")).select(key, (F.expr("n * (n - 1) div 2") + F.col("n") * partners).alias("n_near"))
+
+
 def pairs_within(objects: DataFrame, key: str, axis: str, width: float) -> DataFrame:
-    """Per event the number of unordered pairs nearer than ``width`` on one axis (``n_near``); events without any are left out.
+    """Per event the number of unordered pairs nearer than ``width`` on one axis (``n_near``); events without any value are left out.
 
-    Equal values are counted together, and only values of one cell or of neighbouring cells are compared; cells are part of the
-    join key, so a hot event is spread.
+    No pair is formed.  Equal values are counted together; then values are sorted within blocks of the axis, where running counts tell
+    how many of those before are near.  Blocks are part of the key, so a hot event is spread, and a value stands in two at most.
     """
-    one = objects.where(F.col(axis).isNotNull()).groupBy(key, F.col(axis).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    one = one.withColumn("cell", F.floor(F.col("x") / (width * (1 + 1e-9))))
-    two = one.select(F.col(key).alias("__key"), F.col("x").alias("y"), F.col("n").alias("m"),
-                     F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("__cell"))
-    apart = F.col("y") - F.col("x")
-    cross = one.join(two, (F.col(key) == F.col("__key")) & (F.col("cell") == F.col("__cell")) & (apart > 0) & (apart < width))
-    both = one.select(key, F.expr("n * (n - 1) div 2").alias("n_near")).unionByName(cross.select(key, (F.col("n") * F.col("m")).alias("n_near")))
-    return both.groupBy(key).agg(F.sum("n_near").alias("n_near"))
+    return _near_pairs(objects, key, axis, width).groupBy(key).agg(F.sum("n_near").alias("n_near"))
+
+
+def pair_summary(objects: DataFrame, key: str, value: str, axis: str, width: float) -> DataFrame:
+    """``pair_sums`` and ``pairs_within`` of every event side by side, added up in one grouping."""
+    v = F.col(value)
+    near = _near_pairs(objects, key, axis, width).select(key, F.lit(0).alias("one"), F.lit(0.0).alias("v"), F.lit(0.0).alias("v2"), "n_near")
+    rows = objects.select(key, F.lit(1).alias("one"), v.cast("double").alias("v"), (v * v).cast("double").alias("v2"), F.lit(0).cast("long").alias("n_near"))
+    sums = rows.unionByName(near).groupBy(key).agg(F.sum("one").alias("n"), F.sum("v").alias("s"), F.sum("v2").alias("q"), F.sum("n_near").alias("n_near"))
+    return sums.select(key, F.expr("n * (n - 1) div 2").alias("n_pairs"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("products"), "n_near")
 
 
 def near_counts(objects: DataFrame, others: DataFrame, key: str, cone: float) -> DataFrame:

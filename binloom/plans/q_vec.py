@@ -78,8 +78,8 @@ FROM obj a JOIN obj b ON a.event = b.event AND a.idx < b.idx WHERE a.kind = 'jet
 def pairs(spark, sf_dir):
     """All pairs of an event's jets, counted and summed without forming them."""
     jets = T.items(spark, sf_dir).filter("kind = 'jet'").select("event", "pt", "eta")
-    sums = O.pair_sums(jets, "event", "pt").filter("n_pairs > 0")
-    return sums.join(O.pairs_within(jets, "event", "eta", 1.0), "event").select("event", "n_pairs", r("products", 5).alias("pp"), "n_near")
+    sums = O.pair_summary(jets, "event", "pt", "eta", 1.0).filter("n_pairs > 0")
+    return sums.select("event", "n_pairs", r("products", 5).alias("pp"), "n_near")
 
 
 @query("q_jet_lepton_pairs", with_ctes(f"""
