@@ -34,14 +34,19 @@ def mother_pt(particles: DataFrame, key: str, idx: str = "idx", mother: str = "m
     return out.select(key, F.when(F.col("any_z"), F.col("z")).otherwise(F.col("zero")).alias("mother_pt"))
 
 
-def with_ancestor(particles: DataFrame, key: str, test: Column, name: str, idx: str = "idx", mother: str = "mother") -> DataFrame:
+def with_ancestor(particles: DataFrame, key: str, test: Column, name: str, idx: str = "idx", mother: str = "mother", of: Column | None = None,
+                  staged: bool = False) -> DataFrame:
     """The particles with a flag: does the test hold for the mother, her mother, and so on?  The particle itself does not count.
 
     Pointer doubling: each round joins every mother with what is known of the particle her pointer has reached and doubles its reach, so
     rounds are the logarithm of the deepest line.  Only particles that have daughters take part.  A pointer below 0 or beyond the record
     ends a line; one in a circle ends once it has seen as many particles as the longest record has.
+
+    With ``of`` only particles for which it holds are flagged and returned; all are their ancestors.  ``staged``: the particles come from files,
+    so they are read again instead of being written first.
     """
-    particles = stage(particles.drop(name).withColumn("__test", F.coalesce(test, F.lit(False))), "particles")
+    particles = particles.drop(name).withColumn("__test", F.coalesce(test, F.lit(False)))
+    particles = particles if staged else stage(particles, "particles")
     heads = particles.where(F.col(mother) >= 0).select(key, F.col(mother).alias(idx)).distinct()
     known = stage(particles.join(heads, [key, idx], "left_semi").select(
         F.col(key).alias("k"), F.col(idx).cast("long").alias("i"), F.when((F.col(mother) >= 0) & ~F.col("__test"), F.col(mother)).cast("long").alias("to"),
@@ -55,5 +60,6 @@ def with_ancestor(particles: DataFrame, key: str, test: Column, name: str, idx:
         known = stage(known.where("to IS NULL").unionByName(moved), "ancestry")
         reach *= 2
     up = known.select(F.col("k").alias(key), F.col("i").alias(mother), F.col("hit").alias(name))
-    flagged = particles.join(up, [key, mother], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    asked = particles if of is None else particles.where(of)
+    flagged = asked.join(up, [key, mother], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return flagged.select(*[c for c in particles.columns if c != "__test"], name)

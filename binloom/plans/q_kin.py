@@ -290,7 +290,7 @@ GEN = """SELECT *, CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN p
 def gen_record(spark, sf_dir, *more):
     """Flat records: event, idx, pt, pdgId, mother, flags."""
     rank = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("pt"), *T.ORDER[1:])) - 1
-    gen = T.items(spark, sf_dir).withColumn("idx", rank)
+    gen = T.items(spark, sf_dir).withColumn("lepton", F.expr("kind = 'lepton'")).withColumn("idx", rank)
     return gen.select("event", "idx", "pt", *more, F.expr("CASE part % 4 WHEN 0 THEN 23 WHEN 1 THEN -pdgId WHEN 2 THEN pdgId ELSE 15 END").alias("id"),
                       F.expr("IF(idx = 0, -1, cast(supp % (idx + 1) - 1 as int))").alias("mother"), (F.col("supp") % 32).cast("int").alias("flags"))
 
@@ -325,17 +325,24 @@ FROM (SELECT ev.event, w.* EXCLUDE (event), c.* EXCLUDE (event), total/CAST(4 AS
     cj="SELECT event, " + ", ".join(f"max(CASE WHEN k={i} THEN {f} END) AS j{i}_{f}" for i in (1, 2) for f in KIN + ["mass"]) + """ FROM (
       SELECT *, row_number() OVER (PARTITION BY event ORDER BY i) AS k FROM clean WHERE pt >= 30) GROUP BY event""").replace("WITH", "WITH RECURSIVE", 1))
 def fiducial(spark, sf_dir):
-    """Leptons that come from a tau do not count; every event has its row.  The tables are scanned once."""
-    fields = [*KIN[1:], "mass", "pdgId", "kind"]
-    rec = stage(with_ancestor(gen_record(spark, sf_dir, *fields), "event", F.abs("id") == 15, "tau").drop("id", "mother", "flags"), "record")
-    leptons = rec.filter("kind = 'lepton' AND NOT tau")
-    jets = clean_objects(rec.filter("kind = 'jet' AND pt >= 30"), leptons.filter("pt >= 10"), "event", 0.4)
-
-    def leading(objects, k, name):
-        top = rank_objects(objects, ["event"], ["idx"], k, "place")
-        return top.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("place", *KIN, "mass", "pdgId"))).alias(name))
-
-    df = T.ev(spark, sf_dir).select("event", "total").join(leading(leptons, 3, "lep"), "event", "left").join(leading(jets, 2, "jet"), "event", "left")
+    """Leptons that come from a tau do not count; every event has its row.  lineitem is scanned once.
+
+    Two leptons decide first: only where they are an electron and a muon of opposite charge are the event's jets cleaned.
+    """
+    rec = stage(gen_record(spark, sf_dir, *KIN[1:], "pdgId", "lepton").drop("flags"), "record")
+    leptons = with_ancestor(rec, "event", F.abs("id") == 15, "tau", of=F.col("lepton"), staged=True).filter("NOT tau")
+    event = Window.partitionBy("event")
+    order = event.orderBy("idx")
+    placed = leptons.select("event", *KIN, "pdgId", (F.row_number().over(order) - 1).alias("place"), (F.col("pdgId") * F.lead("pdgId").over(order)).alias("pair"))
+    pair = F.max(F.when(F.col("place") == 0, F.col("pair"))).over(event)
+    leptons = stage(placed.withColumn("pair", pair).filter("pair = -11 * 13 AND (place < 3 OR pt >= 10)").drop("pair"), "leptons")
+    jets = rec.filter("NOT lepton AND pt >= 30").select("event", "idx", *KIN).join(leptons.filter("place = 0").select("event"), "event", "left_semi")
+    jets = rank_objects(clean_objects(jets, leptons.filter("pt >= 10"), "event", 0.4), ["event"], ["idx"], 2, "place")
+
+    def leading(objects, name, *more):
+        return objects.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("place", *KIN, F.expr(T.MASS).alias("mass"), *more))).alias(name))
+
+    df = T.ev(spark, sf_dir).select("event", "total").join(leading(leptons.filter("place < 3"), "lep", "pdgId"), "event", "left").join(leading(jets, "jet"), "event", "left")
     return df.select("event", O.fiducial_flag(F.col("lep"), F.col("jet"), F.col("total") / 4.0, F.lit(0.0)).alias("fid"))
 
 

@@ -15,6 +15,7 @@ from binloom.operators.collect import leading_collections
 ORDER = ["-pt", "line", "part", "supp", "ship"]
 FIELDS = ["pt", "eta", "phi", "mass", "pdgId", "score", "flavour"]
 LUMI = 2.0
+MASS = "pt * 0.1D"         # an item's mass, where it is not worth carrying along
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
